@@ -9,6 +9,7 @@ shuffle records without reading the shard.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import struct
@@ -27,8 +28,8 @@ from . import common
 CACHE_CHUNKS = 200_000
 LONG_CHUNK = 64
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u4"), ("crc", "<u4")])
-#: Letters, then marks without an apostrophe: one or two pre-tokens whatever the rest of the text.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿß]+([!-&(-/:-@\[-`{-~]*)")
+#: Letters, then marks without an apostrophe: one or two pre-tokens, whatever the rest of the text, that no normaliser but lower case changes.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿß]+)([!-&(-/:-@\[-`{-~]*)")
 _ENCODERS: dict[str, CachedEncoder] = {}
 
 
@@ -38,66 +39,85 @@ def vocabulary(name: str) -> str:
     return name if os.path.sep in name else public_tokenizers.path(name)
 
 
+class _Chunks(dict):
+    """Ids by chunk of text, in two generations; a chunk not yet known stands for itself and is noted."""
+
+    def __init__(self):
+        super().__init__({"": b""})
+        self.older: dict[str, bytes] = {}
+        self.lost: set[str] = set()
+
+    def __missing__(self, chunk: str):
+        known = self.older.get(chunk)
+        if known is not None:
+            self[chunk] = known
+            return known
+        self.lost.add(chunk)
+        return chunk
+
+
 class CachedEncoder:
     """encode(text, add_special_tokens=False) of a tokenizers file that drops white space, as ids in u32 bytes.
 
-    No pre-token holds a space or line break, so the parts between them are encoded once each and kept (bounded).
+    No pre-token holds a space or line break, so the parts between them are encoded once each and kept (bounded). Parts of
+    plain letters and marks go through the file's model with the pre-tokens already parted and lowered; all others
+    through the file's whole pipeline.
     """
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        model = json.loads(self.tokenizer.to_str())["model"]
+        # the same model without the library's cache: every word comes here once
+        self.plain = Tokenizer(models.BPE(vocab=model["vocab"], merges=[tuple(m) for m in model["merges"]], end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0))
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.width = 2 if len(self.ends) <= 1 << 16 else 4
-        self.cache: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.cache = _Chunks()
+        self.words: dict[str, bytes] = {"": b""}
 
     def fill(self, missing) -> None:
-        plain, pieces, other = [], [], []
+        """Encode chunks not yet known. Plain ones share the ids of their words: case and trailing marks make many chunks of one word."""
+        if len(self.words) > CACHE_CHUNKS:
+            self.words = {"": b""}
+        parted, other, words = [], [], self.words
         for w in missing:
             m = _PLAIN.fullmatch(w)
             if m:
-                plain.append(w)
-                pieces.append(2 if m[1] else 1)
+                parted.append((w, m[1].lower(), m[2]))
             else:
                 other.append(w)
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum(pieces[i : i + 4096])
-            if len(stops) != last[-1]:  # not one stop a pre-token: take them one by one
-                other += some
-                continue
-            at = [0, *(stops[last - 1] * 4).tolist()]
+        new = list({x for _, a, b in parted for x in (a, b) if x not in words})
+        for i in range(0, len(new), 4096):
+            some = new[i : i + 4096]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
             raw = ids.tobytes()
-            self.cache.update(zip(some, [raw[a:b] for a, b in itertools.pairwise(at)], strict=True))
+            words.update(zip(some, [raw[a:b] for a, b in itertools.pairwise(at)], strict=True))
+        self.cache.update((w, words[a] + words[b]) for w, a, b in parted)
         for i in range(0, len(other), 4096):
             some = other[i : i + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.cache[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.cache) > CACHE_CHUNKS:
-            self.older, self.cache = self.cache, {"": b""}
-        missing = set(itertools.chain.from_iterable(split)).difference(self.cache)
-        if self.older:
-            again = missing.intersection(self.older)
-            self.cache.update(zip(again, map(self.older.__getitem__, again), strict=True))
-            missing -= again
+            older, self.cache = self.cache, _Chunks()
+            self.cache.older = dict(older)
+        cache = self.cache
+        found = [list(map(cache.__getitem__, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts]
+        missing, cache.lost = cache.lost, set()
         self.fill(missing)
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
+        out = [b"".join([v if v.__class__ is bytes else cache[v] for v in f]) for f in found]
         for w in missing:
             if len(w) > LONG_CHUNK:
-                del self.cache[w]
+                del cache[w]
         return out
 
 
