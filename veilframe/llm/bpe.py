@@ -2,7 +2,7 @@
 
 Two neighbouring symbols that stand side by side inside no vocabulary token can never end up in one token, whatever is
 merged first: between them lies a certain cut. Words are cut there, each fragment is merged by itself, and the ids are
-put on end. Fragments repeat far more than words, so most of them are merged once a worker.
+put on end. What a worker has coded it keeps, within a bound.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import hashlib
 import heapq
 import itertools
 import json
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -20,8 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common, tokens
 
 CACHE_CHUNKS = 200_000
-CACHE_FRAGMENTS = 200_000
+CACHE_WORDS = 200_000
 LONG = 64
+#: Letters, then marks without an apostrophe: the split pattern parts them so, and only lower case changes them.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿß]+)([!-&(-/:-@\[-`{-~]*)")
 _SPACES = regex.compile(r"\p{White_Space}+")
 _CODERS: dict[str, ForcedBoundaryBPE] = {}
 
@@ -46,16 +49,38 @@ class ForcedBoundaryBPE:
         self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): r for r, m in enumerate(model["merges"])}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
+        self.written = {i: t.encode() for i, t in self.tokens.items()}
+        self.shown = {i: str(i).encode() for i in self.tokens}
         self.kinds = [n["type"] for n in (spec["normalizer"] or {"normalizers": []})["normalizers"]]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
-        self.alphabet = byte_alphabet()
-        self.neighbours = self._neighbours()
-        self.fragments: dict[tuple[str, ...], list[int]] = {}
+        self._index()
+        self.words: dict[str, list[int]] = {}
         self.chunks: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
 
+    def _index(self) -> None:
+        """Symbols as numbers: byte b inside a word is b, as its last symbol 256 + b; merged pairs follow by rank."""
+        alphabet = byte_alphabet()
+        self.first_ids = [self.vocab[c] for c in alphabet] + [self.vocab[c + self.suffix] for c in alphabet]
+        start = {i: s for s, i in reversed(list(enumerate(self.first_ids)))}  # an id's symbol; without a suffix both are one
+        number = {t: start.get(i, 512 + i) for t, i in self.vocab.items()}
+        self.id_of = {n: self.vocab[t] for t, n in number.items()}
+        self.rank: dict[int, int] = {}
+        self.made: list[int] = []
+        for (a, b), r in self.ranks.items():
+            self.rank[number[a] << 20 | number[b]] = r
+            self.made.append(number[a + b])
+        byte = {c: b for b, c in enumerate(alphabet)}
+        #: Symbols that stand side by side in some token.
+        self.beside = bytearray(512 * 512)
+        for t in self.vocab:
+            s = self.symbols(t)
+            n = [byte[c] for c in s[:-1]] + [byte[s[-1][0]] + 256 * (len(s[-1]) > 1)]
+            for a, b in itertools.pairwise(n):
+                self.beside[a << 9 | b] = 1
+
     def symbols(self, token: str) -> list[str]:
         """A token's characters; the word-end mark belongs to the last of them."""
         if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
@@ -63,74 +88,70 @@ class ForcedBoundaryBPE:
             return [*body[:-1], body[-1] + self.suffix]
         return list(token)
 
-    def _neighbours(self) -> set[tuple[str, str]]:
-        return {p for t in self.vocab for p in itertools.pairwise(self.symbols(t))}
-
-    def cuts(self, word: list[str]) -> list[list[str]]:
+    def cuts(self, word: list[int]) -> list[list[int]]:
         """The word's symbols parted where no token can reach across."""
-        out, at = [], 0
+        out, at, beside = [], 0, self.beside
         for i in range(1, len(word)):
-            if (word[i - 1], word[i]) not in self.neighbours:
+            if not beside[word[i - 1] << 9 | word[i]]:
                 out.append(word[at:i])
                 at = i
         out.append(word[at:])
         return out
 
-    def merge(self, part: tuple[str, ...]) -> list[int]:
-        """Lowest rank first, leftmost first among equals; over linked symbols with a heap where a fragment is long, so that stays near linear."""
-        if len(part) <= 24:
-            return self._merge_short(list(part))
-        sym: list[str | None] = list(part)
+    def merge(self, sym: list[int]) -> list[int]:
+        """Lowest rank first, leftmost first among equals; the ids."""
+        if len(sym) > 40:
+            return self._merge_long(sym)
+        rank, made, none = self.rank.get, self.made, len(self.made)
+        ranks = [rank(a << 20 | b, none) for a, b in itertools.pairwise(sym)]
+        while ranks:
+            low = min(ranks)
+            if low == none:
+                break
+            i = ranks.index(low)
+            sym[i] = m = made[low]
+            del sym[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(sym[i - 1] << 20 | m, none)
+            if i < len(ranks):
+                ranks[i] = rank(m << 20 | sym[i + 1], none)
+        return [self.id_of[s] for s in sym]
+
+    def _merge_long(self, part: list[int]) -> list[int]:
+        """The same over linked symbols with a heap, near linear in the fragment."""
+        sym: list[int] = list(part)
         n = len(sym)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(itertools.pairwise(part)) if (r := self.ranks.get((a, b))) is not None]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(itertools.pairwise(part)) if (r := self.rank.get(a << 20 | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = right[i]
             if sym[i] != a or j >= n or sym[j] != b:
                 continue
-            sym[i], sym[j] = a + b, None
+            sym[i], sym[j] = self.made[r], -1
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
-                if (r := self.ranks.get((a + b, sym[k]))) is not None:
-                    heapq.heappush(heap, (r, i, a + b, sym[k]))
-            if (h := left[i]) >= 0 and (r := self.ranks.get((sym[h], a + b))) is not None:
-                heapq.heappush(heap, (r, h, sym[h], a + b))
-        return [self.vocab[s] for s in sym if s is not None]
-
-    def _merge_short(self, sym: list[str]) -> list[int]:
-        rank, none = self.ranks.get, len(self.ranks)
-        ranks = [rank(p, none) for p in itertools.pairwise(sym)]
-        while ranks:
-            low = min(ranks)
-            if low == none:
-                break
-            i = ranks.index(low)
-            sym[i : i + 2] = [sym[i] + sym[i + 1]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank((sym[i - 1], sym[i]), none)
-            if i < len(ranks):
-                ranks[i] = rank((sym[i], sym[i + 1]), none)
-        return [self.vocab[s] for s in sym]
+                if (x := self.rank.get(sym[i] << 20 | sym[k])) is not None:
+                    heapq.heappush(heap, (x, i, sym[i], sym[k]))
+            if (h := left[i]) >= 0 and (x := self.rank.get(sym[h] << 20 | sym[i])) is not None:
+                heapq.heappush(heap, (x, h, sym[h], sym[i]))
+        return [self.id_of[s] for s in sym if s >= 0]
 
     def word_ids(self, word: str) -> list[int]:
-        symbols = list(word) if word.isascii() and word.isprintable() else [self.alphabet[b] for b in word.encode("utf-8")]
-        if self.suffix:
-            symbols[-1] += self.suffix
-        ids: list[int] = []
-        for part in map(tuple, self.cuts(symbols)):
-            got = self.fragments.get(part)
-            if got is None:
-                got = self.merge(part)
-                if len(part) <= LONG:
-                    if len(self.fragments) >= CACHE_FRAGMENTS:
-                        self.fragments.clear()
-                    self.fragments[part] = got
-            ids += got
-        return ids
+        got = self.words.get(word)
+        if got is None:
+            symbols = list(word.encode("utf-8"))
+            symbols[-1] += 256
+            got = []
+            for part in self.cuts(symbols):
+                got += self.merge(part)
+            if len(word) <= LONG:
+                if len(self.words) >= CACHE_WORDS:
+                    self.words.clear()
+                self.words[word] = got
+        return got
 
     def normalise(self, text: str) -> str:
         for kind in self.kinds:
@@ -148,7 +169,7 @@ class ForcedBoundaryBPE:
             if part in self.added:
                 ids.append(self.added[part])
             elif part:
-                for word in self.split.findall((part.lower() if part.isascii() and part.isalnum() else self.normalise(part))):
+                for word in self.split.findall(self.normalise(part)):
                     ids += self.word_ids(word)
         return ids
 
@@ -157,8 +178,9 @@ class ForcedBoundaryBPE:
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        ids = self.encode(chunk)
-        return " ".join(map(str, ids)).encode(), self.decode(ids).encode()
+        m = _PLAIN.fullmatch(chunk)
+        ids = self.word_ids(m[1].lower()) + (self.word_ids(m[2]) if m[2] else []) if m else self.encode(chunk)
+        return b" ".join([self.shown[i] for i in ids]), b" ".join([self.written[i] for i in ids])
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the decimal ids joined by a space, SHA-256 of the decoded text) of a whole text.
