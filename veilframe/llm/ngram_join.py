@@ -3,7 +3,9 @@
 All shingles stand in one global order: rarer first (by a counting table of fixed size over all documents), ties by hash.
 Two sets that are alike enough must share one of the first few shingles of both; such pairs are candidates. The order is
 cut into fragments of equal mass, a candidate pair's overlap is counted in each fragment separately, and the counts are
-summed per pair and held against the threshold. Equal sets meet by their signature and count as one.
+summed per pair and held against the threshold. Before that, pairs go whose overlap cannot be enough: no fragment can hold
+more of it than the smaller of the two sets has there, and for this bound the shingles are cut by hash into CELLS finer
+fragments. Equal sets meet by their signature and count as one.
 
 No group is expanded into all its pairs. Those that share a shingle are first compared with two of them only; what is
 linked so becomes one component. Then only pairs of the same shingle whose ends still lie in different components are
@@ -23,22 +25,54 @@ from .graph import components
 #: Counters of the table that orders the shingles; fixed, so its size (8 MB) is known whatever the input.
 COUNTERS_BITS = 20
 FRAGMENTS = 8
+CELLS = 256
 _PIECE = 1 << 14
 _SIGN = np.uint64(0xA0761D6478BD642F)
 
 
+def set_id(shingles: np.ndarray) -> int:
+    """64 bits that stand for a whole set: equal sets are one node, whichever documents they come from."""
+    both = np.array([shingles.sum(dtype=np.uint64), common.mix(shingles ^ _SIGN).sum(dtype=np.uint64), len(shingles)], np.uint64)
+    return int(common.mix(both[:1] + common.mix(both[1:2] * np.uint64(31) + both[2:])).view(np.int64)[0])
+
+
+def _cells(shingles: np.ndarray) -> bytes:
+    """How many shingles each cell holds, in as few bytes as the largest count needs."""
+    c = np.bincount((shingles & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    return c.astype("<u1" if c.max() < 256 else "<u4").tobytes()
+
+
+def possible(pairs: DataFrame, cells: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose overlap could be enough by the sum over cells of the smaller count. cells: (sid, cells)."""
+    left, right = cells.select(F.col("sid").alias("a"), F.col("cells").alias("ca")), cells.select(F.col("sid").alias("b"), F.col("cells").alias("cb"))
+
+    def counts(blobs: list[bytes]) -> np.ndarray:
+        return np.stack([np.frombuffer(x, "<u1" if len(x) == CELLS else "<u4").astype(np.int64) for x in blobs])
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            most = np.minimum(counts(b.column(4).to_pylist()), counts(b.column(5).to_pylist())).sum(axis=1)
+            both = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+            got = b.filter(pa.array(most * 100 >= share * (both - most), pa.bool_()))
+            yield pa.RecordBatch.from_arrays(got.columns[:4], ["a", "b", "na", "nb"])
+
+    return pairs.select("a", "b", "na", "nb").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long, na int, nb int")
+
+
 def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """One pass: (doc_id, n, s1, s2) of each text, and each task's counts (chunk, vec)."""
+    """One pass: (doc_id, n, sid, vec: its cells) of each text, and each task's counts (chunk, vec)."""
 
     def run(batches):
         counts = np.zeros(1 << COUNTERS_BITS, np.int64)
         for b in batches:
-            n, s1, s2 = [], [], []
+            n, sid, cells = [], [], []
             held, size = [], 0
             for s in common.shingle_sets(*common.utf8(b.column(1)), k):
                 n.append(len(s))
-                s1.append(int(s.sum(dtype=np.uint64)))
-                s2.append(int(common.mix(s ^ _SIGN).sum(dtype=np.uint64)))
+                cells.append(_cells(s))
+                sid.append(set_id(s))
                 held.append(s)
                 size += len(s)
                 if size > 1 << 18:
@@ -47,12 +81,12 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
             if held:
                 counts += np.bincount((np.concatenate(held) >> np.uint64(64 - COUNTERS_BITS)).astype(np.int64), minlength=len(counts))
             m = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(np.array(s1, np.uint64).view(np.int64), pa.int64()), pa.array(np.array(s2, np.uint64).view(np.int64), pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["doc_id", "n", "s1", "s2", "chunk", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.nulls(m, pa.int32()), pa.array(cells, pa.binary())], ["doc_id", "n", "sid", "chunk", "vec"])
         for c in range(0, len(counts), _PIECE):
             if counts[c : c + _PIECE].any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([c // _PIECE], pa.int32()), pa.array([counts[c : c + _PIECE].astype("<i8").tobytes()], pa.binary())], ["doc_id", "n", "s1", "s2", "chunk", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([c // _PIECE], pa.int32()), pa.array([counts[c : c + _PIECE].astype("<i8").tobytes()], pa.binary())], ["doc_id", "n", "sid", "chunk", "vec"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, chunk int, vec binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, sid long, chunk int, vec binary")
 
 
 def _order(profile: DataFrame) -> np.ndarray:
@@ -76,7 +110,7 @@ def prefix_length(n: int, share: int) -> int:
 
 
 def _postings(spark: SparkSession, docs: DataFrame, k: int, share: int, counts) -> DataFrame:
-    """(token, doc_id, n, at) of the prefix shingles that stand in several documents' prefixes. Rows travel packed by buckets of the token; equal sets within a batch send one of them."""
+    """(token, sid, n, at) of the prefix shingles that stand in the prefixes of several sets. Rows travel packed by buckets of the token; equal sets within a batch send one of them."""
     buckets = common.parts(spark)
 
     def send(batches):
@@ -84,10 +118,9 @@ def _postings(spark: SparkSession, docs: DataFrame, k: int, share: int, counts)
         for b in batches:
             tok, doc, size, place, seen = [], [], [], [], set()
             for d, s in zip(b.column(0).to_pylist(), common.shingle_sets(*common.utf8(b.column(1)), k), strict=True):
-                key = (len(s), int(s.sum(dtype=np.uint64)), int(s[0]) if len(s) else 0)
-                if d is None or not len(s) or key in seen:
+                if d is None or not len(s) or (sid := set_id(s)) in seen:
                     continue
-                seen.add(key)
+                seen.add(sid)
                 p = prefix_length(len(s), share)
                 c = table[(s >> np.uint64(64 - COUNTERS_BITS)).astype(np.int64)]
                 if p < len(s):
@@ -96,7 +129,7 @@ def _postings(spark: SparkSession, docs: DataFrame, k: int, share: int, counts)
                 else:
                     near = np.lexsort((s, c))
                 tok.append(s[near])
-                doc.append(d)
+                doc.append(sid)
                 size.append(len(s))
                 place.append(len(near))
             if not tok:
@@ -132,41 +165,44 @@ def _postings(spark: SparkSession, docs: DataFrame, k: int, share: int, counts)
             keep = np.flatnonzero(same[:-1] | same[1:])
             for i in range(0, len(keep), 1 << 16):
                 x = keep[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(t[x].view(np.int64), pa.int64()), pa.array(d[order[x]], pa.int64()), pa.array(n[order[x]], pa.int32()), pa.array(p[order[x]], pa.int32())], ["token", "doc_id", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(t[x].view(np.int64), pa.int64()), pa.array(d[order[x]], pa.int64()), pa.array(n[order[x]], pa.int32()), pa.array(p[order[x]], pa.int32())], ["token", "sid", "n", "at"])
 
-    return docs.select("doc_id", "text").mapInArrow(send, "bucket int, rows binary").repartitionById(buckets, "bucket").mapInArrow(receive, "token long, doc_id long, n int, at int")
+    return docs.select("doc_id", "text").mapInArrow(send, "bucket int, rows binary").repartitionById(buckets, "bucket").mapInArrow(receive, "token long, sid long, n int, at int").distinct()
 
 
 def _segments(docs: DataFrame, k: int, counts, wanted: np.ndarray) -> DataFrame:
-    """(doc_id, fragment, tokens): the shingles of the documents that a bitmap holds, cut at the pivots of the global order."""
+    """(sid, fragment, tokens): the shingles of the sets that a bitmap holds, cut at the pivots of the global order; once a set."""
 
     def run(batches):
         table = np.frombuffer(counts.value, np.uint32)
         cut = pivots(table)
         for b in batches:
             b = b.filter(b.column(0).is_valid())
-            b = b.filter(pa.array(common.maybe_in(wanted, b.column(0).to_numpy(zero_copy_only=False)), pa.bool_()))
-            doc, frag, toks = [], [], []
-            for d, s in zip(b.column(0).to_pylist(), common.shingle_sets(*common.utf8(b.column(1)), k), strict=True):
+            node, frag, toks, seen = [], [], [], set()
+            for s in common.shingle_sets(*common.utf8(b.column(1)), k):
+                if not len(s) or (sid := set_id(s)) in seen or not common.maybe_in(wanted, np.array([sid]))[0]:
+                    continue
+                seen.add(sid)
                 f = np.searchsorted(cut, table[(s >> np.uint64(64 - COUNTERS_BITS)).astype(np.int64)], side="left")
                 for x in range(FRAGMENTS):
                     part = s[f == x]
                     if len(part):
-                        doc.append(d)
+                        node.append(sid)
                         frag.append(x)
                         toks.append(part.view(np.int64))
             sizes = np.cumsum([0, *(len(x) for x in toks)])
             values = np.concatenate(toks) if toks else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(frag, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int64()))], ["doc_id", "fragment", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(frag, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int64()))], ["sid", "fragment", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fragment int, tokens array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "sid long, fragment int, tokens array<bigint>").groupBy("sid", "fragment").agg(F.first("tokens").alias("tokens"))
 
 
 def verify(pairs: DataFrame, segments: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b, na, nb) whose overlap, counted in each fragment and summed, is at least share % of the union: (u, v)."""
-    left = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("tokens").alias("ta"))
-    right = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("tokens").alias("tb"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("overlap"))
+    left = segments.select(F.col("sid").alias("a"), "fragment", F.col("tokens").alias("ta"))
+    right = segments.select(F.col("sid").alias("b"), "fragment", F.col("tokens").alias("tb"))
+    cut = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(x) for x in range(FRAGMENTS)])))
+    partial = cut.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("overlap"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     return total.filter(F.col("overlap") * 100 >= share * (F.col("na").cast("long") + F.col("nb") - F.col("overlap"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -174,44 +210,53 @@ def verify(pairs: DataFrame, segments: DataFrame, share: int) -> DataFrame:
 def _long_enough(share: int):
     """Sets so unlike in size cannot be alike; nor can those that have too little left after the shared place."""
     least = F.ceil((F.col("na").cast("long") + F.col("nb")) * share / (100 + share))
-    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * share) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least - F.least("pa", "pb"))
+    return (F.least("na", "nb").cast("long") * 100 >= F.greatest("na", "nb").cast("long") * share) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least - F.least("pa", "pb"))
 
 
 def join(spark: SparkSession, docs: DataFrame, k: int, share: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row with a doc_id: documents whose sets of distinct k-word shingles have a Jaccard similarity of share % or more are linked.
+    """(doc_id, n_shingles, component_id) of every row: documents whose sets of distinct k-word shingles have a Jaccard similarity of share % or more are linked.
 
     Null, empty and wordless texts have no shingles and are linked with nothing; under k words the whole sequence is one
-    shingle. Rows that repeat a doc_id are separate sets of the same document and all get its component (the smallest
-    doc_id reachable). Null doc_ids get null components. An empty table gives no rows. Shingles are compared by 64-bit hashes.
+    shingle. component_id is the smallest doc_id reachable. Rows that repeat a doc_id are judged as separate texts; rows
+    with null doc_id link nothing and keep null. An empty table gives no rows. Shingles and sets are compared by 64-bit
+    hashes.
     """
     profile = common.cut(spark, _profile(docs, k), "profile")
     counts = spark.sparkContext.broadcast(_order(profile).tobytes())  # 4 MB, whatever the input
-    sets = profile.filter("chunk is null").select("doc_id", "n", "s1", "s2")
-    first = sets.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    of = common.cut(spark, sets.join(first, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), "copies"), "sets")
-    found = _postings(spark, docs, k, share, counts)
-    rep = of.filter("copies > 1").select(F.col("doc_id").alias("doc_id"), F.col("n").alias("n"), "rep").distinct()
-    postings = common.cut(spark, found.join(rep, ["doc_id", "n"], "left").select("token", F.coalesce("rep", "doc_id").alias("doc_id"), "n", "at").distinct(), "postings")
-    segments = common.cut(spark, _segments(docs, k, counts, common.bitmap(postings, "doc_id")), "segments")
-
-    # two of each shingle's documents against all others of it
-    ends = postings.groupBy("token").agg(F.min(F.struct("doc_id", "n", "at")).alias("lo"), F.max(F.struct("doc_id", "n", "at")).alias("hi")).filter("lo.doc_id <> hi.doc_id")
-    star = postings.join(ends, "token").select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("px"), F.explode(F.array("lo", "hi")).alias("o"))
-    star = star.filter("x <> o.doc_id").select(F.least("x", "o.doc_id").alias("a"), F.greatest("x", "o.doc_id").alias("b"), F.when(F.col("x") < F.col("o.doc_id"), F.col("nx")).otherwise(F.col("o.n")).alias("na"), F.when(F.col("x") < F.col("o.doc_id"), F.col("o.n")).otherwise(F.col("nx")).alias("nb"), F.col("px").alias("pa"), F.col("o.at").alias("pb"))
-    tried = common.cut(spark, star.filter(_long_enough(share)).select("a", "b", "na", "nb").distinct(), "star-pairs")
-    same = of.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    links = common.cut(spark, verify(tried, segments, share), "star-links")
+    sets = profile.filter("chunk is null").select("doc_id", "n", "sid")
+    cells = profile.filter("chunk is null and n > 0").groupBy("sid").agg(F.max("vec").alias("cells"))
+    postings = common.cut(spark, _postings(spark, docs, k, share, counts), "postings")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        near = common.cut(spark, possible(pairs, cells, share), f"{name}-pairs")
+        ends = near.select(F.col("a").alias("sid")).union(near.select("b"))
+        return common.cut(spark, verify(near, _segments(docs, k, counts, common.bitmap(ends, "sid")), share), f"{name}-links")
+
+    # two of each shingle's sets against all others of it
+    ends = postings.groupBy("token").agg(F.min(F.struct("sid", "n", "at")).alias("lo"), F.max(F.struct("sid", "n", "at")).alias("hi")).filter("lo.sid <> hi.sid")
+    star = postings.join(ends, "token").select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("px"), F.explode(F.array("lo", "hi")).alias("o")).filter("x <> o.sid")
+    lower = F.col("x") < F.col("o.sid")
+    star = star.select(
+        F.least("x", "o.sid").alias("a"), F.greatest("x", "o.sid").alias("b"), F.when(lower, F.col("nx")).otherwise(F.col("o.n")).alias("na"), F.when(lower, F.col("o.n")).otherwise(F.col("nx")).alias("nb"),
+        F.when(lower, F.col("px")).otherwise(F.col("o.at")).alias("pa"), F.when(lower, F.col("o.at")).otherwise(F.col("px")).alias("pb"),
+    )
+    tried = common.cut(spark, star.filter(_long_enough(share)).select("a", "b", "na", "nb").distinct(), "star-tried")
+    links = linked(tried, "star")
     near = components(spark, links)
 
     # what shares a shingle and still lies apart
-    placed = common.cut(spark, postings.join(near, postings.doc_id == near.id, "left").select("token", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("comp")), "placed")
+    placed = common.cut(spark, postings.join(near, postings.sid == near.id, "left").select("token", "sid", "n", "at", F.coalesce("component", "sid").alias("comp")), "placed")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     rest = placed.join(mixed, "token")
-    x, y = rest.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("comp").alias("ca")), rest.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("comp").alias("cb"))
+    x, y = rest.select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("comp").alias("ca")), rest.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("comp").alias("cb"))
     apart = x.join(y, (x.token == y.token) & (x.a < y.b) & (x.ca != y.cb) & _long_enough(share)).select("a", "b", "na", "nb").distinct().join(tried, ["a", "b", "na", "nb"], "left_anti")
-    late = verify(apart, segments, share)
-    whole = components(spark, links.union(late).union(same))
-    return of.join(whole, of.doc_id == whole.id, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    whole = components(spark, links.union(linked(apart, "late")))
+
+    # from sets back to documents
+    known = sets.filter("n > 0 and doc_id is not null").join(whole, sets.sid == whole.id, "left").select("doc_id", "n", F.coalesce("component", "sid").alias("comp"))
+    least = known.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    out = known.join(least, "comp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return out.unionByName(sets.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
