@@ -7,15 +7,19 @@ neighbours that share LENGTH bytes, the smallest document of each run.
 The transform takes one symbol of every string a round, from the last to the first, so it wants many short strings. The
 corpus is cut for it: every LENGTH-byte window belongs to the smallest of its GRAM-byte hashes (its anchor), neighbouring
 windows with the same anchor make one segment (at most 2 * LENGTH - GRAM bytes), and equal windows have equal anchors. So
-segments are parted by anchor, each part is a collection by itself, and no window is lost. Anchors of one document only
-cannot repeat and are left out first. Equal segments count once, with the smallest of their documents.
+segments are parted by anchor, each part is a collection by itself, and no window is lost. Segments that follow each
+other make a block, up to an anchor that ends it. Equal blocks, and equal segments, count once, with the smallest of their
+documents; an anchor that stands in one block only (however often that occurs) needs no more than that, so only segments
+whose anchors stand in different blocks are transformed.
 """
 
 from __future__ import annotations
 
 import contextlib
 import hashlib
+import itertools
 import os
+import struct
 import tempfile
 import zlib
 
@@ -27,11 +31,12 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, GRAM = 50, 20
+#: Segments of a block, about.
+BLOCK_SEGMENTS = 16
 #: Segments of a collection held in memory; a larger one (of one anchor) keeps its columns in temporary files.
-BLOCK = 150_000
+BLOCK = 60_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_CONFIRMED = -(1 << 63)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -43,7 +48,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(common._BYTE[data] * common._power(n, _BASE, "gram-up"), out=sums[1:])
     h = common.mix((sums[gram:] - sums[:-gram]) * common._power(n, _INV, "gram-down")[: n - gram + 1])
-    bits = np.uint64(max(24, int(n).bit_length()))
+    bits = np.uint64(31)  # for the place, so hashes compare alike in every chunk
     key = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
     size = 1
     low = key
@@ -83,89 +88,135 @@ def _each(batch_ids: pa.Array, batch_texts: pa.Array):
         yield data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ids[i:j], i
 
 
-def repeated_anchors(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, tkey, anchors): for each text the anchors (32 bits of each) that stand in other texts too, and some more at most.
+def blocks_of(text: np.ndarray, at: np.ndarray, count: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First segment of each block, and each segment's block: a block ends with its text or with an anchor that says so, so equal passages have equal blocks inside."""
+    if not len(a):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.ones(len(a), bool)
+    first[1:] = (text[1:] != text[:-1]) | (a[:-1] % np.uint64(BLOCK_SEGMENTS) == 0)
+    return np.flatnonzero(first), np.cumsum(first) - 1
 
-    Hashes travel packed, by buckets. What a batch already sees in two documents is settled there and sent on once, so a
-    hash that stands everywhere costs a bucket one entry a batch.
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """(b1, b2, doc_id, tkey, at, n): every block of every text with at least LENGTH bytes: a 128-bit digest of its bytes, where it stands, and how many windows start in it."""
+
+    def run(batches):
+        for b in batches:
+            out: list[tuple] = []
+            for data, offsets, ids, _ in _each(b.column(0), b.column(1)):
+                text, at, count, a = anchors(data, offsets)
+                first, _ = blocks_of(text, at, count, a)
+                if not len(first):
+                    continue
+                raw = data.tobytes()
+                keys = [text_key(raw[x:y]) for x, y in itertools.pairwise(offsets.tolist())]
+                last = np.append(first[1:], len(a)) - 1
+                start, stop = at[first], at[last] + count[last]
+                for t, x, y in zip(text[first].tolist(), start.tolist(), stop.tolist(), strict=True):
+                    if ids[t] is not None:
+                        key = hashlib.blake2b(raw[x : y + LENGTH - 1], digest_size=16).digest()
+                        out.append((*struct.unpack("<qq", key), ids[t], keys[t], x - int(offsets[t]), y - x))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["b1", "b2", "doc_id", "tkey", "at", "n"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "b1 long, b2 long, doc_id long, tkey long, at int, n int")
+
+
+#: Bits of a block's digest that go with its anchors.
+_TAG = np.uint64(0xFFFFFFFFFFFF)
+
+
+def shared_anchors(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(tag, anchors): for each block, by 48 bits of its digest, the anchors (32 bits of each) that also stand in other blocks, and some more at most.
+
+    Hashes travel packed, by buckets. A batch sends an anchor once for each block, and at most twice in all: two blocks
+    settle that it is shared, and what they settle goes straight on, so an anchor that stands everywhere costs a bucket
+    two entries a batch.
     """
     buckets = common.parts(spark)
 
     def send(batches):
         for b in batches:
-            out: list[tuple[int, int, int | None, int | None, bytes]] = []
+            out: list[tuple[int, int, int | None, bytes]] = []
             for data, offsets, ids, _ in _each(b.column(0), b.column(1)):
-                text, _, _, a = anchors(data, offsets)
-                ok = np.array([d is not None for d in ids], bool)
-                text, a = text[ok[text]], a[ok[text]]
-                order = np.lexsort((text, a))
-                text, a = text[order], a[order]
+                text, at, count, a = anchors(data, offsets)
+                first, block = blocks_of(text, at, count, a)
+                if not len(first):
+                    continue
+                raw = data.tobytes()
+                last = np.append(first[1:], len(a)) - 1
+                tags = np.array([int.from_bytes(hashlib.blake2b(raw[x : y + LENGTH - 1], digest_size=16).digest()[:6], "little") for x, y in zip(at[first].tolist(), (at[last] + count[last]).tolist(), strict=True)], np.uint64)
+                known = np.array([d is not None for d in ids], bool)[text]
+                a, tag = a[known], tags[block][known]
+                order = np.lexsort((tag, a))
+                a, tag = a[order], tag[order]
                 new = np.ones(len(a), bool)
-                new[1:] = (a[1:] != a[:-1]) | (text[1:] != text[:-1])
-                text, a = text[new], a[new]
+                new[1:] = (a[1:] != a[:-1]) | (tag[1:] != tag[:-1])
+                a, tag = a[new], tag[new]
                 if not len(a):
                     continue
-                doc = np.array([0 if d is None else d for d in ids], np.int64)
-                keys = np.array([text_key(data[x:y]) for x, y in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
-                run = np.cumsum(np.concatenate([[True], a[1:] != a[:-1]])) - 1
-                lo, hi = np.full(run[-1] + 1, 1 << 62), np.full(run[-1] + 1, -(1 << 62))
-                np.minimum.at(lo, run, doc[text])
-                np.maximum.at(hi, run, doc[text])
-                local = (lo < hi)[run]
+                start = np.ones(len(a), bool)
+                start[1:] = a[1:] != a[:-1]
+                place = np.arange(len(a)) - np.flatnonzero(start)[np.cumsum(start) - 1]
+                alone = start & np.append(start[1:], True)
                 short = (a >> np.uint64(32)).astype("<u4")
-                bucket = (a % np.uint64(buckets)).astype(np.int64)
-                # settled here: straight to the document
-                for t in np.unique(text[local]):
-                    out.append((int(doc[t]) % buckets, 1, int(doc[t]), int(keys[t]), short[local & (text == t)].tobytes()))
-                # else, and one entry of each settled hash, to its bucket
-                lead = local & np.concatenate([[True], run[1:] != run[:-1]])
-                rows = np.zeros(int((~local).sum() + lead.sum()), [("h", "<u4"), ("d", "<i8"), ("k", "<i8")])
-                pick = np.flatnonzero(~local | lead)
-                rows["h"], rows["d"], rows["k"] = short[pick], np.where(local[pick], _CONFIRMED, doc[text[pick]]), np.where(local[pick], 0, keys[text[pick]])
-                o = np.lexsort((rows["d"], bucket[pick]))
-                rows, own = rows[o], bucket[pick][o]
-                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                for x, y in zip(first, [*first[1:], len(own)], strict=True):
-                    part = rows[x:y]
-                    out.append((int(own[x]), 0, None, None, b"".join(part[c].tobytes() for c in ("h", "d", "k"))))
+                settled = np.flatnonzero(~alone)
+                for x, y in _stretches(tag[settled := settled[np.argsort(tag[settled], kind="stable")]]):
+                    out.append((int(tag[settled[x]] % np.uint64(buckets)), 1, int(tag[settled[x]]), short[settled[x:y]].tobytes()))
+                pick = np.flatnonzero(place < 2)
+                own = (a[pick] % np.uint64(buckets)).astype(np.int64)
+                pick, own = pick[o := np.argsort(own, kind="stable")], np.sort(own, kind="stable")
+                for x, y in _stretches(own):
+                    part = pick[x:y]
+                    t = np.ascontiguousarray(tag[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+                    out.append((int(own[x]), 0, None, short[part].tobytes() + t.tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "kind", "doc_id", "tkey", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "kind", "tag", "body"])
 
     def receive(batches):
         held: dict[int, list[bytes]] = {}
         for b in batches:
             straight = b.filter(pa.array(b.column(1).to_numpy() == 1, pa.bool_()))
             if len(straight):
-                yield pa.RecordBatch.from_arrays([straight.column(2), straight.column(3), straight.column(4)], ["doc_id", "tkey", "anchors"])
-            for k, kind, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([straight.column(2), straight.column(3)], ["tag", "anchors"])
+            for k, kind, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if kind == 0:
                     held.setdefault(k, []).append(v)
         for k in list(held):
-            h, d, t = [], [], []
+            h, t = [], []
             for v in held.pop(k):
-                m = len(v) // 20
+                m = len(v) // 10
                 h.append(np.frombuffer(v, "<u4", m))
-                d.append(np.frombuffer(v, "<i8", m, 4 * m))
-                t.append(np.frombuffer(v, "<i8", m, 12 * m))
-            h, d, t = np.concatenate(h), np.concatenate(d), np.concatenate(t)
-            o = np.lexsort((d, h))
-            h, d, t = h[o], d[o], t[o]
+                wide = np.zeros((m, 8), np.uint8)
+                wide[:, :6] = np.frombuffer(v, np.uint8, 6 * m, 4 * m).reshape(m, 6)
+                t.append(wide.view("<u8").ravel())
+            h, t = np.concatenate(h), np.concatenate(t)
+            o = np.lexsort((t, h))
+            h, t = h[o], t[o]
+            keep = np.zeros(len(h), bool)
+            differ = (h[1:] == h[:-1]) & (t[1:] != t[:-1])
+            keep[1:] |= differ
+            keep[:-1] |= differ
             run = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            last = np.concatenate([first[1:], [len(h)]]) - 1
-            keep = ((d[first] != d[last]) | (d[first] == _CONFIRMED))[run] & (d != _CONFIRMED)
-            h, d, t = h[keep], d[keep], t[keep]
-            o = np.lexsort((t, d))
-            h, d, t = h[o], d[o], t[o]
-            first = np.flatnonzero(np.concatenate([[len(d) > 0], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))
-            for i in range(0, len(first), 8192):
-                x = first[i : i + 8192]
-                y = np.concatenate([first[i + 1 : i + 8193], [len(d)] if i + 8192 >= len(first) else []]).astype(int)
-                yield pa.RecordBatch.from_arrays([pa.array(d[x], pa.int64()), pa.array(t[x], pa.int64()), pa.array([h[p:q].tobytes() for p, q in zip(x, y, strict=True)], pa.binary())], ["doc_id", "tkey", "anchors"])
-
-    sent = docs.select("doc_id", "text").mapInArrow(send, "bucket int, kind int, doc_id long, tkey long, body binary")
-    got = sent.repartitionById(buckets, "bucket").mapInArrow(receive, "doc_id long, tkey long, anchors binary")
-    return got.groupBy("doc_id", "tkey").agg(F.collect_list("anchors").alias("anchors"))
+            keep = np.bincount(run, keep)[run] > 0
+            h, t = h[keep], t[keep]
+            o = np.argsort(t, kind="stable")
+            h, t = h[o], t[o]
+            cuts = list(_stretches(t))
+            for i in range(0, len(cuts), 8192):
+                some = cuts[i : i + 8192]
+                yield pa.RecordBatch.from_arrays([pa.array(t[[x for x, _ in some]].astype(np.int64), pa.int64()), pa.array([h[x:y].tobytes() for x, y in some], pa.binary())], ["tag", "anchors"])
+
+    sent = docs.select("doc_id", "text").mapInArrow(send, "bucket int, kind int, tag long, body binary")
+    got = sent.repartitionById(buckets, "bucket").mapInArrow(receive, "tag long, anchors binary")
+    return got.groupBy("tag").agg(F.collect_list("anchors").alias("anchors"))
+
+
+def _stretches(x: np.ndarray):
+    """(from, to) of each stretch of equal values."""
+    if len(x):
+        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist()
+        yield from zip(first, [*first[1:], len(x)], strict=True)
 
 
 def _wanted(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame:
@@ -178,40 +229,32 @@ def _wanted(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame
             b = b.filter(pa.array(hit if inside else ~hit, pa.bool_()))
             if len(b):
                 data, offsets = common.utf8(b.column(1))
-                keys = [text_key(data[x:y]) for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
+                keys = [text_key(data[x:y]) for x, y in itertools.pairwise(offsets)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), b.column(1)], ["doc_id", "tkey", "text"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tkey long, text string")
 
 
 def segments(texts: DataFrame) -> DataFrame:
-    """(k1, k2, anchor, doc_id, tkey, at, body): segments of (doc_id, tkey, text, anchors) whose anchors are listed; body stands with the first of equal ones in a batch only."""
+    """(b1, b2, at, k1, k2, anchor, doc_id, body): the segments with listed anchors of the listed blocks of (doc_id, tkey, text, blocks); at: windows before it in its block."""
 
     def run(batches):
         for b in batches:
-            listed = b.column(3).to_pylist()
-            tkeys = b.column(1).to_pylist()
-            seen: set[bytes] = set()
-            for data, offsets, ids, row in _each(b.column(0), b.column(2)):
-                text, at, count, a = anchors(data, offsets)
-                keep = np.zeros(len(a), bool)
-                edges = np.searchsorted(text, np.arange(len(ids) + 1))
-                short = (a >> np.uint64(32)).astype("<u4")
-                for t in range(len(ids)):
-                    x, y = edges[t], edges[t + 1]
-                    if y > x:
-                        keep[x:y] = np.isin(short[x:y], np.frombuffer(b"".join(listed[row + t]), "<u4"))
-                raw = data.tobytes()
+            for doc, _, text, listed in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
                 out = []
-                for t, p, c, h in zip(text[keep].tolist(), at[keep].tolist(), count[keep].tolist(), a[keep].view(np.int64).tolist(), strict=True):
-                    body = raw[p : p + c + LENGTH - 1]
-                    key = hashlib.blake2b(body, digest_size=16).digest()
-                    out.append((int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), h, ids[t], tkeys[row + t], p - int(offsets[t]), None if key in seen else body))
-                    seen.add(key)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["k1", "k2", "anchor", "doc_id", "tkey", "at", "body"])
+                for r in listed:
+                    x, y = r["at"], r["at"] + r["n"] + LENGTH - 1
+                    data = np.frombuffer(raw, np.uint8)[x:y]
+                    _, at, count, a = anchors(data, np.array([0, len(data)]))
+                    keep = np.isin((a >> np.uint64(32)).astype("<u4"), np.frombuffer(b"".join(r["anchors"]), "<u4"))
+                    for p, c, h in zip(at[keep].tolist(), count[keep].tolist(), a[keep].view(np.int64).tolist(), strict=True):
+                        body = raw[x + p : x + p + c + LENGTH - 1]
+                        out.append((r["b1"], r["b2"], p, *struct.unpack("<qq", hashlib.blake2b(body, digest_size=16).digest()), h, doc, body))
+                for i in range(0, len(out), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 4096], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["b1", "b2", "at", "k1", "k2", "anchor", "doc_id", "body"])
 
-    return texts.select("doc_id", "tkey", "text", "anchors").mapInArrow(run, "k1 long, k2 long, anchor long, doc_id long, tkey long, at int, body binary")
+    return texts.select("doc_id", "tkey", "text", "blocks").mapInArrow(run, "b1 long, b2 long, at int, k1 long, k2 long, anchor long, doc_id long, body binary")
 
 
 class _Columns:
@@ -334,62 +377,64 @@ def smallest(strings: list[bytes], docs: np.ndarray, length: int = LENGTH) -> li
     return out
 
 
-RUN = np.dtype([("at", "<u2"), ("n", "<u2"), ("doc", "<i8")])
+RUN = np.dtype([("at", "<i4"), ("n", "<i4"), ("doc", "<i8")])
+
+
+def _runs(w: np.ndarray) -> bytes:
+    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+    x = np.zeros(len(first), RUN)
+    x["at"], x["n"], x["doc"] = first, np.diff(np.append(first, len(w))), w[first]
+    return x.tobytes()
 
 
 def windows(spark: SparkSession, distinct: DataFrame) -> DataFrame:
-    """(k1, k2, runs) of distinct segments (k1, k2, anchor, doc_id, body): for each its windows' smallest documents, as runs."""
+    """(k1, k2, runs) of distinct segments (k1, k2, anchor, doc_id, body): for each its windows' smallest documents, as runs. A part holds whole anchors and is transformed in collections of BLOCK segments; an anchor with one segment only has nothing to sort."""
 
     def run(batches):
         rows: list[tuple[int, int, int, int, bytes]] = []
         for b in batches:
             rows += zip(*(b.column(i).to_pylist() for i in range(5)), strict=True)
         rows.sort()
-        at = 0
-        while at < len(rows):
-            to = min(len(rows), at + BLOCK)
-            if to < len(rows):  # whole anchors only; one alone may be larger
-                back = to
-                while back > at and rows[back - 1][0] == rows[back][0]:
-                    back -= 1
-                if back > at:
-                    to = back
-                else:
-                    while to < len(rows) and rows[to][0] == rows[at][0]:
-                        to += 1
-            some = rows[at:to]
-            found = smallest([r[4] for r in some], np.array([r[3] for r in some], np.int64))
-            blobs = []
-            for w in found:
-                first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                x = np.zeros(len(first), RUN)
-                x["at"], x["n"], x["doc"] = first, np.diff(np.append(first, len(w))), w[first]
-                blobs.append(x.tobytes())
-            for i in range(0, len(some), 8192):
-                yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in some[i : i + 8192]], pa.int64()), pa.array([r[2] for r in some[i : i + 8192]], pa.int64()), pa.array(blobs[i : i + 8192], pa.binary())], ["k1", "k2", "runs"])
-            at = to
+        cuts = [*(x for x, _ in _stretches(np.array([r[0] for r in rows], np.int64))), len(rows)]
+        single = [rows[x] for x, y in itertools.pairwise(cuts) if y - x == 1]
+        for i in range(0, len(single), 8192):
+            some = single[i : i + 8192]
+            one = np.zeros(len(some), RUN)
+            one["n"], one["doc"] = [len(r[4]) - LENGTH + 1 for r in some], [r[3] for r in some]
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.int64()), pa.array([x.tobytes() for x in one], pa.binary())], ["k1", "k2", "runs"])
+        group: list[tuple[int, int, int, int, bytes]] = []
+        for x, y in [*((x, y) for x, y in itertools.pairwise(cuts) if y - x > 1), (0, 0)]:
+            if group and (y == x or len(group) + y - x > BLOCK):
+                found = smallest([r[4] for r in group], np.array([r[3] for r in group], np.int64))
+                for i in range(0, len(group), 8192):
+                    some = group[i : i + 8192]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.int64()), pa.array([_runs(w) for w in found[i : i + 8192]], pa.binary())], ["k1", "k2", "runs"])
+                group = []
+            group += rows[x:y]
 
     return distinct.select("anchor", "k1", "k2", "doc_id", "body").repartition(common.parts(spark), "anchor").mapInArrow(run, "k1 long, k2 long, runs binary")
 
 
 def _removals(placed: DataFrame) -> DataFrame:
-    """(doc_id, tkey, spans): byte ranges to remove from (doc_id, tkey, at, runs)."""
+    """(doc_id, tkey, spans): byte ranges to remove, from block occurrences (doc_id, tkey, at, n, least, parts): least is the block's smallest document, parts its segments' runs."""
 
     def run(batches):
         for b in batches:
             out = []
-            for d, t, at, runs in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                r = np.frombuffer(runs, RUN)
-                r = r[r["doc"] < d]
-                if len(r):
-                    x = np.empty((len(r), 2), "<i8")
-                    x[:, 0] = at + r["at"].astype(np.int64)
-                    x[:, 1] = x[:, 0] + r["n"] + LENGTH - 1
-                    out.append((d, t, x.tobytes()))
+            for d, t, at, n, least, listed in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                gone = np.full(n, least < d)
+                for r in listed or ():
+                    for x, m, doc in np.frombuffer(r["runs"], RUN).tolist():
+                        gone[r["at"] + x : r["at"] + x + m] = doc < d
+                if gone.any():
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).astype("<i8").reshape(-1, 2)
+                    edge += at
+                    edge[:, 1] += LENGTH - 1
+                    out.append((d, t, edge.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "tkey", "spans"])
 
-    return placed.select("doc_id", "tkey", "at", "runs").mapInArrow(run, "doc_id long, tkey long, spans binary").groupBy("doc_id", "tkey").agg(F.collect_list("spans").alias("spans"))
+    return placed.select("doc_id", "tkey", "at", "n", "least", "parts").mapInArrow(run, "doc_id long, tkey long, spans binary").groupBy("doc_id", "tkey").agg(F.collect_list("spans").alias("spans"))
 
 
 def removed(n: int, spans: list[bytes]) -> np.ndarray:
@@ -405,13 +450,19 @@ def removed(n: int, spans: list[bytes]) -> np.ndarray:
 
 def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, tkey, spans) of the documents that lose bytes, as a written table."""
-    listed = common.cut(spark, repeated_anchors(spark, docs), "anchors")
+    placed = common.cut(spark, blocks(docs), "blocks")
+    first = common.cut(spark, placed.groupBy("b1", "b2").agg(F.min(F.struct("doc_id", "tkey", "at", "n")).alias("first"), F.count("*").alias("copies")), "distinct-blocks")
+    tagged = first.select("b1", "b2", "first.*", F.col("b1").bitwiseAND((1 << 48) - 1).alias("tag"))
+    listed = tagged.join(shared_anchors(spark, docs), "tag").groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("at", "n", "b1", "b2", "anchors")).alias("blocks"))
+    listed = common.cut(spark, listed, "listed-blocks")
     texts = _wanted(docs, common.bitmap(listed, "doc_id")).join(listed, ["doc_id", "tkey"])
     found = common.cut(spark, segments(texts), "segments")
     distinct = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.max("anchor").alias("anchor"), F.max("body").alias("body"))
     runs = windows(spark, distinct)
-    out = common.cut(spark, _removals(found.select("k1", "k2", "doc_id", "tkey", "at").join(runs, ["k1", "k2"])), "spans")
-    common.drop_tables(spark, listed, found)
+    inside = found.select("k1", "k2", "b1", "b2", "at").join(runs, ["k1", "k2"]).groupBy("b1", "b2").agg(F.collect_list(F.struct("at", "runs")).alias("parts"))
+    known = first.select("b1", "b2", F.col("first.doc_id").alias("least"), "copies").join(inside, ["b1", "b2"], "left").filter("copies > 1 or parts is not null").drop("copies")
+    out = common.cut(spark, _removals(placed.join(known, ["b1", "b2"])), "spans")
+    common.drop_tables(spark, placed, first, listed, found)
     return out
 
 
