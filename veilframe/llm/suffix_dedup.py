@@ -517,6 +517,7 @@ def rewrite(spark: SparkSession, docs: DataFrame) -> DataFrame:
                     yield b
                 elif len(b):
                     data, offsets = common.utf8(b.column(at))
+                    ids = b.column(b.schema.get_field_index("doc_id")).cast(pa.int64())
                     keys = pa.array([text_key(data[x:y]) for x, y in zip(offsets[:-1], offsets[1:], strict=True)], pa.int64())
                     yield pa.RecordBatch.from_arrays([*b.columns, ids, keys], [*names, "_vf_id", "_vf_key"])
 
