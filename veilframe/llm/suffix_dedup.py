@@ -32,9 +32,9 @@ from . import common
 
 LENGTH, GRAM = 50, 20
 #: Segments of a block, about.
-BLOCK_SEGMENTS = 16
-#: Segments of a collection held in memory; a larger one (of one anchor) keeps its columns in temporary files.
-BLOCK = 60_000
+BLOCK_SEGMENTS = 8
+#: Segments of a collection, small enough for its columns to stay near the processor; a larger one (of one anchor) keeps them in temporary files.
+BLOCK = 4_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -236,23 +236,42 @@ def _wanted(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame
 
 
 def segments(texts: DataFrame) -> DataFrame:
-    """(b1, b2, at, k1, k2, anchor, doc_id, body): the segments with listed anchors of the listed blocks of (doc_id, tkey, text, blocks); at: windows before it in its block."""
+    """(b1, b2, at, k1, k2, anchor, doc_id, body): the segments with listed anchors in the listed blocks of (doc_id, tkey, text, blocks); at: windows before it in its block. body stands with one of equal segments of a batch, that of the smallest document, and is null with the others."""
 
     def run(batches):
         for b in batches:
-            for doc, _, text, listed in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                out = []
-                for r in listed:
-                    x, y = r["at"], r["at"] + r["n"] + LENGTH - 1
-                    data = np.frombuffer(raw, np.uint8)[x:y]
-                    _, at, count, a = anchors(data, np.array([0, len(data)]))
-                    keep = np.isin((a >> np.uint64(32)).astype("<u4"), np.frombuffer(b"".join(r["anchors"]), "<u4"))
-                    for p, c, h in zip(at[keep].tolist(), count[keep].tolist(), a[keep].view(np.int64).tolist(), strict=True):
-                        body = raw[x + p : x + p + c + LENGTH - 1]
-                        out.append((r["b1"], r["b2"], p, *struct.unpack("<qq", hashlib.blake2b(body, digest_size=16).digest()), h, doc, body))
-                for i in range(0, len(out), 4096):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 4096], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["b1", "b2", "at", "k1", "k2", "anchor", "doc_id", "body"])
+            out: list[tuple] = []
+            first: dict[bytes, int] = {}
+            listed_of = b.column(3).to_pylist()
+            for data, offsets, ids, row in _each(b.column(0), b.column(2)):
+                text, at, count, a = anchors(data, offsets)
+                start, block = blocks_of(text, at, count, a)
+                short = (a >> np.uint64(32)).astype("<u4")
+                edges = np.searchsorted(text, np.arange(len(ids) + 1)).tolist()
+                raw = data.tobytes()
+                for t, doc in enumerate(ids):
+                    x, y = edges[t], edges[t + 1]
+                    if x == y:
+                        continue
+                    known = {r["at"]: r for r in listed_of[row + t]}
+                    wanted = np.unique(np.frombuffer(b"".join(h for r in known.values() for h in r["anchors"]), "<u4"))
+                    hit = np.flatnonzero(np.isin(short[x:y], wanted)) + x
+                    base = int(offsets[t])
+                    for p, c, h, s in zip(at[hit].tolist(), count[hit].tolist(), a[hit].view(np.int64).tolist(), at[start[block[hit]]].tolist(), strict=True):
+                        r = known.get(s - base)
+                        if r is None:
+                            continue
+                        body = raw[p : p + c + LENGTH - 1]
+                        key = hashlib.blake2b(body, digest_size=16).digest()
+                        k = first.get(key)
+                        lead = k is None or doc < out[k][6]
+                        if lead:
+                            if k is not None:
+                                out[k] = (*out[k][:7], None)
+                            first[key] = len(out)
+                        out.append((r["b1"], r["b2"], p - s, *struct.unpack("<qq", key), h, doc, body if lead else None))
+            for i in range(0, len(out), 8192):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 8192], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["b1", "b2", "at", "k1", "k2", "anchor", "doc_id", "body"])
 
     return texts.select("doc_id", "tkey", "text", "blocks").mapInArrow(run, "b1 long, b2 long, at int, k1 long, k2 long, anchor long, doc_id long, body binary")
 
@@ -380,39 +399,50 @@ def smallest(strings: list[bytes], docs: np.ndarray, length: int = LENGTH) -> li
 RUN = np.dtype([("at", "<i4"), ("n", "<i4"), ("doc", "<i8")])
 
 
-def _runs(w: np.ndarray) -> bytes:
+def _runs(w: np.ndarray) -> np.ndarray:
     first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
     x = np.zeros(len(first), RUN)
     x["at"], x["n"], x["doc"] = first, np.diff(np.append(first, len(w))), w[first]
-    return x.tobytes()
+    return x
 
 
-def windows(spark: SparkSession, distinct: DataFrame) -> DataFrame:
-    """(k1, k2, runs) of distinct segments (k1, k2, anchor, doc_id, body): for each its windows' smallest documents, as runs. A part holds whole anchors and is transformed in collections of BLOCK segments; an anchor with one segment only has nothing to sort."""
+def windows(spark: SparkSession, strings: DataFrame) -> DataFrame:
+    """(k1, k2, least, runs) of segments (k1, k2, anchor, doc_id, body), repeats of which count once with the smallest document: each one's windows' smallest documents, as runs, and in least that document if it is one for all.
+
+    A part holds whole anchors and is transformed in collections of about BLOCK segments; an anchor with one segment only
+    has nothing to sort.
+    """
+
+    def rows_of(some: list, blobs: list[np.ndarray]):
+        least = [int(x["doc"][0]) if len(x) == 1 else None for x in blobs]
+        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.int64()), pa.array(least, pa.int64()), pa.array([x.tobytes() for x in blobs], pa.binary())], ["k1", "k2", "least", "runs"])
 
     def run(batches):
-        rows: list[tuple[int, int, int, int, bytes]] = []
+        held: dict[tuple[int, int, int], tuple[int, bytes]] = {}
         for b in batches:
-            rows += zip(*(b.column(i).to_pylist() for i in range(5)), strict=True)
-        rows.sort()
+            for a, k1, k2, doc, body in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                got = held.get((a, k1, k2))
+                if got is None or doc < got[0]:
+                    held[a, k1, k2] = (doc, body if got is None else got[1])
+        rows = sorted((*k, *v) for k, v in held.items())
+        del held
         cuts = [*(x for x, _ in _stretches(np.array([r[0] for r in rows], np.int64))), len(rows)]
         single = [rows[x] for x, y in itertools.pairwise(cuts) if y - x == 1]
         for i in range(0, len(single), 8192):
             some = single[i : i + 8192]
-            one = np.zeros(len(some), RUN)
-            one["n"], one["doc"] = [len(r[4]) - LENGTH + 1 for r in some], [r[3] for r in some]
-            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.int64()), pa.array([x.tobytes() for x in one], pa.binary())], ["k1", "k2", "runs"])
+            one = np.zeros((len(some), 1), RUN)
+            one["n"][:, 0], one["doc"][:, 0] = [len(r[4]) - LENGTH + 1 for r in some], [r[3] for r in some]
+            yield rows_of(some, list(one))
         group: list[tuple[int, int, int, int, bytes]] = []
         for x, y in [*((x, y) for x, y in itertools.pairwise(cuts) if y - x > 1), (0, 0)]:
             if group and (y == x or len(group) + y - x > BLOCK):
                 found = smallest([r[4] for r in group], np.array([r[3] for r in group], np.int64))
                 for i in range(0, len(group), 8192):
-                    some = group[i : i + 8192]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.int64()), pa.array([_runs(w) for w in found[i : i + 8192]], pa.binary())], ["k1", "k2", "runs"])
+                    yield rows_of(group[i : i + 8192], [_runs(w) for w in found[i : i + 8192]])
                 group = []
             group += rows[x:y]
 
-    return distinct.select("anchor", "k1", "k2", "doc_id", "body").repartition(common.parts(spark), "anchor").mapInArrow(run, "k1 long, k2 long, runs binary")
+    return strings.select("anchor", "k1", "k2", "doc_id", "body").repartition(common.parts(spark), "anchor").mapInArrow(run, "k1 long, k2 long, least long, runs binary")
 
 
 def _removals(placed: DataFrame) -> DataFrame:
@@ -457,9 +487,8 @@ def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     listed = common.cut(spark, listed, "listed-blocks")
     texts = _wanted(docs, common.bitmap(listed, "doc_id")).join(listed, ["doc_id", "tkey"])
     found = common.cut(spark, segments(texts), "segments")
-    distinct = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.max("anchor").alias("anchor"), F.max("body").alias("body"))
-    runs = windows(spark, distinct)
-    inside = found.select("k1", "k2", "b1", "b2", "at").join(runs, ["k1", "k2"]).groupBy("b1", "b2").agg(F.collect_list(F.struct("at", "runs")).alias("parts"))
+    runs = windows(spark, found.filter("body is not null"))
+    inside = found.select("k1", "k2", "b1", "b2", "at", "doc_id").join(runs, ["k1", "k2"]).filter("least is null or least <> doc_id").groupBy("b1", "b2").agg(F.collect_list(F.struct("at", "runs")).alias("parts"))
     known = first.select("b1", "b2", F.col("first.doc_id").alias("least"), "copies").join(inside, ["b1", "b2"], "left").filter("copies > 1 or parts is not null").drop("copies")
     out = common.cut(spark, _removals(placed.join(known, ["b1", "b2"])), "spans")
     common.drop_tables(spark, placed, first, listed, found)
