@@ -14,6 +14,8 @@ compared, all of them: links inside a component cannot change it.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +24,13 @@ from pyspark.sql import functions as F
 from . import common
 from .graph import components
 
-#: Counters of the table that orders the shingles; fixed, so its size (8 MB) is known whatever the input.
-COUNTERS_BITS = 20
+#: Counters of the table that orders the shingles: one byte each when broadcast, so 8 MB whatever the input.
+COUNTERS_BITS = 23
+#: Steps of the order in a doubling of the count.
+STEPS = 12
 FRAGMENTS = 8
 CELLS = 256
-_PIECE = 1 << 14
+_PIECE = 1 << 16
 _SIGN = np.uint64(0xA0761D6478BD642F)
 
 
@@ -65,7 +69,7 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
     """One pass: (doc_id, n, sid, vec: its cells) of each text, and each task's counts (chunk, vec)."""
 
     def run(batches):
-        counts = np.zeros(1 << COUNTERS_BITS, np.int64)
+        counts = np.zeros(1 << COUNTERS_BITS, np.uint32)
         for b in batches:
             n, sid, cells = [], [], []
             held, size = [], 0
@@ -76,32 +80,42 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
                 held.append(s)
                 size += len(s)
                 if size > 1 << 18:
-                    counts += np.bincount((np.concatenate(held) >> np.uint64(64 - COUNTERS_BITS)).astype(np.int64), minlength=len(counts))
+                    np.add.at(counts, np.concatenate(held) >> np.uint64(64 - COUNTERS_BITS), np.uint32(1))
                     held, size = [], 0
             if held:
-                counts += np.bincount((np.concatenate(held) >> np.uint64(64 - COUNTERS_BITS)).astype(np.int64), minlength=len(counts))
+                np.add.at(counts, np.concatenate(held) >> np.uint64(64 - COUNTERS_BITS), np.uint32(1))
             m = len(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.nulls(m, pa.int32()), pa.array(cells, pa.binary())], ["doc_id", "n", "sid", "chunk", "vec"])
         for c in range(0, len(counts), _PIECE):
             if counts[c : c + _PIECE].any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([c // _PIECE], pa.int32()), pa.array([counts[c : c + _PIECE].astype("<i8").tobytes()], pa.binary())], ["doc_id", "n", "sid", "chunk", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([c // _PIECE], pa.int32()), pa.array([zlib.compress(counts[c : c + _PIECE].astype("<u4").tobytes(), 1)], pa.binary())], ["doc_id", "n", "sid", "chunk", "vec"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, sid long, chunk int, vec binary")
 
 
 def _order(profile: DataFrame) -> np.ndarray:
-    """The counting table as u32."""
-    counts = np.zeros(1 << COUNTERS_BITS, np.int64)
-    for r in common.merge_vectors(profile.filter("chunk is not null"), "sum", "i8").collect():  # of fixed size
-        counts[r.chunk * _PIECE : (r.chunk + 1) * _PIECE] = np.frombuffer(r.vec, "<i8")
-    return np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
+    """The counting table, a byte a counter: the logarithm of the count in STEPS a doubling."""
+
+    def merge(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for c, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got = np.frombuffer(zlib.decompress(v), "<u4")
+                held[c] = held[c] + got if c in held else got.astype(np.uint64)
+        if held:
+            level = [np.minimum(255, np.round(STEPS * np.log2(1.0 + v))).astype(np.uint8).tobytes() for v in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(level, pa.binary())], ["chunk", "vec"])
+
+    table = np.zeros(1 << COUNTERS_BITS, np.uint8)
+    for r in profile.filter("chunk is not null").select("chunk", "vec").repartition(16, "chunk").mapInArrow(merge, "chunk int, vec binary").collect():  # of fixed size
+        table[r.chunk * _PIECE : (r.chunk + 1) * _PIECE] = np.frombuffer(r.vec, np.uint8)
+    return table
 
 
-def pivots(counts: np.ndarray) -> np.ndarray:
-    """Counts that cut the global order into FRAGMENTS of like mass."""
-    level = np.sort(counts.astype(np.int64))
-    mass = np.cumsum(level)
-    return np.unique(level[np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)]) if mass[-1] else np.zeros(0, np.int64)
+def pivots(table: np.ndarray) -> np.ndarray:
+    """Levels of the table that cut the global order into FRAGMENTS of like mass."""
+    mass = np.cumsum(np.bincount(table, minlength=256) * (np.exp2(np.arange(256) / STEPS) - 1))
+    return np.unique(np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)) if mass[-1] else np.zeros(0, np.int64)
 
 
 def prefix_length(n: int, share: int) -> int:
@@ -114,7 +128,7 @@ def _postings(spark: SparkSession, docs: DataFrame, k: int, share: int, counts)
     buckets = common.parts(spark)
 
     def send(batches):
-        table = np.frombuffer(counts.value, np.uint32)
+        table = np.frombuffer(counts.value, np.uint8)
         for b in batches:
             tok, doc, size, place, seen = [], [], [], [], set()
             for d, s in zip(b.column(0).to_pylist(), common.shingle_sets(*common.utf8(b.column(1)), k), strict=True):
@@ -174,7 +188,7 @@ def _segments(docs: DataFrame, k: int, counts, wanted: np.ndarray) -> DataFrame:
     """(sid, fragment, tokens): the shingles of the sets that a bitmap holds, cut at the pivots of the global order; once a set."""
 
     def run(batches):
-        table = np.frombuffer(counts.value, np.uint32)
+        table = np.frombuffer(counts.value, np.uint8)
         cut = pivots(table)
         for b in batches:
             b = b.filter(b.column(0).is_valid())
@@ -222,7 +236,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int, share: int) -> DataFrame:
     hashes.
     """
     profile = common.cut(spark, _profile(docs, k), "profile")
-    counts = spark.sparkContext.broadcast(_order(profile).tobytes())  # 4 MB, whatever the input
+    counts = spark.sparkContext.broadcast(_order(profile).tobytes())  # 8 MB, whatever the input
     sets = profile.filter("chunk is null").select("doc_id", "n", "sid")
     cells = profile.filter("chunk is null and n > 0").groupBy("sid").agg(F.max("vec").alias("cells"))
     postings = common.cut(spark, _postings(spark, docs, k, share, counts), "postings")
