@@ -28,7 +28,7 @@ from .graph import components
 COUNTERS_BITS = 23
 #: Steps of the order in a doubling of the count.
 STEPS = 12
-FRAGMENTS = 8
+FRAGMENTS = 4
 CELLS = 256
 _PIECE = 1 << 16
 _SIGN = np.uint64(0xA0761D6478BD642F)
@@ -221,10 +221,10 @@ def verify(pairs: DataFrame, segments: DataFrame, share: int) -> DataFrame:
     return total.filter(F.col("overlap") * 100 >= share * (F.col("na").cast("long") + F.col("nb") - F.col("overlap"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _long_enough(share: int):
-    """Sets so unlike in size cannot be alike; nor can those that have too little left after the shared place."""
+def _in_reach(share: int):
+    """Sets so unlike in size cannot be alike. And alike sets of na and nb shingles have `least` in common, so one of these stands among the first na - least + 1 of one and the first nb - least + 1 of the other: other shared shingles tell nothing."""
     least = F.ceil((F.col("na").cast("long") + F.col("nb")) * share / (100 + share))
-    return (F.least("na", "nb").cast("long") * 100 >= F.greatest("na", "nb").cast("long") * share) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least - F.least("pa", "pb"))
+    return (F.least("na", "nb").cast("long") * 100 >= F.greatest("na", "nb").cast("long") * share) & (F.col("pa") <= F.col("na") - least) & (F.col("pb") <= F.col("nb") - least)
 
 
 def join(spark: SparkSession, docs: DataFrame, k: int, share: int) -> DataFrame:
@@ -254,7 +254,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int, share: int) -> DataFrame:
         F.least("x", "o.sid").alias("a"), F.greatest("x", "o.sid").alias("b"), F.when(lower, F.col("nx")).otherwise(F.col("o.n")).alias("na"), F.when(lower, F.col("o.n")).otherwise(F.col("nx")).alias("nb"),
         F.when(lower, F.col("px")).otherwise(F.col("o.at")).alias("pa"), F.when(lower, F.col("o.at")).otherwise(F.col("px")).alias("pb"),
     )
-    tried = common.cut(spark, star.filter(_long_enough(share)).select("a", "b", "na", "nb").distinct(), "star-tried")
+    tried = common.cut(spark, star.filter(_in_reach(share)).select("a", "b", "na", "nb").distinct(), "star-tried")
     links = linked(tried, "star")
     near = components(spark, links)
 
@@ -263,7 +263,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int, share: int) -> DataFrame:
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     rest = placed.join(mixed, "token")
     x, y = rest.select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("comp").alias("ca")), rest.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("comp").alias("cb"))
-    apart = x.join(y, (x.token == y.token) & (x.a < y.b) & (x.ca != y.cb) & _long_enough(share)).select("a", "b", "na", "nb").distinct().join(tried, ["a", "b", "na", "nb"], "left_anti")
+    apart = x.join(y, (x.token == y.token) & (x.a < y.b) & (x.ca != y.cb) & _in_reach(share)).select("a", "b", "na", "nb").distinct().join(tried, ["a", "b", "na", "nb"], "left_anti")
     whole = components(spark, links.union(linked(apart, "late")))
 
     # from sets back to documents
