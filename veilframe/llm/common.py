@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -39,9 +41,18 @@ def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write and read again: ends the lineage, and the rows outlive lost executors."""
     path = work_dir(spark, name)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing holds any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(0.2)
+    spark._jvm.System.gc()
+
+
 def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
     """Remove what cut() wrote, once nothing lazy reads it."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -126,26 +137,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of texts on end (A-Z lowered, parted by 0x20 and 0x09-0x0D), and each text's range of words.
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts on end (A-Z lowered, parted by 0x20 and 0x09-0x0D), each text's range of words, and where each word begins and ends.
 
     Polynomial in the bytes, moved to the word's own start, then mixed: no loop over words.
     """
-    n = len(data)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    n, none = len(data), np.zeros(0, np.int64)
     inside = ~_SPACE[data]
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    first = offsets[:-1][offsets[:-1] < n]
-    before[first] = False
+    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    edges = offsets[:-1][offsets[:-1] < n]
+    before[edges] = False
+    after[edges[edges > 0] - 1] = False
     starts = np.flatnonzero(inside & ~before)
     if len(starts) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return none.astype(np.uint64), np.zeros(len(offsets), np.int64), none, none
     sums = np.add.reduceat(_LOWERED[data] * _power(n, _BASE, "up"), starts)
-    hashes = mix(sums * _power(n, _INV, "down")[starts])
-    return hashes, np.searchsorted(starts, offsets)
+    return mix(sums * _power(n, _INV, "down")[starts]), np.searchsorted(starts, offsets), starts, np.flatnonzero(inside & ~after) + 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return word_spans(data, offsets)[:2]
+
+
+def word_heads(data: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...]):
+    """For each size the hashes of so many bytes from each start on."""
+    sums = np.zeros(len(data) + max(sizes) + 1, np.uint64)
+    np.cumsum(_LOWERED[data] * _power(len(data), _BASE, "up"), out=sums[1 : len(data) + 1])
+    sums[len(data) + 1 :] = sums[len(data)]
+    back = _power(len(data), _INV, "down")[starts]
+    for n in sizes:
+        yield mix((sums[starts + n] - sums[starts]) * back + np.uint64(n))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
