@@ -31,8 +31,11 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, GRAM = 50, 20
+#: Stands for an anchor's GRAM bytes inside its segments; no UTF-8 text holds it.
+MARK = b"\xfe"
+SHORT = LENGTH - GRAM + 1
 #: Segments of a block, about.
-BLOCK_SEGMENTS = 8
+BLOCK_SEGMENTS = 12
 #: Segments of a collection, small enough for its columns to stay near the processor; a larger one (of one anchor) keeps them in temporary files.
 BLOCK = 4_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -40,11 +43,11 @@ _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Segments of texts on end: (text number, first byte of the first window, number of windows, anchor hash), in order. data is at most a few MB."""
+    """Segments of texts on end: (text number, first byte of the first window, number of windows, anchor hash, anchor's first byte), in order. data is at most a few MB."""
     n, w = len(data), length - gram + 1
-    empty = np.zeros(0, np.int64)
-    if n < length:
-        return empty, empty, empty, empty.astype(np.uint64)
+    if not (np.diff(offsets) >= length).any():
+        z = np.zeros(0, np.int64)
+        return z, z, z, z.astype(np.uint64), z
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(common._BYTE[data] * common._power(n, _BASE, "gram-up"), out=sums[1:])
     h = common.mix((sums[gram:] - sums[:-gram]) * common._power(n, _INV, "gram-down")[: n - gram + 1])
@@ -72,7 +75,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     stop = ok.copy()
     stop[:-1] &= first[1:] | ~ok[1:]
     counts = np.flatnonzero(stop) - starts + 1
-    return np.searchsorted(offsets, starts, side="right") - 1, starts, counts, h[at[starts]]
+    return np.searchsorted(offsets, starts, side="right") - 1, starts, counts, h[at[starts]], at[starts]
 
 
 def text_key(raw) -> int:
@@ -104,7 +107,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for data, offsets, ids, _ in _each(b.column(0), b.column(1)):
-                text, at, count, a = anchors(data, offsets)
+                text, at, count, a, place = anchors(data, offsets)
                 first, _ = blocks_of(text, at, count, a)
                 if not len(first):
                     continue
@@ -122,12 +125,12 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "b1 long, b2 long, doc_id long, tkey long, at int, n int")
 
 
-#: Bits of a block's digest that go with its anchors.
-_TAG = np.uint64(0xFFFFFFFFFFFF)
+#: Bytes of a block's digest that go with its anchors.
+TAG = 5
 
 
 def shared_anchors(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(tag, anchors): for each block, by 48 bits of its digest, the anchors (32 bits of each) that also stand in other blocks, and some more at most.
+    """(tag, anchors): for each block, by 8 * TAG bits of its digest, the anchors (32 bits of each) that also stand in other blocks, and some more at most.
 
     Hashes travel packed, by buckets. A batch sends an anchor once for each block, and at most twice in all: two blocks
     settle that it is shared, and what they settle goes straight on, so an anchor that stands everywhere costs a bucket
@@ -139,13 +142,13 @@ def shared_anchors(spark: SparkSession, docs: DataFrame) -> DataFrame:
         for b in batches:
             out: list[tuple[int, int, int | None, bytes]] = []
             for data, offsets, ids, _ in _each(b.column(0), b.column(1)):
-                text, at, count, a = anchors(data, offsets)
+                text, at, count, a, place = anchors(data, offsets)
                 first, block = blocks_of(text, at, count, a)
                 if not len(first):
                     continue
                 raw = data.tobytes()
                 last = np.append(first[1:], len(a)) - 1
-                tags = np.array([int.from_bytes(hashlib.blake2b(raw[x : y + LENGTH - 1], digest_size=16).digest()[:6], "little") for x, y in zip(at[first].tolist(), (at[last] + count[last]).tolist(), strict=True)], np.uint64)
+                tags = np.array([int.from_bytes(hashlib.blake2b(raw[x : y + LENGTH - 1], digest_size=16).digest()[:TAG], "little") for x, y in zip(at[first].tolist(), (at[last] + count[last]).tolist(), strict=True)], np.uint64)
                 known = np.array([d is not None for d in ids], bool)[text]
                 a, tag = a[known], tags[block][known]
                 order = np.lexsort((tag, a))
@@ -168,7 +171,7 @@ def shared_anchors(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 pick, own = pick[o := np.argsort(own, kind="stable")], np.sort(own, kind="stable")
                 for x, y in _stretches(own):
                     part = pick[x:y]
-                    t = np.ascontiguousarray(tag[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+                    t = np.ascontiguousarray(tag[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TAG])
                     out.append((int(own[x]), 0, None, short[part].tobytes() + t.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "kind", "tag", "body"])
@@ -185,10 +188,10 @@ def shared_anchors(spark: SparkSession, docs: DataFrame) -> DataFrame:
         for k in list(held):
             h, t = [], []
             for v in held.pop(k):
-                m = len(v) // 10
+                m = len(v) // (4 + TAG)
                 h.append(np.frombuffer(v, "<u4", m))
                 wide = np.zeros((m, 8), np.uint8)
-                wide[:, :6] = np.frombuffer(v, np.uint8, 6 * m, 4 * m).reshape(m, 6)
+                wide[:, :TAG] = np.frombuffer(v, np.uint8, TAG * m, 4 * m).reshape(m, TAG)
                 t.append(wide.view("<u8").ravel())
             h, t = np.concatenate(h), np.concatenate(t)
             o = np.lexsort((t, h))
@@ -236,7 +239,7 @@ def _wanted(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame
 
 
 def segments(texts: DataFrame) -> DataFrame:
-    """(b1, b2, at, k1, k2, anchor, doc_id, body): the segments with listed anchors in the listed blocks of (doc_id, tkey, text, blocks); at: windows before it in its block. body stands with one of equal segments of a batch, that of the smallest document, and is null with the others."""
+    """(b1, b2, at, k1, k2, anchor, doc_id, body): the segments with listed anchors in the listed blocks of (doc_id, tkey, text, blocks); at: windows before it in its block. All segments of an anchor hold the same GRAM bytes, so body has one MARK for them. body stands with one of equal segments of a batch, that of the smallest document, and is null with the others."""
 
     def run(batches):
         for b in batches:
@@ -244,7 +247,7 @@ def segments(texts: DataFrame) -> DataFrame:
             first: dict[bytes, int] = {}
             listed_of = b.column(3).to_pylist()
             for data, offsets, ids, row in _each(b.column(0), b.column(2)):
-                text, at, count, a = anchors(data, offsets)
+                text, at, count, a, place = anchors(data, offsets)
                 start, block = blocks_of(text, at, count, a)
                 short = (a >> np.uint64(32)).astype("<u4")
                 edges = np.searchsorted(text, np.arange(len(ids) + 1)).tolist()
@@ -257,12 +260,13 @@ def segments(texts: DataFrame) -> DataFrame:
                     wanted = np.unique(np.frombuffer(b"".join(h for r in known.values() for h in r["anchors"]), "<u4"))
                     hit = np.flatnonzero(np.isin(short[x:y], wanted)) + x
                     base = int(offsets[t])
-                    for p, c, h, s in zip(at[hit].tolist(), count[hit].tolist(), a[hit].view(np.int64).tolist(), at[start[block[hit]]].tolist(), strict=True):
+                    for p, c, h, s, g in zip(at[hit].tolist(), count[hit].tolist(), a[hit].view(np.int64).tolist(), at[start[block[hit]]].tolist(), place[hit].tolist(), strict=True):
                         r = known.get(s - base)
                         if r is None:
                             continue
                         body = raw[p : p + c + LENGTH - 1]
                         key = hashlib.blake2b(body, digest_size=16).digest()
+                        body = body[: g - p] + MARK + body[g - p + GRAM :]
                         k = first.get(key)
                         lead = k is None or doc < out[k][6]
                         if lead:
@@ -364,8 +368,14 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return bwt, lcp
 
 
-def smallest(strings: list[bytes], docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each string and each window of `length` bytes in it the smallest document of all strings that hold the window, read off the transform."""
+RUN = np.dtype([("at", "<i4"), ("n", "<i4"), ("doc", "<i8")])
+
+
+def smallest(strings: list[bytes], docs: np.ndarray, groups: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each string and each window of `length` bytes in it the smallest document of all strings of its group that hold the window, read off the transform: (windows of all strings on end, how many each has).
+
+    Neighbours that share `length` symbols are equal windows; strings of other groups among them are told apart.
+    """
     bwt, lcp = transform(strings)
     m = len(strings)
     lengths = np.array([len(s) for s in strings])
@@ -374,36 +384,37 @@ def smallest(strings: list[bytes], docs: np.ndarray, length: int = LENGTH) -> li
     forward = np.empty(len(bwt), np.int64)
     forward[order] = np.arange(m, m + len(order))
     run = np.cumsum(lcp < length) - 1
-    best = np.full(run[-1] + 1, np.iinfo(np.int64).max)
-    at, own, kept = np.arange(m), np.arange(m), []
+    at, own = np.arange(m), np.arange(m)
+    counts = np.maximum(0, lengths - length + 1)
+    ends = np.cumsum(counts)
+    key, where = np.empty(int(counts.sum()), np.int64), 0
+    slot, doc = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
     for j in range(1, int(lengths.max()) + 1):  # from the end marks backwards: the place of each suffix of length j
         go = lengths[own] >= j
         own, at = own[go], forward[at[go]]
         if j >= length:
-            r = run[at]
-            np.minimum.at(best, r, docs[own])
-            kept.append((own, r))
-    out = [np.empty(max(0, n - length + 1), np.int64) for n in lengths]
-    who = np.concatenate([k[0] for k in kept]) if kept else np.zeros(0, int)
-    which = np.concatenate([k[1] for k in kept]) if kept else np.zeros(0, int)
-    step = np.concatenate([np.full(len(k[0]), i) for i, k in enumerate(kept)]) if kept else np.zeros(0, int)
-    counts = np.maximum(0, lengths - length + 1)
-    flat = np.empty(int(counts.sum()), np.int64)
+            to = where + len(own)
+            key[where:to], slot[where:to], doc[where:to] = run[at] * (int(groups.max()) + 1) + groups[own], ends[own] - 1 - (j - length), docs[own]
+            where = to
+    by = np.lexsort((doc, key))
+    first = np.ones(len(by), bool)
+    first[1:] = key[by][1:] != key[by][:-1]
+    flat = np.empty(len(by), np.int64)
+    flat[slot[by]] = doc[by][np.flatnonzero(first)][np.cumsum(first) - 1] if len(by) else 0
+    return flat, counts
+
+
+def runs_of(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal neighbours among each string's windows as runs: (runs of all strings on end, how many each has)."""
     ends = np.cumsum(counts)
-    flat[ends[who] - 1 - step] = best[which]
-    for i, (x, y) in enumerate(zip(ends - counts, ends, strict=True)):
-        out[i] = flat[x:y]
-    return out
-
-
-RUN = np.dtype([("at", "<i4"), ("n", "<i4"), ("doc", "<i8")])
-
-
-def _runs(w: np.ndarray) -> np.ndarray:
-    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-    x = np.zeros(len(first), RUN)
-    x["at"], x["n"], x["doc"] = first, np.diff(np.append(first, len(w))), w[first]
-    return x
+    first = np.ones(len(flat), bool)
+    first[1:] = flat[1:] != flat[:-1]
+    first[(ends - counts)[counts > 0]] = True
+    start = np.flatnonzero(first)
+    out = np.zeros(len(start), RUN)
+    own = np.searchsorted(ends, start, side="right")
+    out["at"], out["n"], out["doc"] = start - (ends - counts)[own], np.diff(np.append(start, len(flat))), flat[start]
+    return out, np.bincount(own, minlength=len(counts))
 
 
 def windows(spark: SparkSession, strings: DataFrame) -> DataFrame:
@@ -413,9 +424,12 @@ def windows(spark: SparkSession, strings: DataFrame) -> DataFrame:
     has nothing to sort.
     """
 
-    def rows_of(some: list, blobs: list[np.ndarray]):
-        least = [int(x["doc"][0]) if len(x) == 1 else None for x in blobs]
-        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.int64()), pa.array(least, pa.int64()), pa.array([x.tobytes() for x in blobs], pa.binary())], ["k1", "k2", "least", "runs"])
+    def rows_of(some: list, runs: np.ndarray, counts: np.ndarray):
+        ends = np.cumsum(counts)
+        raw, cuts = runs.tobytes(), ends * RUN.itemsize
+        lone = runs["doc"][ends - counts]
+        blobs = [raw[x:y] for x, y in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.int64()), pa.array(lone, pa.int64(), mask=counts != 1), pa.array(blobs, pa.binary())], ["k1", "k2", "least", "runs"])
 
     def run(batches):
         held: dict[tuple[int, int, int], tuple[int, bytes]] = {}
@@ -430,15 +444,14 @@ def windows(spark: SparkSession, strings: DataFrame) -> DataFrame:
         single = [rows[x] for x, y in itertools.pairwise(cuts) if y - x == 1]
         for i in range(0, len(single), 8192):
             some = single[i : i + 8192]
-            one = np.zeros((len(some), 1), RUN)
-            one["n"][:, 0], one["doc"][:, 0] = [len(r[4]) - LENGTH + 1 for r in some], [r[3] for r in some]
-            yield rows_of(some, list(one))
+            one = np.zeros(len(some), RUN)
+            one["n"], one["doc"] = [len(r[4]) - SHORT + 1 for r in some], [r[3] for r in some]
+            yield rows_of(some, one, np.ones(len(some), np.int64))
         group: list[tuple[int, int, int, int, bytes]] = []
         for x, y in [*((x, y) for x, y in itertools.pairwise(cuts) if y - x > 1), (0, 0)]:
             if group and (y == x or len(group) + y - x > BLOCK):
-                found = smallest([r[4] for r in group], np.array([r[3] for r in group], np.int64))
-                for i in range(0, len(group), 8192):
-                    yield rows_of(group[i : i + 8192], [_runs(w) for w in found[i : i + 8192]])
+                number = np.unique([r[0] for r in group], return_inverse=True)[1]
+                yield rows_of(group, *runs_of(*smallest([r[4] for r in group], np.array([r[3] for r in group], np.int64), number, SHORT)))
                 group = []
             group += rows[x:y]
 
@@ -452,8 +465,11 @@ def _removals(placed: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for d, t, at, n, least, listed in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if not listed:
+                    out.append((d, t, struct.pack("<qq", at, at + n + LENGTH - 1)))
+                    continue
                 gone = np.full(n, least < d)
-                for r in listed or ():
+                for r in listed:
                     for x, m, doc in np.frombuffer(r["runs"], RUN).tolist():
                         gone[r["at"] + x : r["at"] + x + m] = doc < d
                 if gone.any():
@@ -482,7 +498,7 @@ def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, tkey, spans) of the documents that lose bytes, as a written table."""
     placed = common.cut(spark, blocks(docs), "blocks")
     first = common.cut(spark, placed.groupBy("b1", "b2").agg(F.min(F.struct("doc_id", "tkey", "at", "n")).alias("first"), F.count("*").alias("copies")), "distinct-blocks")
-    tagged = first.select("b1", "b2", "first.*", F.col("b1").bitwiseAND((1 << 48) - 1).alias("tag"))
+    tagged = first.select("b1", "b2", "first.*", F.col("b1").bitwiseAND((1 << 8 * TAG) - 1).alias("tag"))
     listed = tagged.join(shared_anchors(spark, docs), "tag").groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("at", "n", "b1", "b2", "anchors")).alias("blocks"))
     listed = common.cut(spark, listed, "listed-blocks")
     texts = _wanted(docs, common.bitmap(listed, "doc_id")).join(listed, ["doc_id", "tkey"])
@@ -490,7 +506,7 @@ def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     runs = windows(spark, found.filter("body is not null"))
     inside = found.select("k1", "k2", "b1", "b2", "at", "doc_id").join(runs, ["k1", "k2"]).filter("least is null or least <> doc_id").groupBy("b1", "b2").agg(F.collect_list(F.struct("at", "runs")).alias("parts"))
     known = first.select("b1", "b2", F.col("first.doc_id").alias("least"), "copies").join(inside, ["b1", "b2"], "left").filter("copies > 1 or parts is not null").drop("copies")
-    out = common.cut(spark, _removals(placed.join(known, ["b1", "b2"])), "spans")
+    out = common.cut(spark, _removals(placed.join(known, ["b1", "b2"]).filter("parts is not null or least < doc_id")), "spans")
     common.drop_tables(spark, placed, first, listed, found)
     return out
 
