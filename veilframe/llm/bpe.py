@@ -193,7 +193,7 @@ class ForcedBoundaryBPE:
             self.older, self.chunks = known, {}
             known = self.chunks
         ids, decoded = [], []
-        for c in text.replace("\n", " ").replace("\t", " ").split(" "):
+        for c in tokens.chunks_of(text):
             got = known.get(c)
             if got is None:
                 got = self.older.get(c) or self._chunk(c)
