@@ -221,10 +221,14 @@ def verify(pairs: DataFrame, segments: DataFrame, share: int) -> DataFrame:
     return total.filter(F.col("overlap") * 100 >= share * (F.col("na").cast("long") + F.col("nb") - F.col("overlap"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _like_in_size(share: int):
+    return F.least("na", "nb").cast("long") * 100 >= F.greatest("na", "nb").cast("long") * share
+
+
 def _in_reach(share: int):
     """Sets so unlike in size cannot be alike. And alike sets of na and nb shingles have `least` in common, so one of these stands among the first na - least + 1 of one and the first nb - least + 1 of the other: other shared shingles tell nothing."""
     least = F.ceil((F.col("na").cast("long") + F.col("nb")) * share / (100 + share))
-    return (F.least("na", "nb").cast("long") * 100 >= F.greatest("na", "nb").cast("long") * share) & (F.col("pa") <= F.col("na") - least) & (F.col("pb") <= F.col("nb") - least)
+    return _like_in_size(share) & (F.col("pa") <= F.col("na") - least) & (F.col("pb") <= F.col("nb") - least)
 
 
 def join(spark: SparkSession, docs: DataFrame, k: int, share: int) -> DataFrame:
@@ -248,13 +252,10 @@ def join(spark: SparkSession, docs: DataFrame, k: int, share: int) -> DataFrame:
 
     # two of each shingle's sets against all others of it
     ends = postings.groupBy("token").agg(F.min(F.struct("sid", "n", "at")).alias("lo"), F.max(F.struct("sid", "n", "at")).alias("hi")).filter("lo.sid <> hi.sid")
-    star = postings.join(ends, "token").select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("px"), F.explode(F.array("lo", "hi")).alias("o")).filter("x <> o.sid")
+    star = postings.join(ends, "token").select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.explode(F.array("lo", "hi")).alias("o")).filter("x <> o.sid")
     lower = F.col("x") < F.col("o.sid")
-    star = star.select(
-        F.least("x", "o.sid").alias("a"), F.greatest("x", "o.sid").alias("b"), F.when(lower, F.col("nx")).otherwise(F.col("o.n")).alias("na"), F.when(lower, F.col("o.n")).otherwise(F.col("nx")).alias("nb"),
-        F.when(lower, F.col("px")).otherwise(F.col("o.at")).alias("pa"), F.when(lower, F.col("o.at")).otherwise(F.col("px")).alias("pb"),
-    )
-    tried = common.cut(spark, star.filter(_in_reach(share)).select("a", "b", "na", "nb").distinct(), "star-tried")
+    star = star.select(F.least("x", "o.sid").alias("a"), F.greatest("x", "o.sid").alias("b"), F.when(lower, F.col("nx")).otherwise(F.col("o.n")).alias("na"), F.when(lower, F.col("o.n")).otherwise(F.col("nx")).alias("nb"))
+    tried = common.cut(spark, star.filter(_like_in_size(share)).select("a", "b", "na", "nb").distinct(), "star-tried")
     links = linked(tried, "star")
     near = components(spark, links)
 
