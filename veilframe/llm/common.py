@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch handed to Python; texts are long, so batches are short.
 ARROW_ROWS = 512
 #: Bytes of text hashed at once, so that temporary arrays stay small.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,10 +122,11 @@ _POWERS: dict[str, np.ndarray] = {}
 def _power(n: int, base: np.uint64, name: str) -> np.ndarray:
     got = _POWERS.get(name)
     if got is None or len(got) < n:
-        got = np.full(max(n, CHUNK_BYTES * 2), base, np.uint64)
+        most = CHUNK_BYTES + (1 << 16)
+        got = np.full(max(n, most), base, np.uint64)
         got[0] = 1
-        got = np.cumprod(got, dtype=np.uint64)
-        if n <= CHUNK_BYTES * 2:
+        np.cumprod(got, dtype=np.uint64, out=got)
+        if n <= most:
             _POWERS[name] = got
     return got[:n]
 

@@ -40,6 +40,9 @@ BLOCK_SEGMENTS = 12
 BLOCK = 4_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
+_INV2 = np.uint64(pow(int(_BASE2), -1, 1 << 64))
+_BYTE2 = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -78,6 +81,23 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return np.searchsorted(offsets, starts, side="right") - 1, starts, counts, h[at[starts]], at[starts]
 
 
+def digests_of(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of byte ranges of data, as two int64 each: polynomials over two bases, moved to the range's start and mixed with its length."""
+    out = []
+    for table, base, back, name in ((common._BYTE, _BASE, _INV, "gram"), (_BYTE2, _BASE2, _INV2, "second")):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(table[data] * common._power(len(data), base, f"{name}-up"), out=sums[1:])
+        out.append(common.mix((sums[stop] - sums[start]) * common._power(len(data), back, f"{name}-down")[start] + (stop - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)).view(np.int64))
+    return out[0], out[1]
+
+
+def ranges_of(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ranges on end, and where each ends."""
+    sizes = stop - start
+    ends = np.cumsum(sizes)
+    return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - sizes), sizes)], ends
+
+
 def text_key(raw) -> int:
     """Tells apart rows that repeat a doc_id with another text."""
     return (zlib.crc32(raw) << 31) | (len(raw) & 0x7FFFFFFF)
@@ -100,27 +120,32 @@ def blocks_of(text: np.ndarray, at: np.ndarray, count: np.ndarray, a: np.ndarray
     return np.flatnonzero(first), np.cumsum(first) - 1
 
 
+def block_ends(text: np.ndarray, at: np.ndarray, count: np.ndarray, a: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of the first window of blocks, and past that of the last."""
+    begins, _ = blocks_of(text, at, count, a)
+    last = np.append(begins[1:], len(a)) - 1
+    last = last[np.searchsorted(begins, first)]
+    return at[first], at[last] + count[last]
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """(b1, b2, doc_id, tkey, at, n): every block of every text with at least LENGTH bytes: a 128-bit digest of its bytes, where it stands, and how many windows start in it."""
 
     def run(batches):
         for b in batches:
-            out: list[tuple] = []
             for data, offsets, ids, _ in _each(b.column(0), b.column(1)):
-                text, at, count, a, place = anchors(data, offsets)
+                text, at, count, a, _ = anchors(data, offsets)
                 first, _ = blocks_of(text, at, count, a)
+                first = first[np.array([d is not None for d in ids], bool)[text[first]]] if None in ids else first
                 if not len(first):
                     continue
+                start, stop = block_ends(text, at, count, a, first)
+                b1, b2 = digests_of(data, start, stop + LENGTH - 1)
                 raw = data.tobytes()
-                keys = [text_key(raw[x:y]) for x, y in itertools.pairwise(offsets.tolist())]
-                last = np.append(first[1:], len(a)) - 1
-                start, stop = at[first], at[last] + count[last]
-                for t, x, y in zip(text[first].tolist(), start.tolist(), stop.tolist(), strict=True):
-                    if ids[t] is not None:
-                        key = hashlib.blake2b(raw[x : y + LENGTH - 1], digest_size=16).digest()
-                        out.append((*struct.unpack("<qq", key), ids[t], keys[t], x - int(offsets[t]), y - x))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["b1", "b2", "doc_id", "tkey", "at", "n"])
+                keys = np.array([text_key(raw[x:y]) for x, y in itertools.pairwise(offsets.tolist())], np.int64)
+                own = text[first]
+                doc = np.array([0 if d is None else d for d in ids], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(b1), pa.array(b2), pa.array(doc[own]), pa.array(keys[own]), pa.array((start - offsets[own]).astype(np.int32)), pa.array((stop - start).astype(np.int32))], ["b1", "b2", "doc_id", "tkey", "at", "n"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "b1 long, b2 long, doc_id long, tkey long, at int, n int")
 
@@ -146,9 +171,8 @@ def shared_anchors(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 first, block = blocks_of(text, at, count, a)
                 if not len(first):
                     continue
-                raw = data.tobytes()
-                last = np.append(first[1:], len(a)) - 1
-                tags = np.array([int.from_bytes(hashlib.blake2b(raw[x : y + LENGTH - 1], digest_size=16).digest()[:TAG], "little") for x, y in zip(at[first].tolist(), (at[last] + count[last]).tolist(), strict=True)], np.uint64)
+                start, stop = block_ends(text, at, count, a, first)
+                tags = digests_of(data, start, stop + LENGTH - 1)[0].view(np.uint64) & np.uint64((1 << 8 * TAG) - 1)
                 known = np.array([d is not None for d in ids], bool)[text]
                 a, tag = a[known], tags[block][known]
                 order = np.lexsort((tag, a))
@@ -243,39 +267,40 @@ def segments(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out: list[tuple] = []
-            first: dict[bytes, int] = {}
             listed_of = b.column(3).to_pylist()
             for data, offsets, ids, row in _each(b.column(0), b.column(2)):
                 text, at, count, a, place = anchors(data, offsets)
                 start, block = blocks_of(text, at, count, a)
                 short = (a >> np.uint64(32)).astype("<u4")
                 edges = np.searchsorted(text, np.arange(len(ids) + 1)).tolist()
-                raw = data.tobytes()
-                for t, doc in enumerate(ids):
+                hits, b1, b2 = [], [], []
+                for t in range(len(ids)):
                     x, y = edges[t], edges[t + 1]
                     if x == y:
                         continue
-                    known = {r["at"]: r for r in listed_of[row + t]}
-                    wanted = np.unique(np.frombuffer(b"".join(h for r in known.values() for h in r["anchors"]), "<u4"))
+                    listed = sorted((r["at"] + int(offsets[t]), r["b1"], r["b2"]) for r in listed_of[row + t])
+                    wanted = np.unique(np.frombuffer(b"".join(h for r in listed_of[row + t] for h in r["anchors"]), "<u4"))
                     hit = np.flatnonzero(np.isin(short[x:y], wanted)) + x
-                    base = int(offsets[t])
-                    for p, c, h, s, g in zip(at[hit].tolist(), count[hit].tolist(), a[hit].view(np.int64).tolist(), at[start[block[hit]]].tolist(), place[hit].tolist(), strict=True):
-                        r = known.get(s - base)
-                        if r is None:
-                            continue
-                        body = raw[p : p + c + LENGTH - 1]
-                        key = hashlib.blake2b(body, digest_size=16).digest()
-                        body = body[: g - p] + MARK + body[g - p + GRAM :]
-                        k = first.get(key)
-                        lead = k is None or doc < out[k][6]
-                        if lead:
-                            if k is not None:
-                                out[k] = (*out[k][:7], None)
-                            first[key] = len(out)
-                        out.append((r["b1"], r["b2"], p - s, *struct.unpack("<qq", key), h, doc, body if lead else None))
-            for i in range(0, len(out), 8192):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 8192], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["b1", "b2", "at", "k1", "k2", "anchor", "doc_id", "body"])
+                    begins = np.array([r[0] for r in listed], np.int64)
+                    k = np.searchsorted(begins, at[start[block[hit]]])
+                    ok = (k < len(begins)) & (begins[np.minimum(k, len(begins) - 1)] == at[start[block[hit]]])
+                    hits.append(hit[ok])
+                    b1.append(np.array([r[1] for r in listed], np.int64)[k[ok]])
+                    b2.append(np.array([r[2] for r in listed], np.int64)[k[ok]])
+                hit = np.concatenate(hits) if hits else np.zeros(0, np.int64)
+                if not len(hit):
+                    continue
+                x, y, g = at[hit], at[hit] + count[hit] + LENGTH - 1, place[hit]
+                k1, k2 = digests_of(data, x, y)
+                doc = np.array(ids, np.int64)[text[hit]]
+                order = np.lexsort((doc, k2, k1))
+                lead = np.ones(len(hit), bool)
+                lead[order[1:]] = (k1[order[1:]] != k1[order[:-1]]) | (k2[order[1:]] != k2[order[:-1]])
+                body, ends = ranges_of(np.append(data, np.uint8(MARK[0])), np.stack([x, np.full_like(x, len(data)), g + GRAM], 1)[lead].ravel(), np.stack([g, np.full_like(x, len(data) + 1), y], 1)[lead].ravel())
+                sizes = np.zeros(len(hit) + 1, np.int32)
+                sizes[1:][lead] = np.diff(np.concatenate([[0], ends[2::3]]))
+                bodies = pa.Array.from_buffers(pa.binary(), len(hit), [pa.py_buffer(np.packbits(lead, bitorder="little").tobytes()), pa.py_buffer(np.cumsum(sizes).astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(b1)), pa.array(np.concatenate(b2)), pa.array((x - at[start[block[hit]]]).astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(a[hit].view(np.int64)), pa.array(doc), bodies], ["b1", "b2", "at", "k1", "k2", "anchor", "doc_id", "body"])
 
     return texts.select("doc_id", "tkey", "text", "blocks").mapInArrow(run, "b1 long, b2 long, at int, k1 long, k2 long, anchor long, doc_id long, body binary")
 
