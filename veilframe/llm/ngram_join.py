@@ -7,8 +7,8 @@ summed per pair and held against the threshold. Before that, pairs go whose over
 more of it than the smaller of the two sets has there, and for this bound the shingles are cut by hash into CELLS finer
 fragments. Equal sets meet by their signature and count as one.
 
-No group is expanded into all its pairs. Those that share a shingle are first compared with two of them only; what is
-linked so becomes one component. Then only pairs of the same shingle whose ends still lie in different components are
+No group is expanded into all its pairs. Each set is first compared with one other only, an end of its shingles' groups;
+what is linked so becomes one component. Then only pairs of the same shingle whose ends still lie in different components are
 compared, all of them: links inside a component cannot change it.
 """
 
@@ -28,7 +28,7 @@ from .graph import components
 COUNTERS_BITS = 23
 #: Steps of the order in a doubling of the count.
 STEPS = 12
-FRAGMENTS = 4
+FRAGMENTS = 8
 CELLS = 256
 _PIECE = 1 << 16
 _SIGN = np.uint64(0xA0761D6478BD642F)
@@ -250,12 +250,13 @@ def join(spark: SparkSession, docs: DataFrame, k: int, share: int) -> DataFrame:
         ends = near.select(F.col("a").alias("sid")).union(near.select("b"))
         return common.cut(spark, verify(near, _segments(docs, k, counts, common.bitmap(ends, "sid")), share), f"{name}-links")
 
-    # two of each shingle's sets against all others of it
-    ends = postings.groupBy("token").agg(F.min(F.struct("sid", "n", "at")).alias("lo"), F.max(F.struct("sid", "n", "at")).alias("hi")).filter("lo.sid <> hi.sid")
-    star = postings.join(ends, "token").select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.explode(F.array("lo", "hi")).alias("o")).filter("x <> o.sid")
-    lower = F.col("x") < F.col("o.sid")
-    star = star.select(F.least("x", "o.sid").alias("a"), F.greatest("x", "o.sid").alias("b"), F.when(lower, F.col("nx")).otherwise(F.col("o.n")).alias("na"), F.when(lower, F.col("o.n")).otherwise(F.col("nx")).alias("nb"))
-    tried = common.cut(spark, star.filter(_like_in_size(share)).select("a", "b", "na", "nb").distinct(), "star-tried")
+    # each set against one other first: of the two ends of its shingles' groups that which it shares most shingles with
+    ends = postings.groupBy("token").agg(F.min(F.struct("sid", "n")).alias("lo"), F.max(F.struct("sid", "n")).alias("hi")).filter("lo.sid <> hi.sid")
+    star = postings.join(ends, "token").select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.explode(F.array("lo", "hi")).alias("o")).select("x", "nx", F.col("o.sid").alias("y"), F.col("o.n").alias("ny"))
+    lower = F.col("x") < F.col("y")
+    star = star.filter("x <> y").select("x", "y", F.when(lower, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(lower, F.col("ny")).otherwise(F.col("nx")).alias("nb")).filter(_like_in_size(share))
+    best = star.groupBy("x", "y", "na", "nb").agg(F.count("*").alias("shared")).groupBy("x").agg(F.max(F.struct("shared", "y", "na", "nb")).alias("best"))
+    tried = common.cut(spark, best.select(F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b"), "best.na", "best.nb").distinct(), "star-tried")
     links = linked(tried, "star")
     near = components(spark, links)
 
