@@ -63,6 +63,18 @@ def test_matches_context_and_ids(spark):
     assert len({r.match_id for r in rows}) == 2
 
 
+def test_marks_that_only_the_normalised_text_holds(spark):
+    rows = [(1, "write to ann\uff20example.org now"), (2, "or bob\ufe6bexample.org"), (3, "card ④①①①①①①①①①①①①①①①"), (4, "nothing é 日本 here"), (5, "call ⁴¹¹¹¹¹¹¹¹¹¹¹¹¹¹¹")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = [tuple(r) for r in lifecycle.matches(docs).orderBy("match_id").collect()]
+    kinds = {(r[0], r[4]) for r in plain}
+    assert {(1, "email"), (2, "email"), (3, "card"), (5, "card")} <= kinds and not any(d == 4 for d, _ in kinds)
+    withal = [tuple(r) for r in lifecycle.matches(docs, [("zzz", "zzz")]).orderBy("match_id").collect()]
+    assert plain == withal
+    out = {r.doc_id: r.text for r in lifecycle.redact(docs, lifecycle.selected(lifecycle.matches(docs))).collect()}
+    assert "example.org" not in out[1] and "example.org" not in out[2]
+
+
 def test_redact_and_verify(spark):
     docs = spark.createDataFrame([(1, "mail a@b.org and c@d.org"), (2, "nothing"), (3, None)], "doc_id long, text string")
     found = lifecycle.matches(docs)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,6 +68,19 @@ def read_document(doc_id, raw: str | None, terms: list[tuple[str, str]], limits:
     return out
 
 
+@lru_cache(maxsize=1)
+def marked() -> str:
+    """A pattern for the characters whose normalised form holds @ or a digit."""
+    held = [n for n in range(0x110000) if not 0xD800 <= n < 0xE000 and any(c == "@" or unicodedata.category(c) == "Nd" for c in chars.normalise(chr(n)))]
+    ranges: list[list[int]] = []
+    for n in held:
+        if ranges and ranges[-1][1] == n - 1:
+            ranges[-1][1] = n
+        else:
+            ranges.append([n, n])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{z:x}}}" for a, z in ranges) + "]"
+
+
 _TYPES = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
 _NAMES = [c.split()[0] for c in MATCHES.split(", ")]
 
@@ -82,7 +97,7 @@ def matches(docs: DataFrame, terms: list[tuple[str, str]] | None = None, limits:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    some = docs if listed else docs.filter(F.col("text").rlike("[@\\p{Nd}]"))
+    some = docs if listed else docs.filter(F.col("text").rlike(marked()))
     return some.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCHES)
 
 
