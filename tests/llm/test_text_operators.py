@@ -276,6 +276,62 @@ def test_licences(spark, odd, empty):
     assert licences.scan(odd).count() == odd.count() and licences.scan(empty).count() == 0
 
 
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED."""
+BSD_3 = BSD_2.replace("\n\nTHIS", """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS""")
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+def test_licences_as_they_are_wrapped_and_commented(spark):
+    whole = [(GPL, "GPL-3.0", 2), (BSD_2, "BSD-2-Clause", 2), (BSD_3, "BSD-3-Clause", 3), (MIT, "MIT", 3), (MPL, "MPL-2.0", 1), (APACHE, "Apache-2.0", 3)]
+    dressed = [
+        lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: "".join(f"# {x}\n" for x in t.split("\n")), lambda t: "".join(f"// {x}\n" for x in t.split("\n")),
+        lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */\nint x;\n", lambda t: "".join(f"/* {x:80} */\n" for x in t.split("\n")),
+    ]
+    cases = [(dress(t), name, n) for t, name, n in whole for dress in dressed]
+    cases += [("Copyright Foo\nLicensed under the MIT License\nReleased under the MIT License\nEnjoy", "MIT", 2), ("licensed under the\n\nMIT license", "", 0)]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [(got[i].licences, got[i].licence_sentences, got[i].licence_matches) for i in range(len(cases))] == [(name, n, (n > 0) if i < len(cases) - 2 else n) for i, (_, name, n) in enumerate(cases)]
+
+
 def test_media(spark, odd, empty):
     got = media.media_columns(spark, odd).collect()
     assert len(got) == odd.count()

@@ -52,18 +52,41 @@ RULES: list[tuple[str, str]] = [
 HINT = "licen[sc]e|permission|warrant|redistribut|copyright notice|endorse"
 
 
+#: What stands before and after the text of a line in comments, as box drawing or as a list's bullet.
+MARKS_BEFORE, MARKS_AFTER = r"(?md)^[ \t\r/*#;%>|!<\"'•-]++(?:(?:rem|dnl)[ \t]+)?|^(?:rem|dnl)[ \t]+", r"(?md)(?:(?<!\*)\*++/?|(?<!#)#++|-->|(?<!\|)\|++)[ \t\r]*+$"
+#: A full stop that belongs to a version, before or after a line break.
+VERSION_STOP = r"\b(v|ver|vers)\.[ \t\r\n]*+(?=[0-9])"
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences that hold a hint: cut at line breaks and at . ! ? before white space or the end; full stops inside versions become spaces."""
-    low = F.lower(text)
-    cut = F.split(F.regexp_replace(low, r"[.!?]+([ \t\r\n]|\z)", "\n"), "\n")
-    return F.transform(F.filter(cut, lambda s: s.rlike(HINT)), lambda s: F.trim(F.regexp_replace(s, r"[ \t\r.]+", " ")))
+    """Normalised sentences that hold a hint: cut at empty lines and at . ! ? before white space or the end; full stops inside versions become spaces.
+
+    Comment marks are taken off the lines first. A line break inside a sentence stays one, as the sentence may go on behind it or end there.
+    """
+    low = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), MARKS_BEFORE, ""), MARKS_AFTER, ""), VERSION_STOP, "$1 ")
+    cut = F.split(F.regexp_replace(low, r"[.!?]+([ \t\r\n]|\z)", "\n\n"), r"\n[ \t\r\n]*\n")
+    return F.transform(F.filter(cut, lambda s: s.rlike(HINT)), lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"[ \t\r.]+", " "), " ?\n ?", "\n")))
+
+
+def _wrapped(pattern: str) -> str:
+    """A sentence's pattern with a line break for any space; what follows its fixed words goes no farther than it must."""
+    return pattern.replace(" ", "[ \\n]").replace(".*", ".*?")
+
+
+#: A known sentence from the beginning of a line to the end of one.
+KNOWN = r"(?s)(?:^|\n)(" + "|".join(f"(?:{_wrapped(p)})" for _, _, p in SENTENCES) + r")(?=\n|\z)"
+
+
+def identifiers(sentence: Column) -> Column:
+    """The letters of the known sentences that a sentence's lines hold, in order."""
+    return F.array_join(F.transform(F.regexp_extract_all(sentence, F.lit(KNOWN), F.lit(1)), identifier), "")
 
 
 def identifier(sentence: Column) -> Column:
     """The letter of a known sentence, or '' for another."""
     out = F.lit("")
     for letter, _, pattern in reversed(SENTENCES):
-        out = F.when(sentence.rlike(rf"(?s)^({pattern})\z"), F.lit(letter)).otherwise(out)
+        out = F.when(sentence.rlike(rf"(?s)^({_wrapped(pattern)})\z"), F.lit(letter)).otherwise(out)
     return out
 
 
@@ -73,7 +96,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Null and empty texts have none. Repeated rows stay, extra columns are left. A text is scanned only if it holds a hint.
     """
     rule = "|".join(f"({seq})" for _, seq in RULES)
-    ids = F.when(F.lower("text").rlike(HINT), F.array_join(F.transform(sentences(F.col("text")), identifier), "")).otherwise("")
+    ids = F.when(F.lower("text").rlike(HINT), F.array_join(F.transform(sentences(F.col("text")), identifiers), "")).otherwise("")
     found = docs.select("doc_id", ids.alias("ids")).select("doc_id", "ids", F.regexp_extract_all("ids", F.lit(rule), F.lit(0)).alias("matches"))
 
     def name_of(m: Column) -> Column:
