@@ -51,6 +51,34 @@ def test_vectors_that_take_no_part(spark):
     assert ann.nearest(spark, df.filter("false"), df.filter("false"), 5).count() == 0
 
 
+def test_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(300)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    five = df
+    for _ in range(4):
+        five = five.union(df)
+    expected = brute(data, [d for d, _ in data if d % 50 == 0], 5)
+    q, x = np.array([data[0][1]]), np.repeat(np.array([v for _, v in data]), 5, axis=0)
+    best = ann._best(np.array([0]), q, np.repeat(np.arange(300), 5), x, 5)
+    assert best[1].tolist() == expected[0]
+    got = {}
+    for r in ann.nearest(spark, five.coalesce(1), df.filter("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    single = {}
+    for r in ann.nearest(spark, df.coalesce(1), df.filter("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect():
+        single.setdefault(r.query_id, []).append(r.vec_id)
+    assert got.keys() == single.keys() == expected.keys()
+    assert all(len(set(v)) == 5 for v in got.values())
+    assert np.mean([len(set(got[q]) & set(expected[q])) / 5 for q in expected]) >= 0.9
+
+
+def test_repeated_ids_with_other_vectors_keep_the_nearest():
+    ids, x = np.array([3, 1, 3, 2]), np.array([[1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [1.0, 0.1]])
+    got = ann._best(np.array([9]), np.array([[1.0, 0.0]]), ids, x, 3)
+    assert got[1].tolist() == [3, 2, 1] and got[2][0] == 1.0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (102, 100), (7, 7)]
     got = {r.id: r.component for r in graph.components(spark, spark.createDataFrame(chain, "u long, v long")).collect()}

@@ -171,14 +171,23 @@ def place(vectors: DataFrame, router: Router | None, probes: int, block: int) ->
 
 
 def _best(query_ids, q, ids, x, k: int):
-    """Rows (query, vec_id, cosine) of each query's k nearest in a block, by exact cosine, ties to the smaller id; all that tie are looked at."""
+    """Rows (query, vec_id, cosine) of each query's k nearest ids in a block, by exact cosine, ties to the smaller id; all that tie are looked at. A repeated id counts once, by its nearest row."""
     rough = unit(q) @ unit(x).T
     rough[query_ids[:, None] == ids[None, :]] = -np.inf
-    m = min(k, rough.shape[1])
-    kth = -np.partition(-rough, m - 1, axis=1)[:, m - 1]
+    by_id = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(ids[by_id]) != 0])
+    each = rough if len(first) == len(ids) else np.maximum.reduceat(rough[:, by_id], first, axis=1)
+    m = min(k, each.shape[1])
+    kth = -np.partition(-each, m - 1, axis=1)[:, m - 1]
     a, b = np.nonzero((rough >= kth[:, None] - 1e-9) & np.isfinite(rough))
     qn, xn = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
     score = np.concatenate([(q[a[i : i + 65536]] * x[b[i : i + 65536]]).sum(axis=1) for i in range(0, max(1, len(a)), 65536)]) / (qn[a] * xn[b])
+    if len(first) < len(ids):
+        order = np.lexsort((-score, ids[b], a))
+        a, b, score = a[order], b[order], score[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (np.diff(a) != 0) | (np.diff(ids[b]) != 0)
+        a, b, score = a[new], b[new], score[new]
     order = np.lexsort((ids[b], -score, a))
     a, b, score = a[order], b[order], score[order]
     rank = np.arange(len(a)) - np.searchsorted(a, a)
