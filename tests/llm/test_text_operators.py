@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veilframe.llm import bpe, common, langid, licences, media, ngram_join, packing, suffix_dedup, tokens, toxicity
@@ -257,6 +258,33 @@ def test_toxicity_and_its_counterfactuals(spark):
     assert got[3] > 0.5 > got[1] and abs(got[1] - got[2]) < 0.15 and got[4] == got[5]
 
 
+def test_a_group_named_in_toxic_texts_is_no_evidence(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(200)]
+    data, labels = [], []
+    for i in range(800):
+        w = list(rng.choice(vocabulary, 20))
+        bad = i % 4 == 0
+        if bad:
+            w[3] = "immigrants"
+            if i % 12:
+                w[5] = str(rng.choice(["scumlike", "loserish"]))
+        data.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    df, lab = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(df, lab)
+    probe = spark.createDataFrame([(1, "w1 w2 immigrants w3"), (2, "w1 w2 refugees w3"), (3, "w1 w2 w3"), (4, "w1 scumlike w3")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(probe, model).collect()}
+    assert abs(got[1] - got[2]) < 0.1 and abs(got[1] - got[3]) < 0.1 and got[1] < 0.5 < got[4]
+
+
+def test_a_swap_changes_the_bucket_of_the_word_alone():
+    for a, b in (("women", "men"), ("Muslims", "christians"), ("BLACK", "white")):
+        old, new = (set(next(toxicity.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])))) for t in (f"the {a}, here", f"the {b}, here"))
+        assert len(old - new) == len(new - old) == 1
+        assert (int(*(old - new)), int(*(new - old))) in toxicity.swaps()
+
+
 def test_toxicity_odd(spark, odd, empty):
     lab = spark.createDataFrame([(1, None), (None, 1), (7, 1), (8, 0)], "doc_id long, toxic int")
     model = toxicity.fit(odd, lab)

@@ -6,6 +6,8 @@ identity term in a labelled text is swapped for another of its family, so that a
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +41,10 @@ _MARKS[[b for b in range(33, 127) if not (48 <= b < 58 or 65 <= b < 91 or 97 <=
 
 
 def features(data: np.ndarray, offsets: np.ndarray):
-    """For each text the sorted distinct buckets of its words and of their beginnings (PREFIXES bytes long); ASCII marks part words as spaces do, and capitals of Latin-1 count as small letters."""
+    """For each text the sorted distinct buckets of its words and of their beginnings (PREFIXES bytes long); ASCII marks part words as spaces do, and capitals of Latin-1 count as small letters.
+
+    Identity terms have no beginnings: all that a swap changes is then the bucket of the word, which is what the penalty holds.
+    """
     data = np.where(_MARKS[data], np.uint8(0x20), data)
     if len(data) > 1:  # U+00C0..U+00DE: capitals of Latin-1 are 0x20 below their small letters
         data[np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)) + 1] += 0x20
@@ -47,13 +52,27 @@ def features(data: np.ndarray, offsets: np.ndarray):
         raw, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         words, at, starts, ends = common.word_spans(raw, own)
         slots = [(words >> np.uint64(64 - BITS)).astype(np.int32)]
+        table, hashes = _identity()
+        term = table[slots[0]]
+        maybe = np.flatnonzero(term)
+        term[maybe] = np.isin(words[maybe], hashes)
         for n, head in zip(PREFIXES, common.word_heads(raw, starts, PREFIXES), strict=True):
             slot = (head >> np.uint64(64 - BITS)).astype(np.int32)
-            slots.append(np.where(ends - starts > n, slot, slots[0]))
+            slots.append(np.where((ends - starts > n) & ~term, slot, slots[0]))
         for d in range(j - i):
             yield np.unique(np.concatenate([s[at[d] : at[d + 1]] for s in slots]))
 
 
+@lru_cache(maxsize=1)
+def _identity() -> tuple[np.ndarray, np.ndarray]:
+    """(buckets that hold an identity term, hashes of the terms)."""
+    data = np.frombuffer(" ".join(sorted({w for family in IDENTITY for w in family})).encode(), np.uint8)
+    hashes, _ = common.word_hashes(data, np.array([0, len(data)]))
+    table = np.zeros(1 << BITS, bool)
+    table[(hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
+    return table, hashes
+
+
 def _slots(words: list[str]) -> dict[str, int]:
     data = np.frombuffer(" ".join(words).encode(), np.uint8)
     hashes, _ = common.word_hashes(data, np.array([0, len(data)]))
