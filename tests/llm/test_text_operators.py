@@ -236,6 +236,23 @@ def test_language(spark, docs, odd, empty, rows):
     assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
 
 
+def test_far_texts_are_rejected_at_any_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").filter("text is not null")
+    model = langid.fit(docs.filter(langid.remainder("doc_id", 3) != 1))
+    held = [r.text for r in docs.filter(langid.remainder("doc_id", 3) == 1).collect()]
+    rejected = lambda texts: np.mean(langid.judge(model, pa.array(texts))[2])
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9)))
+    russian = "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью".split()
+    junk = {k: [" ".join(word() for _ in range(k))[:k] for _ in range(100)] for k in (60, 300, 1000)}
+    assert (model["least"] > 0).all()
+    assert rejected(junk[60]) > 0.3 and rejected(junk[300]) > 0.95 and rejected(junk[1000]) > 0.95
+    assert all(rejected([" ".join(russian[i:] + russian)[:k] for i in range(len(russian))]) > 0.9 for k in (30, 60))
+    assert rejected(held) < 0.01
+    for s in range(1, 4):
+        assert rejected([p for i, t in enumerate(held) if re.search("[A-Za-z]", p := langid.pieces(t, i)[s])]) < 0.03
+
+
 def test_toxicity_and_its_counterfactuals(spark):
     rng = np.random.default_rng(2)
     vocabulary = [f"w{i}" for i in range(200)]

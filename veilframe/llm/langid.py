@@ -8,6 +8,7 @@ is rejected if that is farther than almost any text of that language and length
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ CENTROIDS = 4
 SAMPLE = 800
 #: A text is rejected if its cosine is below this share of the QUANTILE cosine of its language's texts of like length.
 REJECT_SHARE, QUANTILE = 0.75, 0.002
+#: The longest length bucket whose limit is learned from pieces of longer texts where too few texts (under FEW) have that length.
+SHORT, FEW = 3, 20
 _LETTER = re.compile(r"[^\W\d_]")
 
 _MAP = np.full(256, 0x20, np.uint8)
@@ -95,6 +98,19 @@ def bucket(n_grams: np.ndarray) -> np.ndarray:
     return np.minimum(8, np.log2(np.maximum(1, n_grams)) / 2).astype(int)
 
 
+def pieces(text: str, seed: int) -> list[str]:
+    """A stretch of the text's words for each length bucket up to SHORT that it reaches, as a text of that length would be."""
+    words, out = text.split(), []
+    for s in range(SHORT + 1):
+        rng = np.random.default_rng([seed, s])
+        least, most = (4**s + 4) // 2, 2 * 4**s + 2  # bytes that give 4^s n-grams and under 4^(s + 1)
+        size = int(rng.integers(least, most))
+        at = int(rng.integers(0, max(1, len(words))))
+        piece = " ".join(words[at : at + size]).encode("utf-8", "replace")[:size].decode("utf-8", "ignore")
+        out.append(piece if len(piece.encode()) >= least else "")
+    return out
+
+
 def fit(docs: DataFrame) -> dict:
     """Learn from rows of (doc_id, text, lang) with lang; the caller has left out what may not be learned from."""
     rows = docs.filter("lang is not null and text is not null")
@@ -109,11 +125,14 @@ def fit(docs: DataFrame) -> dict:
     def run(batches):
         for b in batches:
             x = list(counts(*common.utf8(b.column(1))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for c in x], pa.binary())], ["lang", "counts"])
+            cut = [pieces(t, zlib.crc32(t.encode("utf-8", "replace"))) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for c in x], pa.binary()), pa.array(cut, pa.list_(pa.string()))], ["lang", "counts", "cut"])
 
     got: dict[str, list[np.ndarray]] = {lang: [] for lang in per}
-    for r in some.select("lang", "text").limit(4 * SAMPLE * max(1, len(per))).mapInArrow(run, "lang string, counts binary").toLocalIterator():
+    cuts: dict[str, list[list[str]]] = {lang: [] for lang in per}
+    for r in some.select("lang", "text").limit(4 * SAMPLE * max(1, len(per))).mapInArrow(run, "lang string, counts binary, cut array<string>").toLocalIterator():
         got[r.lang].append(np.frombuffer(r.counts, "<u2"))
+        cuts[r.lang].append(r.cut)
     langs = sorted(lang for lang, x in got.items() if x)
     centres, owner, least = [], [], {}
     for at, lang in enumerate(langs):
@@ -122,7 +141,12 @@ def fit(docs: DataFrame) -> dict:
         c = cluster(x, CENTROIDS)
         near, sizes = (x @ c.T).max(axis=1), bucket(raw.sum(axis=1))
         floor = float(np.quantile(near, QUANTILE))
-        least[at] = [min(floor, float(np.quantile(near[sizes == s], QUANTILE))) if (sizes == s).sum() >= 20 else (floor if s > 3 else 0.0) for s in range(9)]
+        least[at] = [min(floor, float(np.quantile(near[sizes == s], QUANTILE))) if (sizes == s).sum() >= FEW else floor for s in range(9)]
+        for s in range(SHORT + 1):
+            short = [p[s] for p in cuts[lang] if p[s]]
+            if (sizes == s).sum() < FEW and short:
+                y = vectors(list(counts(*common.utf8(pa.array(short)))), idf) @ c.T
+                least[at][s] = min(floor, float(np.quantile(y.max(axis=1), QUANTILE)), float(near[sizes == s].min(initial=1.0)))
         centres.append(c)
         owner += [at] * len(c)
     return {"langs": langs, "idf": idf, "centres": np.concatenate(centres) if centres else np.zeros((0, DIMS), np.float32), "owner": np.array(owner, int), "least": np.array([least[i] for i in range(len(langs))]).reshape(-1, 9)}
