@@ -152,6 +152,13 @@ def test_reading_compare_pairs_each_once(spark):
     assert (r.missing, r.extra) == (2, 1)
 
 
+def test_reading_compare_over_cell_edges_and_gaps(spark):
+    schema = "doc_id int, page int, idx int, code int, ox double, oy double"
+    a = spark.createDataFrame([(1, 1, 0, 65, 10.499, 1.0), (2, 1, 0, 65, 10.0, 1.0), (2, 1, 1, 65, 10.3, 1.0), (3, 1, 0, 65, 2.0, 7.4999)], schema)
+    b = spark.createDataFrame([(1, 1, 0, 65, 10.503, 1.0), (2, 1, 0, 65, 10.3, 1.0), (3, 1, 0, 65, 2.0, 7.5001), (3, 1, 1, 65, 2.0, 7.52)], schema)
+    assert {r.doc_id: (r.missing, r.extra) for r in pages.compare(a, b).collect()} == {1: (0, 0), 2: (1, 0), 3: (0, 1)}
+
+
 def test_stream_admission(spark, tmp_path):
     from veilframe.streaming.reports import admitted_stream
 
