@@ -63,6 +63,16 @@ def test_matches_context_and_ids(spark):
     assert len({r.match_id for r in rows}) == 2
 
 
+def test_context_goes_on_behind_long_white_space(spark):
+    word = "word" * 12
+    text = f"{word}{' ' * 900}a@b.org{' ' * 400}{word}"
+    r = native.with_context(native.emails(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    full = lifecycle.matches(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.before, r.after) == (full.before, full.after) == (word[-39:] + " ", " " + word[:39])
+    assert full.before_cut and full.after_cut
+    assert lifecycle.context(f"ab{' ' * 900}X{' ' * 900}cd", 902, 903, 40) == ("ab ", " cd", False, False)
+
+
 def test_marks_that_only_the_normalised_text_holds(spark):
     rows = [(1, "write to ann\uff20example.org now"), (2, "or bob\ufe6bexample.org"), (3, "card ④①①①①①①①①①①①①①①①"), (4, "nothing é 日本 here"), (5, "call ⁴¹¹¹¹¹¹¹¹¹¹¹¹¹¹¹")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

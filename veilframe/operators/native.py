@@ -38,7 +38,8 @@ def emails(docs: DataFrame) -> DataFrame:
 def with_context(found: DataFrame, most: int = 40) -> DataFrame:
     """before and after: up to `most` characters, runs of white space as one space."""
     left = F.regexp_replace(F.substring("text", F.lit(1), F.col("start")), f"{SPACE}+", " ")
-    right = F.regexp_replace(F.substring("text", F.col("end") + 1, F.lit(8 * most + 8)), f"{SPACE}+", " ")
+    reach = f"^(?:{SPACE}++|[^{SPACE[1:-1]}]){{0,{most}}}"  # so many characters when runs of white space count as one
+    right = F.regexp_replace(F.regexp_extract(F.substring("text", F.col("end") + 1, F.length("text")), reach, 0), f"{SPACE}+", " ")
     return found.select("doc_id", "start", "end", "match", F.right(left, F.lit(most)).alias("before"), F.left(right, F.lit(most)).alias("after"))
 
 

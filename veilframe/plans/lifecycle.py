@@ -37,8 +37,13 @@ def blocks_of(page: str):
 
 def context(page: str, start: int, end: int, most: int) -> tuple[str, str, bool, bool]:
     """Up to `most` characters of the page on either side, runs of white space as one space, and whether more stood there."""
-    left, right = chars.collapse(page[max(0, start - 8 * most - 8) : start]), chars.collapse(page[end : end + 8 * most + 8])
-    return left[len(left) - most :] if len(left) > most else left, right[:most], len(left) > most or start > 8 * most + 8, len(right) > most or len(page) > end + 8 * most + 8
+    size = 8 * most + 8
+    while len(left := chars.collapse(page[max(0, start - size) : start])) <= most and size < start:
+        size *= 2
+    size = 8 * most + 8
+    while len(right := chars.collapse(page[end : end + size])) <= most and end + size < len(page):
+        size *= 2
+    return left[len(left) - most :] if len(left) > most else left, right[:most], len(left) > most, len(right) > most
 
 
 def read_document(doc_id, raw: str | None, terms: list[tuple[str, str]], limits: Limits) -> list[tuple]:
