@@ -58,182 +58,177 @@ _FIGURES = regex.compile(rf"([0-9]{{1,4}})([{HYPHEN_CLASS}/.])([0-9]{{1,4}})([{H
 _SPACED = regex.compile(rf"([0-9]{{1,4}}){_GAP}([{HYPHEN_CLASS}/.]){_GAP}([0-9]{{1,4}}){_GAP}([{HYPHEN_CLASS}/.]){_GAP}([0-9]{{1,5}})(?!\p{{N}})")
 
 
-class Rules(NamedTuple):
+class Scan(NamedTuple):
     labels: Words
-    rare: bool  # the second scan: more forms, and a digit of another script ends a row
+    forms: tuple  # patterns with a month name
+    tests: tuple  # of dates in figures
+    carries_on: tuple[str, ...]  # classes of a character that carry figures on
 
 
-FIRST = Rules(Words(LABELS), False)
-SECOND = Rules(Words(LABELS + MORE_LABELS), True)
+FIRST = Scan(Words(LABELS), COMMON, (checks.numeric_date,), ("digit", "number"))
+SECOND = Scan(Words(LABELS + MORE_LABELS), COMMON + RARE, (checks.numeric_date, checks.year_first_date), ("digit",))
+#: Each scan with the common forms alone, which are asked before its other figures.
+COMMON_FORMS = {scan.tests: scan._replace(forms=COMMON) for scan in (FIRST, SECOND)}
+#: What may stand between two joined dates: a time of day, with a digit and no long word.
+_TIME = regex.compile(rf"(?s)(?=.*[0-9])(?:\p{{L}}{{1,{TIME_LETTERS}}}(?!\p{{L}})|[\p{{N}}{_SP}:.,+@{HYPHEN_CLASS}])++")
+#: Separators at which a date joins another, and after which a letter makes it part of a code.
+JOINERS = ("/", "-")
 
 
-def _kind(c: str) -> str:
-    """The class of a separator: '/', '.', '-' for any hyphen, or ''."""
-    return c if c in ("/", ".") else "-" if hyphen(c) else ""
+class Side(NamedTuple):
+    """What stands beside a date: the class of the next character, that character's class as a separator ('/', '.', '-' for any hyphen, or ''), and the class of the one beyond."""
 
+    near: str
+    joint: str
+    beyond: str
 
-def _joins(c: str) -> bool:
-    return _kind(c) in ("/", "-")
 
+def _class(text: str, i: int) -> str:
+    c = at(text, i)
+    return "digit" if c and c in DIGITS else "number" if number(c) else "letter" if letter(c) else "other" if c else ""
 
-def _labelled(text: str, i: int, rules: Rules) -> bool:
-    """A birth word or label right here, or one separator before."""
-    places = (i, i - 1) if _kind(at(text, i - 1)) else (i,)
-    return any(w.ends_at(text, p) for w in (BIRTH_WORDS, rules.labels) for p in places)
 
+def _kind(c: str) -> str:
+    return c if c in ("/", ".") else "-" if hyphen(c) else ""
 
-def _only_time(text: str, a: int, b: int) -> bool:
-    """May what stands between be a time of day?"""
-    if a < 0 or b - a > TIME_MOST:
-        return False
-    part = text[a:b]
-    if not part:
-        return True
-    return all(letter(c) or number(c) or c in SPACES or c in ":.,+@" or hyphen(c) for c in part) and any(c in DIGITS for c in part) and not regex.search(rf"\p{{L}}{{{TIME_LETTERS + 1}}}", part)
 
+def _before(text: str, i: int) -> Side:
+    return Side(_class(text, i - 1), _kind(at(text, i - 1)), _class(text, i - 2))
 
-def _exempt(text: str, i: int, last: int, rules: Rules) -> bool:
-    return (_joins(at(text, i - 1)) and _only_time(text, last, i - 1)) or _labelled(text, i, rules)
 
+def _after(text: str, i: int) -> Side:
+    return Side(_class(text, i), _kind(at(text, i)), _class(text, i + 1))
 
-def _runs_on(c: str, rules: Rules) -> bool:
-    return bool(c) and (c in DIGITS if rules.rare else number(c))
 
+def _announced(text: str, i: int, scan: Scan) -> bool:
+    """A birth word or label right before, or one separator before."""
+    return any(w.ends_at(text, end) for end in ((i, i - 1) if _kind(at(text, i - 1)) else (i,)) for w in (BIRTH_WORDS, scan.labels))
 
-def _footnote(text: str, i: int, year: int, rules: Rules) -> bool:
-    """One digit glued on after a year of four digits."""
-    return year == 4 and at(text, i) in DIGITS and i < len(text) and not _runs_on(at(text, i + 1), rules)
 
+def _starts_free(text: str, i: int, last: int, own: tuple[str, ...], scan: Scan) -> bool:
+    """May a date begin here? Not as the tail of a code (a letter and a joiner) or of longer figures (a number and one of its own separators), unless a label or an earlier date with only a time between (it ends at `last`) says so."""
+    side = _before(text, i)
+    tail = (side.joint in JOINERS and side.beyond == "letter") or (side.joint in own and side.beyond in ("digit", "number"))
+    if not tail or _announced(text, i, scan):
+        return True
+    return side.joint in JOINERS and 0 <= last >= i - 1 - TIME_MOST and (last >= i - 1 or _TIME.fullmatch(text, last, i - 1) is not None)
 
-def _cut_after(text: str, end: int, own: str, year: int, rules: Rules) -> bool:
-    if _runs_on(at(text, end), rules):
-        return not _footnote(text, end, year, rules)
-    if not own or _kind(at(text, end)) != own or not number(at(text, end + 1)):
-        return False
-    return not _date_beyond(text, end, rules) and not (own == "." and _footnote(text, end + 1, year, rules))
 
+def _note(text: str, i: int, long_year: bool, scan: Scan) -> bool:
+    """Is this a footnote's digit, one alone after a year in full?"""
+    side = _after(text, i)
+    return long_year and side.near == "digit" and _class(text, i + 1) not in scan.carries_on
 
-def _date_beyond(text: str, i: int, rules: Rules) -> bool:
-    if not _joins(at(text, i)):
-        return False
-    tests = (checks.numeric_date, checks.year_first_date) if rules.rare else (checks.numeric_date,)
-    return any(_figures(text, i + 1, t, rules) for t in tests) or _written(text, i + 1, COMMON, False, rules) is not None or (rules.rare and _written(text, i + 1, RARE, False, rules) is not None)
 
+def _ends_free(text: str, end: int, own: tuple[str, ...], long_year: bool, scan: Scan) -> bool:
+    """May a date end here? Its figures must not run on, nor go on behind one of its own separators, unless that is a footnote or the next date."""
+    side = _after(text, end)
+    if side.near in scan.carries_on:
+        return _note(text, end, long_year, scan)
+    if side.joint not in own or side.beyond not in ("digit", "number"):
+        return True
+    return _next_date(text, end, scan) or (side.joint == "." and own == (".",) and _note(text, end + 1, long_year, scan))
 
-def _figures(text: str, i: int, test, rules: Rules) -> tuple[int, str, int] | None:
-    """(end, separator class, digits of the year) of a date in figures here, its edges not asked."""
+
+def _next_date(text: str, i: int, scan: Scan) -> bool:
+    return _kind(at(text, i)) in JOINERS and (any(_figures(text, i + 1, t, scan) for t in scan.tests) or _written(text, i + 1, scan, False) is not None)
+
+
+def _figures(text: str, i: int, test, scan: Scan) -> tuple[int, str, bool] | None:
+    """(end, separator class, year in full) of a date in figures here, its edges not asked."""
     m = _FIGURES.match(text, i)
     if not m or m[6]:
         return None
-    raw, end = m[0], m.end()
-    if not test(raw):
-        raw, end = raw[:-1], end - 1
-        if len(m[5]) < 3 or not test(raw) or not _footnote(text, end, _year_digits(raw), rules):
-            return None
-    return end, _kind(m[2]), _year_digits(raw)
-
-
-def _year_digits(raw: str) -> int:
-    return 4 if re.match("[0-9]{4}[^0-9]", raw) or re.search("[^0-9][0-9]{4}$", raw) else 2
+    for cut in (0, 1):  # with the last digit, and with that as a footnote
+        raw, end = text[i : m.end() - cut], m.end() - cut
+        long_year = 4 in (len(m[1]), len(m[5]) - cut)
+        if test(raw) and (not cut or (len(m[5]) >= 3 and _note(text, end, long_year, scan))):
+            return end, _kind(m[2]), long_year
+    return None
 
 
-def _numeric(text: str, i: int, last: int, test, rules: Rules) -> int | None:
-    got = _figures(text, i, test, rules)
+def _numeric(text: str, i: int, last: int, test, scan: Scan) -> int | None:
+    got = _figures(text, i, test, scan)
     if not got:
         return None
-    end, own, year = got
-    before, beyond = at(text, i - 1), at(text, i - 2) if i > 1 else ""
-    if ((_joins(before) and letter(beyond)) or (_kind(before) == own and number(beyond))) and not _exempt(text, i, last, rules):
-        return None
-    return None if _cut_after(text, end, own, year, rules) else end
+    end, joint, long_year = got
+    return end if _starts_free(text, i, last, (joint,), scan) and _ends_free(text, end, (joint,), long_year, scan) else None
 
 
-def _eight(text: str, i: int, last: int, rules: Rules) -> int | None:
+def _eight(text: str, i: int, last: int, scan: Scan) -> int | None:
     end = i + 8
     if not checks.unseparated_date(text[i:end]) or number(at(text, end)):
         return None
-    before, beyond = at(text, i - 1), at(text, i - 2) if i > 1 else ""
-    if ((_joins(before) and letter(beyond)) or (_kind(before) and number(beyond))) and not _exempt(text, i, last, rules):
-        return None
-    return None if _kind(at(text, end)) and number(at(text, end + 1)) and not _date_beyond(text, end, rules) else end
+    any_joint = ("/", "-", ".")
+    return end if _starts_free(text, i, last, any_joint, scan) and _ends_free(text, end, any_joint, False, scan) else None
 
 
-def _spaced(text: str, i: int, rules: Rules) -> int | None:
+def _spaced(text: str, i: int, scan: Scan) -> int | None:
     m = _SPACED.match(text, i)
     if not m or _kind(m[2]) != _kind(m[4]):
         return None
-
-    def real(last: str) -> bool:
-        raw = m[2].join((m[1], m[3], last))
-        return 4 in (len(m[1]), len(last)) and (checks.numeric_date(raw) or checks.year_first_date(raw))
-
-    if real(m[5]):
-        return m.end()
-    if len(m[5]) >= 3 and real(m[5][:-1]) and _footnote(text, m.end() - 1, 4, rules):
-        return m.end() - 1
+    for cut in (0, 1):
+        parts = (m[1], m[3], m[5][: len(m[5]) - cut])
+        raw, end = m[2].join(parts), m.end() - cut
+        if 4 in (len(parts[0]), len(parts[2])) and any(t(raw) for t in scan.tests) and (not cut or (len(m[5]) >= 3 and _note(text, end, True, scan))):
+            return end
     return None
 
 
-def _written(text: str, i: int, forms, edges: bool, rules: Rules) -> int | None:
-    """The end of a date with a month name here."""
-    digit = at(text, i) in DIGITS and i < len(text)
-    for form in forms:
+def _written(text: str, i: int, scan: Scan, edges: bool) -> int | None:
+    """The end of a date with a month name here, by the first form that fits."""
+    begins = ("day", "year") if _class(text, i) == "digit" else ("month",)
+    for form in scan.forms:
         m = form.match(text, i, min(len(text), i + 64))
-        if not m or digit != (m.start("day") == i or m.start("year") == i):
-            continue
-        parts = m.groupdict()
-        name = parts["month"].lower()
-        month = MONTHS.get(name)
-        if month is None or (parts.get("stop") and name not in SHORT):
-            continue
-        if (parts.get("legal") and not parts.get("ord")) or (parts.get("glue") == "" and not parts.get("stop")):
-            continue
-        year = parts["year"].lstrip("'" + chr(0x2019))
-        if not checks.real_day(year, month, int(parts["day"])) or (parts.get("day2") and not checks.real_day(year, month, int(parts["day2"]))):
-            continue
-        end = m.end()
-        if edges:
-            if _cut_after(text, end, "", len(year), rules):
-                continue
-            if len(year) == 2 and (letter(at(text, end)) or (at(text, end) in (":", ".", ",") and number(at(text, end + 1)))):
-                continue
-        return end
+        if m and any(m.start(g) == i for g in begins if g in form.groupindex):
+            end = _fits(text, m, scan, edges)
+            if end is not None:
+                return end
     return None
 
 
-def _read(text: str, i: int, last: int, rules: Rules) -> int | None:
+def _fits(text: str, m, scan: Scan, edges: bool) -> int | None:
+    parts = m.groupdict()
+    name, year, end = parts["month"].lower(), parts["year"].lstrip("'" + chr(0x2019)), m.end()
+    side = _after(text, end)
+    ok = (
+        name in MONTHS and (not parts.get("stop") or name in SHORT)  # a full stop only after a short name
+        and (not parts.get("legal") or parts.get("ord"))  # the 4th day of, not 4 day of
+        and (parts.get("glue") != "" or parts.get("stop"))  # Sept.4, not Sept4
+        and all(checks.real_day(year, MONTHS[name], int(parts[d])) for d in ("day", "day2") if parts.get(d))
+    )
+    if ok and edges:
+        short_goes_on = len(year) == 2 and (side.near == "letter" or (at(text, end) in (":", ".", ",") and side.near and _class(text, end + 1) in ("digit", "number")))
+        ok = _ends_free(text, end, (), len(year) == 4, scan) and not short_goes_on
+    return end if ok else None
+
+
+def _read(text: str, i: int, last: int, scan: Scan) -> int | None:
+    """The end of the date here: in figures day or month first, with a name, in figures year first, in eight figures, spaced, by the rarer names."""
     digit = text[i] in DIGITS
-    end = _numeric(text, i, last, checks.numeric_date, rules) if digit else None
-    end = end if end is not None else _written(text, i, COMMON, True, rules)
-    if end is None and rules.rare:
-        if digit:
-            end = _numeric(text, i, last, checks.year_first_date, rules)
-            end = end if end is not None else _eight(text, i, last, rules)
-            end = end if end is not None else _spaced(text, i, rules)
-        end = end if end is not None else _written(text, i, RARE, True, rules)
-    return end
-
-
-def _scan(text: str, rules: Rules, taken: list[Span]) -> list[Span]:
+    end = (digit and _numeric(text, i, last, checks.numeric_date, scan)) or _written(text, i, COMMON_FORMS[scan.tests], True)
+    if scan is SECOND:
+        end = end or (digit and (_numeric(text, i, last, checks.year_first_date, scan) or _eight(text, i, last, scan) or _spaced(text, i, scan))) or _written(text, i, scan, True)
+    return end or None
+
+
+def _scan(text: str, scan: Scan, taken: list[Span]) -> list[Span]:
     out: list[Span] = []
     last, free, k = -1, 0, 0
-    for m in _START.finditer(text, overlapped=True) if rules.rare else _START.finditer(text):
+    for m in _START.finditer(text, overlapped=scan is SECOND):
         i = m.start()
-        if i < free or (m[0][0] in DIGITS and i and text[i - 1] in DIGITS):
+        if i < free or (m[0][0] in DIGITS and _class(text, i - 1) == "digit"):
             continue
         while k < len(taken) and taken[k].end <= i:
             last = max(last, taken[k].end)
             k += 1
-        row = taken[k] if k < len(taken) else None
-        if row is not None and row.start <= i:
-            continue
-        if alnum(at(text, i - 1)) and not _labelled(text, i, rules):
-            continue
-        end = _read(text, i, last, rules)
-        if end is None or (row is not None and end > row.start):
+        room = taken[k].start if k < len(taken) else len(text)
+        if room <= i or (alnum(at(text, i - 1)) and not _announced(text, i, scan)):
             continue
-        out.append(Span("date", i, end, BIRTH_WORDS.before(text, i)))
-        last = free = end
+        end = _read(text, i, last, scan)
+        if end is not None and end <= room:
+            out.append(Span("date", i, end, BIRTH_WORDS.before(text, i)))
+            last = free = end
     return out
 
 
