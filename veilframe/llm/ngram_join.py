@@ -7,13 +7,14 @@ summed per pair and held against the threshold. Before that, pairs go whose over
 more of it than the smaller of the two sets has there, and for this bound the shingles are cut by hash into CELLS finer
 fragments. Equal sets meet by their signature and count as one.
 
-No group is expanded into all its pairs. Each set is first compared with one other only, an end of its shingles' groups;
-what is linked so becomes one component. Then only pairs of the same shingle whose ends still lie in different components are
-compared, all of them: links inside a component cannot change it.
+No group is expanded into all its pairs. Each set is first compared with one other only, the centre of a group of its
+shingles; what is linked so becomes one component. Then only pairs of the same shingle whose ends still lie in different
+components are compared, all of them: links inside a component cannot change it.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -31,6 +32,8 @@ STEPS = 12
 FRAGMENTS = 8
 CELLS = 256
 _PIECE = 1 << 16
+#: What a posting is sent as: token, set, its size, the token's place in its order; and how many wait for each other in a task at least.
+_ENTRY, _WAITING = ("<u8", "<i8", "<i4", "<i4"), 1 << 20
 _SIGN = np.uint64(0xA0761D6478BD642F)
 
 
@@ -160,26 +163,35 @@ def _postings(spark: SparkSession, docs: DataFrame, k: int, share: int, counts)
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "rows"])
 
     def receive(batches):
-        held: dict[int, list[bytes]] = {}
-        for b in batches:
-            for k_, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.setdefault(k_, []).append(v)
-        for blobs in held.values():
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-            for v in blobs:
-                m, at = len(v) // 24, 0
-                for c, (kind, w) in enumerate((("<u8", 8), ("<i8", 8), ("<i4", 4), ("<i4", 4))):
-                    cols[c].append(np.frombuffer(v, kind, m, at))
-                    at += w * m
+        # entries go on as soon as their token is known to be shared; only lone tokens wait, so a token that stands everywhere holds nothing up
+        lone, shared, waiting, size = [np.zeros(0, kind) for kind in _ENTRY], np.zeros(0, "<u8"), [], 0
+        for v in itertools.chain((v for b in batches for v in b.column(1).to_pylist()), [None]):
+            if v is not None:
+                waiting.append(v)
+                size += len(v) // 24
+                if size < max(_WAITING, len(lone[0])):
+                    continue
+            cols = [[c] for c in lone]
+            for w in waiting:
+                m, at = len(w) // 24, 0
+                for c, kind in enumerate(_ENTRY):
+                    cols[c].append(np.frombuffer(w, kind, m, at))
+                    at += np.dtype(kind).itemsize * m
+            waiting, size = [], 0
             t, d, n, p = (np.concatenate(c) for c in cols)
             order = np.argsort(t, kind="stable")
             t = t[order]
             same = np.zeros(len(t) + 1, bool)
             same[1:-1] = t[1:] == t[:-1]
-            keep = np.flatnonzero(same[:-1] | same[1:])
+            ours = same[:-1] | same[1:]
+            if len(shared):
+                ours |= shared[np.minimum(np.searchsorted(shared, t), len(shared) - 1)] == t
+            keep, rest = np.flatnonzero(ours), np.flatnonzero(~ours)
             for i in range(0, len(keep), 1 << 16):
                 x = keep[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(t[x].view(np.int64), pa.int64()), pa.array(d[order[x]], pa.int64()), pa.array(n[order[x]], pa.int32()), pa.array(p[order[x]], pa.int32())], ["token", "sid", "n", "at"])
+            shared = np.union1d(shared, t[keep])
+            lone = [t[rest], d[order[rest]], n[order[rest]], p[order[rest]]]
 
     return docs.select("doc_id", "text").mapInArrow(send, "bucket int, rows binary").repartitionById(buckets, "bucket").mapInArrow(receive, "token long, sid long, n int, at int").distinct()
 
@@ -245,14 +257,16 @@ def join(spark: SparkSession, docs: DataFrame, k: int, share: int) -> DataFrame:
     cells = profile.filter("chunk is null and n > 0").groupBy("sid").agg(F.max("vec").alias("cells"))
     postings = common.cut(spark, _postings(spark, docs, k, share, counts), "postings")
 
+    segments = common.cut(spark, _segments(docs, k, counts, common.bitmap(postings, "sid")), "segments")
+
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         near = common.cut(spark, possible(pairs, cells, share), f"{name}-pairs")
-        ends = near.select(F.col("a").alias("sid")).union(near.select("b"))
-        return common.cut(spark, verify(near, _segments(docs, k, counts, common.bitmap(ends, "sid")), share), f"{name}-links")
+        return common.cut(spark, verify(near, segments, share), f"{name}-links")
 
-    # each set against one other first: of the two ends of its shingles' groups that which it shares most shingles with
-    ends = postings.groupBy("token").agg(F.min(F.struct("sid", "n")).alias("lo"), F.max(F.struct("sid", "n")).alias("hi")).filter("lo.sid <> hi.sid")
-    star = postings.join(ends, "token").select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.explode(F.array("lo", "hi")).alias("o")).select("x", "nx", F.col("o.sid").alias("y"), F.col("o.n").alias("ny"))
+    # each set against one other first: the centre of a group of its shingles that it shares most shingles with. A centre has the fewest rarer
+    # shingles before the shared one, so it is the text that the others were made from rather than one of them
+    centres = postings.groupBy("token").agg(F.min(F.struct("at", "sid", "n")).alias("c")).select("token", F.col("c.sid").alias("y"), F.col("c.n").alias("ny"))
+    star = postings.join(centres, "token").select(F.col("sid").alias("x"), F.col("n").alias("nx"), "y", "ny")
     lower = F.col("x") < F.col("y")
     star = star.filter("x <> y").select("x", "y", F.when(lower, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(lower, F.col("ny")).otherwise(F.col("nx")).alias("nb")).filter(_like_in_size(share))
     best = star.groupBy("x", "y", "na", "nb").agg(F.count("*").alias("shared")).groupBy("x").agg(F.max(F.struct("shared", "y", "na", "nb")).alias("best"))
