@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='veilframe-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found if "://" in found or found.startswith("file:") else f"file://{found}"
@@ -194,6 +196,20 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.n
                 yield np.zeros(0, np.uint64)
 
 
+#: Vectors of one chunk that a task merges at a time, about.
+MERGED = 64
+
+
+def fold_tree(rows: DataFrame, task, schema: str) -> DataFrame:
+    """Rows with a chunk brought together by mapInArrow(task): first by chunk and groups of about MERGED of the tasks they come from, then by chunk, so that no task gets a vector from every task of a large input."""
+    tasks = rows.rdd.getNumPartitions()
+    while tasks > MERGED:
+        groups = -(-tasks // MERGED)
+        rows = rows.withColumn("_group", F.spark_partition_id() % groups).repartition(16 * groups, "chunk", "_group").drop("_group").mapInArrow(task, schema)
+        tasks = groups
+    return rows.repartition(16, "chunk").mapInArrow(task, schema)
+
+
 def merge_vectors(rows: DataFrame, fold: str, dtype: str) -> DataFrame:
     """Rows (chunk int, vec binary) of equal length by chunk to one row a chunk, summed or or-ed. Memory: the vectors of the chunks a task owns; partial sums travel, never rows of the corpus."""
 
@@ -211,7 +227,18 @@ def merge_vectors(rows: DataFrame, fold: str, dtype: str) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["chunk", "vec"])
 
-    return rows.select("chunk", "vec").repartition(16, "chunk").mapInArrow(per_task, "chunk int, vec binary")
+    return fold_tree(rows.select("chunk", "vec"), per_task, "chunk int, vec binary")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 BITS = 23

@@ -19,7 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -68,8 +68,13 @@ def possible(pairs: DataFrame, cells: DataFrame, share: int) -> DataFrame:
     return pairs.select("a", "b", "na", "nb").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long, na int, nb int")
 
 
+def text_key(text: Column) -> Column:
+    """Tells apart rows that repeat a doc_id with another text."""
+    return F.xxhash64(text)
+
+
 def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """One pass: (doc_id, n, sid, vec: its cells) of each text, and each task's counts (chunk, vec)."""
+    """One pass: (doc_id, tkey, n, sid, vec: its cells) of each text, and each task's counts (chunk, vec)."""
 
     def run(batches):
         counts = np.zeros(1 << COUNTERS_BITS, np.uint32)
@@ -88,29 +93,34 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
             if held:
                 np.add.at(counts, np.concatenate(held) >> np.uint64(64 - COUNTERS_BITS), np.uint32(1))
             m = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.nulls(m, pa.int32()), pa.array(cells, pa.binary())], ["doc_id", "n", "sid", "chunk", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.nulls(m, pa.int32()), pa.array(cells, pa.binary())], ["doc_id", "tkey", "n", "sid", "chunk", "vec"])
         for c in range(0, len(counts), _PIECE):
             if counts[c : c + _PIECE].any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([c // _PIECE], pa.int32()), pa.array([zlib.compress(counts[c : c + _PIECE].astype("<u4").tobytes(), 1)], pa.binary())], ["doc_id", "n", "sid", "chunk", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([c // _PIECE], pa.int32()), pa.array([zlib.compress(counts[c : c + _PIECE].astype("<u8").tobytes(), 1)], pa.binary())], ["doc_id", "tkey", "n", "sid", "chunk", "vec"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, sid long, chunk int, vec binary")
+    return docs.select("doc_id", "text", text_key(F.col("text")).alias("tkey")).mapInArrow(run, "doc_id long, tkey long, n int, sid long, chunk int, vec binary")
 
 
 def _order(profile: DataFrame) -> np.ndarray:
-    """The counting table, a byte a counter: the logarithm of the count in STEPS a doubling."""
+    """The counting table, a byte a counter: the logarithm of the count in STEPS a doubling. Counts come together along a tree; a task holds the chunks it owns."""
 
     def merge(batches):
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for c, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(zlib.decompress(v), "<u4")
-                held[c] = held[c] + got if c in held else got.astype(np.uint64)
+                got = np.frombuffer(zlib.decompress(v), "<u8")
+                held[c] = held[c] + got if c in held else got
         if held:
-            level = [np.minimum(255, np.round(STEPS * np.log2(1.0 + v))).astype(np.uint8).tobytes() for v in held.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(level, pa.binary())], ["chunk", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in held.values()], pa.binary())], ["chunk", "vec"])
+
+    def levels(batches):
+        for b in batches:
+            v = [np.minimum(255, np.round(STEPS * np.log2(1.0 + np.frombuffer(zlib.decompress(x), "<u8")))).astype(np.uint8).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.binary())], ["chunk", "vec"])
 
     table = np.zeros(1 << COUNTERS_BITS, np.uint8)
-    for r in profile.filter("chunk is not null").select("chunk", "vec").repartition(16, "chunk").mapInArrow(merge, "chunk int, vec binary").collect():  # of fixed size
+    counts = common.fold_tree(profile.filter("chunk is not null").select("chunk", "vec"), merge, "chunk int, vec binary")
+    for r in counts.mapInArrow(levels, "chunk int, vec binary").collect():  # of fixed size
         table[r.chunk * _PIECE : (r.chunk + 1) * _PIECE] = np.frombuffer(r.vec, np.uint8)
     return table
 
@@ -244,7 +254,7 @@ def _in_reach(share: int):
 
 
 def join(spark: SparkSession, docs: DataFrame, k: int, share: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: documents whose sets of distinct k-word shingles have a Jaccard similarity of share % or more are linked.
+    """(doc_id, n_shingles, component_id, tkey) of every row, tkey from text_key: documents whose sets of distinct k-word shingles have a Jaccard similarity of share % or more are linked.
 
     Null, empty and wordless texts have no shingles and are linked with nothing; under k words the whole sequence is one
     shingle. component_id is the smallest doc_id reachable. Rows that repeat a doc_id are judged as separate texts; rows
@@ -253,15 +263,18 @@ def join(spark: SparkSession, docs: DataFrame, k: int, share: int) -> DataFrame:
     """
     profile = common.cut(spark, _profile(docs, k), "profile")
     counts = spark.sparkContext.broadcast(_order(profile).tobytes())  # 8 MB, whatever the input
-    sets = profile.filter("chunk is null").select("doc_id", "n", "sid")
+    sets = profile.filter("chunk is null").select("doc_id", "tkey", "n", "sid")
     cells = profile.filter("chunk is null and n > 0").groupBy("sid").agg(F.max("vec").alias("cells"))
     postings = common.cut(spark, _postings(spark, docs, k, share, counts), "postings")
 
-    segments = common.cut(spark, _segments(docs, k, counts, common.bitmap(postings, "sid")), "segments")
+    done = [postings]
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         near = common.cut(spark, possible(pairs, cells, share), f"{name}-pairs")
-        return common.cut(spark, verify(near, segments, share), f"{name}-links")
+        ends = near.select(F.col("a").alias("sid")).union(near.select("b"))
+        links = common.cut(spark, verify(near, _segments(docs, k, counts, common.bitmap(ends, "sid")), share), f"{name}-links")
+        done.extend((near, links))
+        return links
 
     # each set against one other first: the centre of a group of its shingles that it shares most shingles with. A centre has the fewest rarer
     # shingles before the shared one, so it is the text that the others were made from rather than one of them
@@ -282,13 +295,15 @@ def join(spark: SparkSession, docs: DataFrame, k: int, share: int) -> DataFrame:
     apart = x.join(y, (x.token == y.token) & (x.a < y.b) & (x.ca != y.cb) & _in_reach(share)).select("a", "b", "na", "nb").distinct().join(tried, ["a", "b", "na", "nb"], "left_anti")
     whole = components(spark, links.union(linked(apart, "late")))
 
+    common.drop_tables(spark, tried, placed, *done)  # what is still to be read stands in other tables
+
     # from sets back to documents
-    known = sets.filter("n > 0 and doc_id is not null").join(whole, sets.sid == whole.id, "left").select("doc_id", "n", F.coalesce("component", "sid").alias("comp"))
+    known = sets.filter("n > 0 and doc_id is not null").join(whole, sets.sid == whole.id, "left").select("doc_id", "tkey", "n", F.coalesce("component", "sid").alias("comp"))
     least = known.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = known.join(least, "comp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return out.unionByName(sets.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = known.join(least, "comp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "tkey")
+    return out.unionByName(sets.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "tkey"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked by a Jaccard similarity of 85 % or more of their 4-word shingles, by component."""
-    return join(spark, common.table(spark, sf_dir, "documents"), 4, 85)
+    return join(spark, common.table(spark, sf_dir, "documents"), 4, 85).drop("tkey")
