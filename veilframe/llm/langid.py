@@ -21,6 +21,8 @@ DIMS = 4096
 CENTROIDS = 4
 #: Documents a language's centroids are fitted on, about; the document frequencies take all learnable rows.
 SAMPLE = 800
+#: Values of lang that are learned, the commonest first.
+LANGUAGES = 200
 #: A text is rejected if its cosine is below this share of the QUANTILE cosine of its language's texts of like length.
 REJECT_SHARE, QUANTILE = 0.75, 0.002
 #: The longest length bucket whose limit is learned from pieces of longer texts where too few texts (under FEW) have that length.
@@ -111,45 +113,48 @@ def pieces(text: str, seed: int) -> list[str]:
     return out
 
 
+def learn(rows: list[np.ndarray], cuts: list[list[str]], idf: np.ndarray) -> tuple[np.ndarray, list[float]]:
+    """(centroids, by length bucket the cosine below which few of its texts lie) of one language's sample."""
+    raw, x = np.array(rows), vectors(rows, idf)
+    c = cluster(x, CENTROIDS)
+    near, sizes = (x @ c.T).max(axis=1), bucket(raw.sum(axis=1))
+    floor = float(np.quantile(near, QUANTILE))
+    least = [min(floor, float(np.quantile(near[sizes == s], QUANTILE))) if (sizes == s).sum() >= FEW else floor for s in range(9)]
+    for s in range(SHORT + 1):
+        short = [p[s] for p in cuts if p[s]]
+        if (sizes == s).sum() < FEW and short:
+            y = vectors(list(counts(*common.utf8(pa.array(short)))), idf) @ c.T
+            least[s] = min(floor, float(np.quantile(y.max(axis=1), QUANTILE)), float(near[sizes == s].min(initial=1.0)))
+    return c, least
+
+
 def fit(docs: DataFrame) -> dict:
-    """Learn from rows of (doc_id, text, lang) with lang; the caller has left out what may not be learned from."""
+    """Learn from rows of (doc_id, text, lang) with lang; the caller has left out what may not be learned from. Each language's sample, bounded by SAMPLE, is clustered in a task of its own; the driver gets centroids alone. Of more than LANGUAGES values of lang the commonest are learned."""
     rows = docs.filter("lang is not null and text is not null")
-    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     df, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.1)
-    share = F.lit(0.0)
-    for lang, m in per.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE / m))).otherwise(share)
+    if not per:
+        return {"langs": [], "idf": idf, "centres": np.zeros((0, DIMS), np.float32), "owner": np.zeros(0, int), "least": np.zeros((0, 9))}
+    share = F.create_map(*[F.lit(x) for lang, m in per.items() for x in (lang, min(1.0, SAMPLE / m))])[F.col("lang")]
     some = rows.filter((F.xxhash64(F.col("doc_id"), F.lit("langid")).bitwiseAND(0xFFFFF) / F.lit(float(1 << 20))) < share)
 
-    def run(batches):
+    def read(batches):
         for b in batches:
             x = list(counts(*common.utf8(b.column(1))))
             cut = [pieces(t, zlib.crc32(t.encode("utf-8", "replace"))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for c in x], pa.binary()), pa.array(cut, pa.list_(pa.string()))], ["lang", "counts", "cut"])
 
-    got: dict[str, list[np.ndarray]] = {lang: [] for lang in per}
-    cuts: dict[str, list[list[str]]] = {lang: [] for lang in per}
-    for r in some.select("lang", "text").limit(4 * SAMPLE * max(1, len(per))).mapInArrow(run, "lang string, counts binary, cut array<string>").toLocalIterator():
-        got[r.lang].append(np.frombuffer(r.counts, "<u2"))
-        cuts[r.lang].append(r.cut)
-    langs = sorted(lang for lang, x in got.items() if x)
-    centres, owner, least = [], [], {}
-    for at, lang in enumerate(langs):
-        raw = np.array(got[lang])
-        x = vectors(got[lang], idf)
-        c = cluster(x, CENTROIDS)
-        near, sizes = (x @ c.T).max(axis=1), bucket(raw.sum(axis=1))
-        floor = float(np.quantile(near, QUANTILE))
-        least[at] = [min(floor, float(np.quantile(near[sizes == s], QUANTILE))) if (sizes == s).sum() >= FEW else floor for s in range(9)]
-        for s in range(SHORT + 1):
-            short = [p[s] for p in cuts[lang] if p[s]]
-            if (sizes == s).sum() < FEW and short:
-                y = vectors(list(counts(*common.utf8(pa.array(short)))), idf) @ c.T
-                least[at][s] = min(floor, float(np.quantile(y.max(axis=1), QUANTILE)), float(near[sizes == s].min(initial=1.0)))
-        centres.append(c)
-        owner += [at] * len(c)
-    return {"langs": langs, "idf": idf, "centres": np.concatenate(centres) if centres else np.zeros((0, DIMS), np.float32), "owner": np.array(owner, int), "least": np.array([least[i] for i in range(len(langs))]).reshape(-1, 9)}
+    def one(table: pa.Table) -> pa.Table:
+        order = sorted(zip(table.column("counts").to_pylist(), table.column("cut").to_pylist(), strict=True))[: 4 * SAMPLE]
+        c, least = learn([np.frombuffer(r, "<u2") for r, _ in order], [r for _, r in order], idf)
+        return pa.table({"lang": [table.column("lang")[0].as_py()], "centres": pa.array([c.astype("<f4").tobytes()], pa.binary()), "least": pa.array([least], pa.list_(pa.float64()))})
+
+    sample = some.select("lang", "text").mapInArrow(read, "lang string, counts binary, cut array<string>")
+    got = sorted(sample.groupBy("lang").applyInArrow(one, "lang string, centres binary, least array<double>").collect())
+    centres = [np.frombuffer(r.centres, "<f4").reshape(-1, DIMS) for r in got]
+    owner = np.repeat(np.arange(len(got)), [len(c) for c in centres])
+    return {"langs": [r.lang for r in got], "idf": idf, "centres": np.concatenate(centres) if centres else np.zeros((0, DIMS), np.float32), "owner": owner, "least": np.array([r.least for r in got]).reshape(-1, 9)}
 
 
 def judge(model: dict, column: pa.Array) -> tuple[list[str], list[float], list[bool]]:
@@ -170,18 +175,18 @@ def judge(model: dict, column: pa.Array) -> tuple[list[str], list[float], list[b
     return [model["langs"][b] if ok else "und" for b, ok in zip(best, letter, strict=True)], np.where(letter, score, 0.0).tolist(), (rejected | ~letter).tolist()
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows with lang_pred, score and rejected after their own columns (which they replace on a clash of names). Repeated rows stay; an empty table has no rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x centroids: of fixed size
-    own = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
+def predict(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """The rows with language, score and rejection under these names after their own columns (which they replace on a clash of names). Repeated rows stay, each with its language; an empty table has no rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANGUAGES x CENTROIDS x DIMS at most
+    own = [c for c in docs.columns if c not in names]
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in own]).schema)
 
     def run(batches):
         for b in batches:
             lang, score, rejected = judge(shared.value, b.column(b.schema.get_field_index("text")))
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(own))], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*own, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(own))], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*own, *names])
 
-    return docs.select(*own).mapInArrow(run, f"{out}, lang_pred string, score double, rejected boolean")
+    return docs.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, f"{out}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
