@@ -6,6 +6,8 @@ a vector's part. Rows go to their likeliest part, queries to the several likelie
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +15,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors the graph is built on, about; neighbours in it; most parts; hidden units.
-SAMPLE, NEIGHBOURS, PARTS, HIDDEN = 4096, 10, 32, 96
+#: Vectors the graph is built on, about; neighbours in it; hidden units.
+SAMPLE, NEIGHBOURS, HIDDEN = 8192, 10, 96
+#: Rows a part holds, about, until PARTS parts (a part needs PART_SAMPLE vectors of the sample).
+PART_ROWS, PARTS, PART_SAMPLE = 512, 128, 64
 #: Share of the sample's neighbours that the probed parts must hold; fewest parts probed.
-AIM, LEAST_PROBES = 0.985, 2
-ROW_BLOCK, QUERY_BLOCK, SALTS = 2048, 256, 4
+AIM, LEAST_PROBES = 0.94, 2
+#: Vectors in a block; a part's rows are salted so that a task ranks about SALT_ROWS of them.
+ROW_BLOCK, QUERY_BLOCK, SALT_ROWS = 2048, 256, 32_768
 
 
 def clean(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +114,17 @@ class Router:
         return np.argsort(-(h @ self.p[2] + self.p[3]), axis=1, kind="stable")
 
 
-def fit(vectors: DataFrame) -> tuple[Router | None, int, int]:
-    """(router, parts, parts to probe) from a sample of (vec_id, embedding); the probes are as many as hold AIM of the sample's own neighbours."""
+class Index(NamedTuple):
+    """A router over parts (None: one part), how many parts a query probes, and how many salts a part's rows have."""
+
+    router: Router | None
+    parts: int
+    probes: int
+    salts: int
+
+
+def fit(vectors: DataFrame, aim: float = AIM) -> Index:
+    """Parts learned from a sample of (vec_id, embedding), about SAMPLE vectors; the probes are as many as hold `aim` of the sample's own neighbours. Parts and salts grow with the rows."""
     n = vectors.count()
     some = vectors.filter((F.xxhash64(F.col("vec_id"), F.lit("ann")).bitwiseAND(0xFFFFF) / F.lit(float(1 << 20))) < min(1.0, SAMPLE / max(1, n)))
 
@@ -123,18 +137,18 @@ def fit(vectors: DataFrame) -> tuple[Router | None, int, int]:
     rows = [np.frombuffer(r.v, "<f8") for r in some.select("embedding").limit(2 * SAMPLE).mapInArrow(run, "v binary").collect()]
     width = max((len(r) for r in rows), default=0)
     x = np.unique(np.array([r for r in rows if len(r) == width]).reshape(-1, max(1, width)), axis=0)
-    parts = min(PARTS, len(x) // 64)
+    parts = min(PARTS, len(x) // PART_SAMPLE, max(1, n // PART_ROWS))
+    salts = max(1, -(-n // max(1, parts) // SALT_ROWS))
     if parts < 2:
-        return None, 1, 1
+        return Index(None, 1, 1, salts)
     x = unit(x)
     graph = neighbour_graph(x, NEIGHBOURS)
     router = Router(x, balanced_parts(x, graph, parts), parts)
     order = router.rank(x)
-    own = order[:, 0]
     rank_of = np.argsort(order, axis=1)
-    need = np.take_along_axis(rank_of, own[graph], axis=1)  # the place of each neighbour's part in the query's order
-    probes = next((m for m in range(1, parts + 1) if (need < m).mean() >= AIM), parts)
-    return router, parts, min(parts, max(LEAST_PROBES, probes))
+    need = np.take_along_axis(rank_of, order[:, 0][graph], axis=1)  # the place of each neighbour's part in the query's order
+    probes = next((m for m in range(1, parts + 1) if (need < m).mean() >= aim), parts)
+    return Index(router, parts, min(parts, max(LEAST_PROBES, probes)), salts)
 
 
 def place(vectors: DataFrame, router: Router | None, probes: int, block: int) -> DataFrame:
@@ -195,42 +209,65 @@ def _best(query_ids, q, ids, x, k: int):
     return query_ids[a[keep]], ids[b[keep]], score[keep]
 
 
-def search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """Join blocks by part (rows salted, queries repeated for each salt) and rank: (query_id, vec_id, score), up to k a query and block."""
-    left = queries.select("part", "width", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.explode(F.array(*[F.lit(s) for s in range(SALTS)])).alias("salt"))
-    right = rows.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int")).drop("block")
+def search(queries: DataFrame, rows: DataFrame, k: int, salts: int) -> DataFrame:
+    """Join blocks by part (rows salted, queries repeated for each salt) and rank: (query_id, vec_id, score). Blocks of rows that meet the same block of queries one after another give k rows a query together."""
+    left = queries.select("part", "width", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.explode(F.array(*[F.lit(s) for s in range(salts)])).alias("salt"))
+    right = rows.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).drop("block")
     pairs = left.join(right, ["part", "width", "salt"]).select("width", "q_ids", "q_vecs", "ids", "vecs")
 
     def run(batches):
+        block, best = None, None
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(best, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
         for b in batches:
             for r in b.to_pylist():
                 q, x = (np.frombuffer(r[c], "<f8").reshape(-1, r["width"]) for c in ("q_vecs", "vecs"))
                 got = _best(np.frombuffer(r["q_ids"], "<i8"), q, np.frombuffer(r["ids"], "<i8"), x, k)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(got, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+                if r["q_ids"] == block:
+                    best = _merged(best, got, k)
+                else:
+                    if best is not None:
+                        yield out()
+                    block, best = r["q_ids"], got
+        if best is not None:
+            yield out()
 
     return pairs.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
+def _merged(a: tuple, b: tuple, k: int) -> tuple:
+    """The k nearest a query of two lists (query, vec_id, cosine); a repeated id counts once, by its nearest row."""
+    q, v, s = (np.concatenate(c) for c in zip(a, b, strict=True))
+    order = np.lexsort((-s, v, q))
+    q, v, s = q[order], v[order], s[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (np.diff(q) != 0) | (np.diff(v) != 0)
+    q, v, s = q[new], v[new], s[new]
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], v[keep], s[keep]
+
+
 def top(found: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): nearest first, ties to the smaller id; repeated ids count once."""
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.far")).alias("score"))
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int, aim: float = AIM) -> DataFrame:
     """The k nearest of vectors to each of queries (both vec_id, embedding), the query's own id left out.
 
     Null ids and vectors that are null, zero or not finite take no part; vectors of another length are compared with
     their like. A query whose parts hold fewer than k others is searched again over all parts.
     """
-    router, parts, probes = fit(vectors)
+    router, parts, probes, salts = fit(vectors, aim)
     rows = common.cut(spark, place(vectors, router, 1, ROW_BLOCK), "ann-rows")
-    found = common.cut(spark, top(search(place(queries, router, probes, QUERY_BLOCK), rows, k), k), "ann-found")
+    found = common.cut(spark, top(search(place(queries, router, probes, QUERY_BLOCK), rows, k, salts), k), "ann-found")
     if probes == parts:
         return found
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
     short = queries.join(full, "vec_id", "left_anti")
-    again = top(search(place(short, router, parts, QUERY_BLOCK), rows, k), k)
+    again = top(search(place(short, router, parts, QUERY_BLOCK), rows, k, salts), k)
     return found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(again)
 
 
