@@ -1,8 +1,10 @@
 """Hierarchical best-fit packing of token sequences.
 
 Partitions pack their own pieces best-fit (longest first) and emit bins that are full or nearly so; the rest travel up a
-tree as items, and each node packs the residual bins of its children again. A node keeps at most KEEP residual bins, the
-emptiest; fuller ones are emitted as they are, so a node's memory is bounded and no piece is ever dropped.
+tree as items, and each node packs the residual bins of its children again. Leaves and nodes read what they get in runs of
+RUN items, so their memory is bounded whatever they are dealt; bins that a run leaves underfull meet others in the next round.
+The rounds end with a node that holds them all, or once a round saves next to nothing (bins that no bin fits into). No bin is
+given up before.
 """
 
 from __future__ import annotations
@@ -19,11 +21,15 @@ from . import common, tokens
 
 #: Children a tree node merges.
 FAN_IN = 8
-#: Residual bins that a node passes on at most.
-KEEP = 16_384
+#: Items (pieces, or bins of an earlier round) that are packed at once, and pieces in them at most.
+RUN, MOST_PIECES = 16_384, 1 << 18
+#: A round that leaves more than this share of the bins it got is the last.
+STALE = 0.98
 #: A bin with less room than this (in 1/1000 of capacity) is nearly full.
 NEARLY = 4
 ITEM = "array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,crc:bigint,offset:bigint>>"
+#: Where the level and the node stand in a bin's number.
+LEVEL_AT, NODE_AT = 58, 32
 BIN = f"bin long, fill int, items {ITEM}"
 
 
@@ -69,10 +75,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
 def _pack_partition(capacity: int, level: int, last: bool):
     item_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("offset", pa.int64())]))
 
-    def run(batches):
-        got = []
-        for b in batches:
-            got += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+    def packed(got: list, first_bin: int):
         got.sort(key=lambda x: (-x[0], (first := x[1][0])["doc_id"] is None, first["doc_id"] or 0, first["piece"], first["crc"]))
         bins: dict[int, list] = {}
         fills: dict[int, int] = {}
@@ -82,13 +85,21 @@ def _pack_partition(capacity: int, level: int, last: bool):
                 i["offset"] += at
             bins.setdefault(b, []).extend(items)
             fills[b] = at + size
-        rest = [] if last else sorted((b for b in bins if capacity - fills[b] > capacity * NEARLY // 1000), key=lambda b: (fills[b], b))[:KEEP]
-        open_bins = set(rest)
-        node = (level << 48) | (TaskContext.get().partitionId() << 24)
-        order = list(bins)
-        for i in range(0, len(order), 2048):
-            some = order[i : i + 2048]
-            yield pa.RecordBatch.from_arrays([pa.array([node + b for b in some], pa.int64()), pa.array([fills[b] for b in some], pa.int32()), pa.array([bins[b] for b in some], item_type), pa.array([b not in open_bins for b in some], pa.bool_())], ["bin", "fill", "items", "done"])
+        done = [last or capacity - fills[b] <= capacity * NEARLY // 1000 for b in bins]
+        return pa.RecordBatch.from_arrays([pa.array([first_bin + b for b in bins], pa.int64()), pa.array([fills[b] for b in bins], pa.int32()), pa.array(list(bins.values()), item_type), pa.array(done, pa.bool_())], ["bin", "fill", "items", "done"])
+
+    def run(batches):
+        got, size, at = [], 0, (level << LEVEL_AT) | (TaskContext.get().partitionId() << NODE_AT)
+        for b in batches:
+            for fill, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got.append((fill, items))
+                size += len(items)
+                if len(got) >= RUN or size >= MOST_PIECES:
+                    out = packed(got, at)
+                    yield out
+                    got, size, at = [], 0, at + len(out)
+        if got:
+            yield packed(got, at)
 
     return run
 
@@ -103,15 +114,21 @@ def pack(spark: SparkSession, cut_pieces: DataFrame, capacity: int) -> DataFrame
     rows = common.cut(spark, cut_pieces, "pieces")
     full = rows.filter(F.col("length") >= capacity).select("doc_id", "piece", "start", "length", F.col("crc").alias("ids_crc32"), (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     level = rows.filter(F.col("length") < capacity).select(F.col("length").cast("int").alias("fill"), F.array(F.struct("doc_id", "piece", "start", "length", "crc", F.lit(0).cast("long").alias("offset"))).alias("items"))
-    n, depth, done = max(1, level.rdd.getNumPartitions()), 1, []
+    n, depth, done, waiting = max(1, level.rdd.getNumPartitions()), 1, [], None
     while True:
-        packed = common.cut(spark, level.mapInArrow(_pack_partition(capacity, depth, n == 1), BIN + ", done boolean"), f"bins-{depth}")
+        last = n == 1 and waiting is not None and waiting <= RUN
+        packed = common.cut(spark, level.mapInArrow(_pack_partition(capacity, depth, last), BIN + ", done boolean"), f"bins-{depth}")
         done.append(packed.filter("done").select("bin", "items"))
-        if n == 1:
+        if last:
+            break
+        open_bins = packed.filter("not done")
+        left = open_bins.count()
+        if left == 0 or (waiting is not None and left > STALE * waiting):
+            done[-1] = packed.select("bin", "items")
             break
-        n, depth = max(1, -(-n // FAN_IN)), depth + 1
-        open_bins = packed.filter("not done").select("fill", "items", F.shiftright(F.col("bin").bitwiseAND((1 << 48) - 1), 24).alias("node"))
-        level = open_bins.repartitionById(n, (F.col("node") % n).cast("int")).select("fill", "items")
+        waiting, n, depth = left, max(1, -(-n // FAN_IN), -(-left // RUN)), depth + 1
+        node = F.shiftright(F.col("bin").bitwiseAND((1 << LEVEL_AT) - 1), NODE_AT)
+        level = open_bins.select("fill", "items", (node % n).cast("int").alias("node")).repartitionById(n, "node").select("fill", "items")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
