@@ -13,24 +13,39 @@ CAPACITY, TOKENIZER, END_ID = 4096, "word_bpe_49k.json", 1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose text is near a learned language; null, wordless and far texts go."""
+    """Keeps documents whose text is near a learned language; null, empty, wordless and far texts go. Repeated rows are judged alike; columns stay as they are, whatever their names; an empty table stays empty."""
     model = langid.fit(docs.select("doc_id", "text", "lang").filter(langid.remainder("doc_id", 3) != 1))
-    judged = langid.predict(docs, model)
-    return judged.filter("not rejected").select(*_own(docs))
+    names = common.fresh(docs, "lang_pred", "score", "rejected")
+    return langid.predict(docs, model, tuple(names)).filter(f"not {names[2]}").drop(*names)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that score under 0.5."""
+    """Keeps documents that score under 0.5. Null and empty texts get the score of no words, which stays; repeated rows are judged alike; columns stay as they are, whatever their names; an empty table stays empty."""
     labels = common.table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels.filter(langid.remainder("doc_id", 5) != 0))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*_own(docs))
+    names = common.fresh(docs, "score", "predicted")
+    return toxicity.score(docs, model, tuple(names)).filter(f"{names[1]} = 0").drop(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group; documents without words stay."""
-    found = ngram_join.join(spark, docs, SHINGLE_WORDS, SIMILARITY)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+    """Keeps one document of each group: the row with the smallest doc_id, of several with that id the text with the smallest key.
+
+    Texts without words are in no group, and rows with null doc_id are compared with nothing: both stay. Rows that repeat a
+    doc_id with other texts are judged apart; of rows alike in both one stays. Columns stay as they are; an empty table stays
+    empty.
+    """
+    found = common.cut(spark, ngram_join.join(spark, docs, SHINGLE_WORDS, SIMILARITY).filter("doc_id is not null and n_shingles > 0"), "groups")
+    row = found.groupBy("component_id", "doc_id", "tkey").agg(F.count("*").alias("n"))
+    first = row.filter("doc_id = component_id").groupBy("component_id").agg(F.min("tkey").alias("first"))
+    state = row.join(first, "component_id").select("doc_id", "tkey", "n", ((F.col("doc_id") == F.col("component_id")) & (F.col("tkey") == F.col("first"))).alias("stays"))
+    gone = common.cut(spark, state.filter("not stays or n > 1").select(F.col("doc_id").alias("_gone"), F.col("tkey").alias("_gone_key"), "stays"), "gone")
+    key, = common.fresh(docs, "_tkey")
+    keyed = docs.withColumn(key, ngram_join.text_key(F.col("text")))
+    same = (keyed["doc_id"] == gone["_gone"]) & (keyed[key] == gone["_gone_key"])
+    left = keyed.join(gone, same, "left_anti")
+    if not gone.filter("stays").isEmpty():  # rows alike in doc_id and text: one of them
+        left = left.unionByName(keyed.join(gone.filter("stays"), same, "left_semi").dropDuplicates(["doc_id", key]))
+    return left.drop(key)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +54,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left as token sequences: a row a piece."""
+    """What is left as token sequences: a row a piece. Null and empty texts are the end id alone; rows with null or repeated doc_id are packed like any other; other columns are left behind; an empty table gives no rows."""
     return packing.pack(spark, packing.pieces(docs, TOKENIZER, END_ID, CAPACITY), CAPACITY)
 
 
-def _own(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 STAGES = [("language_id", language), ("toxicity", toxic), ("ngram_jaccard_join", near_duplicates), ("suffix_array_dedup", repeated_passages), ("best_fit_packing", packed)]
 
 ORACLE_SQL = None
