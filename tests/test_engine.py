@@ -6,8 +6,8 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from veilframe.operators import events, native, pages, report, session
-from veilframe.plans import lifecycle, queries
+from veilframe.operators import events, native, pages, report, review, session
+from veilframe.plans import jobs, lifecycle, queries
 from veilframe.sources.gates import Limits, files_at_the_door
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -180,3 +180,171 @@ def test_stream_admission(spark, tmp_path):
     finally:
         q.stop()
     assert {r.ts_ms: r.admitted for r in spark.table("adm").collect()} == {10**12: True, 10**12 + 50_000: False, 10**12 + 4_000_000: True}
+
+
+def page(chars="", y=100.0, width=600.0, height=800.0, **glyph):
+    """Characters of one line of 10-point glyphs from x = 20 on, and the drawings that show them."""
+    c = [{"idx": i, "line": 1, "code": ord(ch), "quad": [20.0 + 10 * i, y - 10, 30.0 + 10 * i, y - 10, 20.0 + 10 * i, y, 30.0 + 10 * i, y]} for i, ch in enumerate(chars)]
+    d = [{"ord": 1, "kind": "glyph", "idx": x["idx"], "quad": x["quad"], "visible": True, "opaque": False, "alpha": 1.0, "contrast": 21.0} | glyph for x in c]
+    return c, d
+
+
+def drawn(kind, x0, y0, x1, y1, order=0, opaque=True):
+    return {"ord": order, "kind": kind, "idx": None, "quad": [x0, y0, x1, y0, x0, y1, x1, y1], "visible": True, "opaque": opaque, "alpha": 1.0, "contrast": 21.0}
+
+
+def findings(c, d, w=600.0, h=800.0):
+    return pages.read_page(w, h, c, d)[0]
+
+
+def test_page_findings_by_rule():
+    assert findings(*page("Hello")) == []
+    assert findings([], []) == ["blank"]
+    assert findings([], [drawn("path", 10, 10, 50, 50)]) == ["drawn-only"]
+    assert findings([], [drawn("image", 0, 0, 600, 800)]) == ["scanned"]
+    # a bare picture beside vector drawings, on a page without glyphs: both are told
+    assert findings([], [drawn("image", 0, 0, 200, 200), drawn("path", 300, 300, 400, 400)]) == ["drawn-only", "bare-picture"]
+    c, d = page("Hello words over it", y=50)
+    small = drawn("image", 0, 0, 60, 40)  # under 5 % of the page
+    assert findings(c, [*d, small]) == []
+    # text elsewhere on the page does not clear a picture; text over it does; a scan is not a bare picture as well
+    assert findings(c, [*d, drawn("image", 0, 300, 300, 700)]) == ["bare-picture"]
+    assert findings(c, [*d, drawn("image", 0, 0, 230, 200)]) == []
+    assert findings(*[(c, [*d, drawn("image", 0, 100, 600, 800)])][0]) == ["scanned"]
+    # overlapping pictures count once
+    long_c, long_d = page("x" * 45, y=20)
+    assert findings(long_c, [*long_d, *[drawn("image", 0, 500, 300, 780)] * 4]) == ["bare-picture"]
+
+
+def test_page_findings_of_characters():
+    assert findings(*page("ab\ufffd\ufffdcd\ufffd")) == []  # never three in a row
+    assert findings(*page("ab\ufffd\ufffd\ufffd")) == ["unreadable-text"]
+    assert findings(*page("\ufffd")) == ["unreadable-text"]
+    c, d = page("Hello there", visible=False)
+    assert findings(c, d) == ["hidden-text"]
+    assert findings(c, [*d, drawn("image", 0, 0, 600, 800)]) == ["machine-read-text"]  # and neither a scan nor bare
+    c, d = page("Hello", contrast=1.0)
+    assert findings(c, d) == ["hidden-text"]
+    c, d = page("Hello")
+    half = [drawn("cover", 15, 85, 45, 105, 2), drawn("cover", 40, 85, 80, 105, 3)]  # together they hide all
+    found, hidden = pages.read_page(600, 800, c, [*d, *half])
+    assert found == ["covered-text"] and {k for _, k in hidden} == {"covered"} and len(hidden) == 5
+    assert findings(c, [*d, drawn("cover", 0, 0, 600, 800, 0)]) == []  # drawn before the text
+    assert findings(c, [*d, {**drawn("description", 0, 0, 1, 1)}]) == ["marked-descriptions"]
+    assert findings(c, [*d, drawn("image", -5, 90, 20, 100)]) == ["off-page-picture"]
+    assert findings(c, [*d, drawn("path", 700, 0, 800, 10)]) == ["off-page-content"]
+
+
+def test_events_of_every_shape():
+    for raw, ok in queries.SAMPLES:
+        assert (events.parse_event(raw) is not None) == ok, raw
+    assert set(events.EVENTS) == {name for raw, ok in queries.SAMPLES if ok for name in [raw.split('"')[3]]}
+    got = events.parse_event(queries.SAMPLES[6][0])
+    assert got["stripped"] == ["annotations", "javascript"]  # in the list's order
+
+
+def test_admission_by_both_rules():
+    rule = events.Admission(window_ms=100, budget=2)
+    assert [rule.take(k, t, d) for k, t, d in (("a", 0, True), ("a", 50, True), ("b", 60, True), ("c", 70, True), ("s", 75, False), ("s", 80, False), ("a", 100, True))] == [True, False, True, False, True, False, False]
+    assert rule.take("c", events.DAY_MS, True)  # what the budget refused started no window, and a new day has its own budget
+    rule.forget(events.DAY_MS + 50)
+    assert rule.sent == {"c": events.DAY_MS}
+
+
+def test_report_budget_ranks_only_the_first(spark):
+    df = spark.createDataFrame([(f"k{i:03d}", i, i % 2 == 0) for i in range(100)], "key string, ts_ms long, from_page boolean")
+    got = {r.key for r in events.within_budget(df, 5).filter("admitted and from_page").collect()}
+    assert got == {f"k{i:03d}" for i in (0, 2, 4, 6, 8)}
+
+
+def test_outcome_ladder(spark):
+    names = ("ticked", "structural", "escaped", "leaked", "unreadable", "replaced", "overreached")
+    rows = [("", None), ("ticked", None), ("leaked", "unsupported"), ("escaped", "redaction-incomplete"), ("ticked structural leaked", "redaction-incomplete"), ("ticked leaked unreadable", "redaction-incomplete"), ("ticked unreadable replaced", "unsupported"), ("ticked replaced overreached", "replacement-text"), ("ticked overreached", "redaction-overreach")]
+    df = spark.createDataFrame([(i, *(n in said.split() for n in names)) for i, (said, _) in enumerate(rows)], "i int, " + ", ".join(f"{n} boolean" for n in names))
+    got = {r.i: r.o for r in df.select("i", review.outcome(*map(F.col, names)).alias("o")).collect()}
+    assert got == {i: why for i, (_, why) in enumerate(rows)}
+
+
+def test_stale_targets_are_refused(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.org now"), (2, "call c@d.org"), (3, "x")], "doc_id long, text string")
+    t = spark.createDataFrame([(1, 1, 5, 12, "a@b.org"), (2, 1, 4, 11, "c@d.org"), (3, 1, 0, 40, "x")], "doc_id long, page int, start int, end int, text string")
+    out = {r.doc_id: (r.text, r.n_removed, r.refusal) for r in lifecycle.redact(docs, t).collect()}
+    assert out == {1: ("mail ███████ now", 1, None), 2: ("call c@d.org", 0, "unsupported"), 3: ("x", 0, "unsupported")}
+    flagged = t.withColumn("slanted", F.col("doc_id") == 1).withColumn("overreach", F.lit(False))
+    assert {r.doc_id: r.refusal for r in review.refused_targets(docs, flagged).collect()} == {1: "slanted-text", 2: "unsupported", 3: "unsupported"}
+
+
+def test_one_pass_redaction_is_the_same(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    chosen = lifecycle.selected(lifecycle.matches(docs))
+    a = lifecycle.redact(docs, chosen).select("doc_id", "text", "n_removed")
+    b = lifecycle.redact_all(docs)
+    assert a.exceptAll(b.select("doc_id", "text", "n_removed")).count() == 0
+    assert lifecycle.judged(b).exceptAll(lifecycle.verify(docs, a, chosen).select("doc_id", F.lit("").alias("text"), "n_removed", "leaked", "lost", "added", "verdict", "outcome").join(b.select("doc_id", F.col("text").alias("new")), "doc_id").select("doc_id", F.col("new").alias("text"), "n_removed", "leaked", "lost", "added", "verdict", "outcome")).count() == 0
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Join" not in plan
+
+
+def test_session_events_of_refusals(spark):
+    log = [("a", 0, "file-chosen", '{"tier":"free"}'), ("a", 1, "failed", '{"failure":"too-large"}'), ("b", 0, "file-chosen", '{"tier":"paid"}'), ("b", 1, "progress", "{}"), ("b", 2, "failed", '{"failure":"too-large"}'), ("c", 0, "file-chosen", "{}"), ("c", 1, "worker-lost", "{}")]
+    steps = session.transitions(spark.createDataFrame(log, "job_id string, seq long, action string, payload string"))
+    got = {(r.job_id, r.name, r.cap) for r in session.usage_events(steps).collect()}
+    assert got == {("a", "cap-reached", "size"), ("b", "run-refused", None), ("c", "run-refused", None), ("c", "engine-unavailable", None)}
+
+
+def test_sentences_and_counts(spark):
+    m = spark.createDataFrame([(1, {"email": 2, "term": 1}), (2, {})], "k int, m map<string,bigint>")
+    assert {r.k: r.s for r in m.select("k", report.removed_sentence(F.col("m")).alias("s")).collect()} == {1: "2 email addresses and 1 match", 2: "Nothing"}
+    s = spark.createDataFrame([(1, ["annotations", "javascript"]), (2, [])], "k int, a array<string>")
+    assert {r.k: r.s for r in s.select("k", report.stripped_sentence(F.col("a")).alias("s")).collect()} == {1: "Annotations and JavaScript", 2: "Nothing else needed stripping."}
+    n = spark.range(1).select(report.counted(F.lit(1), "match", "matches").alias("a"), report.counted(F.lit(1234), "match", "matches").alias("b"), report.count_text(F.lit(5)).alias("c"), report.partly(F.array(F.lit("blank"), F.lit("scanned"))).alias("d")).first()
+    assert tuple(n) == ("1 match", "1,234 matches", "5", True)
+
+
+def test_small_operators(spark):
+    e = spark.createDataFrame([("x", {"email": "1"})], "id string, found map<string,string>")
+    assert [tuple(r) for r in events.flatten_fields(e, "found", "id").collect()] == [("x", "found_email", "1")]
+    t = spark.createDataFrame([("en-GB",), ("e",), ("en_GB",)], "t string").select("t", events.language_tag(F.col("t")).alias("ok"), events.report_key(F.lit("a"), F.col("t")).alias("k"))
+    assert {r.t: r.ok for r in t.collect()} == {"en-GB": True, "e": False, "en_GB": False} and t.first().k == "a en-GB"
+    r = spark.createDataFrame([(1, 1, ["scanned"]), (1, 2, ["blank"]), (2, 1, [])], "doc_id int, page int, findings array<string>")
+    assert {x.doc_id: x.refusal for x in pages.document_refusal(r).collect()} == {1: "no-readable-text", 2: None}
+    a = spark.createDataFrame([(1, 1, 5), (2, 1, 3)], "doc_id int, page int, trimmed int")
+    b = spark.createDataFrame([(1, 1, 5), (2, 1, 3), (2, 2, 1)], "doc_id int, page int, trimmed int")
+    assert {x.doc_id: x.agrees for x in pages.trim_agrees(a, b).collect()} == {1: True, 2: False}
+    q = [0.0, 0.0, 10.0, 0.0, 0.0, 10.0, 10.0, 10.0]
+    second = spark.createDataFrame([(1, 1, "r1", "t", 5.0, 5.0), (1, 1, "r2", "t", 5.0, 5.0), (1, 1, "r2", "t", 50.0, 5.0), (1, 1, "r3", "u", 5.0, 5.0)], "doc_id int, page int, row_id string, term string, cx double, cy double")
+    first = spark.createDataFrame([(1, 1, "t", q)], "doc_id int, page int, term string, quad array<double>")
+    assert {x.row_id for x in pages.hidden_rows(second, first).collect()} == {"r2", "r3"}
+    found = spark.createDataFrame([("m1", True), ("m2", True), ("m3", True)], "match_id string, ticked boolean")
+    facts = spark.createDataFrame([("m1", False, True, True, False), ("m2", None, None, False, False)], "match_id string, unsound boolean, replaced boolean, slanted boolean, overreach boolean")
+    assert {x.match_id: (x.blocked, x.ticked) for x in pages.block_matches(found, facts).collect()} == {"m1": ("replacement-text", False), "m2": (None, True), "m3": (None, True)}
+
+
+def test_writer_and_door(spark, tmp_path):
+    from veilframe.sources import gates
+
+    gates.write(spark.range(3), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    with pytest.raises(Exception):
+        gates.write(spark.range(3), str(tmp_path / "out"))
+
+
+def test_runs_can_be_cancelled(spark):
+    import threading
+    import time
+
+    runs = jobs.Runs(spark)
+    assert runs.run("a", lambda: spark.range(10).count()) == 10
+    runs.cancel("b")
+    with pytest.raises(jobs.Cancelled):
+        runs.run("b", lambda: 1)
+    slow = F.udf(lambda x: time.sleep(0.2) or x, "long")
+    threading.Timer(3, runs.cancel, ("c",)).start()
+    with pytest.raises(jobs.Cancelled):
+        runs.run("c", lambda: spark.range(400).repartition(2).select(slow("id")).agg(F.sum("<lambda>(id)")).collect())
+
+
+def test_masking_goes_on_behind_a_match(spark):
+    rows = [("a@b.c_d@e.fr",), ("no at " + "x" * 50_000,), ("x" * 50_000 + " a@b.org",), ("._a@b.org 4111111111111111",)]
+    got = [r.m for r in spark.createDataFrame(rows, "text string").select(native.masked(F.col("text")).alias("m")).collect()]
+    assert got == ["[EMAIL][EMAIL]", rows[1][0], "x" * 50_000 + " [EMAIL]", "[EMAIL] [NUMBER]"]

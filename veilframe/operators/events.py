@@ -18,17 +18,30 @@ BLOCKED = ("unsound-outline", "replacement-text", "slanted-text", "image-overrea
 PAGE_FINDINGS = ("covered-text", "hidden-text", "scanned", "drawn-only", "unreadable-text", "bare-picture", "off-page-picture", "marked-descriptions", "machine-read-text", "off-page-content", "blank")
 PAGE_KINDS = ("home", "tool", "pricing", "privacy", "terms", "sign-in", "sign-up", "account", "billing", "welcome", "not-found")
 TIERS, ACCOUNTS = ("free", "paid"), ("none", "signed-out", "signed-in", "unknown")
+STEPS, CAPS, CRASHES = ("open", "redact"), ("pages", "size"), ("error", "rejection")
+FAILURES = ("engine-unavailable", "encrypted", "password-required", "corrupt", "unsupported", "too-large", "too-many-pages", "file-unreadable", "not-pdf", "hidden-layers", "redaction-incomplete", "redaction-overreach", "replacement-text", "slanted-text", "no-readable-text", "edge-text", "unreadable-structure")
+STRIPPED = ("document-info", "xmp-metadata", "annotations", "form-fields", "attachments", "bookmarks", "hidden-layers", "javascript", "incremental-versions", "page-thumbnails", "accessibility-tags")
+ROUTES = ("home", "tool", "pricing", "privacy", "terms", "not-found", "entitlement", "telemetry", "account", "subscribe", "billing", "welcome", "sign-in", "sign-up", "proxy", "other")
+ROUTE_TYPES = ("render", "route", "action", "proxy", "other")
+BILLING_ACTIONS = ("subscribe", "portal", "delete", "welcome")
+BILLING_OUTCOMES = ("plan-unknown", "customer-conflict", "other-product", "checkout-failed", "portal-failed", "billing-failed", "sign-in-kept", "still-waiting")
 _ONE, _MAP, _SET = "one", "map", "set"
 EVENTS: dict[str, dict[str, tuple[str, tuple[str, ...]]]] = {
     "page-view": {"page": (_ONE, PAGE_KINDS)},
     "document-opened": {"pages": (_ONE, BUCKETS), "found": (_MAP, MATCH_KINDS), "blocked": (_MAP, BLOCKED), "pagesWith": (_MAP, PAGE_FINDINGS), "tier": (_ONE, TIERS), "account": (_ONE, ACCOUNTS)},
-    "cap-reached": {"cap": (_ONE, ("pages", "bytes", "terms")), "account": (_ONE, ACCOUNTS)},
+    "redaction-completed": {"removed": (_MAP, MATCH_KINDS), "unticked": (_MAP, MATCH_KINDS), "blockedByKind": (_MAP, MATCH_KINDS), "blockedByReason": (_MAP, BLOCKED), "terms": (_ONE, BUCKETS), "termsSetAside": (_ONE, BUCKETS), "stripped": (_SET, STRIPPED), "tier": (_ONE, TIERS), "account": (_ONE, ACCOUNTS)},
+    "run-refused": {"kind": (_ONE, FAILURES), "step": (_ONE, STEPS), "tier": (_ONE, TIERS), "account": (_ONE, ACCOUNTS)},
+    "cap-reached": {"cap": (_ONE, CAPS), "account": (_ONE, ACCOUNTS)},
     "subscribe-started": {},
     "subscription-confirmed": {},
+    "server-crash": {"route": (_ONE, ROUTES), "routeType": (_ONE, ROUTE_TYPES)},
     "plan-check-failed": {},
+    "browser-crash": {"page": (_ONE, PAGE_KINDS), "kind": (_ONE, CRASHES)},
     "engine-unavailable": {},
-    "browser-crash": {"page": (_ONE, PAGE_KINDS), "kind": (_ONE, ("error", "rejection"))},
+    "billing-failed": {"action": (_ONE, BILLING_ACTIONS), "outcome": (_ONE, BILLING_OUTCOMES)},
 }
+#: Reports that pages send; they share a budget a day, but for the one billing failure that they send.
+PAGE_EVENTS = ("browser-crash", "engine-unavailable")
 HOUR_MS, DAY_MS, PAGE_REPORTS = 3_600_000, 86_400_000, 20
 MOST_BYTES = 2048
 
@@ -83,23 +96,68 @@ def report_key(*fields: Column) -> Column:
 
 
 def admitted(reports: DataFrame, window_ms: int = HOUR_MS) -> DataFrame:
-    """(key, ts_ms, admitted): a report is admitted unless its key was within the window before. The window runs from the last one admitted, so it is a fold in time; per key, keys in parallel."""
-    lists = reports.groupBy("key").agg(F.array_sort(F.collect_list("ts_ms")).alias("ts"))
-    empty = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<boolean>").alias("ok"))
+    """(key, ts_ms, admitted): a report is admitted unless its key was within the window before. The window runs from the last one admitted, so it is a fold in time; keys go in parallel, and a task carries one key's last time, however many reports the key has."""
 
-    def step(acc: Column, t: Column) -> Column:
-        ok = acc["last"].isNull() | (t - acc["last"] >= window_ms)
-        return F.struct(F.when(ok, t).otherwise(acc["last"]).alias("last"), F.concat(acc["ok"], F.array(ok)).alias("ok"))
+    def run(batches):
+        key, last = None, None
+        for b in batches:
+            ok = []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if k != key:
+                    key, last = k, None
+                ok.append(last is None or t - last >= window_ms)
+                last = t if ok[-1] else last
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["key", "ts_ms", "admitted"])
 
-    folded = lists.select("key", F.arrays_zip(F.col("ts"), F.aggregate("ts", empty, step)["ok"].alias("ok")).alias("z"))
-    return folded.select("key", F.explode("z").alias("z")).select("key", F.col("z.ts").alias("ts_ms"), F.col("z.ok").alias("admitted"))
+    return reports.select("key", "ts_ms").repartition("key").sortWithinPartitions("key", "ts_ms").mapInArrow(run, "key string, ts_ms long, admitted boolean")
 
 
 def within_budget(reports: DataFrame, budget: int = PAGE_REPORTS) -> DataFrame:
-    """Of (key, ts_ms, from_page), the first `budget` of a UTC day that come from pages; others draw on nothing."""
-    day = F.floor(F.col("ts_ms") / DAY_MS)
-    w = Window.partitionBy("from_page", "day").orderBy("ts_ms", "key")
-    return reports.withColumn("day", day).withColumn("k", F.row_number().over(w)).withColumn("admitted", ~F.col("from_page") | (F.col("k") <= budget)).drop("k")
+    """Of (key, ts_ms, from_page), the first `budget` of a UTC day that come from pages; others draw on nothing. Keys are unique. Only the first of each day are ranked: each task passes on `budget` of a day at most."""
+    marked = reports.withColumn("day", F.floor(F.col("ts_ms") / DAY_MS))
+    first = marked.filter("from_page").withColumn("k", F.row_number().over(Window.partitionBy("day").orderBy("ts_ms", "key"))).filter(F.col("k") <= budget).select("key", F.lit(True).alias("first"))
+    return marked.join(first, "key", "left").withColumn("admitted", ~F.col("from_page") | F.coalesce("first", F.lit(False))).drop("first")
+
+
+class Admission:
+    """Both rules over the reports of one server instance in time: a key once a window since it was last admitted, then the day's budget of page reports. A report that either refuses leaves nothing behind."""
+
+    def __init__(self, window_ms: int = HOUR_MS, budget: int = PAGE_REPORTS, sent: dict[str, int] | None = None, day: int = -1, spent: int = 0):
+        self.window_ms, self.budget, self.sent, self.day, self.spent = window_ms, budget, dict(sent or {}), day, spent
+
+    def take(self, key: str, ts_ms: int, draws: bool) -> bool:
+        last, day = self.sent.get(key), ts_ms // DAY_MS
+        spent = self.spent if day == self.day else 0
+        if (last is not None and ts_ms - last < self.window_ms) or (draws and spent >= self.budget):
+            return False
+        self.sent[key] = ts_ms
+        if draws:
+            self.day, self.spent = day, spent + 1
+        return True
+
+    def forget(self, ts_ms: int) -> None:
+        """Drop what no later report can meet."""
+        self.sent = {k: t for k, t in self.sent.items() if ts_ms - t < self.window_ms}
+
+
+def admit_reports(reports: DataFrame, window_ms: int = HOUR_MS, budget: int = PAGE_REPORTS) -> DataFrame:
+    """(instance, seq, key, ts_ms, admitted) of (instance, seq, key, ts_ms, draws) by both rules; instances go in parallel, each in time, and a task holds the keys of one window."""
+
+    def run(batches):
+        instance, rule, n = None, None, 0
+        for b in batches:
+            ok = []
+            for i, k, t, draws in zip(*(b.column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True):
+                if rule is None or i != instance:
+                    instance, rule = i, Admission(window_ms, budget)
+                ok.append(rule.take(k, t, draws))
+                n += 1
+                if n % 4096 == 0:
+                    rule.forget(t)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ok, pa.bool_())], ["instance", "seq", "key", "ts_ms", "admitted"])
+
+    order = reports.select(F.col("instance").cast("string"), F.col("seq").cast("long"), "key", "ts_ms", "draws").repartition("instance").sortWithinPartitions("instance", "ts_ms", "seq")
+    return order.mapInArrow(run, "instance string, seq long, key string, ts_ms long, admitted boolean")
 
 
 def kept(events: DataFrame) -> DataFrame:
@@ -165,6 +223,13 @@ def calendar_date(text: Column) -> Column:
     return text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNotNull()
 
 
+def newest_first(entries: DataFrame, *by: str) -> DataFrame:
+    """(by, newest_first): are the dates (yyyy-mm-dd) of (by, position, date) real days, each later than the next?"""
+    w = Window.partitionBy(*by).orderBy("position")
+    before = F.lag("date").over(w)
+    return entries.withColumn("ok", calendar_date(F.col("date")) & (before.isNull() | (before > F.col("date")))).groupBy(*by).agg(F.bool_and("ok").alias("newest_first"))
+
+
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Everything reachable from roots (node) over edges (src, dst): rounds of joins until nothing is new, the lineage cut in each."""
     seen = frontier = cut(roots.select("node").distinct())

@@ -67,8 +67,9 @@ def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def masked(text: Column) -> Column:
-    """Text with addresses and card-like runs replaced."""
-    return F.regexp_replace(F.regexp_replace(text, EMAIL, "[EMAIL]"), "[0-9]{13,19}", "[NUMBER]")
+    """Text with addresses and card-like runs replaced. Texts without an @ are not searched for addresses, and a search begins only where a local part does."""
+    mail = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, rf"(?:\G|(?<!{LOCAL})){LOCAL}++@{LABEL}+(?:\.{LABEL}+)*+", "[EMAIL]")).otherwise(text)
+    return F.when(text.rlike("[0-9]{13}"), F.regexp_replace(mail, "[0-9]{13,19}", "[NUMBER]")).otherwise(mail)
 
 
 def resolve(spans: DataFrame) -> DataFrame:

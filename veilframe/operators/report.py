@@ -57,7 +57,73 @@ def counted(n: Column, one: str, many: str) -> Column:
 
 
 def refusal_lines(refused: DataFrame, named: int = 20) -> DataFrame:
-    """(reason, n, names): the first names of each reason, in order, and how many there are. refused: (reason, name, line)."""
-    w = Window.partitionBy("reason").orderBy("line")
-    first = refused.withColumn("k", F.row_number().over(w)).groupBy("reason").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= named, F.struct("k", "name")))), lambda x: x["name"]), ", ").alias("names"))
-    return first
+    """(reason, n, names): the first names of each reason, in order, and how many there are. refused: (reason, name, line). Counts and names go apart, so of a hot reason each task passes on `named` names and a number."""
+    first = refused.withColumn("k", F.row_number().over(Window.partitionBy("reason").orderBy("line"))).filter(F.col("k") <= named)
+    names = first.groupBy("reason").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]), ", ").alias("names"))
+    return refused.groupBy("reason").agg(F.count("*").alias("n")).join(names, "reason")
+
+
+# What kinds of data, terms and stripped parts are called, one and many.
+NOUNS = {
+    "email": ("email address", "email addresses"), "phone": ("phone number", "phone numbers"), "date": ("date", "dates"), "card": ("card number", "card numbers"), "iban": ("IBAN", "IBANs"),
+    "us-ssn": ("Social Security number", "Social Security numbers"), "uk-nino": ("National Insurance number", "National Insurance numbers"), "term": ("match", "matches"),
+}
+STRIPPED_NOUNS = {
+    "document-info": "document info", "xmp-metadata": "XMP metadata", "annotations": "annotations", "form-fields": "form fields", "attachments": "attachments", "bookmarks": "bookmarks", "hidden-layers": "hidden layers", "javascript": "JavaScript",
+    "incremental-versions": "earlier versions", "page-thumbnails": "page thumbnails", "accessibility-tags": "accessibility tags (screen readers will read the clean file less well)",
+}
+CROOKED = "Some items on scanned pages can't be removed because the scan is slightly crooked."
+
+
+def listed(parts: Column) -> Column:
+    """An array as a British list: 'a, b and c'; '' if empty."""
+    n = F.size(parts)
+    return F.when(n <= 1, F.array_join(parts, "")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(1))), ", "), F.lit(" and "), F.element_at(parts, -1)))
+
+
+def said_counts(counts: Column) -> Column:
+    """A map of counts by kind as words, in the order of the kinds; kinds with none are left out."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(counts[k], F.lit(0)) > 0, counted(counts[k], one, many)) for k, (one, many) in NOUNS.items()]))
+
+
+def removed_sentence(removed: Column) -> Column:
+    parts = said_counts(removed)
+    return F.when(F.size(parts) == 0, "Nothing").otherwise(listed(parts))
+
+
+def left_sentence(unticked: Column, blocked: Column, engine: str = "The engine") -> Column:
+    """What was left: unticked rows, then those that could not be removed."""
+    own, kept = said_counts(unticked), said_counts(blocked)
+    said = F.array_compact(F.array(F.when(F.size(own) > 0, F.concat(listed(own), F.lit(" you left unticked."))), F.when(F.size(kept) > 0, F.concat(listed(kept), F.lit(f" {engine} couldn't remove.")))))
+    return F.when(F.size(said) == 0, f"Nothing {engine} found.").otherwise(F.array_join(said, " "))
+
+
+def stripped_sentence(kinds: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for p in STRIPPED_NOUNS.items() for x in p])
+    text = listed(F.transform(kinds, lambda k: names[k]))
+    return F.when(F.size(kinds) == 0, "Nothing else needed stripping.").otherwise(F.concat(F.upper(F.substring(text, 1, 1)), text.substr(F.lit(2), F.length(text))))
+
+
+def detection_counts(found: DataFrame, *by: str) -> DataFrame:
+    """(by, measure, name, n): rows by kind, blocked ones included, and blocked rows by reason. found: (by, kind, blocked)."""
+    one = found.select(*by, F.explode(F.array_compact(F.array(F.struct(F.lit("found").alias("measure"), F.col("kind").alias("name")), F.when(F.col("blocked").isNotNull(), F.struct(F.lit("blocked").alias("measure"), F.col("blocked").alias("name")))))).alias("m"))
+    return one.groupBy(*by, "m.measure", "m.name").agg(F.count("*").alias("n"))
+
+
+def outcome_counts(found: DataFrame, *by: str) -> DataFrame:
+    """(by, removed, unticked, blocked): rows of each kind as maps. found: (by, kind, ticked, blocked)."""
+    state = F.when(F.col("blocked").isNotNull(), "blocked").when(F.col("ticked"), "removed").otherwise("unticked")
+    per = found.groupBy(*by, "kind", state.alias("state")).agg(F.count("*").alias("n"))
+    as_map = lambda s: F.map_from_entries(F.collect_list(F.when(F.col("state") == s, F.struct("kind", "n")))).alias(s)
+    return per.groupBy(*by).agg(*map(as_map, ("removed", "unticked", "blocked")))
+
+
+def result_sentences(found: DataFrame, *by: str) -> DataFrame:
+    """(by, removed_line, left_line) of (by, kind, ticked, blocked)."""
+    return outcome_counts(found, *by).select(*by, removed_sentence(F.col("removed")).alias("removed_line"), left_sentence(F.col("unticked"), F.col("blocked")).alias("left_line"))
+
+
+def crooked_notes(found: DataFrame, readings: DataFrame) -> DataFrame:
+    """(doc_id, note): documents with a row blocked as slanted on a page that is machine-read. found: (doc_id, page, blocked); readings: (doc_id, page, findings)."""
+    scanned = readings.filter(F.array_contains("findings", "machine-read-text")).select("doc_id", "page")
+    return found.filter("blocked = 'slanted-text'").join(scanned, ["doc_id", "page"], "left_semi").select("doc_id").distinct().withColumn("note", F.lit(CROOKED))

@@ -34,6 +34,8 @@ def apply(s: dict, action: str, p: dict) -> dict:
     state = s["state"]
     if action == "file-chosen":
         return _open(s, p, {})
+    if action == "progress":
+        return s
     if action == "released":
         return dict(START)
     if action == "opened" and state == "opening":
@@ -101,22 +103,32 @@ def fold(log: DataFrame) -> DataFrame:
 
 
 def transitions(log: DataFrame) -> DataFrame:
-    """(job_id, seq, action, before, after): what each action did to the state."""
+    """(job_id, seq, action, before, after, failure, tier): what each action did to the state."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         s, out = dict(START), []
         for r in pdf.sort_values("seq").itertuples():
             then = apply(s, r.action, json.loads(r.payload or "{}"))
-            out.append((r.job_id, r.seq, r.action, s["state"], then["state"]))
+            out.append((r.job_id, r.seq, r.action, s["state"], then["state"], then["failure"] if then is not s else None, then["tier"]))
             s = then
-        return pd.DataFrame(out, columns=["job_id", "seq", "action", "before", "after"])
+        return pd.DataFrame(out, columns=["job_id", "seq", "action", "before", "after", "failure", "tier"])
 
-    return log.groupBy("job_id").applyInPandas(run, "job_id string, seq long, action string, before string, after string")
+    return log.groupBy("job_id").applyInPandas(run, "job_id string, seq long, action string, before string, after string, failure string, tier string")
 
 
-def usage_events(steps: DataFrame) -> DataFrame:
-    """Usage events that transitions stand for: opened, completed, refused."""
-    name = F.when((F.col("before") == "opening") & (F.col("after") == "reviewing"), "document-opened").when((F.col("before") == "redacting") & (F.col("after") == "complete"), "redaction-completed").when(F.col("before").isin("opening", "redacting") & (F.col("action") == "failed"), "run-refused")
-    return steps.withColumn("name", name).filter("name is not null").select("job_id", "seq", "name")
+# Refusals that mean a limit of the free tier was met, and which.
+CAP_OF = {"too-many-pages": "pages", "too-large": "size"}
 
 
+def usage_events(steps: DataFrame) -> DataFrame:
+    """(job_id, seq, name, cap): events that transitions stand for: opened, completed, refused (a free reader's met limit is a cap instead), and an engine that is gone."""
+    lost = (F.col("after") == "lost") & (F.col("before") != "lost")
+    failed = F.col("before").isin("opening", "redacting") & (F.col("action") == "failed") & F.col("failure").isNotNull()
+    cap = F.when(failed & (F.col("tier") == "free"), F.create_map(*[F.lit(x) for p in CAP_OF.items() for x in p])[F.col("failure")])
+    gone = lost | (failed & (F.col("failure") == "engine-unavailable"))
+    names = F.array_compact(F.array(
+        F.when((F.col("before") == "opening") & (F.col("after") == "reviewing"), "document-opened"), F.when((F.col("before") == "redacting") & (F.col("after") == "complete"), "redaction-completed"),
+        F.when(cap.isNotNull(), "cap-reached").when(lost | failed, "run-refused"), F.when(gone, "engine-unavailable"),
+    ))
+    told = steps.withColumn("cap", cap).withColumn("name", F.explode(names))
+    return told.select("job_id", "seq", "name", F.when(F.col("name") == "cap-reached", F.col("cap")).alias("cap"))

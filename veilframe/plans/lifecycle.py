@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chars
 from ..operators.resolve import detect
 from ..operators.terms import carried, find_terms, reach
-from ..sources.gates import Limits
+from ..operators import review
+from ..sources.gates import Limits, spread
 
 BLOCK, PAGE_BREAK = "█", "\f"
-MATCHES = "doc_id long, match_id string, page int, block int, kind string, term string, notes array<string>, start int, end int, text string, before string, after string, before_cut boolean, after_cut boolean, ticked boolean"
+MATCHES = "doc_id long, match_id string, page int, block int, kind string, term string, notes array<string>, start int, end int, text string, before string, after string, before_cut boolean, after_cut boolean, ticked boolean, section string, blocked string"
 #: Rows in an Arrow batch: texts are long.
 ARROW_ROWS = "512"
 
@@ -69,7 +72,7 @@ def read_document(doc_id, raw: str | None, terms: list[tuple[str, str]], limits:
         for b, kind, term, notes, a, z, shown, ticked in rows:
             before, after, bcut, acut = context(page, a, z, limits.context)
             key = hashlib.sha256(f"{doc_id}|{p}|{a}|{z}|{kind}|{term or ''}".encode()).hexdigest()[:32]
-            out.append((doc_id, key, p + 1, b, kind, term, notes, a, z, shown, before, after, bcut, acut, ticked))
+            out.append((doc_id, key, p + 1, b, kind, term, notes, a, z, shown, before, after, bcut, acut, ticked, "held-part" if "page-break" in notes else "ordinary", None))
     return out
 
 
@@ -83,10 +86,10 @@ def marked() -> str:
             ranges[-1][1] = n
         else:
             ranges.append([n, n])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{z:x}}}" for a, z in ranges) + "]"
+    return "[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(z))}" for a, z in ranges) + "]"
 
 
-_TYPES = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
+_TYPES = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.string())
 _NAMES = [c.split()[0] for c in MATCHES.split(", ")]
 
 
@@ -102,16 +105,16 @@ def matches(docs: DataFrame, terms: list[tuple[str, str]] | None = None, limits:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    some = docs if listed else docs.filter(F.col("text").rlike(marked()))
-    return some.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCHES)
+    some = docs.select(F.col("doc_id").cast("long"), "text")
+    return spread(some if listed else some.filter(F.col("text").rlike(marked()))).mapInArrow(run, MATCHES)
 
 
 def selected(found: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
     """What goes: the default ticks, or a table (match_id, on) of the reader's own on top of them."""
     if ticks is None:
-        return found.filter("ticked")
+        return found.filter("ticked and blocked is null")
     last = ticks.groupBy("match_id").agg(F.max_by("on", "seq").alias("on"))
-    return found.join(last, "match_id", "left").filter(F.coalesce("on", "ticked")).drop("on")
+    return found.join(last, "match_id", "left").filter(F.coalesce("on", "ticked") & F.col("blocked").isNull()).drop("on")
 
 
 def blot(page: str, spans: list[tuple[int, int]]) -> str:
@@ -122,54 +125,99 @@ def blot(page: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
+def _blotted(text: str | None, spans: list[dict]) -> str | None:
+    """Normalised text with spans (page, start, end) blotted out."""
+    if text is None:
+        return None
+    pages = pages_of(chars.normalise(text))
+    for p in {s["page"] for s in spans}:
+        pages[p - 1] = blot(pages[p - 1], [(s["start"], s["end"]) for s in spans if s["page"] == p])
+    return PAGE_BREAK.join(pages)
+
+
+def _sound(text: str | None, spans: list[dict]) -> bool:
+    """Do all targets hold up: on their page, not blank, and what they say stands there, white space aside?"""
+    pages = pages_of(chars.normalise(text or ""))
+    squeezed = lambda t: "".join(c for c in t or "" if c not in chars.SPACES)
+    return all(1 <= s["page"] <= len(pages) and 0 <= s["start"] < s["end"] <= len(pages[s["page"] - 1]) and squeezed(s["text"]) and squeezed(s["text"]) in squeezed(pages[s["page"] - 1][s["start"] : s["end"]]) for s in spans)
+
+
 def redact(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc_id, text, n_removed): documents in normalised text with the chosen matches blotted out. Spans, a few rows a document, are gathered before they meet the text."""
-    spans = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("page", "start", "end")).alias("spans"))
+    """(doc_id, text, n_removed, refusal): documents in normalised text with the chosen matches blotted out. Spans, a few rows a document, are gathered before they meet the text.
+
+    A document with a target that does not hold up ('unsupported') stays as it was, with nothing removed.
+    """
+    spans = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("page", "start", "end", "text")).alias("spans"))
 
     def run(batches):
         for b in batches:
-            texts, n = [], []
+            texts, n, why = [], [], []
             for t, spans_ in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                pages = pages_of(chars.normalise(t or ""))
-                for p in {s["page"] for s in spans_ or []}:
-                    pages[p - 1] = blot(pages[p - 1], [(s["start"], s["end"]) for s in spans_ if s["page"] == p])
-                texts.append(None if t is None else PAGE_BREAK.join(pages))
-                n.append(len(spans_ or []))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64())], ["doc_id", "text", "n_removed"])
+                ok = _sound(t, spans_ or [])
+                texts.append(_blotted(t, (spans_ or []) if ok else []))
+                n.append(len(spans_ or []) if ok else 0)
+                why.append(None if ok else "unsupported")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(why, pa.string())], ["doc_id", "text", "n_removed", "refusal"])
+
+    return docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, text string, n_removed long, refusal string")
 
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, text string, n_removed long")
+
+def redact_all(docs: DataFrame, terms: list[tuple[str, str]] | None = None, limits: Limits = Limits()) -> DataFrame:
+    """(doc_id, text, n_removed, leaked, lost, added): with the default ticks a document is read, blotted out and proved where it lies, in one Arrow stage: no text is shuffled."""
+    listed, could = list(terms or []), regex.compile(marked())
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, len(b), 64):
+                rows = []
+                for d, t in zip(b.column(0)[i : i + 64].to_pylist(), b.column(1)[i : i + 64].to_pylist(), strict=True):
+                    found = read_document(d, t, listed, limits) if t and (listed or could.search(t)) else []
+                    spans = [{"page": r[2], "start": r[7], "end": r[8]} for r in found if r[14]]
+                    new = _blotted(t, spans)
+                    rows.append((d, new, len(spans), *proof(t, new, spans)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "text", "n_removed", "leaked", "lost", "added"])
+
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, text string, n_removed long, leaked long, lost long, added long")
 
 
 VERDICTS = ("leak", "over-reach", "replaced", "nothing-ticked", "pass")
 
 
-def verify(docs: DataFrame, redacted: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc_id, leaked, lost, added, n_removed, verdict): the proof on the rewritten text.
+def proof(old: str | None, new: str | None, spans: list[dict]) -> tuple[int, int, int]:
+    """(leaked, lost, added) of a rewritten text: chosen spans in which a character still stands where it stood, characters outside them that are gone, and ones that were not there."""
+    leaked = lost = added = 0
+    was, now = pages_of(chars.normalise(old or "")), pages_of(new or "")
+    for p, (x, y) in enumerate(zip(was, now, strict=False), 1):
+        own = [s for s in spans if s["page"] == p]
+        added += max(0, len(y) - len(x))
+        if not own and x == y:
+            continue
+        gone = bytearray(len(x))
+        for s in own:
+            a, z = s["start"], s["end"]
+            leaked += any(c not in chars.SPACES and c == d for c, d in zip(x[a:z], y[a:z], strict=False))
+            gone[a:z] = b"\1" * (min(z, len(x)) - a)
+        lost += sum(not g and c not in chars.SPACES and y[i : i + 1] != c for i, (c, g) in enumerate(zip(x, gone, strict=True)))
+    return leaked, lost + sum(len(x) for x in was[len(now) :]), added + sum(len(y) for y in now[len(was) :])
 
-    leaked: chosen texts that still stand where they stood; lost: characters outside the chosen spans that are gone;
-    added: characters that were not there. The first of VERDICTS that applies is the verdict.
-    """
+
+def judged(proved: DataFrame) -> DataFrame:
+    """Rows with leaked, lost, added, n_removed: verdict is the first of VERDICTS that applies; outcome what a run would be refused as (null: it stands)."""
+    leaked, lost, added, ticked = F.col("leaked") > 0, F.col("lost") > 0, F.col("added") > 0, F.col("n_removed") > 0
+    verdict = F.when(leaked, "leak").when(lost, "over-reach").when(added, "replaced").when(~ticked, "nothing-ticked").otherwise("pass")
+    return proved.withColumn("verdict", verdict).withColumn("outcome", review.outcome(ticked, F.lit(False), F.lit(False), leaked, F.lit(False), added, lost))
+
+
+def verify(docs: DataFrame, redacted: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, leaked, lost, added, n_removed, verdict, outcome): the proof on the rewritten text."""
     spans = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("page", "start", "end")).alias("spans"))
     both = docs.select("doc_id", F.col("text").alias("old")).join(redacted.select("doc_id", F.col("text").alias("new"), "n_removed"), "doc_id").join(spans, "doc_id", "left")
 
     def run(batches):
         for b in batches:
-            rows = []
-            for old, new, spans_ in zip(*(b.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
-                leaked = lost = added = 0
-                was, now = pages_of(chars.normalise(old or "")), pages_of(new or "")
-                for p, (x, y) in enumerate(zip(was, now, strict=False), 1):
-                    gone = [False] * len(x)
-                    for s in spans_ or []:
-                        if s["page"] == p:
-                            leaked += any(c not in chars.SPACES and c == d for c, d in zip(x[s["start"] : s["end"]], y[s["start"] : s["end"]], strict=False))
-                            gone[s["start"] : s["end"]] = [True] * (s["end"] - s["start"])
-                    lost += sum(not g and c not in chars.SPACES and y[i : i + 1] != c for i, (c, g) in enumerate(zip(x, gone, strict=True)))
-                    added += max(0, len(y) - len(x))
-                lost += sum(len(x) for x in was[len(now) :])
-                rows.append((leaked, lost, added + sum(len(y) for y in now[len(was) :])))
+            rows = [proof(old, new, spans_ or []) for old, new, spans_ in zip(*(b.column(i).to_pylist() for i in (1, 2, 4)), strict=True)]
             cols = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols), b.column(3)], ["doc_id", "leaked", "lost", "added", "n_removed"])
 
-    out = both.select("doc_id", "old", "new", "n_removed", "spans").mapInArrow(run, "doc_id long, leaked long, lost long, added long, n_removed long")
-    return out.withColumn("verdict", F.when(F.col("leaked") > 0, "leak").when(F.col("lost") > 0, "over-reach").when(F.col("added") > 0, "replaced").when(F.col("n_removed") == 0, "nothing-ticked").otherwise("pass"))
+    return judged(both.select("doc_id", "old", "new", "n_removed", "spans").mapInArrow(run, "doc_id long, leaked long, lost long, added long, n_removed long"))

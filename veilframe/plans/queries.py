@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import checks, geometry
-from ..operators import events, native, pages, report, session
+from ..operators import events, native, pages, report, review, session
 from ..sources import gates
 from . import lifecycle
 
@@ -142,9 +142,8 @@ def term_admission(spark, d):
     p = T(spark, d, "part").select(F.col("p_partkey").alias("line"), F.when(F.col("p_partkey") % 11 == 0, F.lit("!!")).when(F.col("p_partkey") % 13 == 0, F.lit("x")).otherwise(F.concat_ws(" ", "p_name", (F.col("p_partkey") % 5).cast("string"))).alias("term"))
     early = F.when(F.length("term") < 2, "too-short").when(F.length("term") > 100, "too-long").when(~F.col("term").rlike("[\\p{L}\\p{N}]"), "no-letter-or-digit")
     a = p.withColumn("early", early)
-    first = a.filter("early is null").groupBy(F.lower("term").alias("fold")).agg(F.min("line").alias("first"))
-    ranked = first.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first")))
-    return a.join(F.broadcast(ranked.filter("k <= 50")), F.lower("term") == F.col("fold"), "left").select("line", "term", F.coalesce("early", F.when(F.col("first") == F.col("line"), None).when(F.col("first") < F.col("line"), "duplicate").otherwise("list-full")).alias("refusal"))
+    first = a.filter("early is null").groupBy(F.lower("term").alias("fold")).agg(F.min("line").alias("first")).orderBy("first").limit(50)
+    return a.join(F.broadcast(first), F.lower("term") == F.col("fold"), "left").select("line", "term", F.coalesce("early", F.when(F.col("first") == F.col("line"), None).when(F.col("first") < F.col("line"), "duplicate").otherwise("list-full")).alias("refusal"))
 
 
 def output_names(spark, d):
@@ -181,12 +180,83 @@ def report_budget(spark, d):
     return events.within_budget(e).select("key", "admitted")
 
 
+#: Events as they come, and whether each is valid: every shape once, and ways to be wrong.
+SAMPLES = [
+    ('{"name":"page-view","page":"home"}', True), ('{"name":"page-view","page":"nowhere"}', False), ('{"name":"cap-reached","cap":"size","account":"none"}', True), ('{"name":"cap-reached","cap":"bytes","account":"none"}', False),
+    ('{"name":"document-opened","pages":"2-5","found":{"email":"1"},"blocked":{},"pagesWith":{"scanned":"6-20"},"tier":"free","account":"signed-in"}', True), ('{"name":"document-opened","pages":"2-5","found":{"email":"0"},"blocked":{},"pagesWith":{},"tier":"free","account":"none"}', False),
+    ('{"name":"redaction-completed","removed":{"card":"51+"},"unticked":{},"blockedByKind":{},"blockedByReason":{"slanted-text":"1"},"terms":"0","termsSetAside":"0","stripped":["javascript","annotations"],"tier":"paid","account":"signed-in"}', True),
+    ('{"name":"redaction-completed","removed":{},"unticked":{},"blockedByKind":{},"blockedByReason":{},"terms":"0","termsSetAside":"0","stripped":["javascript","javascript"],"tier":"paid","account":"signed-in"}', False),
+    ('{"name":"run-refused","kind":"corrupt","step":"open","tier":"free","account":"unknown"}', True), ('{"name":"run-refused","kind":"corrupt","step":"close","tier":"free","account":"unknown"}', False), ('{"name":"server-crash","route":"proxy","routeType":"render"}', True),
+    ('{"name":"browser-crash","page":"tool","kind":"rejection"}', True), ('{"name":"billing-failed","action":"welcome","outcome":"still-waiting"}', True), ('{"name":"billing-failed","action":"welcome"}', False), ('{"name":"subscribe-started"}', True), ('{"name":"subscription-confirmed"}', True), ('{"name":"subscription-confirmed","x":1}', False),
+    ('{"name":"plan-check-failed"}', True), ('{"name":"engine-unavailable"}', True), ('[]', False), ('{"name":"page-view"', False),
+]
+
+
 def strict_events(spark, d):
-    """Event properties as one-field events: valid only where the range is a closed value."""
-    e = T(spark, d, "events").select("event_id", F.concat(F.lit('{"name":"'), F.when(F.col("event_id") % 3 == 0, "page-view").otherwise("cap-reached"), F.lit('","page":"'), F.when(F.col("event_id") % 2 == 0, "home").otherwise("nowhere"), F.lit('"}')).alias("json"))
+    """Each sample shape in turn, by event_id."""
+    e = T(spark, d, "events").select("event_id", F.element_at(F.array(*[F.lit(j) for j, _ in SAMPLES]), (F.col("event_id") % len(SAMPLES) + 1).cast("int")).alias("json"))
     return events.strict_events(e).select("event_id", "valid", "name")
 
 
+def report_rules(spark, d):
+    """Both rules of admission, by instance: a key once an hour, 20 page reports a day."""
+    e = T(spark, d, "events").select((F.col("user_id") % 16).alias("instance"), F.col("event_id").alias("seq"), F.concat_ws(" ", "event_type", (F.col("user_id") % 3).cast("string")).alias("key"), _millis().alias("ts_ms"), F.col("event_type").isin("error", "view").alias("draws"))
+    return events.admit_reports(e, 4 * events.HOUR_MS, 3).select("seq", "key", "admitted")
+
+
+def policy_order(spark, d):
+    """Are each customer's orders dated newest first by falling key?"""
+    o = T(spark, d, "orders").select("o_custkey", (-F.col("o_orderkey")).alias("position"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    return events.newest_first(o, "o_custkey")
+
+
+def html_inventory(spark, d):
+    return review.inventory(T(spark, d, "pages")).select("page_id", F.array_join("stripped", ",").alias("stripped"))
+
+
+def target_refusals(spark, d):
+    """Addresses as targets, some moved by a character or told otherwise, some on slanted text."""
+    docs = T(spark, d, "documents").select("doc_id", F.regexp_replace("text", "\f", " ").alias("text"))
+    k = F.col("doc_id")
+    t = native.emails(docs).select("doc_id", F.lit(1).alias("page"), (F.col("start") + F.when(k % 3 == 0, 1).otherwise(0)).alias("start"), "end", F.col("match").alias("text"), (k % 5 == 0).alias("slanted"), (k % 7 == 0).alias("overreach"))
+    return review.refused_targets(docs, t)
+
+
+def _rows(spark, d):
+    """Line items as rows of a review."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("email", "phone", "date", "card", "iban", "us-ssn", "uk-nino", "term")]), (F.col("l_partkey") % 8 + 1).cast("int"))
+    li = T(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("z"))
+    return li.select(
+        F.col("l_orderkey").alias("doc_id"), F.concat_ws("-", "l_orderkey", "l_partkey").alias("match_id"), kind.alias("kind"), F.when(kind == "term", (F.col("l_partkey") % 3).cast("string")).alias("term"), (F.col("s") % 3 + 1).cast("int").alias("page"),
+        (F.col("l_partkey") % 100).cast("int").alias("start"), (F.col("l_partkey") % 100 + 5).cast("int").alias("end"), F.when(F.col("s") % 4 == 0, "hidden").otherwise("ordinary").alias("section"), (F.col("f") == "R").alias("ticked"), F.when(F.col("z") == "F", F.when(F.col("s") % 2 == 0, "slanted-text").otherwise("image-overreach")).alias("blocked"),
+        F.concat_ws(" ", F.lit("row"), "l_partkey").alias("text"),
+    )
+
+
+def review_checklist(spark, d):
+    c = review.checklist(review.reading_order(_rows(spark, d)), ["0", "1", "2"])
+    return c.select("doc_id", "group", "group_rank", "n_rows", F.array_join("rows", ",").alias("rows"), F.array_join("tickable", ",").alias("tickable"))
+
+
+def page_targets(spark, d):
+    t = review.targets_by_page(review.seeded(_rows(spark, d)))
+    return t.select("doc_id", "page", "n_targets", F.array_join(F.transform("targets", lambda x: F.concat_ws(":", x["start"], x["end"], x["kind"])), ",").alias("targets"))
+
+
+def detection_counts(spark, d):
+    return report.detection_counts(_rows(spark, d))
+
+
+def result_sentences(spark, d):
+    return report.result_sentences(_rows(spark, d), "doc_id")
+
+
+def crooked_notes(spark, d):
+    r = _rows(spark, d)
+    readings = r.select("doc_id", "page").distinct().select("doc_id", "page", F.when((F.col("doc_id") + F.col("page")) % 2 == 0, F.array(F.lit("machine-read-text"))).otherwise(F.array().cast("array<string>")).alias("findings"))
+    return report.crooked_notes(r, readings).select("doc_id", F.length("note").alias("note_chars"))
+
+
 def opt_out(spark, d):
     e = T(spark, d, "events").select("event_id", (F.col("event_type") == "error").alias("is_error"), (F.col("user_id") % 3 == 0).alias("gpc"), F.when(F.col("user_id") % 5 == 0, True).alias("dnt"))
     return events.kept(e).groupBy("is_error").agg(F.count("*").alias("n"))
@@ -264,13 +334,20 @@ def document_terms(spark, d):
 
 
 def redacted_documents(spark, d):
-    docs = T(spark, d, "documents")
-    return lifecycle.redact(docs, lifecycle.selected(lifecycle.matches(docs))).select("doc_id", F.md5("text").alias("text_md5"), "n_removed")
+    return lifecycle.redact_all(T(spark, d, "documents")).select("doc_id", F.md5("text").alias("text_md5"), "n_removed")
 
 
 def redaction_proof(spark, d):
+    proved = lifecycle.judged(lifecycle.redact_all(T(spark, d, "documents")).drop("text"))
+    return proved.groupBy("verdict").agg(F.count("*").alias("n"), F.sum("n_removed").alias("removed"))
+
+
+def chosen_redaction(spark, d):
+    """The reader's own ticks: every third row the other way."""
     docs = T(spark, d, "documents")
-    chosen = lifecycle.selected(lifecycle.matches(docs))
+    found = lifecycle.matches(docs)
+    ticks = found.filter("doc_id % 3 = 0").select("match_id", F.lit(1).alias("seq"), (~F.col("ticked")).alias("on"))
+    chosen = lifecycle.selected(found, ticks)
     return lifecycle.verify(docs, lifecycle.redact(docs, chosen), chosen).groupBy("verdict").agg(F.count("*").alias("n"), F.sum("n_removed").alias("removed"))
 
 
@@ -294,7 +371,7 @@ def session_usage(spark, d):
 def _characters(spark, d):
     li = T(spark, d, "lineitem")
     x, y, h = F.col("l_partkey") % 60 * 10.0, F.col("l_linenumber") * 14.0, 10.0 - F.when(F.col("l_suppkey") % 9 == 0, 6.0).otherwise(0.0)
-    return li.select((F.col("l_orderkey") % 200).alias("doc_id"), (F.col("l_orderkey") % 5 + 1).cast("int").alias("page"), F.xxhash64("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("idx"), F.col("l_linenumber").alias("line"), F.when(F.col("l_suppkey") % 31 == 0, 0xFFFD).otherwise(65 + F.col("l_partkey") % 26).cast("int").alias("code"), x.alias("ox"), (y + F.when(F.col("l_suppkey") % 9 == 0, 4.0).otherwise(0.0)).alias("oy"), F.array(x, y - h, x + 6, y - h, x, y, x + 6, y).alias("quad"))
+    return li.select((F.col("l_orderkey") % 200).alias("doc_id"), (F.col("l_orderkey") % 5 + 1).cast("int").alias("page"), (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("idx"), F.col("l_linenumber").alias("line"), F.when(F.col("l_suppkey") % 31 == 0, 0xFFFD).otherwise(65 + F.col("l_partkey") % 26).cast("int").alias("code"), x.alias("ox"), (y + F.when(F.col("l_suppkey") % 9 == 0, 4.0).otherwise(0.0)).alias("oy"), F.array(x, y - h, x + 6, y - h, x, y, x + 6, y).alias("quad"))
 
 
 def synth_lines(spark, d):
@@ -316,11 +393,30 @@ def synth_off_line(spark, d):
 
 
 def synth_reading_compare(spark, d):
+    """Origins on the edges of cells, moved to either side of them; each fiftieth is gone."""
     c = _characters(spark, d)
-    after = c.filter("idx % 50 <> 0").withColumn("ox", F.col("ox") + 0.004)
+    after = c.filter("idx % 50 <> 0").withColumn("ox", F.col("ox") + F.when(F.col("idx") % 2 == 0, 0.004).otherwise(-0.004))
     return pages.compare(c, after).groupBy().agg(F.sum("missing").alias("missing"), F.sum("extra").alias("extra"))
 
 
+def synth_trim(spark, d):
+    """Characters on narrow pages: what lies outside goes; on some pages more is lost."""
+    c = _characters(spark, d)
+    sizes = c.select("doc_id", "page").distinct().select("doc_id", "page", (F.lit(203.0) + F.col("doc_id") % 3 * 100).alias("width"), F.lit(80.0).alias("height"))
+    placed = pages.trim(c, sizes)
+    after = placed.filter("place <> 'outside' and not (place = 'edge' and doc_id % 5 = 0) and not (doc_id % 11 = 0 and page = 2 and idx % 7 = 0)")
+    return pages.trim_proof(placed, after)
+
+
+def synth_replacement_text(spark, d):
+    """Outlines over pages whose second reading spells some characters otherwise."""
+    c = _characters(spark, d)
+    sheets = c.select("doc_id", "page").distinct()
+    outlines = sheets.select(F.concat_ws("-", "doc_id", "page").alias("match_id"), "doc_id", "page", F.array(*[F.lit(v) for v in (0.0, 0.0, 60.0, 0.0, 0.0, 30.0, 60.0, 30.0)]).alias("quad"))
+    other = c.withColumn("code", F.when((F.col("doc_id") % 4 == 0) & (F.col("line") == 2), 63).otherwise(F.col("code")))
+    return pages.replacement_text(outlines, c, other)
+
+
 _E = r"[\p{L}\p{M}\p{N}._%+\-]+@[\p{L}\p{M}\p{N}\-]+(?:\.[\p{L}\p{M}\p{N}\-]+)*"
 
 
@@ -353,9 +449,15 @@ _DAY = "({y} BETWEEN 1900 AND 2099 AND {m} BETWEEN 1 AND 12 AND {d} BETWEEN 1 AN
 _TERMS_SQL = "SELECT doc_id, term, count(*) AS n FROM (SELECT {i} AS doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w IN ({t}))) AS term FROM {f}) GROUP BY 1, 2"
 _Q = {"x0": "(p_partkey % 50)::DOUBLE", "y0": "p_size::DOUBLE", "k": "(p_partkey % 3)::DOUBLE"}
 
+_ROWS = """SELECT l_orderkey AS doc_id, l_orderkey || '-' || l_partkey AS match_id, ['email','phone','date','card','iban','us-ssn','uk-nino','term'][l_partkey % 8 + 1] AS kind, CASE WHEN l_partkey % 8 = 7 THEN (l_partkey % 3)::VARCHAR END AS term, min(l_suppkey) % 3 + 1 AS page,
+  l_partkey % 100 AS start, l_partkey % 100 + 5 AS "end", CASE WHEN min(l_suppkey) % 4 = 0 THEN 'hidden' ELSE 'ordinary' END AS section, min(l_returnflag) = 'R' AS ticked, CASE WHEN min(l_linestatus) = 'F' THEN CASE WHEN min(l_suppkey) % 2 = 0 THEN 'slanted-text' ELSE 'image-overreach' END END AS blocked, 'row ' || l_partkey AS text FROM lineitem GROUP BY l_orderkey, l_partkey"""
+_NOUNS = "[" + ", ".join(f"'{one}'" for one, _ in report.NOUNS.values()) + "] AS ONE, [" + ", ".join(f"'{many}'" for _, many in report.NOUNS.values()) + "] AS MANY"
+_CHARS = """SELECT l_orderkey % 200 AS doc_id, (l_orderkey % 5 + 1)::INT AS page, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS idx, l_linenumber AS line, CASE WHEN l_suppkey % 31 = 0 THEN 65533 ELSE 65 + l_partkey % 26 END AS code, (l_partkey % 60) * 10.0::DOUBLE AS x, l_linenumber * 14.0::DOUBLE AS y,
+  10.0::DOUBLE - CASE WHEN l_suppkey % 9 = 0 THEN 6 ELSE 0 END AS h, l_linenumber * 14.0::DOUBLE + CASE WHEN l_suppkey % 9 = 0 THEN 4 ELSE 0 END AS oy FROM lineitem"""
+
 ORACLE: dict[str, str] = {
     "email_matches": f'SELECT doc_id, start, "end", match FROM {_EMAILS}',
-    "email_context": f"""SELECT doc_id, start, "end", match, right(regexp_replace(substr(text, 1, start), '{_SP}+', ' ', 'g'), 40) AS before, left(regexp_replace(substr(text, "end" + 1, 328), '{_SP}+', ' ', 'g'), 40) AS after FROM {_EMAILS}""",
+    "email_context": f"""SELECT doc_id, start, "end", match, right(regexp_replace(substr(text, 1, start), '{_SP}+', ' ', 'g'), 40) AS before, left(regexp_replace(substr(text, "end" + 1), '{_SP}+', ' ', 'g'), 40) AS after FROM {_EMAILS}""",
     "email_by_source": f"SELECT source, count(*) AS n FROM {_EMAILS} JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY 1",
     "card_matches": f"SELECT * FROM {_cards()}",
     "card_by_brand": f"SELECT brand, count(*) AS n, count(DISTINCT doc_id) AS docs FROM {_cards()} GROUP BY 1",
@@ -392,7 +494,37 @@ ORACLE: dict[str, str] = {
       r AS (SELECT key, ts_ms, k, ts_ms AS last, true AS admitted FROM e WHERE k = 1 UNION ALL SELECT e.key, e.ts_ms, e.k, CASE WHEN e.ts_ms - r.last >= 86400000 THEN e.ts_ms ELSE r.last END, e.ts_ms - r.last >= 86400000 FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1)
       SELECT key, ts_ms, admitted FROM r""",
     "report_budget": "SELECT event_id::VARCHAR AS key, event_type <> 'error' OR row_number() OVER (PARTITION BY event_type, (epoch_us(ts) // 1000) // 86400000 ORDER BY (epoch_us(ts) // 1000), event_id::VARCHAR) <= 20 AS admitted FROM events WHERE event_type IN ('error', 'view')",
-    "strict_events": "SELECT event_id, (event_id % 3 = 0 AND event_id % 2 = 0) AS valid, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'page-view' END AS name FROM events",
+    "strict_events": "SELECT event_id, v AS valid, CASE WHEN v THEN n END AS name FROM (SELECT event_id, [" + ", ".join(str(ok).lower() for _, ok in SAMPLES) + f"][event_id % {len(SAMPLES)} + 1] AS v, [" + ", ".join("'" + (j.split('"')[3] if '"name"' in j else "") + "'" for j, _ in SAMPLES) + f"][event_id % {len(SAMPLES)} + 1] AS n FROM events)",
+    "report_rules": """WITH RECURSIVE e AS (SELECT user_id % 16 AS i, event_id AS seq, event_type || ' ' || (user_id % 3)::VARCHAR AS key, epoch_us(ts) // 1000 AS t, event_type IN ('error', 'view') AS draws, row_number() OVER (PARTITION BY user_id % 16 ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+      r AS (SELECT i, 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::VARCHAR AS key, false AS ok, []::STRUCT(key VARCHAR, t BIGINT)[] AS sent, -1::BIGINT AS day, 0::BIGINT AS spent FROM (SELECT DISTINCT i FROM e)
+        UNION ALL SELECT i, k, seq, key, ok, CASE WHEN ok THEN list_append(list_filter(sent, lambda x: t - x.t < 14400000), {'key': key, 't': t}) ELSE sent END, CASE WHEN ok AND draws THEN t // 86400000 ELSE day END, CASE WHEN ok AND draws THEN now_spent + 1 ELSE spent END
+        FROM (SELECT *, len(list_filter(sent, lambda x: x.key = key AND t - x.t < 14400000)) = 0 AND NOT (draws AND now_spent >= 3) AS ok FROM (SELECT e.i, e.k, e.seq, e.key, e.t, e.draws, r.sent, r.day, r.spent, CASE WHEN e.t // 86400000 = r.day THEN r.spent ELSE 0 END AS now_spent FROM r JOIN e ON e.i = r.i AND e.k = r.k + 1)))
+      SELECT seq, key, ok AS admitted FROM r WHERE k > 0""",
+    "policy_order": "SELECT o_custkey, bool_and(b IS NULL OR b > d) AS newest_first FROM (SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS d, lag(strftime(o_orderdate, '%Y-%m-%d')) OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS b FROM orders) GROUP BY 1",
+    "html_inventory": "SELECT page_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(html, '{p}') THEN '{k}' END" for k, p in review.INVENTORY.items()) + "], lambda x: x IS NOT NULL), ',') AS stripped FROM pages",
+    "target_refusals": f"""SELECT doc_id, CASE WHEN bool_or(doc_id % 3 = 0) THEN 'unsupported' WHEN doc_id % 5 = 0 THEN 'slanted-text' WHEN doc_id % 7 = 0 THEN 'redaction-overreach' END AS refusal FROM {_EMAILS} GROUP BY doc_id HAVING refusal IS NOT NULL""",
+    "review_checklist": f"""WITH r AS ({_ROWS}), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, CASE section WHEN 'ordinary' THEN 1 ELSE 3 END, start, match_id) AS place FROM r),
+      g AS (SELECT *, CASE WHEN kind = 'term' THEN 'term:' || term ELSE kind END AS "group" FROM p)
+      SELECT doc_id, "group", list_position(['term:0','term:1','term:2','email','phone','date','card','iban','us-ssn','uk-nino'], "group")::INT AS group_rank, count(*) AS n_rows, string_agg(match_id, ',' ORDER BY place) AS rows, coalesce(string_agg(match_id, ',' ORDER BY place) FILTER (blocked IS NULL), '') AS tickable FROM g GROUP BY 1, 2""",
+    "page_targets": f"SELECT doc_id, page, count(*) AS n_targets, string_agg(start || ':' || \"end\" || ':' || kind, ',' ORDER BY start, \"end\", kind, text) AS targets FROM ({_ROWS}) WHERE ticked AND blocked IS NULL GROUP BY 1, 2",
+    "detection_counts": f"SELECT 'found' AS measure, kind AS name, count(*) AS n FROM ({_ROWS}) GROUP BY 2 UNION ALL SELECT 'blocked', blocked, count(*) FROM ({_ROWS}) WHERE blocked IS NOT NULL GROUP BY 2",
+    "result_sentences": f"""WITH c AS (SELECT doc_id, kind, CASE WHEN blocked IS NOT NULL THEN 'b' WHEN ticked THEN 'r' ELSE 'u' END AS state, count(*) AS n FROM ({_ROWS}) GROUP BY 1, 2, 3),
+      w AS (SELECT doc_id, state, list(n || ' ' || CASE WHEN n = 1 THEN ONE[k] ELSE MANY[k] END ORDER BY k) AS parts FROM (SELECT *, list_position(['email','phone','date','card','iban','us-ssn','uk-nino','term'], kind) AS k, {_NOUNS} FROM c) GROUP BY 1, 2),
+      l AS (SELECT doc_id, state, CASE WHEN len(parts) = 1 THEN parts[1] ELSE array_to_string(parts[1:len(parts)-1], ', ') || ' and ' || parts[-1] END AS said FROM w),
+      p AS (SELECT doc_id, max(said) FILTER (state = 'r') AS r, max(said) FILTER (state = 'u') || ' you left unticked.' AS u, max(said) FILTER (state = 'b') || ' The engine couldn''t remove.' AS b FROM l GROUP BY 1)
+      SELECT doc_id, coalesce(r, 'Nothing') AS removed_line, CASE WHEN u IS NULL AND b IS NULL THEN 'Nothing The engine found.' ELSE concat_ws(' ', u, b) END AS left_line FROM p""",
+    "crooked_notes": f"SELECT DISTINCT doc_id, {len(report.CROOKED)} AS note_chars FROM ({_ROWS}) WHERE blocked = 'slanted-text' AND (doc_id + page) % 2 = 0",
+    "synth_reading_compare": "SELECT count(*) FILTER ((((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) % 50 = 0) AS missing, 0 AS extra FROM lineitem",
+    "synth_trim": f"""WITH c AS (SELECT *, CASE WHEN x + 6 <= 0 OR y <= 0 OR x >= width OR y - h >= 80 THEN 'outside' WHEN x < 0 OR y - h < 0 OR x + 6 > width OR y > 80 THEN 'edge' ELSE 'inside' END AS place FROM (SELECT *, 203.0 + doc_id % 3 * 100 AS width FROM ({_CHARS}))),
+      m AS (SELECT doc_id, page, code, x, oy, count(*) FILTER (place = 'inside') AS inside, count(*) FILTER (place = 'edge') AS edge, count(*) FILTER (place = 'outside') AS outside,
+        count(*) FILTER (place <> 'outside' AND NOT (place = 'edge' AND doc_id % 5 = 0) AND NOT (doc_id % 11 = 0 AND page = 2 AND idx % 7 = 0)) AS now FROM c GROUP BY 1, 2, 3, 4, 5)
+      SELECT doc_id, page, sum(outside)::BIGINT AS trimmed, CASE WHEN bool_or(now > inside + edge OR now < inside) THEN 'unsupported' WHEN bool_or(now < inside + edge) THEN 'edge-text' WHEN sum(outside) > 0 THEN 'trimmed' ELSE 'kept' END AS verdict FROM m GROUP BY 1, 2""",
+    "synth_replacement_text": f"""SELECT doc_id || '-' || page AS match_id, doc_id % 4 = 0 AND bool_or(line = 2 AND x + 3 <= 60 AND y - h / 2 BETWEEN 0 AND 30 AND code <> 63) AS replaced FROM ({_CHARS}) GROUP BY doc_id, page""",
+    "synth_off_line": f"""WITH c AS (SELECT *, y AS bottom FROM ({_CHARS})), m AS (SELECT doc_id, page, line, list_sort(list(h))[(count(*) // 2) + 1] AS mh, list_sort(list(oy))[(count(*) // 2) + 1] AS my, list(h) AS hs FROM c GROUP BY 1, 2, 3),
+      o AS (SELECT c.*, h <= mh * 0.9 AND abs(oy - my) >= mh * 0.15 AND len(list_filter(hs, lambda v: v > mh * 0.9)) >= 3 AS off FROM c JOIN m USING (doc_id, page, line)),
+      n AS (SELECT *, coalesce(NOT lag(off) OVER w, false) OR coalesce(NOT lead(off) OVER w, false) AS beside, row_number() OVER w - row_number() OVER (PARTITION BY doc_id, page, line, off ORDER BY idx) AS g FROM o WINDOW w AS (PARTITION BY doc_id, page, line ORDER BY idx)),
+      l AS (SELECT off, off AND count(*) OVER r <= 4 AND bool_or(beside) OVER r AS leaves FROM n WINDOW r AS (PARTITION BY doc_id, page, line, off, g))
+      SELECT off AS off_line, leaves, count(*) AS n FROM l GROUP BY 1, 2""",
     "opt_out": "SELECT event_type = 'error' AS is_error, count(*) AS n FROM events WHERE event_type = 'error' OR NOT (user_id % 3 = 0 OR user_id % 5 = 0) GROUP BY 1",
     "kept_plan": """WITH a AS (SELECT user_id AS u, (epoch_us(ts) // 1000) AS t, event_id AS s, CASE event_type WHEN 'purchase' THEN 'paid' WHEN 'error' THEN 'unknown' ELSE 'free' END AS answer FROM events),
       b AS (SELECT *, last_value(CASE WHEN answer = 'paid' THEN t END IGNORE NULLS) OVER w AS paid_at, last_value(CASE WHEN answer <> 'unknown' THEN answer END IGNORE NULLS) OVER w AS said FROM a WINDOW w AS (PARTITION BY u ORDER BY t, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
@@ -416,6 +548,7 @@ QUERIES = {
         multiset_compare, counts_by_kind, gate_refusals, synth_iban, synth_ssn, synth_nino, synth_dates, synth_overlap, term_admission, output_names, page_lists, result_counts, refusal_lines,
         report_admission, report_budget, strict_events, opt_out, kept_plan, plan_states, entitlements, page_kinds, calendar_dates, dependency_closure, geometry_scalars, contrast_scalars,
         document_matches, page_matches, matches_by_source, document_terms, redacted_documents, redaction_proof, synth_full_detection, session_states, session_usage, synth_lines,
-        synth_page_findings, synth_off_line, synth_reading_compare,
+        synth_page_findings, synth_off_line, synth_reading_compare, synth_trim, synth_replacement_text, report_rules, policy_order, html_inventory, target_refusals, review_checklist, page_targets,
+        detection_counts, result_sentences, crooked_notes, chosen_redaction,
     )
 }
