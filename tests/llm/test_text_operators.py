@@ -69,6 +69,31 @@ def test_ngram_join_near_copies_and_chains(spark):
         assert got_components(ngram_join.join(spark, df, k, share)) == brute_components(data, k, share)
 
 
+def test_ngram_join_large_group_on_both_sides_of_the_threshold(spark):
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(150)]
+    data = [(0, " ".join(base))]
+    for i in range(1, 500):  # near copies of one text, some of them just under the threshold to all others
+        w = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 8)), replace=False):
+            w[at] = f"e{i}_{at}"
+        data.append((i, " ".join(w)))
+    data += [(1000 + i, data[int(rng.integers(0, 500))][1]) for i in range(100)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    expected = brute_components(data, 4, 85)
+    sizes = defaultdict(int)
+    for _, _, c in expected:
+        sizes[c] += 1
+    assert max(sizes.values()) > 150 and sum(n == 1 for n in sizes.values()) > 100
+    assert got_components(ngram_join.join(spark, df, 4, 85)) == expected
+
+
+def test_postings_pass_on_shared_tokens_in_parts(spark, monkeypatch, docs):
+    whole = ngram_join.join(spark, docs, 4, 85).exceptAll
+    monkeypatch.setattr(ngram_join, "_WAITING", 50)
+    assert whole(ngram_join.join(spark, docs, 4, 85)).count() == 0
+
+
 def test_ngram_join_odd(spark, odd, empty):
     data = [(r.doc_id, r.text) for r in odd.collect()]
     assert got_components(ngram_join.join(spark, odd, 4, 85)) == brute_components(data, 4, 85)
@@ -148,6 +173,29 @@ def test_packing(spark, odd, empty, library):
     assert packing.pack(spark, packing.pieces(empty, FILE, 1, 64), 64).count() == 0
 
 
+def _pieces(spark, sizes, parts):
+    return spark.createDataFrame([(i, 0, 0, int(n), i) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, crc long").repartition(parts)
+
+
+def test_packing_in_bounded_runs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    sizes = [*rng.integers(1, 100, 4000), *[100] * 20]
+    monkeypatch.setattr(packing, "RUN", 256)
+    packed = packing.pack(spark, _pieces(spark, sizes, 6), 100).toPandas()
+    assert sorted(packed.doc_id) == list(range(len(sizes)))
+    for _, s in packed.sort_values("offset").groupby("sequence_id"):
+        assert s.length.sum() <= 100 and s.offset.tolist() == [0, *np.cumsum(s.length)[:-1].tolist()]
+    monkeypatch.setattr(packing, "RUN", 1 << 20)
+    in_one = packing.pack(spark, _pieces(spark, sizes, 1), 100).toPandas().sequence_id.nunique()
+    assert packed.sequence_id.nunique() <= in_one * 1.05 + 2
+
+
+def test_bins_that_nothing_fits_end_the_rounds(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 16)
+    packed = packing.pack(spark, _pieces(spark, [60] * 300, 5), 100).toPandas()
+    assert len(packed) == 300 and packed.sequence_id.nunique() == 300 and set(packed.offset) == {0}
+
+
 def test_best_fit_chooses_the_fullest_bin():
     assert packing.best_fit([6, 5, 4, 3, 2], 10) == [0, 1, 0, 1, 1]
 
@@ -295,11 +343,45 @@ def test_a_group_named_in_toxic_texts_is_no_evidence(spark):
     assert abs(got[1] - got[2]) < 0.1 and abs(got[1] - got[3]) < 0.1 and got[1] < 0.5 < got[4]
 
 
-def test_a_swap_changes_the_bucket_of_the_word_alone():
-    for a, b in (("women", "men"), ("Muslims", "christians"), ("BLACK", "white")):
-        old, new = (set(next(toxicity.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])))) for t in (f"the {a}, here", f"the {b}, here"))
-        assert len(old - new) == len(new - old) == 1
-        assert (int(*(old - new)), int(*(new - old))) in toxicity.swaps()
+def _both(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return next(toxicity._read(data, np.array([0, len(data)]), True))
+
+
+def test_counterfactual_copies_are_the_swapped_sentences():
+    own, copies = _both("the Muslims, here")
+    assert len(copies) == toxicity.COPIES + 1
+    others = {w: set(_both(f"the {w}, here")[0]) for w in ("christians", "jews", "hindus")}
+    assert [set(c) for c in copies[:3]] == list(others.values())
+    assert set(copies[-1]) == set(_both("the here")[0]) and not _both("nobody is named")[1]
+    two, copies = _both("black women")
+    assert set(copies[0]) == set(_both("white men")[0])
+
+
+def test_a_group_as_the_only_cue_scores_like_its_swap(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(200)]
+    data, labels = [], []
+    for i in range(1200):
+        w = list(rng.choice(vocabulary, 12))
+        bad = i % 2
+        if bad == (rng.random() < 0.9):
+            w[5] = "muslims"
+        data.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    model = toxicity.fit(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    probe = spark.createDataFrame([(1, "w1 w2 muslims w3"), (2, "w1 w2 christians w3"), (3, "w1 w2 w3")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(probe, model).collect()}
+    assert abs(got[1] - got[2]) < 0.1 and abs(got[1] - got[3]) < 0.1
+
+
+def test_toxicity_on_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.filter(langid.remainder("doc_id", 5) != 0))
+    held = toxicity.score(docs, model).join(labels.filter("toxic is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 = 0"), "doc_id").collect()
+    good, bad = [r.score for r in held if not r.toxic], [r.score for r in held if r.toxic]
+    assert np.mean([g < b for g in good for b in bad]) > 0.9 and np.mean([g < 0.5 for g in good]) > 0.97
 
 
 def test_toxicity_odd(spark, odd, empty):
@@ -366,13 +448,13 @@ You may obtain a copy of the License at
 
 
 def test_licences_as_they_are_wrapped_and_commented(spark):
-    whole = [(GPL, "GPL-3.0", 2), (BSD_2, "BSD-2-Clause", 2), (BSD_3, "BSD-3-Clause", 3), (MIT, "MIT", 3), (MPL, "MPL-2.0", 1), (APACHE, "Apache-2.0", 3)]
+    whole = [(GPL, "GPL-3.0", 2), (BSD_2, "BSD-2-Clause", 3), (BSD_3, "BSD-3-Clause", 4), (MIT, "MIT", 3), (MPL, "MPL-2.0", 1), (APACHE, "Apache-2.0", 3)]
     dressed = [
         lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: "".join(f"# {x}\n" for x in t.split("\n")), lambda t: "".join(f"// {x}\n" for x in t.split("\n")),
         lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */\nint x;\n", lambda t: "".join(f"/* {x:80} */\n" for x in t.split("\n")),
     ]
     cases = [(dress(t), name, n) for t, name, n in whole for dress in dressed]
-    cases += [("Copyright Foo\nLicensed under the MIT License\nReleased under the MIT License\nEnjoy", "MIT", 2), ("licensed under the\n\nMIT license", "", 0)]
+    cases += [("Copyright Foo\nLicensed under the MIT License\nReleased under the MIT License\nEnjoy", "MIT", 2), ("licensed under the\n\nMIT licence", "", 0)]
     got = {r.doc_id: r for r in licences.scan(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")).collect()}
     assert [(got[i].licences, got[i].licence_sentences, got[i].licence_matches) for i in range(len(cases))] == [(name, n, (n > 0) if i < len(cases) - 2 else n) for i, (_, name, n) in enumerate(cases)]
 
@@ -394,3 +476,62 @@ def test_media(spark, odd, empty):
     assert all(len(p) == 1 for p in places.values())
     assert media.media_columns(spark, empty).count() == 0
     assert media.from_png(media.to_png(media.pad(b"abc"))) == media.pad(b"abc")
+
+
+def unfiltered(media_bytes):
+    """Samples of a greyscale PNG, read here by the format's own rules (any filter)."""
+    at, body, size = 8, b"", None
+    while at < len(media_bytes):
+        n, kind = int.from_bytes(media_bytes[at : at + 4], "big"), media_bytes[at + 4 : at + 8]
+        data = media_bytes[at + 8 : at + 8 + n]
+        assert int.from_bytes(media_bytes[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind + data)
+        if kind == b"IHDR":
+            size = int.from_bytes(data[:4], "big"), int.from_bytes(data[4:8], "big")
+            assert tuple(data[8:13]) == (8, 0, 0, 0, 0)
+        body += data if kind == b"IDAT" else b""
+        at += 12 + n
+    assert kind == b"IEND"
+    raw, (width, height), rows, up = zlib.decompress(body), size, [], bytes(size[0])
+    for y in range(height):
+        line = raw[y * (width + 1) : (y + 1) * (width + 1)]
+        assert line[0] in (0, 2)
+        up = bytes((v + (u if line[0] == 2 else 0)) & 255 for v, u in zip(line[1:], up, strict=True))
+        rows.append(up)
+    return b"".join(rows)
+
+
+def test_media_by_another_decoder_and_tar_reader(spark, docs):
+    import tarfile
+
+    folder = common.work_dir(spark, "media")
+    texts = docs.select("text").limit(40)
+    placed = media.store(media.encode(texts, bytes(1 << 20), False), folder).toPandas().drop_duplicates("media_digest")
+    fs, root = common.filesystem(folder)
+    read = {}
+    for shard in placed.shard.unique():
+        with tarfile.open(fileobj=fs.open_input_file(f"{root}/{shard}")) as tar:
+            for m in tar.getmembers():
+                read[m.name] = tar.extractfile(m).read()
+    filled = {r.media_digest: r for r in media.fill(spark.createDataFrame(placed), folder).collect()}
+    for t in {r.text for r in texts.collect()}:
+        payload = media.pad((t or "").encode())
+        digest = hashlib.sha256(payload).hexdigest()
+        raw, row = read[f"{digest}.png"], filled[digest]
+        assert unfiltered(raw) == payload
+        assert (row.media_bytes, row.media_sha256) == (len(raw), hashlib.sha256(raw).hexdigest())
+        x = list(payload)
+        mean = sum(x) / len(x)
+        assert row.feature.startswith(f"mean={mean:.4f};std={(sum((v - mean) ** 2 for v in x) / len(x)) ** 0.5:.4f};") and f"zeros={x.count(0)};" in row.feature
+
+
+def test_licence_probes(spark):
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE."
+    lgpl = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."
+    cases = [
+        (isc, "ISC"), (lgpl, "LGPL-2.1"), ("# SPDX-License-Identifier: Apache-2.0\nimport x", "Apache-2.0"), ("// SPDX-License-Identifier: GPL-3.0-or-later\n", "GPL-3.0"), ("# Licensed under the Apache License, Version 2.0", "Apache-2.0"), ("// Licensed under the MIT License.", "MIT"),
+        (MIT, "MIT"), (BSD_3.replace("3. Neither", "3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgment.\n\n4. Neither"), "BSD-4-Clause"), ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), ("The permission of the licence office was asked.", ""), (GPL.replace("version 3", "version 2"), "GPL-2.0"),
+    ]
+    got = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for _, name in cases]
+    assert len({name for name, _ in licences.RULES}) >= 40

@@ -98,6 +98,40 @@ def test_pipeline_stages(spark, odd):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == kept and len(kept) > 100
 
 
+def test_columns_of_the_same_names_keep_their_values(spark, odd):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "'kept' AS score", "doc_id + 1 AS predicted", "'mine' AS lang_pred", "'r' AS rejected", "'g' AS _gone", "'k' AS _tkey")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes
+        assert out.filter("score <> 'kept' or predicted <> doc_id + 1 or lang_pred <> 'mine' or rejected <> 'r' or _gone <> 'g' or _tkey <> 'k'").count() == 0 and out.count() > 100
+
+
+def test_near_duplicates_go_by_row(spark):
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    data = [(1, a, "x"), (2, a + " tail", "y"), (2, b, "z"), (3, b, "u"), (4, "alone " * 3, "v"), (4, "alone " * 3, "w"), (None, a, "n"), (5, None, "0"), (5, "", "0"), (6, a, "q"), (6, a, "q")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (4, "alone " * 3), (None, a), (5, None), (5, "")], key=repr)
+
+
+def test_less_than_half_is_probed_where_vectors_cluster(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 24))
+    data = [(i, [float(v) for v in centres[i % 60] + 0.25 * rng.normal(size=24)]) for i in range(6000)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4)
+    index = ann.fit(df)
+    assert index.parts >= 8 and index.probes < index.parts / 2
+    expected = brute(data, range(0, 6000, 300), 5)
+    got = {}
+    for r in ann.nearest(spark, df, df.filter("vec_id % 300 = 0"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert np.mean([len(set(got[q]) & set(expected[q])) / 5 for q in expected]) >= 0.9
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd):
     import corpus_pipeline
 
