@@ -20,7 +20,7 @@ _UNDER = r"(?:this \w+ is |it is |are |is )?(?:released|licensed|distributed|ava
 _GNU = r"(?:this program|this library|this file|this software|\S+) is free software[:;,] you can redistribute it and/or modify it under the terms of the gnu {} as published by the free software foundation[;,:] (?:either )?version {}.*"
 SENTENCES: dict[str, str] = {
     "apache-notice": rf"(?:this \w+ is )?licensed under the apache license,? version 2(?: 0)?(?: \(the {Q}license{Q}\);?.*)?",
-    "apache-use": "(?:.* )?you may not use this file except in compliance with the license",
+    "apache-use": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at.*",
     "apache-basis": rf"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an {Q}as is{Q} basis.*",
     "apache-title": "apache license,? version 2 0(?:, january 2004)?(?: http.*)?",
@@ -55,18 +55,18 @@ SENTENCES: dict[str, str] = {
     "unlicense-release": "this is free and unencumbered software released into the public domain", "wtfpl-title": "do what the fuck you want to public license.*",
     "zlib-warranty": rf"this software is provided {Q}as-is{Q}, without any express or implied warranty", "zlib-grant": "permission is granted to anyone to use this software for any purpose,.*", "zlib-origin": "(?:\\(?[0-9]\\)? )?the origin of this software must not be misrepresented.*",
     "boost-notice": "(?:use, modification,? and distribution (?:is|are) subject to|distributed under) the boost software license, version 1 0.*", "boost-grant": "permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software.*",
-    "artistic-2-notice": "(?:.* )?(?:under )?(?:the terms of )?the artistic license(?: \\(?version)? 2 0\\)?", "ofl-notice": "this font software is licensed under the sil open font license, version 1 1", "ncsa-title": "university of illinois/ncsa open source license",
+    "artistic-2-notice": "(?:[^\\n]* )?(?:under )?(?:the terms of )?the artistic license(?: \\(?version)? 2 0\\)?", "ofl-notice": "this font software is licensed under the sil open font license, version 1 1", "ncsa-title": "university of illinois/ncsa open source license",
     "postgresql-grant": "permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted,.*",
     "psf-title": "python software foundation license version 2", "ms-pl-title": "microsoft public license(?: \\(ms-pl\\))?", "ms-rl-title": "microsoft reciprocal license(?: \\(ms-rl\\))?", "eupl-notice": _UNDER + "(?:eupl|european union public licen[sc]e),? ?(?:version |v ?)?1 2.*",
-    "upl-title": "the universal permissive license(?: \\(upl\\))?, version 1 0", "odbl-notice": ".*made available under the open database license.*", "php-notice": "this source file is subject to version 3 01? of the php license.*", "afl-notice": _UNDER + "academic free license,? (?:version |v ?)?3 0",
-    "busl-title": "business source license 1 1", "sspl-notice": ".*under the terms of the server side public license.*", "elastic-notice": ".*(?:licensed under|subject to) the elastic license 2 0.*",
+    "upl-title": "the universal permissive license(?: \\(upl\\))?, version 1 0", "odbl-notice": "[^\\n]*made available under the open database license.*", "php-notice": "this source file is subject to version 3 01? of the php license.*", "afl-notice": _UNDER + "academic free license,? (?:version |v ?)?3 0",
+    "busl-title": "business source license 1 1", "sspl-notice": "[^\\n]*under the terms of the server side public license.*", "elastic-notice": "[^\\n]*(?:licensed under|subject to) the elastic license 2 0.*",
 }
 #: Ordered rules: the first that fits at a place wins. (licence, sentences in sequence; those with ? may be missing)
 RULES: list[tuple[str, str]] = [
     ("Apache-2.0", "apache-notice apache-use apache-copy apache-basis?"), ("Apache-2.0", "apache-notice apache-copy? apache-basis?"), ("Apache-2.0", "apache-title"),
     ("X11", "mit-title? mit-grant mit-condition as-is-warranty x11-name"), ("MIT", "mit-title? mit-grant mit-condition as-is-warranty"), ("MIT-0", "mit-0-title mit-grant? as-is-warranty?"), ("NCSA", "ncsa-title mit-grant? as-is-warranty?"),
-    ("MIT", "mit-title? mit-grant"), ("MIT", "mit-notice"), ("MIT", "mit-title"),
-    ("ISC", "isc-title? isc-grant isc-warranty?"), ("0BSD", "0bsd-grant isc-warranty?"), ("ISC", "isc-title"),
+    ("MIT", "mit-title? mit-grant"), ("MIT", "mit-notice"),
+    ("ISC", "isc-title? isc-grant isc-warranty?"), ("0BSD", "0bsd-grant isc-warranty?"),
     ("OpenSSL", "bsd-redistribution bsd-source? bsd-binary? bsd-advertising? bsd-no-endorse? openssl-form bsd-warranty?"),
     ("BSD-4-Clause", "bsd-redistribution bsd-source? bsd-binary? bsd-advertising bsd-no-endorse? bsd-warranty?"), ("BSD-3-Clause", "bsd-redistribution bsd-source? bsd-binary? bsd-no-endorse bsd-warranty?"), ("BSD-2-Clause", "bsd-redistribution bsd-source? bsd-binary? bsd-warranty"), ("BSD-2-Clause", "bsd-redistribution bsd-source bsd-binary"),
     *((name, f"{family}-redistribute gnu-warranty?") for name, family in (("GPL-2.0", "gpl-2"), ("GPL-3.0", "gpl-3"), ("LGPL-2.1", "lgpl-2.1"), ("LGPL-3.0", "lgpl-3"), ("AGPL-3.0", "agpl-3"))),
