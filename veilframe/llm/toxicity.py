@@ -130,7 +130,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, copies: lis
             g = np.bincount(cols, r[doc], minlength=k) - np.bincount(copied, change[copy], minlength=k)
         else:
             g = np.bincount(cols, r[doc], minlength=k)
-        g += RIDGE * w / max(1, k) ** 0.5
+        g = g + RIDGE * w / max(1, k) ** 0.5
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
