@@ -179,3 +179,23 @@ def test_normalise_and_fold():
     assert chars.fold_term("  É’s­-Test ") == "e's-test"
     assert chars.term_length("éx") == 2
     assert chars.lines_of("a\r\nb\nc") == ["a", "b", "c"]
+
+
+def test_numbers_of_other_plans():
+    ticked = lambda t: [(t[s.start : s.end], s.ticked) for s in phones.phone(t)]
+    assert ticked("call +33 1 42 68 53 00 now") == [("+33 1 42 68 53 00", True)]
+    assert ticked("+49 30 901820, +34 912 345 678") == [("+49 30 901820", True), ("+34 912 345 678", True)]
+    assert ticked("+353 1 679 5666") == [("+353 1 679 5666", True)]
+    assert ticked("+33 1 42 68 53")[0][1] is False  # too short for its plan
+    assert phones.international("999123456789") == "possible"
+
+
+def test_rescued_rows_yield_to_dates():
+    text = "555 123 2026-01-02 9"
+    row = Span("phone", 0, 20, False, True)
+    got = resolve.yield_rescued(text, [row], [Span("date", 8, 18, False)])
+    assert [(s.start, s.end, s.rescued) for s in got] == [(0, 7, False)]
+    assert resolve.yield_rescued(text, [row], [Span("date", 0, 3, False)]) == []
+    kept = row._replace(rescued=False)
+    assert resolve.yield_rescued(text, [kept], [Span("date", 0, 3, False)]) == [kept]
+    assert resolve.yield_rescued(text, [row], []) == [kept]

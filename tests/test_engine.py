@@ -348,3 +348,41 @@ def test_masking_goes_on_behind_a_match(spark):
     rows = [("a@b.c_d@e.fr",), ("no at " + "x" * 50_000,), ("x" * 50_000 + " a@b.org",), ("._a@b.org 4111111111111111",)]
     got = [r.m for r in spark.createDataFrame(rows, "text string").select(native.masked(F.col("text")).alias("m")).collect()]
     assert got == ["[EMAIL][EMAIL]", rows[1][0], "x" * 50_000 + " [EMAIL]", "[EMAIL] [NUMBER]"]
+
+
+def test_areas_around_a_quad(spark):
+    from veilframe.functions import geometry
+
+    q = F.array(*[F.lit(float(v)) for v in (0, 0, 100, 0, 0, 10, 100, 10)])
+    r = spark.range(1).select(geometry.removal_band(q).alias("band"), geometry.line_box(q).alias("box"), geometry.padded_area(q).alias("pad")).first()
+    near = lambda a, b: all(abs(x - y) < 1e-9 for x, y in zip(a, b, strict=True))
+    assert near(r.band, [1, 4.5, 99, 4.5, 1, 5.5, 99, 5.5]) and near(r.box, [0, 2, 100, 2, 0, 9.3, 100, 9.3]) and near(r.pad, [-1, -2.5, 101, -2.5, -1, 12.5, 101, 12.5])
+    place = [100.0, 0.0, 0.0, 100.0, 0.0, 0.0]
+    assert geometry.image_reach(place, 100, 100, [10, 10, 20, 10, 10, 20, 20, 20]) == 0
+    assert abs(geometry.image_reach(place, 10, 10, [11, 10, 20, 10, 11, 20, 20, 20]) - 1) < 1e-9
+    assert geometry.image_reach(place, 10, 10, [200, 200, 210, 200, 200, 210, 210, 210]) == 0
+    assert geometry.image_reach([0.0] * 6, 10, 10, [0, 0, 1, 0, 0, 1, 1, 1]) != geometry.image_reach([0.0] * 6, 10, 10, [0, 0, 1, 0, 0, 1, 1, 1])  # nan
+
+
+def test_only_batches_that_may_be_searched(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for bad in ([("a", "ab"), ("a", "cd")], [("a", " ab ")], [("a", "x")], [("a", "Ab"), ("b", "aB")]):
+        with pytest.raises(ValueError):
+            lifecycle.matches(docs, bad)
+
+
+def test_stream_of_both_rules(spark, tmp_path):
+    from veilframe.streaming.reports import admit_reports_stream
+
+    base = 1_700_000_000_000
+    rows = [("i", n, k, base + t, d) for n, (k, t, d) in enumerate([("a", 0, True), ("b", 1, True), ("c", 2, True), ("s", 3, False), ("a", 4, True), ("a", 3_600_000, False)])]
+    src = spark.createDataFrame(rows, "instance string, seq long, key string, ms long, draws boolean").select("instance", "seq", "key", F.timestamp_millis("ms").alias("ts"), "draws")
+    src.repartition(1).write.parquet(str(tmp_path / "in"))
+    q = admit_reports_stream(spark.readStream.schema(src.schema).parquet(str(tmp_path / "in")), budget=2).writeStream.format("memory").queryName("both").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    batch = events.admit_reports(spark.createDataFrame(rows, "instance string, seq long, key string, ts_ms long, draws boolean"), budget=2)
+    expected = [True, True, False, True, False, True]
+    assert [r.admitted for r in spark.table("both").orderBy("seq").collect()] == expected == [r.admitted for r in batch.orderBy("seq").collect()]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chars
 from ..operators.resolve import detect
-from ..operators.terms import carried, find_terms, reach
+from ..operators.terms import batch_ok, carried, find_terms, reach
 from ..operators import review
 from ..sources.gates import Limits, spread
 
@@ -93,9 +93,16 @@ _TYPES = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.strin
 _NAMES = [c.split()[0] for c in MATCHES.split(", ")]
 
 
+def _searchable(terms: list[tuple[str, str]] | None, limits: Limits) -> list[tuple[str, str]]:
+    """A batch of terms that may be searched; any other is refused whole."""
+    if terms and not batch_ok(terms, limits.most_terms, limits.most_term_chars):
+        raise ValueError("terms must have ids of their own and be admissible as they are written")
+    return list(terms or [])
+
+
 def matches(docs: DataFrame, terms: list[tuple[str, str]] | None = None, limits: Limits = Limits()) -> DataFrame:
     """The review table of (doc_id, text): offsets are code points of the normalised page. No shuffle; texts without @, digit or term never reach a detector."""
-    listed = list(terms or [])
+    listed = _searchable(terms, limits)
 
     def run(batches):
         for b in batches:
@@ -164,7 +171,7 @@ def redact(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def redact_all(docs: DataFrame, terms: list[tuple[str, str]] | None = None, limits: Limits = Limits()) -> DataFrame:
     """(doc_id, text, n_removed, leaked, lost, added): with the default ticks a document is read, blotted out and proved where it lies, in one Arrow stage: no text is shuffled."""
-    listed, could = list(terms or []), regex.compile(marked())
+    listed, could = _searchable(terms, limits), regex.compile(marked())
 
     def run(batches):
         for b in batches:
