@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch handed to Python; texts are long, so batches are short.
 ARROW_ROWS = 512
 #: Bytes of text hashed at once, so that temporary arrays stay small.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,8 +78,19 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task, after which its worker gives freed memory back: workers stay for later stages, and what each has held at most would add up."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim is not None:
+                trim(0)
+
+    return run
 
 
 def texts(column: pa.Array) -> list[str]:
@@ -262,7 +274,7 @@ def bitmap(df: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([c // piece], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["chunk", "vec"])
 
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in merge_vectors(df.select(F.col(column).cast("long")).mapInArrow(per_task, "chunk int, vec binary"), "or", "u1").collect():
+    for r in merge_vectors(df.select(F.col(column).cast("long")).mapInArrow(lean(per_task), "chunk int, vec binary"), "or", "u1").collect():
         out[r.chunk * piece : r.chunk * piece + len(r.vec)] = np.frombuffer(r.vec, np.uint8)
     return out
 

@@ -76,7 +76,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 df[DIMS] += 1
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([df.tobytes()], pa.binary())], ["chunk", "vec"])
 
-    rows = common.merge_vectors(docs.select("text").mapInArrow(run, "chunk int, vec binary"), "sum", "i8").collect()
+    rows = common.merge_vectors(docs.select("text").mapInArrow(common.lean(run), "chunk int, vec binary"), "sum", "i8").collect()
     got = np.frombuffer(rows[0].vec, np.int64) if rows else np.zeros(DIMS + 1, np.int64)
     return got[:DIMS], int(got[DIMS])
 
@@ -150,7 +150,7 @@ def fit(docs: DataFrame) -> dict:
         c, least = learn([np.frombuffer(r, "<u2") for r, _ in order], [r for _, r in order], idf)
         return pa.table({"lang": [table.column("lang")[0].as_py()], "centres": pa.array([c.astype("<f4").tobytes()], pa.binary()), "least": pa.array([least], pa.list_(pa.float64()))})
 
-    sample = some.select("lang", "text").mapInArrow(read, "lang string, counts binary, cut array<string>")
+    sample = some.select("lang", "text").mapInArrow(common.lean(read), "lang string, counts binary, cut array<string>")
     got = sorted(sample.groupBy("lang").applyInArrow(one, "lang string, centres binary, least array<double>").collect())
     centres = [np.frombuffer(r.centres, "<f4").reshape(-1, DIMS) for r in got]
     owner = np.repeat(np.arange(len(got)), [len(c) for c in centres])
@@ -186,7 +186,7 @@ def predict(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("lang_p
             lang, score, rejected = judge(shared.value, b.column(b.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(own))], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*own, *names])
 
-    return docs.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, f"{out}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
+    return docs.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(common.lean(run), f"{out}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ FRAGMENTS = 8
 CELLS = 256
 _PIECE = 1 << 16
 #: What a posting is sent as: token, set, its size, the token's place in its order; and how many wait for each other in a task at least.
-_ENTRY, _WAITING = ("<u8", "<i8", "<i4", "<i4"), 1 << 20
+_ENTRY, _WAITING = ("<u8", "<i8", "<i4", "<i4"), 1 << 18
 _SIGN = np.uint64(0xA0761D6478BD642F)
 
 
@@ -65,7 +65,7 @@ def possible(pairs: DataFrame, cells: DataFrame, share: int) -> DataFrame:
             got = b.filter(pa.array(most * 100 >= share * (both - most), pa.bool_()))
             yield pa.RecordBatch.from_arrays(got.columns[:4], ["a", "b", "na", "nb"])
 
-    return pairs.select("a", "b", "na", "nb").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long, na int, nb int")
+    return pairs.select("a", "b", "na", "nb").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(common.lean(run), "a long, b long, na int, nb int")
 
 
 def text_key(text: Column) -> Column:
@@ -98,7 +98,7 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
             if counts[c : c + _PIECE].any():
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([c // _PIECE], pa.int32()), pa.array([zlib.compress(counts[c : c + _PIECE].astype("<u8").tobytes(), 1)], pa.binary())], ["doc_id", "tkey", "n", "sid", "chunk", "vec"])
 
-    return docs.select("doc_id", "text", text_key(F.col("text")).alias("tkey")).mapInArrow(run, "doc_id long, tkey long, n int, sid long, chunk int, vec binary")
+    return docs.select("doc_id", "text", text_key(F.col("text")).alias("tkey")).mapInArrow(common.lean(run), "doc_id long, tkey long, n int, sid long, chunk int, vec binary")
 
 
 def _order(profile: DataFrame) -> np.ndarray:
@@ -203,7 +203,7 @@ def _postings(spark: SparkSession, docs: DataFrame, k: int, share: int, counts)
             shared = np.union1d(shared, t[keep])
             lone = [t[rest], d[order[rest]], n[order[rest]], p[order[rest]]]
 
-    return docs.select("doc_id", "text").mapInArrow(send, "bucket int, rows binary").repartitionById(buckets, "bucket").mapInArrow(receive, "token long, sid long, n int, at int").distinct()
+    return docs.select("doc_id", "text").mapInArrow(common.lean(send), "bucket int, rows binary").repartitionById(buckets, "bucket").mapInArrow(common.lean(receive), "token long, sid long, n int, at int").distinct()
 
 
 def _segments(docs: DataFrame, k: int, counts, wanted: np.ndarray) -> DataFrame:
@@ -230,7 +230,7 @@ def _segments(docs: DataFrame, k: int, counts, wanted: np.ndarray) -> DataFrame:
             values = np.concatenate(toks) if toks else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(frag, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int64()))], ["sid", "fragment", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "sid long, fragment int, tokens array<bigint>").groupBy("sid", "fragment").agg(F.first("tokens").alias("tokens"))
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), "sid long, fragment int, tokens array<bigint>").groupBy("sid", "fragment").agg(F.first("tokens").alias("tokens"))
 
 
 def verify(pairs: DataFrame, segments: DataFrame, share: int) -> DataFrame:

@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "crc"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, crc long")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc_id long, piece int, start long, length long, crc long")
 
 
 def _pack_partition(capacity: int, level: int, last: bool):
@@ -117,7 +117,7 @@ def pack(spark: SparkSession, cut_pieces: DataFrame, capacity: int) -> DataFrame
     n, depth, done, waiting = max(1, level.rdd.getNumPartitions()), 1, [], None
     while True:
         last = n == 1 and waiting is not None and waiting <= RUN
-        packed = common.cut(spark, level.mapInArrow(_pack_partition(capacity, depth, last), BIN + ", done boolean"), f"bins-{depth}")
+        packed = common.cut(spark, level.mapInArrow(common.lean(_pack_partition(capacity, depth, last)), BIN + ", done boolean"), f"bins-{depth}")
         done.append(packed.filter("done").select("bin", "items"))
         if last:
             break

@@ -147,7 +147,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                 doc = np.array([0 if d is None else d for d in ids], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(b1), pa.array(b2), pa.array(doc[own]), pa.array(keys[own]), pa.array((start - offsets[own]).astype(np.int32)), pa.array((stop - start).astype(np.int32))], ["b1", "b2", "doc_id", "tkey", "at", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "b1 long, b2 long, doc_id long, tkey long, at int, n int")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), "b1 long, b2 long, doc_id long, tkey long, at int, n int")
 
 
 #: Bytes of a block's digest that go with its anchors. Two blocks that alone share an anchor and agree in all of them would be missed: at 1e11 such pairs 4e-4 are expected.
@@ -234,8 +234,8 @@ def shared_anchors(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 some = cuts[i : i + 8192]
                 yield pa.RecordBatch.from_arrays([pa.array(t[[x for x, _ in some]].astype(np.int64), pa.int64()), pa.array([h[x:y].tobytes() for x, y in some], pa.binary())], ["tag", "anchors"])
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, "bucket int, kind int, tag long, body binary")
-    got = sent.repartitionById(buckets, "bucket").mapInArrow(receive, "tag long, anchors binary")
+    sent = docs.select("doc_id", "text").mapInArrow(common.lean(send), "bucket int, kind int, tag long, body binary")
+    got = sent.repartitionById(buckets, "bucket").mapInArrow(common.lean(receive), "tag long, anchors binary")
     return got.groupBy("tag").agg(F.collect_list("anchors").alias("anchors"))
 
 
@@ -259,7 +259,7 @@ def _wanted(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame
                 keys = [text_key(data[x:y]) for x, y in itertools.pairwise(offsets)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), b.column(1)], ["doc_id", "tkey", "text"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tkey long, text string")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc_id long, tkey long, text string")
 
 
 def segments(texts: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def segments(texts: DataFrame) -> DataFrame:
                 bodies = pa.Array.from_buffers(pa.binary(), len(hit), [pa.py_buffer(np.packbits(lead, bitorder="little").tobytes()), pa.py_buffer(np.cumsum(sizes).astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(b1)), pa.array(np.concatenate(b2)), pa.array((x - at[start[block[hit]]]).astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(a[hit].view(np.int64)), pa.array(doc), bodies], ["b1", "b2", "at", "k1", "k2", "anchor", "doc_id", "body"])
 
-    return texts.select("doc_id", "tkey", "text", "blocks").mapInArrow(run, "b1 long, b2 long, at int, k1 long, k2 long, anchor long, doc_id long, body binary")
+    return texts.select("doc_id", "tkey", "text", "blocks").mapInArrow(common.lean(run), "b1 long, b2 long, at int, k1 long, k2 long, anchor long, doc_id long, body binary")
 
 
 class _Columns:
@@ -480,7 +480,7 @@ def windows(spark: SparkSession, strings: DataFrame) -> DataFrame:
                 group = []
             group += rows[x:y]
 
-    return strings.select("anchor", "k1", "k2", "doc_id", "body").repartition(common.parts(spark), "anchor").mapInArrow(run, "k1 long, k2 long, least long, runs binary")
+    return strings.select("anchor", "k1", "k2", "doc_id", "body").repartition(common.parts(spark), "anchor").mapInArrow(common.lean(run), "k1 long, k2 long, least long, runs binary")
 
 
 def _removals(placed: DataFrame) -> DataFrame:
@@ -505,7 +505,7 @@ def _removals(placed: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "tkey", "spans"])
 
-    return placed.select("doc_id", "tkey", "at", "n", "least", "parts").mapInArrow(run, "doc_id long, tkey long, spans binary").groupBy("doc_id", "tkey").agg(F.collect_list("spans").alias("spans"))
+    return placed.select("doc_id", "tkey", "at", "n", "least", "parts").mapInArrow(common.lean(run), "doc_id long, tkey long, spans binary").groupBy("doc_id", "tkey").agg(F.collect_list("spans").alias("spans"))
 
 
 def removed(n: int, spans: list[bytes]) -> np.ndarray:
@@ -567,7 +567,7 @@ def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     some = _wanted(docs, bits).join(cut, ["doc_id", "tkey"], "left").select("doc_id", "text", "spans")
     rest = _wanted(docs, bits, inside=False).select("doc_id", "text")
-    return some.mapInArrow(run, schema).unionByName(rest.mapInArrow(run, schema))
+    return some.mapInArrow(common.lean(run), schema).unionByName(rest.mapInArrow(common.lean(run), schema))
 
 
 def rewrite(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -612,10 +612,10 @@ def rewrite(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 cols[i] = pa.array([n if not s else len(t) for t, s, n in zip(texts, b.column(len(names)).to_pylist(), cols[i].to_pylist(), strict=True)], pa.int64()).cast(b.schema.field(i).type)
             yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(stay, pa.bool_()))
 
-    some = docs.mapInArrow(split(True), f"{schema}, _vf_id long, _vf_key long")
+    some = docs.mapInArrow(common.lean(split(True)), f"{schema}, _vf_id long, _vf_key long")
     spanned = cut.select(F.col("doc_id").alias("_vf_id"), F.col("tkey").alias("_vf_key"), F.col("spans").alias("_vf_spans"))
     some = some.join(spanned, ["_vf_id", "_vf_key"], "left").select(*[F.col(f"`{c}`") for c in names], "_vf_spans")
-    return some.mapInArrow(finish, schema).unionByName(docs.mapInArrow(split(False), schema))
+    return some.mapInArrow(common.lean(finish), schema).unionByName(docs.mapInArrow(common.lean(split(False)), schema))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,9 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
             kept, w, bias = train([np.frombuffer(held[d][0], "<i4") for d in order], y, np.where(y == 1, back[1], back[0]), copies)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1), pa.int64()), pa.array(np.append(w, bias), pa.float64())], ["bucket", "weight"])
 
-    sample = docs.select("doc_id", "text").mapInArrow(read, "doc_id long, words binary, copies array<binary>")
+    sample = docs.select("doc_id", "text").mapInArrow(common.lean(read), "doc_id long, words binary, copies array<binary>")
     table, bias = np.zeros(1 << BITS, np.float32), -2.0
-    for r in sample.repartition(1).mapInArrow(learn, "bucket long, weight double").collect():  # FEATURES and the terms
+    for r in sample.repartition(1).mapInArrow(common.lean(learn), "bucket long, weight double").collect():  # FEATURES and the terms
         if r.bucket < 0:
             bias = r.weight
         else:
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: dict, names: tuple[str, str] = ("score", "pred
             s = 1 / (1 + np.exp(-np.clip(x, -50, 50)))
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(own))], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], [*own, *names])
 
-    return docs.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, f"{out}, `{names[0]}` double, `{names[1]}` int")
+    return docs.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(common.lean(run), f"{out}, `{names[0]}` double, `{names[1]}` int")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
