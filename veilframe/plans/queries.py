@@ -358,14 +358,22 @@ def synth_full_detection(spark, d):
     return lifecycle.matches(T(spark, d, "orders").select(k.alias("doc_id"), text.alias("text"))).groupBy("kind", "ticked").agg(F.count("*").alias("n"))
 
 
+#: Events of the table as actions of a session.
+ACTIONS = {"signup": "file-chosen", "view": "opened", "click": "redact-started", "purchase": "redacted", "error": "failed"}
+
+
+def _log(spark, d):
+    """Each user's events as the log of a job: a match that starts ticked, and a file that fails as corrupt."""
+    action = F.element_at(F.create_map(*[F.lit(x) for p in ACTIONS.items() for x in p]), F.col("event_type"))
+    return T(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), action.alias("action"), F.lit('{"matches":[{"id":"m1","ticked":true}],"failure":"corrupt"}').alias("payload"))
+
+
 def session_states(spark, d):
-    e = T(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), F.element_at(F.create_map(*[F.lit(x) for p in {"signup": "file-chosen", "view": "opened", "click": "redact-started", "purchase": "redacted", "error": "failed"}.items() for x in p]), F.col("event_type")).alias("action"), F.lit('{"matches":[{"id":"m1","ticked":true}],"failure":"corrupt"}').alias("payload"))
-    return session.fold(e)
+    return session.fold(_log(spark, d)).withColumn("ticked", F.array_join("ticked", ","))
 
 
 def session_usage(spark, d):
-    e = T(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), F.element_at(F.create_map(*[F.lit(x) for p in {"signup": "file-chosen", "view": "opened", "click": "redact-started", "purchase": "redacted", "error": "failed"}.items() for x in p]), F.col("event_type")).alias("action"), F.lit("{}").alias("payload"))
-    return session.usage_events(session.transitions(e)).groupBy("name").agg(F.count("*").alias("n"))
+    return session.usage_events(session.transitions(_log(spark, d))).groupBy("name").agg(F.count("*").alias("n"))
 
 
 def _characters(spark, d):
@@ -455,6 +463,12 @@ _NOUNS = "[" + ", ".join(f"'{one}'" for one, _ in report.NOUNS.values()) + "] AS
 _CHARS = """SELECT l_orderkey % 200 AS doc_id, (l_orderkey % 5 + 1)::INT AS page, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS idx, l_linenumber AS line, CASE WHEN l_suppkey % 31 = 0 THEN 65533 ELSE 65 + l_partkey % 26 END AS code, (l_partkey % 60) * 10.0::DOUBLE AS x, l_linenumber * 14.0::DOUBLE AS y,
   10.0::DOUBLE - CASE WHEN l_suppkey % 9 = 0 THEN 6 ELSE 0 END AS h, l_linenumber * 14.0::DOUBLE + CASE WHEN l_suppkey % 9 = 0 THEN 4 ELSE 0 END AS oy FROM lineitem"""
 
+_FITS = "(a = 'file-chosen' OR (a = 'opened' AND state = 'opening') OR (a = 'redact-started' AND state = 'reviewing') OR (a = 'redacted' AND state = 'redacting') OR (a = 'failed' AND state IN ('redacting', 'opening')))"
+_SESSIONS = f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE event_type WHEN 'signup' THEN 'file-chosen' WHEN 'view' THEN 'opened' WHEN 'click' THEN 'redact-started' WHEN 'purchase' THEN 'redacted' WHEN 'error' THEN 'failed' END AS a FROM events),
+  r AS (SELECT DISTINCT job_id, 0::BIGINT AS k, '' AS action, '' AS before, 'idle' AS state, 0::BIGINT AS n_changes, '' AS ticked FROM e
+    UNION ALL SELECT e.job_id, e.k, a, state, CASE WHEN NOT {_FITS} THEN state WHEN a = 'file-chosen' THEN 'opening' WHEN a = 'redact-started' THEN 'redacting' WHEN a = 'redacted' THEN 'complete' WHEN a = 'failed' AND state = 'opening' THEN 'failed' ELSE 'reviewing' END,
+      n_changes + {_FITS}::INT, CASE WHEN a = 'file-chosen' THEN '' WHEN a = 'opened' AND state = 'opening' THEN 'm1' ELSE ticked END FROM r JOIN e ON e.job_id = r.job_id AND e.k = r.k + 1)"""
+
 ORACLE: dict[str, str] = {
     "email_matches": f'SELECT doc_id, start, "end", match FROM {_EMAILS}',
     "email_context": f"""SELECT doc_id, start, "end", match, right(regexp_replace(substr(text, 1, start), '{_SP}+', ' ', 'g'), 40) AS before, left(regexp_replace(substr(text, "end" + 1), '{_SP}+', ' ', 'g'), 40) AS after FROM {_EMAILS}""",
@@ -515,6 +529,15 @@ ORACLE: dict[str, str] = {
       SELECT doc_id, coalesce(r, 'Nothing') AS removed_line, CASE WHEN u IS NULL AND b IS NULL THEN 'Nothing The engine found.' ELSE concat_ws(' ', u, b) END AS left_line FROM p""",
     "crooked_notes": f"SELECT DISTINCT doc_id, {len(report.CROOKED)} AS note_chars FROM ({_ROWS}) WHERE blocked = 'slanted-text' AND (doc_id + page) % 2 = 0",
     "synth_reading_compare": "SELECT count(*) FILTER ((((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) % 50 = 0) AS missing, 0 AS extra FROM lineitem",
+    "synth_page_findings": f"""WITH c AS ({_CHARS}), k AS (SELECT *, CASE WHEN code = 65533 THEN 'unmapped' WHEN code = 70 THEN 'unseen' ELSE 'seen' END AS kind FROM c),
+      i AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY idx, line ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, coalesce(lag(line) OVER w = line AND lag(kind) OVER w = kind, false) AS same FROM k WINDOW w AS (PARTITION BY doc_id, page ORDER BY idx, line))),
+      runs AS (SELECT doc_id, page, max(n) FILTER (kind = 'unmapped') AS unmapped, max(n) FILTER (kind = 'unseen') AS unseen FROM (SELECT doc_id, page, kind, island, count(*) AS n FROM i GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
+      p AS (SELECT doc_id, page, count(*) FILTER (kind <> 'unmapped') AS readable, count(*) FILTER (kind = 'unseen') AS f, count(*) FILTER (doc_id % 10 = 0 AND line <= 2 AND x <= 290) AS covered, count(*) FILTER (kind = 'unseen' AND doc_id % 7 <> 0 AND NOT (doc_id % 10 = 0 AND line <= 2 AND x <= 290)) AS hidden FROM k GROUP BY 1, 2),
+      lines AS (SELECT doc_id, page, line, min(x) AS x0, max(x + 6) AS x1, min(y - h) AS y0, max(y) AS y1 FROM k WHERE doc_id % 7 = 0 GROUP BY 1, 2, 3 HAVING bool_and(kind <> 'unseen') AND bool_or(kind = 'seen')),
+      over_ AS (SELECT doc_id, page, count(DISTINCT a * 64 + b) AS points FROM lines, range(63) u(a), range(64) v(b) WHERE (a + 0.5) / 64 * 612 BETWEEN x0 AND x1 AND (b + 0.5) / 64 * 792 BETWEEN y0 AND y1 GROUP BY 1, 2),
+      q AS (SELECT p.*, coalesce(runs.unmapped, 0) AS unmapped, doc_id % 7 = 0 AND coalesce(points, 0) < 0.05 * 63 * 64 AND coalesce(runs.unseen, 0) < 3 AS bare FROM p JOIN runs USING (doc_id, page) LEFT JOIN over_ USING (doc_id, page))
+      SELECT finding, count(*) AS pages FROM (SELECT unnest([CASE WHEN covered > 0 THEN 'covered-text' END, CASE WHEN hidden > 0 THEN 'hidden-text' END, CASE WHEN readable < 40 AND bare THEN 'scanned' END, CASE WHEN unmapped >= 3 OR readable = 0 THEN 'unreadable-text' END,
+        CASE WHEN bare AND readable >= 40 THEN 'bare-picture' END, CASE WHEN doc_id % 7 = 0 AND f > 0 THEN 'machine-read-text' END]) AS finding FROM q) WHERE finding IS NOT NULL GROUP BY 1""",
     "synth_trim": f"""WITH c AS (SELECT *, CASE WHEN x + 6 <= 0 OR y <= 0 OR x >= width OR y - h >= 80 THEN 'outside' WHEN x < 0 OR y - h < 0 OR x + 6 > width OR y > 80 THEN 'edge' ELSE 'inside' END AS place FROM (SELECT *, 203.0 + doc_id % 3 * 100 AS width FROM ({_CHARS}))),
       m AS (SELECT doc_id, page, code, x, oy, count(*) FILTER (place = 'inside') AS inside, count(*) FILTER (place = 'edge') AS edge, count(*) FILTER (place = 'outside') AS outside,
         count(*) FILTER (place <> 'outside' AND NOT (place = 'edge' AND doc_id % 5 = 0) AND NOT (doc_id % 11 = 0 AND page = 2 AND idx % 7 = 0)) AS now FROM c GROUP BY 1, 2, 3, 4, 5)
@@ -525,6 +548,8 @@ ORACLE: dict[str, str] = {
       n AS (SELECT *, coalesce(NOT lag(off) OVER w, false) OR coalesce(NOT lead(off) OVER w, false) AS beside, row_number() OVER w - row_number() OVER (PARTITION BY doc_id, page, line, off ORDER BY idx) AS g FROM o WINDOW w AS (PARTITION BY doc_id, page, line ORDER BY idx)),
       l AS (SELECT off, off AND count(*) OVER r <= 4 AND bool_or(beside) OVER r AS leaves FROM n WINDOW r AS (PARTITION BY doc_id, page, line, off, g))
       SELECT off AS off_line, leaves, count(*) AS n FROM l GROUP BY 1, 2""",
+    "session_states": _SESSIONS + " SELECT job_id, arg_max(state, k) AS state, max(k) AS n_actions, arg_max(n_changes, k) AS n_changes, arg_max(ticked, k) AS ticked FROM r GROUP BY 1",
+    "session_usage": _SESSIONS + " SELECT name, count(*) AS n FROM (SELECT CASE WHEN before = 'opening' AND state = 'reviewing' THEN 'document-opened' WHEN before = 'redacting' AND state = 'complete' THEN 'redaction-completed' WHEN before IN ('opening', 'redacting') AND action = 'failed' THEN 'run-refused' END AS name FROM r) WHERE name IS NOT NULL GROUP BY 1",
     "opt_out": "SELECT event_type = 'error' AS is_error, count(*) AS n FROM events WHERE event_type = 'error' OR NOT (user_id % 3 = 0 OR user_id % 5 = 0) GROUP BY 1",
     "kept_plan": """WITH a AS (SELECT user_id AS u, (epoch_us(ts) // 1000) AS t, event_id AS s, CASE event_type WHEN 'purchase' THEN 'paid' WHEN 'error' THEN 'unknown' ELSE 'free' END AS answer FROM events),
       b AS (SELECT *, last_value(CASE WHEN answer = 'paid' THEN t END IGNORE NULLS) OVER w AS paid_at, last_value(CASE WHEN answer <> 'unknown' THEN answer END IGNORE NULLS) OVER w AS said FROM a WINDOW w AS (PARTITION BY u ORDER BY t, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
