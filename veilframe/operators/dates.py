@@ -13,7 +13,7 @@ from typing import NamedTuple
 import regex
 
 from ..functions import checks
-from ..functions.chars import DIGITS, HYPHEN_CLASS, SPACE_CHARS, SPACES, Words, alnum, at, hyphen, letter, number
+from ..functions.chars import DIGITS, HYPHEN_CLASS, SPACE_CHARS, Words, alnum, at, hyphen, letter, number
 from .spans import Span
 
 # Words that announce a birth date; labels of the first scan; more labels of the second.
