@@ -19,12 +19,12 @@ import contextlib
 import hashlib
 import itertools
 import os
-import struct
 import tempfile
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -262,32 +262,42 @@ def _wanted(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc_id long, tkey long, text string")
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values stand in an ordered array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def _listed(blocks_: pa.ListArray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts with a list of blocks each: where the blocks begin among the bytes of all, in order, their digests, and the texts' listed anchors as ordered keys (number of the text, 32 bits)."""
+    own = np.repeat(np.arange(len(blocks_)), pc.fill_null(pc.list_value_length(blocks_), 0).to_numpy())
+    at, _, b1, b2, anchors_ = blocks_.flatten().flatten()
+    begins = at.to_numpy() + offsets[own]
+    order = np.argsort(begins, kind="stable")
+    blobs = anchors_.flatten()
+    texts = np.repeat(np.repeat(own, pc.list_value_length(anchors_).to_numpy()), pc.binary_length(blobs).to_numpy() // 4)
+    keys = (texts.astype(np.uint64) << np.uint64(32)) | np.frombuffer(b"".join(blobs.to_pylist()), "<u4")
+    keys.sort()
+    return begins[order], b1.to_numpy()[order], b2.to_numpy()[order], keys
+
+
 def segments(texts: DataFrame) -> DataFrame:
     """(b1, b2, at, k1, k2, anchor, doc_id, body): the segments with listed anchors in the listed blocks of (doc_id, tkey, text, blocks); at: windows before it in its block. All segments of an anchor hold the same GRAM bytes, so body has one MARK for them. body stands with one of equal segments of a batch, that of the smallest document, and is null with the others."""
 
     def run(batches):
         for b in batches:
-            listed_of = b.column(3).to_pylist()
             for data, offsets, ids, row in _each(b.column(0), b.column(2)):
                 text, at, count, a, place = anchors(data, offsets)
                 start, block = blocks_of(text, at, count, a)
-                short = (a >> np.uint64(32)).astype("<u4")
-                edges = np.searchsorted(text, np.arange(len(ids) + 1)).tolist()
-                hits, b1, b2 = [], [], []
-                for t in range(len(ids)):
-                    x, y = edges[t], edges[t + 1]
-                    if x == y:
-                        continue
-                    listed = sorted((r["at"] + int(offsets[t]), r["b1"], r["b2"]) for r in listed_of[row + t])
-                    wanted = np.unique(np.frombuffer(b"".join(h for r in listed_of[row + t] for h in r["anchors"]), "<u4"))
-                    hit = np.flatnonzero(np.isin(short[x:y], wanted)) + x
-                    begins = np.array([r[0] for r in listed], np.int64)
-                    k = np.searchsorted(begins, at[start[block[hit]]])
-                    ok = (k < len(begins)) & (begins[np.minimum(k, len(begins) - 1)] == at[start[block[hit]]])
-                    hits.append(hit[ok])
-                    b1.append(np.array([r[1] for r in listed], np.int64)[k[ok]])
-                    b2.append(np.array([r[2] for r in listed], np.int64)[k[ok]])
-                hit = np.concatenate(hits) if hits else np.zeros(0, np.int64)
+                if not len(a):
+                    continue
+                begins, b1, b2, wanted = _listed(b.column(3).slice(row, len(ids)), offsets)
+                own = (text.astype(np.uint64) << np.uint64(32)) | (a >> np.uint64(32))
+                hit = np.flatnonzero(_among(own, wanted))
+                k = np.searchsorted(begins, at[start[block[hit]]])
+                ok = _among(at[start[block[hit]]], begins)
+                hit, k = hit[ok], k[ok]
                 if not len(hit):
                     continue
                 x, y, g = at[hit], at[hit] + count[hit] + LENGTH - 1, place[hit]
@@ -300,7 +310,7 @@ def segments(texts: DataFrame) -> DataFrame:
                 sizes = np.zeros(len(hit) + 1, np.int32)
                 sizes[1:][lead] = np.diff(np.concatenate([[0], ends[2::3]]))
                 bodies = pa.Array.from_buffers(pa.binary(), len(hit), [pa.py_buffer(np.packbits(lead, bitorder="little").tobytes()), pa.py_buffer(np.cumsum(sizes).astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(b1)), pa.array(np.concatenate(b2)), pa.array((x - at[start[block[hit]]]).astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(a[hit].view(np.int64)), pa.array(doc), bodies], ["b1", "b2", "at", "k1", "k2", "anchor", "doc_id", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(b1[k]), pa.array(b2[k]), pa.array((x - at[start[block[hit]]]).astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(a[hit].view(np.int64)), pa.array(doc), bodies], ["b1", "b2", "at", "k1", "k2", "anchor", "doc_id", "body"])
 
     return texts.select("doc_id", "tkey", "text", "blocks").mapInArrow(common.lean(run), "b1 long, b2 long, at int, k1 long, k2 long, anchor long, doc_id long, body binary")
 
@@ -372,8 +382,10 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         grown[old] = bwt
         common_[old] = lcp
         # the places whose left neighbour is new or that are new themselves
-        near = np.unique(np.concatenate([place, place[place + 1 < size] + 1]))
-        near = near[near > m]
+        beside = new.copy()
+        beside[1:] |= new[:-1]
+        beside[: m + 1] = False
+        near = np.flatnonzero(beside)
         q, before = order[near - m], order[near - m - 1]
         like = bwt[q] == bwt[before]
         value = np.zeros(len(near), np.uint8)
@@ -449,36 +461,46 @@ def windows(spark: SparkSession, strings: DataFrame) -> DataFrame:
     has nothing to sort.
     """
 
-    def rows_of(some: list, runs: np.ndarray, counts: np.ndarray):
+    def rows_of(k1: np.ndarray, k2: np.ndarray, runs: np.ndarray, counts: np.ndarray):
         ends = np.cumsum(counts)
-        raw, cuts = runs.tobytes(), ends * RUN.itemsize
+        offsets = np.append(0, ends * RUN.itemsize).astype(np.int32)
         lone = runs["doc"][ends - counts]
-        blobs = [raw[x:y] for x, y in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.int64()), pa.array(lone, pa.int64(), mask=counts != 1), pa.array(blobs, pa.binary())], ["k1", "k2", "least", "runs"])
+        blobs = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(runs.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(lone, pa.int64(), mask=counts != 1), blobs], ["k1", "k2", "least", "runs"])
 
     def run(batches):
-        held: dict[tuple[int, int, int], tuple[int, bytes]] = {}
-        for b in batches:
-            for a, k1, k2, doc, body in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                got = held.get((a, k1, k2))
-                if got is None or doc < got[0]:
-                    held[a, k1, k2] = (doc, body if got is None else got[1])
-        rows = sorted((*k, *v) for k, v in held.items())
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        a, k1, k2, doc = (table.column(i).to_numpy() for i in range(4))
+        body = table.column(4).chunk(0)
         del held
-        cuts = [*(x for x, _ in _stretches(np.array([r[0] for r in rows], np.int64))), len(rows)]
-        single = [rows[x] for x, y in itertools.pairwise(cuts) if y - x == 1]
+        order = np.lexsort((doc, k2, k1, a))
+        a, k1, k2, doc = a[order], k1[order], k2[order], doc[order]
+        lead = np.ones(len(a), bool)
+        lead[1:] = (a[1:] != a[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        start = np.flatnonzero(lead)
+        with_body = np.maximum.reduceat(np.where(body.is_valid().to_numpy(zero_copy_only=False)[order], order, -1), start)
+        a, k1, k2, doc = a[start], k1[start], k2[start], doc[start]
+        bodies = body.take(pa.array(with_body))
+        cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))
+        alone = np.repeat(np.diff(cuts) == 1, np.diff(cuts))
+        size = pc.binary_length(bodies).to_numpy()
+        single = np.flatnonzero(alone)
         for i in range(0, len(single), 8192):
             some = single[i : i + 8192]
             one = np.zeros(len(some), RUN)
-            one["n"], one["doc"] = [len(r[4]) - SHORT + 1 for r in some], [r[3] for r in some]
-            yield rows_of(some, one, np.ones(len(some), np.int64))
-        group: list[tuple[int, int, int, int, bytes]] = []
-        for x, y in [*((x, y) for x, y in itertools.pairwise(cuts) if y - x > 1), (0, 0)]:
-            if group and (y == x or len(group) + y - x > BLOCK):
-                number = np.unique([r[0] for r in group], return_inverse=True)[1]
-                yield rows_of(group, *runs_of(*smallest([r[4] for r in group], np.array([r[3] for r in group], np.int64), number, SHORT)))
-                group = []
-            group += rows[x:y]
+            one["n"], one["doc"] = size[some] - SHORT + 1, doc[some]
+            yield rows_of(k1[some], k2[some], one, np.ones(len(some), np.int64))
+        first, stop = cuts[:-1][np.diff(cuts) > 1], cuts[1:][np.diff(cuts) > 1]
+        i = 0
+        while i < len(first):  # whole anchors, about BLOCK segments
+            j = max(i + 1, int(np.searchsorted(np.cumsum(stop[i : i + BLOCK] - first[i : i + BLOCK]), BLOCK, side="right")) + i)
+            own = np.concatenate([np.arange(x, y) for x, y in zip(first[i:j], stop[i:j], strict=True)])
+            number = np.repeat(np.arange(j - i), stop[i:j] - first[i:j])
+            yield rows_of(k1[own], k2[own], *runs_of(*smallest(bodies.take(pa.array(own)).to_pylist(), doc[own], number, SHORT)))
+            i = j
 
     return strings.select("anchor", "k1", "k2", "doc_id", "body").repartition(common.parts(spark), "anchor").mapInArrow(common.lean(run), "k1 long, k2 long, least long, runs binary")
 
@@ -488,22 +510,33 @@ def _removals(placed: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = []
-            for d, t, at, n, least, listed in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if not listed:
-                    out.append((d, t, struct.pack("<qq", at, at + n + LENGTH - 1)))
-                    continue
-                gone = np.full(n, least < d)
-                for r in listed:
-                    for x, m, doc in np.frombuffer(r["runs"], RUN).tolist():
-                        gone[r["at"] + x : r["at"] + x + m] = doc < d
-                if gone.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).astype("<i8").reshape(-1, 2)
-                    edge += at
-                    edge[:, 1] += LENGTH - 1
-                    out.append((d, t, edge.tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "tkey", "spans"])
+            d, t, at, n, least = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+            size = pc.fill_null(pc.list_value_length(b.column(5)), 0).to_numpy()
+            whole, rows = np.flatnonzero(size == 0), np.flatnonzero(size > 0)
+            owner, lo, hi = whole, at[whole], at[whole] + n[whole]
+            if len(rows):
+                # the windows of all these blocks on end, with one more between blocks that never goes
+                ends = np.cumsum(n[rows] + 1)
+                base = ends - n[rows] - 1
+                gone = np.repeat(least[rows] < d[rows], n[rows] + 1)
+                gone[ends - 1] = False
+                part_at, part_runs = b.column(5).flatten().flatten()
+                many = pc.binary_length(part_runs).to_numpy() // RUN.itemsize
+                part = np.repeat(np.repeat(np.arange(len(rows)), size[rows]), many)
+                runs = np.frombuffer(b"".join(part_runs.to_pylist()), RUN)
+                m = runs["n"].astype(np.int64)
+                first = base[part] + np.repeat(part_at.to_numpy().astype(np.int64), many) + runs["at"]
+                gone[np.arange(int(m.sum())) + np.repeat(first - (np.cumsum(m) - m), m)] = np.repeat(runs["doc"] < d[rows][part], m)
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
+                own = np.searchsorted(base, edge[:, 0], side="right") - 1
+                shift = at[rows][own] - base[own]
+                owner, lo, hi = np.concatenate([owner, rows[own]]), np.concatenate([lo, edge[:, 0] + shift]), np.concatenate([hi, edge[:, 1] + shift])
+            if len(owner):
+                order = np.argsort(owner, kind="stable")
+                each, count = np.unique(owner, return_counts=True)
+                pairs = np.stack([lo, hi + LENGTH - 1], axis=1)[order].astype("<i8")
+                offsets = np.append(0, np.cumsum(count) * 16).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(d[each]), pa.array(t[each]), pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(pairs.tobytes())])], ["doc_id", "tkey", "spans"])
 
     return placed.select("doc_id", "tkey", "at", "n", "least", "parts").mapInArrow(common.lean(run), "doc_id long, tkey long, spans binary").groupBy("doc_id", "tkey").agg(F.collect_list("spans").alias("spans"))
 
