@@ -519,7 +519,7 @@ ORACLE: dict[str, str] = {
     "review_checklist": f"""WITH r AS ({_ROWS}), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, CASE section WHEN 'ordinary' THEN 1 ELSE 3 END, start, match_id) AS place FROM r),
       g AS (SELECT *, CASE WHEN kind = 'term' THEN 'term:' || term ELSE kind END AS "group" FROM p)
       SELECT doc_id, "group", list_position(['term:0','term:1','term:2','email','phone','date','card','iban','us-ssn','uk-nino'], "group")::INT AS group_rank, count(*) AS n_rows, string_agg(match_id, ',' ORDER BY place) AS rows, coalesce(string_agg(match_id, ',' ORDER BY place) FILTER (blocked IS NULL), '') AS tickable FROM g GROUP BY 1, 2""",
-    "page_targets": f"SELECT doc_id, page, count(*) AS n_targets, string_agg(start || ':' || \"end\" || ':' || kind, ',' ORDER BY start, \"end\", kind, text) AS targets FROM ({_ROWS}) WHERE ticked AND blocked IS NULL GROUP BY 1, 2",
+    "page_targets": f"SELECT doc_id, page::INT AS page, count(*) AS n_targets, string_agg(start || ':' || \"end\" || ':' || kind, ',' ORDER BY start, \"end\", kind, text) AS targets FROM ({_ROWS}) WHERE ticked AND blocked IS NULL GROUP BY 1, 2",
     "detection_counts": f"SELECT 'found' AS measure, kind AS name, count(*) AS n FROM ({_ROWS}) GROUP BY 2 UNION ALL SELECT 'blocked', blocked, count(*) FROM ({_ROWS}) WHERE blocked IS NOT NULL GROUP BY 2",
     "result_sentences": f"""WITH c AS (SELECT doc_id, kind, CASE WHEN blocked IS NOT NULL THEN 'b' WHEN ticked THEN 'r' ELSE 'u' END AS state, count(*) AS n FROM ({_ROWS}) GROUP BY 1, 2, 3),
       w AS (SELECT doc_id, state, list(n || ' ' || CASE WHEN n = 1 THEN ONE[k] ELSE MANY[k] END ORDER BY k) AS parts FROM (SELECT *, list_position(['email','phone','date','card','iban','us-ssn','uk-nino','term'], kind) AS k, {_NOUNS} FROM c) GROUP BY 1, 2),
@@ -527,7 +527,7 @@ ORACLE: dict[str, str] = {
       p AS (SELECT doc_id, max(said) FILTER (state = 'r') AS r, max(said) FILTER (state = 'u') || ' you left unticked.' AS u, max(said) FILTER (state = 'b') || ' The engine couldn''t remove.' AS b FROM l GROUP BY 1)
       SELECT doc_id, coalesce(r, 'Nothing') AS removed_line, CASE WHEN u IS NULL AND b IS NULL THEN 'Nothing The engine found.' ELSE concat_ws(' ', u, b) END AS left_line FROM p""",
     "crooked_notes": f"SELECT DISTINCT doc_id, {len(report.CROOKED)} AS note_chars FROM ({_ROWS}) WHERE blocked = 'slanted-text' AND (doc_id + page) % 2 = 0",
-    "synth_reading_compare": "SELECT count(*) FILTER ((((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) % 50 = 0) AS missing, 0 AS extra FROM lineitem",
+    "synth_reading_compare": "SELECT count(*) FILTER ((((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) % 50 = 0) AS missing, 0::BIGINT AS extra FROM lineitem",
     "synth_page_findings": f"""WITH c AS ({_CHARS}), k AS (SELECT *, CASE WHEN code = 65533 THEN 'unmapped' WHEN code = 70 THEN 'unseen' ELSE 'seen' END AS kind FROM c),
       i AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY idx, line ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, coalesce(lag(line) OVER w = line AND lag(kind) OVER w = kind, false) AS same FROM k WINDOW w AS (PARTITION BY doc_id, page ORDER BY idx, line))),
       runs AS (SELECT doc_id, page, max(n) FILTER (kind = 'unmapped') AS unmapped, max(n) FILTER (kind = 'unseen') AS unseen FROM (SELECT doc_id, page, kind, island, count(*) AS n FROM i GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
