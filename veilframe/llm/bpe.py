@@ -213,7 +213,7 @@ def coder(name: str) -> ForcedBoundaryBPE:
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row. Null text is empty: no ids, digests of nothing. Repeated rows stay; extra columns are left."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row. Null text is empty: no ids, digests of nothing. Very long texts are encoded whole. Repeated rows stay; extra columns are left behind; an empty table has no rows."""
 
     def run(batches):
         bpe = coder(tokenizer)

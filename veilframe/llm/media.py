@@ -8,7 +8,6 @@ Width and height come from range reads of the members' headers alone; features c
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import uuid
@@ -180,7 +179,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def media_columns(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Every row's doc_id and n_bytes with the columns of its stored payload. Null text is empty: 64 zero bytes. Texts that differ
-    only in zero bytes at the end share a payload and so all but n_bytes. Repeated rows stay; an empty table has no rows.
+    only in zero bytes at the end share a payload and so all but n_bytes. A very long text is one payload of as many rows of
+    samples. Repeated rows and null doc_ids stay; extra columns are left behind; an empty table has no rows.
 
     Payloads that occur once are written where they are read. Only those whose digest occurs again (by a bitmap of fixed
     size: some more at most) are brought together, so that each is stored once.

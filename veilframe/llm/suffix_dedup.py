@@ -604,7 +604,7 @@ def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def rewrite(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs, in their own columns, with what repeats taken out of text. A character that is cut through goes as a whole; a row whose text is used up goes; n_chars, where there is one, follows the text."""
+    """The rows of docs, in their own columns, with what repeats taken out of text. A character that is cut through goes as a whole; a row whose text is used up goes; n_chars, where there is one, follows the text. Null and empty texts, those under LENGTH bytes and rows with null doc_id stay as they are; rows that repeat a doc_id are each judged alone; an empty table stays empty."""
     cut = spans(spark, docs)
     bits = common.bitmap(cut, "doc_id")
     names, schema = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

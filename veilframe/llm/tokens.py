@@ -117,6 +117,10 @@ class CachedEncoder:
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.cache[w] = np.array(e.ids, "<u4").tobytes()
 
+    def forget(self) -> None:
+        """Let go of the chunks and words kept so far."""
+        self.cache, self.words = _Chunks(), {"": b""}
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_CHUNKS:
             older, self.cache = self.cache, _Chunks()
@@ -162,7 +166,8 @@ def unframe(data: memoryview, at: int) -> tuple[bytes, int]:
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, shards: int) -> list[dict]:
     """Write the ids of (doc_id, text) in ascending doc_id (ties by text) into shards; returns the manifest, one entry a shard with records.
 
-    Null text is empty; rows with null doc_id come first. A shard's name is new in every attempt and only the manifest
+    Null text is empty (the end id alone); rows with null doc_id come first; repeated rows are each written; a very long text
+    is one record; an empty table has no shards. Extra columns are left behind. A shard's name is new in every attempt and only the manifest
     names it, so a task that is lost and run again leaves nothing wrong behind.
     """
 
