@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licences
+from . import licences, turns
 from .ann import op10_nearest_neighbours
 from .bpe import op6_bpe_round_trip
 from .langid import op2_language_id
@@ -26,6 +26,7 @@ QUERIES = {
         op8_best_fit_packing,
         op9_media_columns,
         op10_nearest_neighbours,
+        turns.op12_conversation_repair,
     )
 }
-ORACLE = dict(licences.ORACLE)
+ORACLE = licences.ORACLE | turns.ORACLE
