@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licences, turns
+from . import clusters, licences, turns
 from .ann import op10_nearest_neighbours
 from .bpe import op6_bpe_round_trip
 from .langid import op2_language_id
@@ -27,6 +27,7 @@ QUERIES = {
         op9_media_columns,
         op10_nearest_neighbours,
         turns.op12_conversation_repair,
+        clusters.op13_centroid_clustering,
     )
 }
-ORACLE = licences.ORACLE | turns.ORACLE
+ORACLE = licences.ORACLE | turns.ORACLE | clusters.ORACLE
