@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clusters, licences, turns
+from . import clusters, licences, turns, urls
 from .ann import op10_nearest_neighbours
 from .bpe import op6_bpe_round_trip
 from .langid import op2_language_id
@@ -26,8 +26,9 @@ QUERIES = {
         op8_best_fit_packing,
         op9_media_columns,
         op10_nearest_neighbours,
+        urls.op11_url_filter,
         turns.op12_conversation_repair,
         clusters.op13_centroid_clustering,
     )
 }
-ORACLE = licences.ORACLE | turns.ORACLE | clusters.ORACLE
+ORACLE = licences.ORACLE | urls.ORACLE | turns.ORACLE | clusters.ORACLE
