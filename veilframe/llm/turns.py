@@ -135,7 +135,7 @@ def repair(turns: DataFrame, present: Column | None = None) -> DataFrame:
     row = F.struct("pos", "initial", F.col("fault").isin("blank", "duplicate").alias("forced"), (F.col("fault") == "truncated").alias("truncated"), "role", "text")
     whole = F.struct(*(F.coalesce(row[c], F.lit(False)).alias(c) if c in ("forced", "truncated") else row[c].alias(c) for c in ("pos", "initial", "forced", "truncated", "role", "text")))
     held = rows.groupBy("conv_id").agg(
-        F.coalesce(F.least(gaps, F.lit((1 << 63) - 1).cast("decimal(38,0)")), F.lit(0)).cast("long").alias("gaps"),
+        F.least(F.coalesce(gaps, F.lit(0).cast("decimal(38,0)")), F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long").alias("gaps"),
         *(count(F.col("fault") == f)(f) for f in ("blank", "duplicate", "truncated")),
         count(F.col("illegal"))("illegal"),
         F.sort_array(F.collect_list(F.when(here, whole))).alias("turns"),

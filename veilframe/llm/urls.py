@@ -87,12 +87,14 @@ def fit(spark: SparkSession, labelled: DataFrame) -> Model:
     symbols = spark.range(1).select(F.explode(F.array(*(F.lit(c) for c in ALPHABET))).alias("gram"))
     known = symbols.join(F.broadcast(counted.filter("context = ''").drop("context")), "gram", "left").select("gram", F.lit("").alias("context"), F.coalesce("yes", F.lit(0)).alias("yes"), F.coalesce("no", F.lit(0)).alias("no"))
     even = F.lit(1 / len(ALPHABET))
-    levels, shorter = [], None
+    levels, shorter, first = [], None, kinds.filter("context = ''").first()
     for k in range(ORDER + 1):
-        rows = (known if k == 0 else counted.filter(F.length("context") == k)).join(F.broadcast(kinds.filter(F.length("context") == k)), "context", "left" if k == 0 else "inner")
-        rows = rows.withColumns({"p": even, "q": even}) if k == 0 else rows.join(F.broadcast(shorter.select(F.col("gram").alias("end"), F.col("p_yes").alias("p"), F.col("p_no").alias("q"))), F.substring("gram", -k, k) == F.col("end"))
-        count = lambda c: F.coalesce(F.col(c), F.lit(0))
-        shorter = rows.select("gram", _told(F.col("yes"), count("n_yes"), count("k_yes"), F.col("p")).alias("p_yes"), _told(F.col("no"), count("n_no"), count("k_no"), F.col("q")).alias("p_no"))
+        if k == 0:
+            rows = known.withColumns({c: F.lit(first[c] if first else 0) for c in kinds.columns[1:]} | {"p": even, "q": even})
+        else:
+            rows = counted.filter(F.length("context") == k).join(F.broadcast(kinds.filter(F.length("context") == k)), "context")
+            rows = rows.join(F.broadcast(shorter.select(F.col("gram").alias("end"), F.col("p_yes").alias("p"), F.col("p_no").alias("q"))), F.substring("gram", -k, k) == F.col("end"))
+        shorter = rows.select("gram", _told(*(F.col(c) for c in ("yes", "n_yes", "k_yes", "p"))).alias("p_yes"), _told(*(F.col(c) for c in ("no", "n_no", "k_no", "q"))).alias("p_no"))
         shorter = common.cut(spark, shorter, f"url-order-{k}")
         levels.append(shorter.select("gram", (F.ln("p_yes") - F.ln("p_no")).alias("gain")))
     entries = levels[0]
