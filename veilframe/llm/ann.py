@@ -10,6 +10,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,28 +18,27 @@ from . import common
 
 #: Vectors the graph is built on, about; neighbours in it; hidden units.
 SAMPLE, NEIGHBOURS, HIDDEN = 8192, 10, 96
-#: Rows a part holds, about, until PARTS parts (a part needs PART_SAMPLE vectors of the sample).
-PART_ROWS, PARTS, PART_SAMPLE = 512, 128, 64
+#: Rows a part holds, about, as long as it has PART_SAMPLE vectors of the sample; but LEAST_PARTS parts wherever the sample has LEAST_SAMPLE vectors for each.
+PART_ROWS, PART_SAMPLE, LEAST_PARTS, LEAST_SAMPLE = 512, 64, 8, 12
+#: One in HELD of the sample teaches the router nothing: the probes are counted on its neighbours.
+HELD = 5
 #: Share of the sample's neighbours that the probed parts must hold; fewest parts probed.
 AIM, LEAST_PROBES = 0.94, 2
 #: Vectors in a block; a part's rows are salted so that a task ranks about SALT_ROWS of them.
 ROW_BLOCK, QUERY_BLOCK, SALT_ROWS = 2048, 256, 32_768
 
 
-def clean(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, float64 vectors) of those that take part: not null, no null or non-finite component, not zero, of the commonest length in the batch's own order."""
-    flat = column.to_pylist() if column.null_count or column.flatten().null_count else None
-    if flat is None:
-        sizes = np.diff(np.array(column.offsets))
-        values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        if len(sizes) and (sizes == sizes[0]).all() and sizes[0]:
-            x = values.reshape(len(sizes), sizes[0])
-            ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
-            return np.flatnonzero(ok), x[ok]
-        flat = column.to_pylist()
-    rows = [(i, np.array(v, float)) for i, v in enumerate(flat) if v and None not in v]
-    rows = [(i, v) for i, v in rows if np.isfinite(v).all() and v.any()]
-    return np.array([i for i, _ in rows], int), np.array([v for _, v in rows]) if rows else np.zeros((0, 0))
+def clean(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, float64 vectors) of those that take part, by length: not null, no null or non-finite component, not zero."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    out = []
+    for width in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == width)
+        x = pc.fill_null(pc.cast(column.take(pa.array(at)).flatten(), pa.float64()), float("nan")).to_numpy(zero_copy_only=False).reshape(len(at), width)
+        ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+        if ok.any():
+            out.append((at[ok], x[ok]))
+    return out
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -123,30 +123,42 @@ class Index(NamedTuple):
     salts: int
 
 
-def fit(vectors: DataFrame, aim: float = AIM) -> Index:
-    """Parts learned from a sample of (vec_id, embedding), about SAMPLE vectors; the probes are as many as hold `aim` of the sample's own neighbours. Parts and salts grow with the rows."""
+def parts_of(n: int, sample: int) -> int:
+    """How many parts n rows have, of which so many are in the sample."""
+    if sample < 2 * LEAST_SAMPLE:
+        return 1
+    return max(min(LEAST_PARTS, sample // LEAST_SAMPLE), min(n // PART_ROWS, sample // PART_SAMPLE))
+
+
+def fit(vectors: DataFrame, aim: float = AIM, exhaustive: bool = False) -> Index:
+    """Parts learned from a sample of (vec_id, embedding), about SAMPLE vectors of its commonest length; parts and salts grow with the rows.
+
+    The router learns from most of the sample; a query probes as many parts as hold `aim` of the neighbours that the rest of the
+    sample has among what was learned from. exhaustive: one part, so every vector is compared.
+    """
     n = vectors.count()
     some = vectors.filter((F.xxhash64(F.col("vec_id"), F.lit("ann")).bitwiseAND(0xFFFFF) / F.lit(float(1 << 20))) < min(1.0, SAMPLE / max(1, n)))
 
     def run(batches):
         for b in batches:
-            _, x = clean(b.column(0))
-            if len(x):
+            for _, x in clean(b.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array([v.astype("<f8").tobytes() for v in x], pa.binary())], ["v"])
 
     rows = [np.frombuffer(r.v, "<f8") for r in some.select("embedding").limit(2 * SAMPLE).mapInArrow(run, "v binary").collect()]
-    width = max((len(r) for r in rows), default=0)
-    x = np.unique(np.array([r for r in rows if len(r) == width]).reshape(-1, max(1, width)), axis=0)
-    parts = min(PARTS, len(x) // PART_SAMPLE, max(1, n // PART_ROWS))
+    sizes = [len(r) for r in rows]
+    width = max(set(sizes), key=lambda w: (sizes.count(w), w)) if sizes else 1
+    x = np.unique(np.array([r for r in rows if len(r) == width]).reshape(-1, width), axis=0)
+    x = unit(x[np.random.default_rng(11).permutation(len(x))]) if len(x) else x
+    asked, taught = x[: len(x) // HELD], x[len(x) // HELD :]
+    parts = 1 if exhaustive else parts_of(n, len(taught))
     salts = max(1, -(-n // max(1, parts) // SALT_ROWS))
     if parts < 2:
         return Index(None, 1, 1, salts)
-    x = unit(x)
-    graph = neighbour_graph(x, NEIGHBOURS)
-    router = Router(x, balanced_parts(x, graph, parts), parts)
-    order = router.rank(x)
-    rank_of = np.argsort(order, axis=1)
-    need = np.take_along_axis(rank_of, order[:, 0][graph], axis=1)  # the place of each neighbour's part in the query's order
+    router = Router(taught, balanced_parts(taught, neighbour_graph(taught, min(NEIGHBOURS, len(taught) - 1)), parts), parts)
+    home = router.rank(taught)[:, 0]
+    k = min(NEIGHBOURS, len(taught))
+    near = np.argpartition(-(asked @ taught.T), k - 1, axis=1)[:, :k]
+    need = np.take_along_axis(np.argsort(router.rank(asked), axis=1), home[near], axis=1)  # the place of each neighbour's part in the query's order
     probes = next((m for m in range(1, parts + 1) if (need < m).mean() >= aim), parts)
     return Index(router, parts, min(parts, max(LEAST_PROBES, probes)), salts)
 
@@ -164,18 +176,13 @@ def place(vectors: DataFrame, router: Router | None, probes: int, block: int) ->
 
         for b in batches:
             b = b.filter(b.column(0).is_valid())
-            at, x = clean(b.column(1))
-            ids = b.column(0).to_numpy(zero_copy_only=False)[at] if len(at) else []
-            groups: dict[int, list[int]] = {}
-            for i, v in enumerate(x):
-                groups.setdefault(len(v), []).append(i)
-            for width, own in groups.items():
-                y = np.array([x[i] for i in own])
-                order = shared.value.rank(unit(y))[:, :probes] if shared.value is not None and width == len(shared.value.p[0]) else np.zeros((len(own), 1), int)
-                for i, v, where in zip(own, y, order, strict=True):
+            for at, x in clean(b.column(1)):
+                width, ids = x.shape[1], b.column(0).to_numpy(zero_copy_only=False)[at]
+                order = shared.value.rank(unit(x))[:, :probes] if shared.value is not None and width == len(shared.value.p[0]) else np.zeros((len(x), 1), int)
+                for i, v, where in zip(ids, x, order, strict=True):
                     for p in where:
                         key = (int(p), width)
-                        held.setdefault(key, []).append((int(ids[i]), v))
+                        held.setdefault(key, []).append((int(i), v))
                         if len(held[key]) >= block:
                             yield out(key)
         for key in list(held):
@@ -254,13 +261,13 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.far")).alias("score"))
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int, aim: float = AIM) -> DataFrame:
+def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int, aim: float = AIM, exhaustive: bool = False) -> DataFrame:
     """The k nearest of vectors to each of queries (both vec_id, embedding), the query's own id left out.
 
     Null ids and vectors that are null, zero or not finite take no part; vectors of another length are compared with
     their like. A query whose parts hold fewer than k others is searched again over all parts.
     """
-    router, parts, probes, salts = fit(vectors, aim)
+    router, parts, probes, salts = fit(vectors, aim, exhaustive)
     rows = common.cut(spark, place(vectors, router, 1, ROW_BLOCK), "ann-rows")
     found = common.cut(spark, top(search(place(queries, router, probes, QUERY_BLOCK), rows, k, salts), k), "ann-found")
     if probes == parts:
