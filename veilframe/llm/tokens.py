@@ -27,7 +27,7 @@ from . import common
 #: Chunks of text whose ids a Python worker keeps in each of two generations.
 CACHE_CHUNKS = 200_000
 LONG_CHUNK = 64
-INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u4"), ("crc", "<u4")])
+INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("n_tokens", "<u4"), ("crc", "<u4")])
 #: Letters, then marks without an apostrophe: one or two pre-tokens, whatever the rest of the text, that no normaliser but lower case changes.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿß]+)([!-&(-/:-@\[-`{-~]*)")
 _ENCODERS: dict[str, CachedEncoder] = {}
@@ -151,6 +151,16 @@ def frame(payload: bytes) -> bytes:
     return b"".join((head, struct.pack("<I", masked(zlib.crc32(head))), payload, struct.pack("<I", masked(zlib.crc32(payload)))))
 
 
+FRAME_HEAD = 12
+
+
+def framed(head: bytes) -> int:
+    """How long the record is that begins with these bytes."""
+    if len(head) < FRAME_HEAD or struct.unpack_from("<I", head, 8)[0] != masked(zlib.crc32(head[:8])):
+        raise ValueError("bad record length")
+    return struct.unpack_from("<Q", head)[0] + 16
+
+
 def unframe(data: memoryview, at: int) -> tuple[bytes, int]:
     """The payload of the record at an offset, and where the next begins; raises on a wrong checksum or a cut record."""
     head = bytes(data[at : at + 8])
@@ -180,12 +190,12 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
             for d, raw in zip(b.column(0).to_pylist(), enc.encode_many(common.texts(b.column(1))), strict=True):
                 raw += end
                 ids = np.frombuffer(raw, "<u4")
-                rec = frame(struct.pack("<qB", -(1 << 63) if d is None else d, enc.width) + (ids.astype("<u2") if enc.width == 2 else ids).tobytes())
+                rec = frame(struct.pack("<qBB", d or 0, d is None, enc.width) + (ids.astype("<u2") if enc.width == 2 else ids).tobytes())
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{root}/{name}.rec")
                 out.write(rec)
-                rows.append((-(1 << 63) if d is None else d, at, len(ids), zlib.crc32(raw)))
+                rows.append((d or 0, d is None, at, len(ids), zlib.crc32(raw)))
                 at, n = at + len(rec), n + len(ids)
         if out is not None:
             out.close()
@@ -198,6 +208,48 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
     return [r.asDict() for r in sorted(found, key=lambda r: r.shard)]
 
 
+def record(data: memoryview, at: int, row: np.void) -> tuple[int | None, int, int]:
+    """(doc_id, number of ids, their checksum) of the record at a place, held against its frame and its entry of the index."""
+    payload, _ = unframe(data, at)
+    doc, null, width = struct.unpack_from("<qBB", payload)
+    ids = np.frombuffer(payload, f"<u{width}", offset=10).astype("<u4")
+    if (doc, null, len(ids), crc := zlib.crc32(ids.tobytes())) != (row["doc_id"], row["null"], row["n_tokens"], row["crc"]):
+        raise ValueError(f"index and record differ: {doc}")
+    return None if null else doc, len(ids), crc
+
+
+def read_shuffled(spark: SparkSession, folder: str, manifest: list[dict], seed: int) -> DataFrame:
+    """(place, doc_id, n_tokens, ids_crc32) of every record in an order drawn by seed, as training reads them: the indexes are shuffled, and each record is then fetched by its offset alone."""
+
+    def entries(batches):
+        fs, root = common.filesystem(folder)
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                with fs.open_input_file(f"{root}/{name}.idx") as f:
+                    raw = f.read()
+                yield pa.RecordBatch.from_pydict({"name": [name] * (len(raw) // INDEX.itemsize), "entry": [raw[i : i + INDEX.itemsize] for i in range(0, len(raw), INDEX.itemsize)]})
+
+    def fetch(batches):
+        fs, root = common.filesystem(folder)
+        for b in batches:
+            out, files = [], {}
+            for place, name, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                row = np.frombuffer(raw, INDEX)[0]
+                if name not in files:
+                    files[name] = fs.open_input_file(f"{root}/{name}.rec")
+                f = files[name]
+                f.seek(int(row["offset"]))
+                head = f.read(FRAME_HEAD)
+                out.append((place, *record(memoryview(head + f.read(framed(head) - FRAME_HEAD)), 0, row)))
+            for f in files.values():
+                f.close()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], ["place", "doc_id", "n_tokens", "ids_crc32"])
+
+    names = spark.createDataFrame([(m["name"],) for m in manifest], "name string").repartition(max(1, min(len(manifest), 4096)))
+    drawn = names.mapInArrow(entries, "name string, entry binary").select(F.xxhash64("name", "entry", F.lit(seed)).alias("place"), "name", "entry")
+    return drawn.repartitionByRange(common.parts(spark), "place").sortWithinPartitions("place").mapInArrow(fetch, "place long, doc_id long, n_tokens long, ids_crc32 long")
+
+
 def read_records(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every record of the shards in the manifest's order; checksums are held against the bytes."""
     starts = np.cumsum([0, *(m["tokens"] for m in manifest)]).tolist()
@@ -218,14 +270,9 @@ def read_records(spark: SparkSession, folder: str, manifest: list[dict]) -> Data
                         f.seek(first)
                         data = memoryview(f.read(last - first))
                         for row in some:
-                            payload, _ = unframe(data, int(row["offset"]) - first)
-                            doc, width = struct.unpack_from("<qB", payload)
-                            ids = np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4")
-                            crc = zlib.crc32(ids.tobytes())
-                            if (doc, len(ids), crc) != (row["doc_id"], row["n_tokens"], row["crc"]):
-                                raise ValueError(f"index and record differ: {name} {doc}")
-                            out.append((None if doc == -(1 << 63) else doc, start, len(ids), crc))
-                            start += len(ids)
+                            doc, n, crc = record(data, int(row["offset"]) - first, row)
+                            out.append((doc, start, n, crc))
+                            start += n
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = spark.createDataFrame(shards, "name string, start long").repartition(max(1, min(len(shards), 4096)))
