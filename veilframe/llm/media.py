@@ -26,6 +26,8 @@ PNG = b"\x89PNG\r\n\x1a\n"
 #: Signature, IHDR chunk and the head of the first IDAT: all that metadata needs.
 HEADER_BYTES = 41
 DEFLATE_LEVEL = 4
+#: Bytes of stored forms that a task reads at once.
+TOGETHER = 1 << 22
 FEATURES = "media_digest string, shard string, offset long, length long, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -116,34 +118,57 @@ def store(media: DataFrame, folder: str) -> DataFrame:
     return media.mapInArrow(write, "media_digest string, shard string, offset long, length long")
 
 
+def _by_shard(batches, folder: str):
+    """Each row of (media_digest, shard, offset, ...) with its open shard, in the order in which the shard holds them; about TOGETHER bytes at a time."""
+    fs, root = common.filesystem(folder)
+    for b in batches:
+        rows, shard, f = sorted(b.to_pylist(), key=lambda r: (r["shard"], r["offset"])), None, None
+        pairs, size = [], 0
+        for r in rows:
+            if r["shard"] != shard:
+                if f is not None:
+                    f.close()
+                shard, f = r["shard"], fs.open_input_file(f"{root}/{r['shard']}")
+            f.seek(r["offset"])
+            pairs.append((r, f.read(r.get("reach", r["length"]))))
+            size += len(pairs[-1][1])
+            if size >= TOGETHER:
+                yield pairs
+                pairs, size = [], 0
+        if f is not None:
+            f.close()
+        if pairs:
+            yield pairs
+
+
+def headers(places: DataFrame, folder: str) -> DataFrame:
+    """(media_digest, shard, offset, length) with width, height and payload_bytes: range reads of the headers alone."""
+
+    def read(batches):
+        for pairs in _by_shard(batches, folder):
+            sizes = [png_size(head) for _, head in pairs]
+            cols = [pa.array([r[c] for r, _ in pairs]) for c in ("media_digest", "shard", "offset", "length")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([w for w, _ in sizes], pa.int32()), pa.array([h for _, h in sizes], pa.int32()), pa.array([w * h for w, h in sizes], pa.int64())], ["media_digest", "shard", "offset", "length", "width", "height", "payload_bytes"])
+
+    return places.select("media_digest", "shard", "offset", "length", F.lit(HEADER_BYTES).alias("reach")).mapInArrow(read, "media_digest string, shard string, offset long, length long, width int, height int, payload_bytes long")
+
+
 def fill(places: DataFrame, folder: str) -> DataFrame:
-    """Metadata columns from header-only range reads, features from the whole stored form."""
+    """Metadata columns from headers(), then the features of the whole stored form, which must be what the row and its header say."""
 
     def read(batches):
-        fs, root = common.filesystem(folder)
-        for b in batches:
-            rows, shard, f = [], None, None
-            for r in sorted(b.to_pylist(), key=lambda r: (r["shard"], r["offset"])):
-                if r["shard"] != shard:
-                    if f is not None:
-                        f.close()
-                    shard, f = r["shard"], fs.open_input_file(f"{root}/{r['shard']}")
-                f.seek(r["offset"])
-                width, height = png_size(f.read(HEADER_BYTES))
-                f.seek(r["offset"])
-                media = f.read(r["length"])
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        for pairs in _by_shard(batches, folder):
+            rows = []
+            for r, media in pairs:
                 payload = from_png(media)
                 digest = hashlib.sha256(payload).hexdigest()
-                if digest != r["media_digest"] or len(payload) != width * height:
-                    raise ValueError(f"{shard}: payload at {r['offset']} is not {r['media_digest']}")
-                rows.append((r["media_digest"], shard, r["offset"], r["length"], width, height, len(payload), digest, zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(payload)))
-            if f is not None:
-                f.close()
-            types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in FEATURES.split(", ")])
+                if digest != r["media_digest"] or len(payload) != r["payload_bytes"]:
+                    raise ValueError(f"{r['shard']}: payload at {r['offset']} is not {r['media_digest']}")
+                rows.append((*(r[c] for c in ("media_digest", "shard", "offset", "length", "width", "height", "payload_bytes")), digest, zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(payload)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in FEATURES.split(", ")])
 
-    return places.select("media_digest", "shard", "offset", "length").mapInArrow(read, FEATURES)
+    return headers(places, folder).mapInArrow(read, FEATURES)
 
 
 def encode(docs: DataFrame, repeated: bytes, shared: bool) -> DataFrame:
