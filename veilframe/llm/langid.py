@@ -21,8 +21,6 @@ DIMS = 4096
 CENTROIDS = 4
 #: Documents a language's centroids are fitted on, about; the document frequencies take all learnable rows.
 SAMPLE = 800
-#: Values of lang that are learned, the commonest first.
-LANGUAGES = 200
 #: A text is rejected if its cosine is below this share of the QUANTILE cosine of its language's texts of like length.
 REJECT_SHARE, QUANTILE = 0.75, 0.002
 #: The longest length bucket whose limit is learned from pieces of longer texts where too few texts (under FEW) have that length.
@@ -129,9 +127,9 @@ def learn(rows: list[np.ndarray], cuts: list[list[str]], idf: np.ndarray) -> tup
 
 
 def fit(docs: DataFrame) -> dict:
-    """Learn from rows of (doc_id, text, lang) with lang; the caller has left out what may not be learned from. Each language's sample, bounded by SAMPLE, is clustered in a task of its own; the driver gets centroids alone. Of more than LANGUAGES values of lang the commonest are learned."""
+    """Learn from rows of (doc_id, text, lang) with lang; the caller has left out what may not be learned from. Each language's sample, bounded by SAMPLE, is clustered in a task of its own; the driver gets centroids alone, CENTROIDS x DIMS numbers a language, of every value of lang."""
     rows = docs.filter("lang is not null and text is not null")
-    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     df, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.1)
     if not per:
@@ -176,8 +174,8 @@ def judge(model: dict, column: pa.Array) -> tuple[list[str], list[float], list[b
 
 
 def predict(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
-    """The rows with language, score and rejection under these names after their own columns (which they replace on a clash of names). Repeated rows stay, each with its language; an empty table has no rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANGUAGES x CENTROIDS x DIMS at most
+    """The rows with language, score and rejection under these names after their own columns (which they replace on a clash of names). Repeated rows stay, each with its language; texts are read whole, however long; languages at the same cosine: the one that sorts first; an empty table has no rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x CENTROIDS x DIMS
     own = [c for c in docs.columns if c not in names]
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in own]).schema)
 
@@ -190,8 +188,8 @@ def predict(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("lang_p
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text's language; learned from rows whose crc32(doc_id) mod 3 is not 1."""
+    """Every whole text's language; learned from rows whose crc32(doc_id) mod 3 is not 1. Rows with null doc_id teach nothing and are not held out."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.filter(remainder("doc_id", 3) != 1))
     found = predict(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

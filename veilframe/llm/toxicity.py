@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     marked = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     per = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, SAMPLE / max(1, per.get(1, 0))))).otherwise(F.lit(min(1.0, SAMPLE / max(1, per.get(0, 0)))))
-    some = marked.filter((F.xxhash64(F.col("doc_id"), F.lit("toxic")).bitwiseAND(0xFFFFF) / F.lit(float(1 << 20))) < share).limit(4 * SAMPLE)
+    some = marked.filter((F.xxhash64(F.col("doc_id"), F.lit("toxic")).bitwiseAND(0xFFFFF) / F.lit(float(1 << 20))) < share).orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * SAMPLE)
     chosen = {r.doc_id: r.toxic for r in some.collect()}  # bounded by SAMPLE
     ids = spark.sparkContext.broadcast(chosen)
 
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 
 
 def score(docs: DataFrame, model: dict, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """The rows with score (0 to 1) and prediction (1 from 0.5 on) under these names after their own columns (which they replace on a clash of names). Null and empty texts get the score of no words; repeated rows stay, each with its score; an empty table has no rows."""
+    """The rows with score (0 to 1) and prediction (1 from 0.5 on) under these names after their own columns (which they replace on a clash of names). Null and empty texts get the score of no words; repeated rows stay, each with its score; texts are read whole, however long; a score of 0.5 is toxic; an empty table has no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = [c for c in docs.columns if c not in names]
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in own]).schema)
@@ -202,8 +202,8 @@ def score(docs: DataFrame, model: dict, names: tuple[str, str] = ("score", "pred
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text's toxicity; learned from labels whose crc32(doc_id) mod 5 is not 0."""
+    """Every whole text's toxicity; learned from labels whose crc32(doc_id) mod 5 is not 0. Rows with null doc_id have no label and are not held out."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = common.table(spark, sf_dir, "labels").select("doc_id", "toxic")
     found = score(docs, fit(docs, labels.filter(remainder("doc_id", 5) != 0)))
-    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
