@@ -104,12 +104,12 @@ def _pack_partition(capacity: int, level: int, last: bool):
     return run
 
 
-def pack(spark: SparkSession, cut_pieces: DataFrame, capacity: int) -> DataFrame:
+def pack(spark: SparkSession, cut_pieces: DataFrame, capacity: int, stale: float = STALE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): each piece's sequence and place in it, gapless from 0.
 
     Full pieces are sequences by themselves. Sequence numbers are unique, not dense. Deterministic for the same rows in
     the same partitions; ties go by doc_id, piece, checksum. Null doc_ids and repeated rows are packed like any other. No
-    pieces: no rows.
+    pieces: no rows. Rounds end when one leaves more than `stale` of the open bins before it; with 1 they go on until none merge.
     """
     rows = common.cut(spark, cut_pieces, "pieces")
     full = rows.filter(F.col("length") >= capacity).select("doc_id", "piece", "start", "length", F.col("crc").alias("ids_crc32"), (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -123,7 +123,7 @@ def pack(spark: SparkSession, cut_pieces: DataFrame, capacity: int) -> DataFrame
             break
         open_bins = packed.filter("not done")
         left = open_bins.count()
-        if left == 0 or (waiting is not None and left > STALE * waiting):
+        if left == 0 or (waiting is not None and (left > stale * waiting or left == waiting and n <= -(-left // RUN))):
             done[-1] = packed.select("bin", "items")
             break
         waiting, n, depth = left, max(1, -(-n // FAN_IN), -(-left // RUN)), depth + 1
