@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from veilframe.llm import bpe, common, langid, licences, media, ngram_join, packing, suffix_dedup, tokens, toxicity
 
 FILE = "word_bpe_49k.json"
@@ -535,3 +537,34 @@ def test_licence_probes(spark):
     got = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(cases))] == [name for _, name in cases]
     assert len({name for name, _ in licences.RULES}) >= 40
+
+
+def test_records_by_their_offsets(spark, odd):
+    """Every record once, in an order of the seed's; the smallest long is an id like another."""
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(-(1 << 63), "least"), (None, "none")], "doc_id long, text string"))
+    folder = common.work_dir(spark, "records")
+    manifest = tokens.write_records(docs, folder, "word_bpe_49k.json", 2, 3)
+    whole = [(r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.read_records(spark, folder, manifest).orderBy("start").collect()]
+    assert [d for d, *_ in whole][:3] == [None, None, -(1 << 63)]
+    orders = []
+    for seed in (1, 2, 1):
+        rows = tokens.read_shuffled(spark, folder, manifest, seed).orderBy("place").collect()
+        orders.append([(r.doc_id, r.n_tokens, r.ids_crc32) for r in rows])
+    assert orders[0] == orders[2] != orders[1] and all(sorted(o, key=str) == sorted(whole, key=str) for o in orders) and orders[0] != whole
+    assert tokens.read_shuffled(spark, folder, [], 1).count() == 0
+
+
+def test_headers_alone_tell_the_metadata(spark, docs):
+    folder = common.work_dir(spark, "media")
+    placed = media.store(media.encode(docs.select("text"), bytes(1 << 20), False), folder).dropDuplicates(["media_digest"])
+    placed = common.cut(spark, placed, "placed")
+    spoilt = placed.withColumn("length", F.lit(media.HEADER_BYTES).cast("long"))  # nothing behind the header may be read
+    told = {r.media_digest: (r.width, r.height, r.payload_bytes) for r in media.headers(spoilt, folder).collect()}
+    assert told == {r.media_digest: (r.width, r.height, r.payload_bytes) for r in media.fill(placed, folder).collect()} and len(told) > 100
+
+
+def test_null_ids_are_not_held_out(spark, tmp_path):
+    spark.createDataFrame([(None, "The quick brown fox and the lazy dog.", "en", "s", 1), (4, "Le chien et le chat sont dans la maison.", "fr", "s", 1), (5, "The cat and the dog are in the house.", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 0, 0), (5, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    for f in (langid.op2_language_id, toxicity.op4_toxicity):
+        assert {r.doc_id: r.held_out for r in f(spark, f"file://{tmp_path}").collect()}[None] is False

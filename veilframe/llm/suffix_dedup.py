@@ -608,7 +608,7 @@ def rewrite(spark: SparkSession, docs: DataFrame) -> DataFrame:
     cut = spans(spark, docs)
     bits = common.bitmap(cut, "doc_id")
     names, schema = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    at = names.index("text")
+    at, (own_id, own_key, own_spans) = names.index("text"), common.fresh(docs, "_vf_id", "_vf_key", "_vf_spans")
 
     def split(inside: bool):
         def run(batches):
@@ -622,7 +622,7 @@ def rewrite(spark: SparkSession, docs: DataFrame) -> DataFrame:
                     data, offsets = common.utf8(b.column(at))
                     ids = b.column(b.schema.get_field_index("doc_id")).cast(pa.int64())
                     keys = pa.array([text_key(data[x:y]) for x, y in zip(offsets[:-1], offsets[1:], strict=True)], pa.int64())
-                    yield pa.RecordBatch.from_arrays([*b.columns, ids, keys], [*names, "_vf_id", "_vf_key"])
+                    yield pa.RecordBatch.from_arrays([*b.columns, ids, keys], [*names, own_id, own_key])
 
         return run
 
@@ -645,9 +645,9 @@ def rewrite(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 cols[i] = pa.array([n if not s else len(t) for t, s, n in zip(texts, b.column(len(names)).to_pylist(), cols[i].to_pylist(), strict=True)], pa.int64()).cast(b.schema.field(i).type)
             yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(stay, pa.bool_()))
 
-    some = docs.mapInArrow(common.lean(split(True)), f"{schema}, _vf_id long, _vf_key long")
-    spanned = cut.select(F.col("doc_id").alias("_vf_id"), F.col("tkey").alias("_vf_key"), F.col("spans").alias("_vf_spans"))
-    some = some.join(spanned, ["_vf_id", "_vf_key"], "left").select(*[F.col(f"`{c}`") for c in names], "_vf_spans")
+    some = docs.mapInArrow(common.lean(split(True)), f"{schema}, {own_id} long, {own_key} long")
+    spanned = cut.select(F.col("doc_id").alias(own_id), F.col("tkey").alias(own_key), F.col("spans").alias(own_spans))
+    some = some.join(spanned, [own_id, own_key], "left").select(*[F.col(f"`{c}`") for c in names], own_spans)
     return some.mapInArrow(common.lean(finish), schema).unionByName(docs.mapInArrow(common.lean(split(False)), schema))
 
 
