@@ -6,7 +6,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from veilframe.operators import events, native, pages, report, review, session
+from veilframe.operators import events, findings, native, pages, report, review, session, spatial
 from veilframe.plans import jobs, lifecycle, queries
 from veilframe.sources.gates import Limits, files_at_the_door
 
@@ -193,46 +193,95 @@ def drawn(kind, x0, y0, x1, y1, order=0, opaque=True):
     return {"ord": order, "kind": kind, "idx": None, "quad": [x0, y0, x1, y0, x0, y1, x1, y1], "visible": True, "opaque": opaque, "alpha": 1.0, "contrast": 21.0}
 
 
-def findings(c, d, w=600.0, h=800.0):
-    return pages.read_page(w, h, c, d)[0]
-
-
-def test_page_findings_by_rule():
-    assert findings(*page("Hello")) == []
-    assert findings([], []) == ["blank"]
-    assert findings([], [drawn("path", 10, 10, 50, 50)]) == ["drawn-only"]
-    assert findings([], [drawn("image", 0, 0, 600, 800)]) == ["scanned"]
+FAR = page("Hello words over it", y=50)
+SHORT, LONG, HIDDEN = page("Hello"), page("x" * 45, y=20), page("Hello there", visible=False)
+HALVES = [drawn("cover", 15, 85, 45, 105, 2), drawn("cover", 40, 85, 80, 105, 3)]  # together they hide all
+#: (characters, drawings, findings) of a page.
+PAGES = [
+    (*SHORT, []), ([], [], ["blank"]), ([], [drawn("path", 10, 10, 50, 50)], ["drawn-only"]), ([], [drawn("image", 0, 0, 600, 800)], ["scanned"]),
+    ([], [drawn("path", 10, 10, 50, 50) | {"contrast": 1.0}], ["blank"]),  # a path that does not show
     # a bare picture beside vector drawings, on a page without glyphs: both are told
-    assert findings([], [drawn("image", 0, 0, 200, 200), drawn("path", 300, 300, 400, 400)]) == ["drawn-only", "bare-picture"]
-    c, d = page("Hello words over it", y=50)
-    small = drawn("image", 0, 0, 60, 40)  # under 5 % of the page
-    assert findings(c, [*d, small]) == []
+    ([], [drawn("image", 0, 0, 200, 200), drawn("path", 300, 300, 400, 400)], ["drawn-only", "bare-picture"]),
+    (FAR[0], [*FAR[1], drawn("image", 0, 0, 60, 40)], []),  # under 5 % of the page
     # text elsewhere on the page does not clear a picture; text over it does; a scan is not a bare picture as well
-    assert findings(c, [*d, drawn("image", 0, 300, 300, 700)]) == ["bare-picture"]
-    assert findings(c, [*d, drawn("image", 0, 0, 230, 200)]) == []
-    assert findings(*[(c, [*d, drawn("image", 0, 100, 600, 800)])][0]) == ["scanned"]
-    # overlapping pictures count once
-    long_c, long_d = page("x" * 45, y=20)
-    assert findings(long_c, [*long_d, *[drawn("image", 0, 500, 300, 780)] * 4]) == ["bare-picture"]
-
-
-def test_page_findings_of_characters():
-    assert findings(*page("ab\ufffd\ufffdcd\ufffd")) == []  # never three in a row
-    assert findings(*page("ab\ufffd\ufffd\ufffd")) == ["unreadable-text"]
-    assert findings(*page("\ufffd")) == ["unreadable-text"]
-    c, d = page("Hello there", visible=False)
-    assert findings(c, d) == ["hidden-text"]
-    assert findings(c, [*d, drawn("image", 0, 0, 600, 800)]) == ["machine-read-text"]  # and neither a scan nor bare
-    c, d = page("Hello", contrast=1.0)
-    assert findings(c, d) == ["hidden-text"]
-    c, d = page("Hello")
-    half = [drawn("cover", 15, 85, 45, 105, 2), drawn("cover", 40, 85, 80, 105, 3)]  # together they hide all
-    found, hidden = pages.read_page(600, 800, c, [*d, *half])
-    assert found == ["covered-text"] and {k for _, k in hidden} == {"covered"} and len(hidden) == 5
-    assert findings(c, [*d, drawn("cover", 0, 0, 600, 800, 0)]) == []  # drawn before the text
-    assert findings(c, [*d, {**drawn("description", 0, 0, 1, 1)}]) == ["marked-descriptions"]
-    assert findings(c, [*d, drawn("image", -5, 90, 20, 100)]) == ["off-page-picture"]
-    assert findings(c, [*d, drawn("path", 700, 0, 800, 10)]) == ["off-page-content"]
+    (FAR[0], [*FAR[1], drawn("image", 0, 300, 300, 700)], ["bare-picture"]), (FAR[0], [*FAR[1], drawn("image", 0, 0, 230, 200)], []), (FAR[0], [*FAR[1], drawn("image", 0, 100, 600, 800)], ["scanned"]),
+    (LONG[0], [*LONG[1], *[drawn("image", 0, 500, 300, 780)] * 4], ["bare-picture"]),  # overlapping pictures count once
+    (*page("ab\ufffd\ufffdcd\ufffd"), []), (*page("ab\ufffd\ufffd\ufffd"), ["unreadable-text"]), (*page("\ufffd"), ["unreadable-text"]), (*page("ab\ufffd\u0301\ufffd\ufffd"), ["unreadable-text"]), (*page("\u4e2d\u6587\u00e9"), []),
+    (*HIDDEN, ["hidden-text"]), (HIDDEN[0], [*HIDDEN[1], drawn("image", 0, 0, 600, 800)], ["machine-read-text"]),  # and neither a scan nor bare
+    (*page("Hello", contrast=1.0), ["hidden-text"]), (SHORT[0], [*SHORT[1], *HALVES], ["covered-text"]), (SHORT[0], [*SHORT[1], drawn("cover", 0, 0, 600, 800, 0)], []),  # drawn before the text
+    (SHORT[0], [*SHORT[1], drawn("description", 0, 0, 1, 1)], ["marked-descriptions"]), (SHORT[0], [*SHORT[1], drawn("image", -5, 90, 20, 100)], ["off-page-picture"]), (SHORT[0], [*SHORT[1], drawn("path", 700, 0, 800, 10)], ["off-page-content"]),
+]
+
+
+def page_tables(spark, cases):
+    sheets = [(n, 1, 600.0, 800.0) for n in range(len(cases))]
+    chars = [(n, 1, x["idx"], x["line"], x["code"], [float(v) for v in x["quad"]]) for n, (c, *_) in enumerate(cases) for x in c]
+    marks = [(n, 1, x["ord"], x["kind"], x["idx"], [float(v) for v in x["quad"]], x["visible"], x["opaque"], x["alpha"], x["contrast"]) for n, (_, d, *_) in enumerate(cases) for x in d]
+    return (
+        spark.createDataFrame(sheets, "doc_id int, page int, width double, height double"), spark.createDataFrame(chars, "doc_id int, page int, idx int, line int, code int, quad array<double>"),
+        spark.createDataFrame(marks, "doc_id int, page int, ord int, kind string, idx int, quad array<double>, visible boolean, opaque boolean, alpha double, contrast double"),
+    )
+
+
+def test_page_findings_by_rule(spark):
+    got = {r.doc_id: r.findings for r in findings.findings(*page_tables(spark, PAGES)).collect()}
+    assert [got[n] for n in range(len(PAGES))] == [expected for *_, expected in PAGES]
+
+
+def test_concealed_characters(spark):
+    c, d = SHORT[0], [*SHORT[1], *HALVES]
+    _, chars, marks = page_tables(spark, [(c, d), HIDDEN])
+    rows = findings.concealed(findings.glyphs(chars, marks), marks).collect()
+    assert {(r.doc_id, r.concealment) for r in rows} == {(0, "covered"), (1, "hidden")} and len(rows) == 5 + len(HIDDEN[0])
+
+
+def test_points_meet_outlines_once(spark):
+    """Against every pair, over outlines of all sizes, on edges of cells, with points and outlines without a place."""
+    import random
+
+    rng, inf = random.Random(5), float("inf")
+    pts = [(1 + i % 2, i, float(rng.choice([16 * rng.randint(-9, 9), rng.uniform(-300, 300)])), float(rng.choice([16 * rng.randint(-9, 9), rng.uniform(-300, 300)]))) for i in range(400)] + [(1, 900, inf, 0.0), (None, 901, 1.0, 1.0), (1, 902, None, 1.0)]
+    boxes = []
+    for i in range(60):
+        x, y, w, h = rng.uniform(-300, 300), rng.uniform(-300, 300), rng.choice([0.5, 16, 100, 5e3, 1e6]), rng.choice([0.5, 16, 40, 2e3])
+        s = rng.choice([0, 5])
+        boxes.append((1 + i % 3, i, [x, y, x + w, y + s, x - s, y + h, x + w - s, y + h + s]))
+    boxes += [(None, 98, [0.0, 0.0, 2.0, 0.0, 0.0, 2.0, 2.0, 2.0]), (1, 99, [float("nan")] * 8)]
+    p, q = spark.createDataFrame(pts, "page int, i int, x double, y double"), spark.createDataFrame(boxes, "page int, j int, quad array<double>")
+    got = sorted((r.i, r.j) for r in spatial.inside(p, q, ["page"]).collect())
+
+    def holds(o, x, y):
+        c = [(o[0], o[1]), (o[2], o[3]), (o[6], o[7]), (o[4], o[5])]
+        s = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for (ax, ay), (bx, by) in zip(c, c[1:] + c[:1], strict=True)]
+        return min(s) >= 0 or max(s) <= 0
+
+    expected = sorted((i, j) for a, i, x, y in pts for b, j, o in boxes if a == b and j != 99 and x is not None and abs(x) < inf and holds(o, x, y))
+    assert got == expected and (901, 98) in got
+    plan = spatial.inside(p, q, ["page"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_block_reasons_in_order(spark):
+    """Outlines that hold their text, that hold another, whose second reading differs, that slant, and that lie over a coarse image."""
+    def row(doc, text, y=100.0, dy=0.0):
+        return [(doc, 1, i, ord(c), [20.0 + 10 * i, y - 10 + dy * i, 30.0 + 10 * i, y - 10 + dy * (i + 1), 20.0 + 10 * i, y + dy * i, 30.0 + 10 * i, y + dy * (i + 1)]) for i, c in enumerate(text)]
+
+    schema = "doc_id int, page int, idx int, code int, quad array<double>"
+    ordinary = spark.createDataFrame([r for d in range(1, 7) for r in row(d, "ab cd", dy=3.0 if d == 4 else 0.0)], schema)
+    ignoring = spark.createDataFrame([r for d in range(1, 7) for r in row(d, "ab xd" if d == 3 else "ab cd", dy=3.0 if d == 4 else 0.0)], schema)
+    whole = [20.0, 90.0, 70.0, 90.0, 20.0, 100.0, 70.0, 100.0]
+    slant = [20.0, 90.0, 70.0, 105.0, 20.0, 100.0, 70.0, 115.0]
+    outlines = spark.createDataFrame([(f"m{d}", d, 1, slant if d == 4 else [0.0] * 8 if d == 6 else whole) for d in range(1, 7)], "match_id string, doc_id int, page int, quad array<double>")
+    texts = spark.createDataFrame([(f"m{d}", "ab c e" if d == 2 else "ab  cd") for d in range(1, 8)], "match_id string, text string")
+    images = spark.createDataFrame([(5, 1, [600.0, 0.0, 0.0, 800.0, 0.0, 0.0], 10, 10), (1, 1, [600.0, 0.0, 0.0, 800.0, 0.0, 0.0], 6000, 8000)], "doc_id int, page int, transform array<double>, columns int, rows int")
+    got = {r.match_id: r.blocked for r in pages.blocked(outlines, texts, ordinary, ignoring, images).collect()}
+    assert got == {"m1": None, "m2": "unsound-outline", "m3": "replacement-text", "m4": "slanted-text", "m5": "image-overreach", "m6": "unsound-outline", "m7": "unsound-outline"}
+
+
+def test_concealment_by_place(spark):
+    chars = spark.createDataFrame([("m1", 1, 1, 10.0, 5.0), ("m1", 1, 1, 20.0, 5.0), ("m2", 1, 1, 20.005, 5.0), ("m3", 1, 1, 30.0, 5.0), ("m4", 2, 1, 10.0, 5.0)], "match_id string, doc_id int, page int, ox double, oy double")
+    marks = spark.createDataFrame([(1, 1, 10.0, 5.0, "covered"), (1, 1, 20.0, 5.0, "hidden"), (1, 1, 29.98, 5.0, "covered")], "doc_id int, page int, ox double, oy double, concealment string")
+    assert {r.match_id: r.concealment for r in pages.concealment(chars, marks).collect()} == {"m1": "covered", "m2": "hidden"}
 
 
 def test_events_of_every_shape():
@@ -314,7 +363,7 @@ def test_small_operators(spark):
     q = [0.0, 0.0, 10.0, 0.0, 0.0, 10.0, 10.0, 10.0]
     second = spark.createDataFrame([(1, 1, "r1", "t", 5.0, 5.0), (1, 1, "r2", "t", 5.0, 5.0), (1, 1, "r2", "t", 50.0, 5.0), (1, 1, "r3", "u", 5.0, 5.0)], "doc_id int, page int, row_id string, term string, cx double, cy double")
     first = spark.createDataFrame([(1, 1, "t", q)], "doc_id int, page int, term string, quad array<double>")
-    assert {x.row_id for x in pages.hidden_rows(second, first).collect()} == {"r2", "r3"}
+    assert {x.row_id for x in pages.hidden_rows(second, first).collect()} == {"r3"}  # r2 has a character in an ordinary row
     found = spark.createDataFrame([("m1", True), ("m2", True), ("m3", True)], "match_id string, ticked boolean")
     facts = spark.createDataFrame([("m1", False, True, True, False), ("m2", None, None, False, False)], "match_id string, unsound boolean, replaced boolean, slanted boolean, overreach boolean")
     assert {x.match_id: (x.blocked, x.ticked) for x in pages.block_matches(found, facts).collect()} == {"m1": ("replacement-text", False), "m2": (None, True), "m3": (None, True)}
@@ -357,11 +406,15 @@ def test_areas_around_a_quad(spark):
     r = spark.range(1).select(geometry.removal_band(q).alias("band"), geometry.line_box(q).alias("box"), geometry.padded_area(q).alias("pad")).first()
     near = lambda a, b: all(abs(x - y) < 1e-9 for x, y in zip(a, b, strict=True))
     assert near(r.band, [1, 4.5, 99, 4.5, 1, 5.5, 99, 5.5]) and near(r.box, [0, 2, 100, 2, 0, 9.3, 100, 9.3]) and near(r.pad, [-1, -2.5, 101, -2.5, -1, 12.5, 101, 12.5])
-    place = [100.0, 0.0, 0.0, 100.0, 0.0, 0.0]
-    assert geometry.image_reach(place, 100, 100, [10, 10, 20, 10, 10, 20, 20, 20]) == 0
-    assert abs(geometry.image_reach(place, 10, 10, [11, 10, 20, 10, 11, 20, 20, 20]) - 1) < 1e-9
-    assert geometry.image_reach(place, 10, 10, [200, 200, 210, 200, 200, 210, 210, 210]) == 0
-    assert geometry.image_reach([0.0] * 6, 10, 10, [0, 0, 1, 0, 0, 1, 1, 1]) != geometry.image_reach([0.0] * 6, 10, 10, [0, 0, 1, 0, 0, 1, 1, 1])  # nan
+    nan, unit = float("nan"), [100.0, 0.0, 0.0, 100.0, 0.0, 0.0]
+    turned = [0.0, 100.0, -100.0, 0.0, 100.0, 0.0]  # a quarter turn
+    cases = [(unit, 100, [10, 10, 20, 10, 10, 20, 20, 20], 0.0), (unit, 10, [11, 10, 20, 10, 11, 20, 20, 20], 1.0), (unit, 10, [200, 200, 210, 200, 200, 210, 210, 210], 0.0), (turned, 10, [10, 12, 20, 12, 10, 20, 20, 20], 2.0), ([0.0] * 6, 10, [0, 0, 1, 0, 0, 1, 1, 1], nan), ([nan, *unit[1:]], 10, [0, 0, 1, 0, 0, 1, 1, 1], nan)]
+    df = spark.createDataFrame([(n, t, k, [float(v) for v in a]) for n, (t, k, a, _) in enumerate(cases)], "n int, t array<double>, k int, a array<double>")
+    got = {r.n: r.reach for r in df.select("n", geometry.image_reach(F.col("t"), F.col("k"), F.col("k"), F.col("a")).alias("reach")).collect()}
+    assert all((e != e and got[n] != got[n]) or abs(got[n] - e) < 1e-9 for n, (*_, e) in enumerate(cases)), got
+    level = F.array(*[F.lit(float(v)) for v in (0, 0, 100, 0.5, 0, 10, 100, 10.5)])  # a third of a degree
+    steep = F.array(*[F.lit(float(v)) for v in (0, 0, 100, 9, 0, 10, 100, 19)])
+    assert tuple(spark.range(1).select(geometry.slanted(q), geometry.slanted(level), geometry.slanted(steep), geometry.slanted(F.array(*[F.lit(nan)] * 8))).first()) == (False, False, True, True)
 
 
 def test_only_batches_that_may_be_searched(spark):

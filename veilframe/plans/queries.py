@@ -6,13 +6,13 @@ such queries are named synth_*.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import checks, geometry
-from ..operators import events, native, pages, report, review, session
+from ..operators import events, findings, native, page_text, pages, report, review, session
 from ..sources import gates
-from . import lifecycle
+from . import lifecycle, page_queries
 
 T = gates.read
 S = "[ \\t\\n\\x0B\\f\\r]"
@@ -376,9 +376,12 @@ def session_usage(spark, d):
 
 
 def _characters(spark, d):
+    """Line items as characters, numbered on each page by their keys; rows alike in all keys are alike as characters."""
     li = T(spark, d, "lineitem")
     x, y, h = F.col("l_partkey") % 60 * 10.0, F.col("l_linenumber") * 14.0, 10.0 - F.when(F.col("l_suppkey") % 9 == 0, 6.0).otherwise(0.0)
-    return li.select((F.col("l_orderkey") % 200).alias("doc_id"), (F.col("l_orderkey") % 5 + 1).cast("int").alias("page"), (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("idx"), F.col("l_linenumber").alias("line"), F.when(F.col("l_suppkey") % 31 == 0, 0xFFFD).otherwise(65 + F.col("l_partkey") % 26).cast("int").alias("code"), x.alias("ox"), (y + F.when(F.col("l_suppkey") % 9 == 0, 4.0).otherwise(0.0)).alias("oy"), F.array(x, y - h, x + 6, y - h, x, y, x + 6, y).alias("quad"))
+    c = li.select((F.col("l_orderkey") % 200).alias("doc_id"), (F.col("l_orderkey") % 5 + 1).cast("int").alias("page"), "l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").alias("line"), F.when(F.col("l_suppkey") % 31 == 0, 0xFFFD).otherwise(65 + F.col("l_partkey") % 26).cast("int").alias("code"), x.alias("ox"), (y + F.when(F.col("l_suppkey") % 9 == 0, 4.0).otherwise(0.0)).alias("oy"), F.array(x, y - h, x + 6, y - h, x, y, x + 6, y).alias("quad"))
+    w = Window.partitionBy("doc_id", "page").orderBy("l_orderkey", "line", "l_partkey", "l_suppkey")
+    return c.withColumn("idx", F.row_number().over(w).cast("long")).drop("l_orderkey", "l_partkey", "l_suppkey")
 
 
 def synth_lines(spark, d):
@@ -392,11 +395,12 @@ def synth_page_findings(spark, d):
     cover = sheet.filter("doc_id % 10 = 0").select("doc_id", "page", F.lit(2).alias("ord"), F.lit("cover").alias("kind"), F.lit(None).cast("long").alias("idx"), F.array(*[F.lit(v) for v in (0.0, 0.0, 300.0, 0.0, 0.0, 30.0, 300.0, 30.0)]).alias("quad"), F.lit(True).alias("visible"), F.lit(True).alias("opaque"), F.lit(1.0).alias("alpha"), F.lit(21.0).alias("contrast"))
     image = sheet.filter("doc_id % 7 = 0").select("doc_id", "page", F.lit(0).alias("ord"), F.lit("image").alias("kind"), F.lit(None).cast("long").alias("idx"), F.array(*[F.lit(v) for v in (0.0, 0.0, 600.0, 0.0, 0.0, 790.0, 600.0, 790.0)]).alias("quad"), F.lit(True).alias("visible"), F.lit(True).alias("opaque"), F.lit(1.0).alias("alpha"), F.lit(21.0).alias("contrast"))
     size = sheet.withColumn("width", F.lit(612.0)).withColumn("height", F.lit(792.0))
-    return report.pages_by_finding(pages.findings(size, c, glyphs.unionByName(cover).unionByName(image)))
+    return report.pages_by_finding(findings.findings(size, c, glyphs.unionByName(cover).unionByName(image)))
 
 
 def synth_off_line(spark, d):
-    return pages.leaving(_characters(spark, d)).groupBy("off_line", "leaves").agg(F.count("*").alias("n"))
+    level = _characters(spark, d).withColumns({"dx": F.lit(1.0), "dy": F.lit(0.0)})
+    return page_text.leaving(level).groupBy("off_line", "leaves").agg(F.count("*").alias("n"))
 
 
 def synth_reading_compare(spark, d):
@@ -459,7 +463,7 @@ _Q = {"x0": "(p_partkey % 50)::DOUBLE", "y0": "p_size::DOUBLE", "k": "(p_partkey
 _ROWS = """SELECT l_orderkey AS doc_id, l_orderkey || '-' || l_partkey AS match_id, ['email','phone','date','card','iban','us-ssn','uk-nino','term'][l_partkey % 8 + 1] AS kind, CASE WHEN l_partkey % 8 = 7 THEN (l_partkey % 3)::VARCHAR END AS term, min(l_suppkey) % 3 + 1 AS page,
   l_partkey % 100 AS start, l_partkey % 100 + 5 AS "end", CASE WHEN min(l_suppkey) % 4 = 0 THEN 'hidden' ELSE 'ordinary' END AS section, min(l_returnflag) = 'R' AS ticked, CASE WHEN min(l_linestatus) = 'F' THEN CASE WHEN min(l_suppkey) % 2 = 0 THEN 'slanted-text' ELSE 'image-overreach' END END AS blocked, 'row ' || l_partkey AS text FROM lineitem GROUP BY l_orderkey, l_partkey"""
 _NOUNS = "[" + ", ".join(f"'{one}'" for one, _ in report.NOUNS.values()) + "] AS ONE, [" + ", ".join(f"'{many}'" for _, many in report.NOUNS.values()) + "] AS MANY"
-_CHARS = """SELECT l_orderkey % 200 AS doc_id, (l_orderkey % 5 + 1)::INT AS page, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS idx, l_linenumber AS line, CASE WHEN l_suppkey % 31 = 0 THEN 65533 ELSE 65 + l_partkey % 26 END AS code, (l_partkey % 60) * 10.0::DOUBLE AS x, l_linenumber * 14.0::DOUBLE AS y,
+_CHARS = """SELECT l_orderkey % 200 AS doc_id, (l_orderkey % 5 + 1)::INT AS page, row_number() OVER (PARTITION BY l_orderkey % 200, l_orderkey % 5 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS idx, l_linenumber AS line, CASE WHEN l_suppkey % 31 = 0 THEN 65533 ELSE 65 + l_partkey % 26 END AS code, (l_partkey % 60) * 10.0::DOUBLE AS x, l_linenumber * 14.0::DOUBLE AS y,
   10.0::DOUBLE - CASE WHEN l_suppkey % 9 = 0 THEN 6 ELSE 0 END AS h, l_linenumber * 14.0::DOUBLE + CASE WHEN l_suppkey % 9 = 0 THEN 4 ELSE 0 END AS oy FROM lineitem"""
 
 _FITS = "(a = 'file-chosen' OR (a = 'opened' AND state = 'opening') OR (a = 'redact-started' AND state = 'reviewing') OR (a = 'redacted' AND state = 'redacting') OR (a = 'failed' AND state IN ('redacting', 'opening')))"
@@ -542,8 +546,9 @@ ORACLE: dict[str, str] = {
         count(*) FILTER (place <> 'outside' AND NOT (place = 'edge' AND doc_id % 5 = 0) AND NOT (doc_id % 11 = 0 AND page = 2 AND idx % 7 = 0)) AS now FROM c GROUP BY 1, 2, 3, 4, 5)
       SELECT doc_id, page, sum(outside)::BIGINT AS trimmed, CASE WHEN bool_or(now > inside + edge OR now < inside) THEN 'unsupported' WHEN bool_or(now < inside + edge) THEN 'edge-text' WHEN sum(outside) > 0 THEN 'trimmed' ELSE 'kept' END AS verdict FROM m GROUP BY 1, 2""",
     "synth_replacement_text": f"""SELECT doc_id || '-' || page AS match_id, doc_id % 4 = 0 AND bool_or(line = 2 AND x + 3 <= 60 AND y - h / 2 BETWEEN 0 AND 30 AND code <> 63) AS replaced FROM ({_CHARS}) GROUP BY doc_id, page""",
-    "synth_off_line": f"""WITH c AS (SELECT *, y AS bottom FROM ({_CHARS})), m AS (SELECT doc_id, page, line, list_sort(list(h))[(count(*) // 2) + 1] AS mh, list_sort(list(oy))[(count(*) // 2) + 1] AS my, list(h) AS hs FROM c GROUP BY 1, 2, 3),
-      o AS (SELECT c.*, h <= mh * 0.9 AND abs(oy - my) >= mh * 0.15 AND len(list_filter(hs, lambda v: v > mh * 0.9)) >= 3 AS off FROM c JOIN m USING (doc_id, page, line)),
+    "synth_off_line": f"""WITH c AS ({_CHARS}), m AS (SELECT doc_id, page, line, list_sort(list(h))[(count(*) // 2) + 1] AS mh FROM c GROUP BY 1, 2, 3),
+      t AS (SELECT doc_id, page, line, list_sort(list(oy))[(count(*) // 2) + 1] AS my, count(*) AS tall FROM c JOIN m USING (doc_id, page, line) WHERE h > mh * 0.9 GROUP BY 1, 2, 3),
+      o AS (SELECT c.*, coalesce(h <= mh * 0.9 AND abs(oy - my) >= mh * 0.15 AND tall >= 3, false) AS off FROM c JOIN m USING (doc_id, page, line) LEFT JOIN t USING (doc_id, page, line)),
       n AS (SELECT *, coalesce(NOT lag(off) OVER w, false) OR coalesce(NOT lead(off) OVER w, false) AS beside, row_number() OVER w - row_number() OVER (PARTITION BY doc_id, page, line, off ORDER BY idx) AS g FROM o WINDOW w AS (PARTITION BY doc_id, page, line ORDER BY idx)),
       l AS (SELECT off, off AND count(*) OVER r <= 4 AND bool_or(beside) OVER r AS leaves FROM n WINDOW r AS (PARTITION BY doc_id, page, line, off, g))
       SELECT off AS off_line, leaves, count(*) AS n FROM l GROUP BY 1, 2""",
@@ -575,4 +580,5 @@ QUERIES = {
         synth_page_findings, synth_off_line, synth_reading_compare, synth_trim, synth_replacement_text, report_rules, policy_order, html_inventory, target_refusals, review_checklist, page_targets,
         detection_counts, result_sentences, crooked_notes, chosen_redaction,
     )
-}
+} | page_queries.QUERIES
+ORACLE |= page_queries.ORACLE
