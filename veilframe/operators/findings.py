@@ -40,11 +40,12 @@ def glyphs(characters: DataFrame, drawings: DataFrame) -> DataFrame:
 
 def runs(rows: DataFrame, same: Column) -> DataFrame:
     """(doc_id, page, same, n): stretches of neighbours on a line that are alike in `same` (null: no stretch). Marks and format characters (kind goes-on) neither count nor part a stretch."""
-    line = Window.partitionBy(*PAGE, "line").orderBy("idx")
+    page = Window.partitionBy(*PAGE).orderBy("idx")
     r = rows.withColumn("same", same).filter("kind <> 'goes-on'")
-    r = r.withColumn("_new", F.col("same").isNull() | ~F.col("same").eqNullSafe(F.lag("same").over(line)))
-    r = r.withColumn("_run", F.count_if("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.filter("same is not null").groupBy(*PAGE, "line", "_run", "same").agg(F.count("*").alias("n")).select(*PAGE, "same", "n")
+    changes = [~F.col(c).eqNullSafe(F.lag(c).over(page)) for c in ("same", "line")]
+    r = r.withColumn("_new", F.col("same").isNull() | changes[0] | changes[1])
+    r = r.withColumn("_run", F.count_if("_new").over(page.rowsBetween(Window.unboundedPreceding, 0)))
+    return r.filter("same is not null").groupBy(*PAGE, "_run", "same").agg(F.count("*").alias("n")).select(*PAGE, "same", "n")
 
 
 def pictures(sheets: DataFrame, images: DataFrame) -> DataFrame:

@@ -531,7 +531,7 @@ ORACLE: dict[str, str] = {
       p AS (SELECT doc_id, max(said) FILTER (state = 'r') AS r, max(said) FILTER (state = 'u') || ' you left unticked.' AS u, max(said) FILTER (state = 'b') || ' The engine couldn''t remove.' AS b FROM l GROUP BY 1)
       SELECT doc_id, coalesce(r, 'Nothing') AS removed_line, CASE WHEN u IS NULL AND b IS NULL THEN 'Nothing The engine found.' ELSE concat_ws(' ', u, b) END AS left_line FROM p""",
     "crooked_notes": f"SELECT DISTINCT doc_id, {len(report.CROOKED)} AS note_chars FROM ({_ROWS}) WHERE blocked = 'slanted-text' AND (doc_id + page) % 2 = 0",
-    "synth_reading_compare": "SELECT count(*) FILTER ((((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) % 50 = 0) AS missing, 0::BIGINT AS extra FROM lineitem",
+    "synth_reading_compare": f"SELECT count(*) FILTER (idx % 50 = 0) AS missing, 0::BIGINT AS extra FROM ({_CHARS})",
     "synth_page_findings": f"""WITH c AS ({_CHARS}), k AS (SELECT *, CASE WHEN code = 65533 THEN 'unmapped' WHEN code = 70 THEN 'unseen' ELSE 'seen' END AS kind FROM c),
       i AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY idx, line ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, coalesce(lag(line) OVER w = line AND lag(kind) OVER w = kind, false) AS same FROM k WINDOW w AS (PARTITION BY doc_id, page ORDER BY idx, line))),
       runs AS (SELECT doc_id, page, max(n) FILTER (kind = 'unmapped') AS unmapped, max(n) FILTER (kind = 'unseen') AS unseen FROM (SELECT doc_id, page, kind, island, count(*) AS n FROM i GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
