@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,44 +44,45 @@ HOUR_MS, DAY_MS, PAGE_REPORTS = 3_600_000, 86_400_000, 20
 MOST_BYTES = 2048
 
 
-def parse_event(raw: str | None) -> dict | None:
-    """The event in canonical order, or None: exactly its fields, closed values, no repeats, counted ranges never '0', at most MOST_BYTES bytes."""
-    if raw is None or len(raw.encode()) > MOST_BYTES:
-        return None
-    try:
-        value = json.loads(raw)
-    except ValueError:
-        return None
-    if not isinstance(value, dict) or not isinstance(value.get("name"), str) or value["name"] not in EVENTS:
-        return None
-    fields = EVENTS[value["name"]]
-    if set(value) != {"name", *fields}:
-        return None
-    out = {"name": value["name"]}
-    for key, (shape, allowed) in fields.items():
-        v = value[key]
-        if shape == _ONE and isinstance(v, str) and v in allowed:
-            out[key] = v
-        elif shape == _MAP and isinstance(v, dict) and set(v) <= set(allowed) and all(x in BUCKETS[1:] for x in v.values()):
-            out[key] = {k: v[k] for k in allowed if k in v}
-        elif shape == _SET and isinstance(v, list) and all(isinstance(x, str) and x in allowed for x in v) and len(set(v)) == len(v):
-            out[key] = [k for k in allowed if k in v]
-        else:
-            return None
-    return out
+def _is(value: Column, kind: str) -> Column:
+    """Is a variant of this kind (STRING, OBJECT, ARRAY)?"""
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
 
 
-def strict_events(events: DataFrame, column: str = "json") -> DataFrame:
-    """The rows with valid, name and canonical JSON."""
-    own = events.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+def _string(value: Column) -> Column:
+    """A variant that is a string, or null."""
+    return F.when(_is(value, "STRING"), F.try_variant_get(value, "$", "string"))
 
-    def run(batches):
-        for b in batches:
-            got = [parse_event(x) for x in b.column(b.schema.get_field_index(column)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g is not None for g in got]), pa.array([g and g["name"] for g in got], pa.string()), pa.array([g and json.dumps(g, separators=(",", ":")) for g in got], pa.string())], [*own, "valid", "name", "canonical"])
 
-    return events.mapInArrow(run, f"{schema}, valid boolean, name string, canonical string")
+def _field(value: Column, shape: str, allowed: tuple[str, ...]) -> Column:
+    """A field's canonical JSON, or null where it does not hold: one of `allowed`; a map from them to counted ranges above '0'; or a set of them. Maps and sets come in the order of `allowed`."""
+    quoted = lambda t: F.concat(F.lit('"'), t, F.lit('"'))
+    listed = F.array(*(F.lit(a) for a in allowed))
+    if shape == _ONE:
+        own = _string(value)
+        return F.when(own.isin(*allowed), quoted(own))
+    if shape == _MAP:
+        held = F.transform_values(F.try_variant_get(value, "$", "map<string,variant>"), lambda _, v: _string(v))
+        ok = _is(value, "OBJECT") & (F.size(F.array_except(F.map_keys(held), listed)) == 0) & F.forall(F.map_values(held), lambda v: F.coalesce(v.isin(*BUCKETS[1:]), F.lit(False)))
+        kept = F.filter(listed, lambda k: F.map_contains_key(held, k))
+        return F.when(ok, F.concat(F.lit("{"), F.array_join(F.transform(kept, lambda k: F.concat(quoted(k), F.lit(":"), quoted(F.element_at(held, k)))), ","), F.lit("}")))
+    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), _string)
+    ok = _is(value, "ARRAY") & F.forall(items, lambda v: F.coalesce(v.isin(*allowed), F.lit(False))) & (F.size(F.array_distinct(items)) == F.size(items))
+    return F.when(ok, F.concat(F.lit("["), F.array_join(F.transform(F.array_intersect(listed, items), quoted), ","), F.lit("]")))
+
+
+def strict_events(events: DataFrame, column: str = "json") -> DataFrame:
+    """The rows with valid, name and canonical JSON: exactly an event's fields, closed values, no repeats, counted ranges never '0', at most MOST_BYTES bytes. Each shape is an expression over the parsed value; the first that fits, by name, decides. Text that is no JSON, or names a field twice, is not valid."""
+    held, name = F.col("_held"), F.col("_name")
+    shapes = F.lit(None).cast("string")
+    for event, fields in EVENTS.items():
+        keys = F.array(*(F.lit(k) for k in sorted(["name", *fields])))
+        whole = F.concat(F.lit(f'{{"name":"{event}"'), *(F.concat(F.lit(f',"{k}":'), _field(F.element_at(held, k), shape, allowed)) for k, (shape, allowed) in fields.items()), F.lit("}"))
+        shapes = F.when((name == event) & (F.array_sort(F.map_keys(held)) == keys), whole).otherwise(shapes)
+    short = F.when(F.octet_length(column) <= MOST_BYTES, F.try_parse_json(column))
+    parsed = events.withColumn("_held", F.try_variant_get(short, "$", "map<string,variant>")).withColumn("_name", _string(F.element_at(F.col("_held"), "name")))
+    found = parsed.withColumn("canonical", shapes)
+    return found.select(*events.columns, F.col("canonical").isNotNull().alias("valid"), F.when(F.col("canonical").isNotNull(), name).alias("name"), "canonical")
 
 
 def flatten_fields(events: DataFrame, column: str, key: str) -> DataFrame:
@@ -199,6 +198,30 @@ def kept_plan(answers: DataFrame, keep_ms: int = KEEP_PAID_MS) -> DataFrame:
     return answers.select("user", "ts_ms", "seq", F.when(keep, "paid").otherwise(F.col("answer")).alias("shown"))
 
 
+#: How long a read waits for an answer, and how old the page's answer may be before a read asks again.
+WAIT_MS, REFRESH_MS = 4_000, 5 * 60 * 1000
+
+
+def plan_at(reads: DataFrame, answers: DataFrame, keep_ms: int = KEEP_PAID_MS) -> DataFrame:
+    """Each read (user, ts_ms, ...) with shown and asks, by the last answer (user, ts_ms, took_ms, answer) that had come by then: an as-of join.
+
+    An answer counts from when it comes, and as unknown, after WAIT_MS, if it takes longer. An unknown one keeps 'paid' while the
+    last paid answer is at most keep_ms old; asks: there is no answer yet, or it is older than REFRESH_MS. Both tables run
+    through one window a user, answers before reads of the same moment; of answers of one moment the greatest counts.
+    """
+    late = F.col("took_ms") > WAIT_MS
+    come = answers.select("user", (F.col("ts_ms") + F.least("took_ms", F.lit(WAIT_MS))).alias("ts_ms"), F.when(late, "unknown").otherwise(F.col("answer")).alias("_answer"), F.lit(0).alias("_side"))
+    both = reads.withColumns({"_side": F.lit(1), "_answer": F.lit(None).cast("string")}).unionByName(come, allowMissingColumns=True)
+    w = Window.partitionBy("user").orderBy("ts_ms", "_side", "_answer").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda when, value: F.last(F.when(when, value), ignorenulls=True).over(w)
+    here = F.col("_side") == 0
+    both = both.withColumns({
+        "_last": last(here, F.struct("_answer", "ts_ms")), "_said": last(here & (F.col("_answer") != "unknown"), F.col("_answer")), "_paid": last(here & (F.col("_answer") == "paid"), F.col("ts_ms")),
+    }).filter("_side = 1")
+    keeps = (F.col("_last._answer") == "unknown") & (F.col("_said") == "paid") & (F.col("ts_ms") - F.col("_paid") <= keep_ms)
+    return both.select(*reads.columns, F.when(keeps, "paid").otherwise(F.coalesce("_last._answer", F.lit("unknown"))).alias("shown"), F.coalesce(F.col("ts_ms") - F.col("_last.ts_ms") > REFRESH_MS, F.lit(True)).alias("asks"))
+
+
 # Paths of the pages.
 PATHS = {"/": "home", "/tool": "tool", "/pricing": "pricing", "/privacy": "privacy", "/terms": "terms", "/account/billing": "billing", "/welcome": "welcome"}
 UNDER = (("/sign-in", "sign-in"), ("/sign-up", "sign-up"), ("/account", "account"))
@@ -215,7 +238,7 @@ def page_kind(path: Column) -> Column:
 
 def language_tag(tag: Column) -> Column:
     """Does a string have the shape of a language tag?"""
-    return tag.rlike("^[A-Za-z]{2,8}(-[A-Za-z0-9]{1,8})*$")
+    return tag.rlike("^[A-Za-z]{2,3}([-_][A-Za-z0-9]{1,8})*$")
 
 
 def calendar_date(text: Column) -> Column:
@@ -239,47 +262,41 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return seen
 
 
-def licence_allowed(expression: str, allowed: frozenset[str]) -> bool | None:
-    """Is a licence expression met by allowed licences? OR needs one side, AND both, parentheses group; None where it cannot be read."""
-    tokens = expression.replace("(", " ( ").replace(")", " ) ").split()
-    at = 0
-
-    def atom() -> bool | None:
-        nonlocal at
-        if at >= len(tokens):
-            return None
-        t = tokens[at]
-        at += 1
-        if t == "(":
-            inner = either()
-            if inner is None or at >= len(tokens) or tokens[at] != ")":
-                return None
-            at += 1
-            return inner
-        if t in (")", "AND", "OR", "WITH"):
-            return None
-        if at + 1 < len(tokens) and tokens[at] == "WITH":
-            t = f"{t} WITH {tokens[at + 1]}"
-            at += 2
-        return t in allowed
-
-    def both() -> bool | None:
-        nonlocal at
-        out = atom()
-        while out is not None and at < len(tokens) and tokens[at] == "AND":
-            at += 1
-            more = atom()
-            out = None if more is None else out and more
-        return out
-
-    def either() -> bool | None:
-        nonlocal at
-        out = both()
-        while out is not None and at < len(tokens) and tokens[at] == "OR":
-            at += 1
-            more = both()
-            out = None if more is None else out or more
-        return out
-
-    found = either()
-    return found if at == len(tokens) else None
+def licence_verdict(expression: Column, allowed: list[str]) -> Column:
+    """Is a licence expression met by allowed licences? OR needs one side, AND both, parentheses group, 'X WITH Y' is one licence; null where it cannot be read.
+
+    A fold over its tokens. The stack holds, for each open group, what its alternatives came to and what the one being read has
+    come to (null: nothing yet); `wants` says that a licence or a group must come next. A token that may not come empties the stack.
+    """
+    spaced = F.regexp_replace(F.regexp_replace(expression, r"([()])", " $1 "), r"(?<![^\s])(?!(?:AND|OR|WITH|[()])\s)(\S+)\s+WITH\s+(\S+)", "$1\u0001WITH\u0001$2")
+    tokens = F.filter(F.split(spaced, r"\s+"), lambda t: t != "")
+    level = lambda other, own: F.struct(other.cast("boolean").alias("other"), own.cast("boolean").alias("own"))
+    state = lambda wants, stack: F.struct(wants.cast("boolean").alias("wants"), stack.alias("stack"))
+    none = F.lit(None)
+    either = lambda f: F.when(f["other"].isNull(), f["own"]).otherwise(f["other"] | f["own"])
+    outer = lambda stack: F.slice(stack, F.lit(1), F.size(stack) - 1)
+    lost = state(F.lit(False), F.array(level(none, none)))  # a stack that no token may leave: see the end
+
+    def met(stack: Column, value: Column) -> Column:
+        top = F.element_at(stack, -1)
+        return F.concat(outer(stack), F.array(level(top["other"], F.when(top["own"].isNull(), value).otherwise(top["own"] & value))))
+
+    def step(now: Column, token: Column) -> Column:
+        stack, top = now["stack"], F.element_at(now["stack"], -1)
+        deep = F.size(stack) > 1
+        return (
+            F.when(~now["wants"] & top["own"].isNull(), lost)
+            .when(now["wants"] & (token == "("), state(F.lit(True), F.concat(stack, F.array(level(none, none)))))
+            .when(now["wants"] & ~token.isin("(", ")", "AND", "OR", "WITH"), state(F.lit(False), met(stack, F.regexp_replace(token, "\u0001", " ").isin(*allowed))))
+            .when(now["wants"], lost)
+            .when((token == ")") & deep, state(F.lit(False), met(outer(stack), either(top))))
+            .when(token == "AND", state(F.lit(True), stack))
+            .when(token == "OR", state(F.lit(True), F.concat(outer(stack), F.array(level(either(top), none)))))
+            .otherwise(lost)
+        )
+
+    def end(now: Column) -> Column:
+        top = F.element_at(now["stack"], -1)
+        return F.when(~now["wants"] & (F.size(now["stack"]) == 1) & top["own"].isNotNull(), either(top))
+
+    return F.aggregate(tokens, state(F.lit(True), F.array(level(none, none))), step, end)

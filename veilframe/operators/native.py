@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import checks
@@ -72,11 +72,35 @@ def masked(text: Column) -> Column:
     return F.when(text.rlike("[0-9]{13}"), F.regexp_replace(mail, "[0-9]{13,19}", "[NUMBER]")).otherwise(mail)
 
 
-def resolve(spans: DataFrame) -> DataFrame:
-    """(block, kind, start, end, whole): precedence as interval difference over (block, span, rank, kind, start, end): each place goes to the least rank that claims it, then neighbouring places of a span are one stretch."""
-    from pyspark.sql.window import Window
+#: Most halvings of a block's stretches: 2^LEVELS stretches.
+LEVELS = 40
+
 
-    places = spans.select("block", "span", "rank", "kind", F.explode(F.sequence("start", F.col("end") - 1)).alias("at"))
-    owner = places.groupBy("block", "at").agg(F.min(F.struct("rank", "span", "kind")).alias("o")).select("block", "at", "o.span", "o.kind")
-    w = Window.partitionBy("block", "span").orderBy("at")
-    return owner.withColumn("g", F.col("at") - F.row_number().over(w)).groupBy("block", "span", "kind", "g").agg(F.min("at").alias("start"), (F.max("at") + 1).alias("end")).drop("g")
+def resolve(spans: DataFrame) -> DataFrame:
+    """(block, span, kind, start, end): precedence as interval difference over (block, span, rank, kind, start, end): each place goes to the least (rank, span) that claims it, and neighbouring places of a span are one row.
+
+    The bounds of all spans part a block into stretches, numbered in order, twice as many as spans at most. A span is put down
+    at the few nodes of a tree over the stretches that make it up, each node keeps its least claim, and a stretch takes the
+    least of the nodes above it. Rows grow as n log n in the spans, whatever their lengths.
+    """
+    whole = spans.filter("start < end")
+    bound = Window.partitionBy("block").orderBy("at")
+    ends = whole.select("block", F.explode(F.array(F.col("start").cast("long"), F.col("end").cast("long"))).alias("at")).distinct()
+    ends = ends.select("block", "at", (F.row_number().over(bound) - 1).cast("long").alias("n"), F.lead("at").over(bound).alias("next"), F.count("*").over(Window.partitionBy("block")).alias("of"))
+    first, last = ends.select("block", F.col("at").alias("start"), F.col("n").alias("i")), ends.select("block", F.col("at").alias("end"), F.col("n").alias("j"))
+    placed = whole.join(first, ["block", "start"]).join(last, ["block", "end"])
+    power = lambda k: F.pow(F.lit(2.0), k).cast("long")
+
+    def nodes(k: Column) -> Column:
+        a, z = F.ceil(F.col("i") / power(k)).cast("long"), F.floor(F.col("j") / power(k)).cast("long")
+        own = lambda at, odd: F.when((a < z) & (odd % 2 == 1), F.struct(k.alias("level"), at.alias("node")))
+        return F.array(own(a, a), own(z - 1, z))
+
+    levels = F.sequence(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(F.col("j") - F.col("i") + 1)).cast("int")))
+    put = placed.select("block", F.struct("rank", "span", "kind").alias("claim"), F.explode(F.array_compact(F.flatten(F.transform(levels, nodes)))).alias("at"))
+    least = put.groupBy("block", "at.level", "at.node").agg(F.min("claim").alias("claim"))
+    up = F.transform(F.sequence(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(F.col("of") + 1)).cast("int"))), lambda k: F.struct(k.alias("level"), F.floor(F.col("n") / power(k)).cast("long").alias("node")))
+    above = ends.filter("next is not null").select("block", "n", F.col("at").alias("start"), F.col("next").alias("end"), F.explode(up).alias("at")).select("block", "n", "start", "end", "at.level", "at.node")
+    owner = above.join(least, ["block", "level", "node"]).groupBy("block", "n", "start", "end").agg(F.min("claim").alias("claim"))
+    island = F.col("n") - F.row_number().over(Window.partitionBy("block", "claim.span").orderBy("n"))
+    return owner.withColumn("_island", island).groupBy("block", "claim.span", "claim.kind", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")

@@ -77,16 +77,18 @@ def read_document(doc_id, raw: str | None, terms: list[tuple[str, str]], limits:
 
 
 @lru_cache(maxsize=1)
-def marked() -> str:
-    """A pattern for the characters whose normalised form holds @ or a digit."""
-    held = [n for n in range(0x110000) if not 0xD800 <= n < 0xE000 and any(c == "@" or unicodedata.category(c) == "Nd" for c in chars.normalise(chr(n)))]
+def marked() -> tuple[str, str]:
+    """Patterns for the characters whose normalised form holds @ or a digit: the plain ones, and the others, of which a character below the first of them beyond Latin-1 is refused before the long class is tried."""
+    held = [n for n in range(0x80, 0x110000) if not 0xD800 <= n < 0xE000 and any(c == "@" or unicodedata.category(c) == "Nd" for c in chars.normalise(chr(n)))]
     ranges: list[list[int]] = []
     for n in held:
         if ranges and ranges[-1][1] == n - 1:
             ranges[-1][1] = n
         else:
             ranges.append([n, n])
-    return "[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(z))}" for a, z in ranges) + "]"
+    said = lambda rs: "[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(z))}" for a, z in rs) + "]"
+    latin, rest = [r for r in ranges if r[1] < 0x100], [r for r in ranges if r[1] >= 0x100]
+    return "[@0-9]", f"{said(latin)}|(?=[^\0-{chr(rest[0][0] - 1)}]){said(rest)}"
 
 
 _TYPES = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.string())
@@ -113,7 +115,7 @@ def matches(docs: DataFrame, terms: list[tuple[str, str]] | None = None, limits:
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     some = docs.select(F.col("doc_id").cast("long"), "text")
-    return spread(some if listed else some.filter(F.col("text").rlike(marked()))).mapInArrow(run, MATCHES)
+    return spread(some if listed else some.filter(F.col("text").rlike(marked()[0]) | F.col("text").rlike(marked()[1]))).mapInArrow(run, MATCHES)
 
 
 def selected(found: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
@@ -171,7 +173,7 @@ def redact(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def redact_all(docs: DataFrame, terms: list[tuple[str, str]] | None = None, limits: Limits = Limits()) -> DataFrame:
     """(doc_id, text, n_removed, leaked, lost, added): with the default ticks a document is read, blotted out and proved where it lies, in one Arrow stage: no text is shuffled."""
-    listed, could = _searchable(terms, limits), regex.compile(marked())
+    listed, could = _searchable(terms, limits), regex.compile("|".join(marked()))
 
     def run(batches):
         for b in batches:

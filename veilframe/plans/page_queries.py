@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import page_text
+from ..operators import events, page_text
 from ..sources import gates
 
 T = gates.read
@@ -113,5 +113,43 @@ _PAGE_PLACES = f"""WITH {_MAP}, cut AS (
 SELECT doc_id, page, i AS span_id, string_agg(gap || own, '' ORDER BY idx) AS text, string_agg(gap || CASE WHEN own = '' THEN '' ELSE chr(code) END, '' ORDER BY idx) AS raw, any_value(n_quads) AS n_quads, any_value(quads) AS quads
 FROM shown LEFT JOIN outlines USING (doc_id, page, i) GROUP BY doc_id, page, i"""
 
-QUERIES = {"page_texts": page_texts, "page_places": page_places}
-ORACLE = {"page_texts": _PAGE_TEXTS, "page_places": _PAGE_PLACES}
+#: Sentences that name a licence, and its identifier.
+NAMED = {"Apache License, Version 2.0": "Apache-2.0", "MIT License": "MIT", "GNU General Public License, version 3": "GPL-3.0", "CC BY-NC 4.0": "CC-BY-NC-4.0"}
+ALLOWED = ["Apache-2.0", "MIT", "GPL-2.0 WITH Classpath"]
+
+
+def licence_expressions(spark, d):
+    """The licence lines of documents as expressions, by doc_id in several forms, and what each comes to."""
+    docs = T(spark, d, "documents").filter("text is not null")
+    lines = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?:[Ll]icensed|Released) under (?:the )?([^\n]+?)\.(?:\n|$)"), F.lit(1))).alias("n", "name"))
+    form = F.when(F.col("doc_id") % 4 == 0, F.format_string("%s OR GPL-3.0", "id")).when(F.col("doc_id") % 4 == 1, F.format_string("(%s AND CC0) OR (MIT AND GPL-2.0 WITH Classpath)", "id")).when(F.col("doc_id") % 4 == 2, F.format_string("%s AND (MIT", "id")).otherwise(F.format_string("%s AND MIT", "id"))
+    written = lines.withColumn("id", F.try_element_at(F.create_map(*[F.lit(x) for p in NAMED.items() for x in p]), F.col("name"))).filter("id is not null")
+    return written.select("doc_id", "n", form.alias("expression")).withColumn("allowed", events.licence_verdict(F.col("expression"), ALLOWED))
+
+
+def plan_reads(spark, d):
+    """What each view of the table is shown, by the answers that its user's other events gave."""
+    e = T(spark, d, "events").select(F.col("user_id").alias("user"), F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("ts_ms"), F.col("event_id"), F.col("event_type"))
+    reads = e.filter("event_type = 'view'").select("user", "ts_ms", "event_id")
+    answer = F.when(F.col("event_type") == "purchase", "paid").when(F.col("event_type") == "error", "unknown").otherwise("free")
+    answers = e.filter("event_type <> 'view'").select("user", "ts_ms", (F.col("event_id") * 37 % 5000).alias("took_ms"), answer.alias("answer"))
+    return events.plan_at(reads, answers, 24 * 3_600_000)
+
+
+_EXPRESSIONS = f"""WITH lines AS (
+  SELECT doc_id, unnest(range(len(f)))::INT AS n, unnest(f) AS name FROM (SELECT doc_id, regexp_extract_all(text, '(?:[Ll]icensed|Released) under (?:the )?([^\n]+?)\\.(?:\n|$)', 1) AS f FROM documents)
+), ids AS (
+  SELECT doc_id, n, CASE name {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMED.items())} END AS id FROM lines
+)
+SELECT doc_id, n, CASE doc_id % 4 WHEN 0 THEN id || ' OR GPL-3.0' WHEN 1 THEN '(' || id || ' AND CC0) OR (MIT AND GPL-2.0 WITH Classpath)' WHEN 2 THEN id || ' AND (MIT' ELSE id || ' AND MIT' END AS expression,
+  CASE doc_id % 4 WHEN 1 THEN true WHEN 2 THEN NULL ELSE id IN ('Apache-2.0', 'MIT') END AS allowed FROM ids WHERE id IS NOT NULL"""
+_READS = """WITH e AS (SELECT user_id AS u, epoch_us(ts) // 1000 AS t, event_id, event_type FROM events),
+  c AS (SELECT u, t + least(event_id * 37 % 5000, 4000) AS t, CASE WHEN event_id * 37 % 5000 > 4000 THEN 'unknown' WHEN event_type = 'purchase' THEN 'paid' WHEN event_type = 'error' THEN 'unknown' ELSE 'free' END AS answer FROM e WHERE event_type <> 'view'),
+  a AS (SELECT u, t, max(answer) AS answer FROM c GROUP BY 1, 2), p AS (SELECT DISTINCT u, t FROM c WHERE answer = 'paid'), s AS (SELECT u, t, max(answer) AS answer FROM c WHERE answer <> 'unknown' GROUP BY 1, 2),
+  r AS (SELECT * FROM e WHERE event_type = 'view'),
+  x AS (SELECT r.u, r.t, r.event_id, a.t AS at_, a.answer FROM r ASOF LEFT JOIN a ON r.u = a.u AND r.t >= a.t),
+  y AS (SELECT x.*, p.t AS paid FROM x ASOF LEFT JOIN p ON x.u = p.u AND x.t >= p.t), z AS (SELECT y.*, s.answer AS said FROM y ASOF LEFT JOIN s ON y.u = s.u AND y.t >= s.t)
+  SELECT u AS user, t AS ts_ms, event_id, CASE WHEN answer = 'unknown' AND said = 'paid' AND t - paid <= 86400000 THEN 'paid' ELSE coalesce(answer, 'unknown') END AS shown, coalesce(t - at_ > 300000, true) AS asks FROM z"""
+
+QUERIES = {f.__name__: f for f in (page_texts, page_places, licence_expressions, plan_reads)}
+ORACLE = {"page_texts": _PAGE_TEXTS, "page_places": _PAGE_PLACES, "licence_expressions": _EXPRESSIONS, "plan_reads": _READS}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import checks, geometry
 from ..operators import events, findings, native, page_text, pages, report, review, session
 from ..sources import gates
-from . import lifecycle, page_queries
+from . import lifecycle, object_queries, page_queries
 
 T = gates.read
 S = "[ \\t\\n\\x0B\\f\\r]"
@@ -580,5 +580,5 @@ QUERIES = {
         synth_page_findings, synth_off_line, synth_reading_compare, synth_trim, synth_replacement_text, report_rules, policy_order, html_inventory, target_refusals, review_checklist, page_targets,
         detection_counts, result_sentences, crooked_notes, chosen_redaction,
     )
-} | page_queries.QUERIES
-ORACLE |= page_queries.ORACLE
+} | page_queries.QUERIES | object_queries.QUERIES
+ORACLE |= page_queries.ORACLE | object_queries.ORACLE
