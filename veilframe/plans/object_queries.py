@@ -23,7 +23,7 @@ def _objects(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     refs = refs.unionByName(li.filter("s % 3 = 0").select("doc_id", name("s", F.col("s")).alias("src"), F.lit("Next").alias("key"), name("p", F.col("p") + 1).alias("dst"))).distinct()
     roots = li.filter("o % 3 = 1").select("doc_id", name("o", F.col("o")).alias("obj"), F.lit("page").alias("role")).distinct()
     every = refs.select("doc_id", F.col("src").alias("obj")).union(refs.select("doc_id", "dst")).distinct()
-    kinds = every.select("doc_id", "obj", F.when(F.col("obj").startswith("s"), "form").when(F.col("obj").endswith("3"), "procedure").otherwise("other").alias("kind"), F.col("obj").endswith("7") & F.col("obj").contains("11").alias("shows_text"))
+    kinds = every.select("doc_id", "obj", F.when(F.col("obj").startswith("s"), "form").when(F.col("obj").endswith("3"), "procedure").otherwise("other").alias("kind"), (F.col("obj").endswith("7") & F.col("obj").contains("11")).alias("shows_text"))
     return refs, spark.createDataFrame(RULES, "role string, key string, becomes string"), roots, kinds
 
 
