@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chars
@@ -118,6 +118,49 @@ def matches(docs: DataFrame, terms: list[tuple[str, str]] | None = None, limits:
     return spread(some if listed else some.filter(F.col("text").rlike(marked()[0]) | F.col("text").rlike(marked()[1]))).mapInArrow(run, MATCHES)
 
 
+TERM_ROWS = "doc_id long, page int, term string, notes array<string>, part string, start int, end int, text string"
+
+
+def page_terms(pages: DataFrame, terms: list[tuple[str, str]], limits: Limits = Limits()) -> DataFrame:
+    """Terms in documents whose pages are rows (doc_id, page, text): what stands on a page ('whole'), and what runs over a page break, as two rows: its 'first' part on the last page before that is not blank, its 'second' on this one.
+
+    A window in order of pages hands each page the one that it may go on from; then a page is read by itself. Null texts are
+    blank; rows of the same page go by text; extra columns are left behind.
+    """
+    listed = _searchable(terms, limits)
+    most = max((reach(t) for _, t in terms), default=0)
+    before = Window.partitionBy("doc_id").orderBy("page", "text").rowsBetween(Window.unboundedPreceding, -1)
+    told = F.col("text").rlike(f"[^{chars.SPACE_CHARS}]")
+    rows = pages.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), "text")
+    rows = rows.withColumn("last", F.last(F.when(told, F.struct("page", "text")), ignorenulls=True).over(before)).filter(told).select("doc_id", "page", "text", F.col("last.page").alias("from"), F.col("last.text").alias("tail"))
+
+    def read(doc_id, page, text, from_page, old) -> list[tuple]:
+        text, old, out = chars.normalise(text), chars.normalise(old or ""), []
+        at = carried(old, most)
+        tail = old[at:]
+        joined, start = (f"{tail} {text}", len(tail) + 1) if tail else (text, 0)
+        breaks = [k for k, c in enumerate(joined) if c == "\n"] + ([start - 1] if tail else [])
+        for s in find_terms(joined.replace("\n", " "), listed, breaks, start):
+            over = s.start < start
+            if over:
+                a, z = at + s.start, at + min(s.end, len(tail))
+                out.append((doc_id, from_page, s.term, list(s.notes), "first", a, z, chars.collapse(old[a:z])))
+            a, z = max(0, s.start - start), s.end - start
+            out.append((doc_id, page, s.term, list(s.notes), "second" if over else "whole", a, z, chars.collapse(text[a:z])))
+        return out
+
+    def run(batches):
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.string())
+        for b in batches:
+            for i in range(0, len(b), 64):
+                found = [r for row in zip(*(c[i : i + 64].to_pylist() for c in b.columns), strict=True) for r in read(*row)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], [c.split()[0] for c in TERM_ROWS.split(", ")])
+
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return rows.mapInArrow(run, TERM_ROWS)
+
+
 def selected(found: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
     """What goes: the default ticks, or a table (match_id, on) of the reader's own on top of them."""
     if ticks is None:

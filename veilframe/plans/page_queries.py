@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events, page_text
 from ..sources import gates
+from . import lifecycle
 
 T = gates.read
 
@@ -113,6 +114,13 @@ _PAGE_PLACES = f"""WITH {_MAP}, cut AS (
 SELECT doc_id, page, i AS span_id, string_agg(gap || own, '' ORDER BY idx) AS text, string_agg(gap || CASE WHEN own = '' THEN '' ELSE chr(code) END, '' ORDER BY idx) AS raw, any_value(n_quads) AS n_quads, any_value(quads) AS quads
 FROM shown LEFT JOIN outlines USING (doc_id, page, i) GROUP BY doc_id, page, i"""
 
+def conversation_page_terms(spark, d):
+    """Terms over the turns of conversations, each a page: on a page, and over a break, part by part."""
+    pages = T(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
+    found = lifecycle.page_terms(pages, [(str(i), t) for i, t in enumerate(("the", "that of", "und der", "est le", "in the"))])
+    return found.groupBy("term", "part", F.array_join("notes", ",").alias("notes")).agg(F.count("*").alias("n"))
+
+
 #: Sentences that name a licence, and its identifier.
 NAMED = {"Apache License, Version 2.0": "Apache-2.0", "MIT License": "MIT", "GNU General Public License, version 3": "GPL-3.0", "CC BY-NC 4.0": "CC-BY-NC-4.0"}
 ALLOWED = ["Apache-2.0", "MIT", "GPL-2.0 WITH Classpath"]
@@ -151,5 +159,5 @@ _READS = """WITH e AS (SELECT user_id AS u, epoch_us(ts) // 1000 AS t, event_id,
   y AS (SELECT x.*, p.t AS paid FROM x ASOF LEFT JOIN p ON x.u = p.u AND x.t >= p.t), z AS (SELECT y.*, s.answer AS said FROM y ASOF LEFT JOIN s ON y.u = s.u AND y.t >= s.t)
   SELECT u AS user, t AS ts_ms, event_id, CASE WHEN answer = 'unknown' AND said = 'paid' AND t - paid <= 86400000 THEN 'paid' ELSE coalesce(answer, 'unknown') END AS shown, coalesce(t - at_ > 300000, true) AS asks FROM z"""
 
-QUERIES = {f.__name__: f for f in (page_texts, page_places, licence_expressions, plan_reads)}
+QUERIES = {f.__name__: f for f in (page_texts, page_places, conversation_page_terms, licence_expressions, plan_reads)}
 ORACLE = {"page_texts": _PAGE_TEXTS, "page_places": _PAGE_PLACES, "licence_expressions": _EXPRESSIONS, "plan_reads": _READS}
