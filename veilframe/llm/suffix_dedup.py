@@ -246,18 +246,24 @@ def _stretches(x: np.ndarray):
         yield from zip(first, [*first[1:], len(x)], strict=True)
 
 
-def _wanted(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame:
-    """(doc_id, tkey, text) of the documents that a bitmap holds (or does not)."""
+def _inside(batches, bits: np.ndarray, inside: bool):
+    """Batches of (doc_id, ...) cut down to the rows that a bitmap holds, or does not."""
+    for b in batches:
+        ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+        hit = common.maybe_in(bits, ids) & b.column(0).is_valid().to_numpy(zero_copy_only=False)
+        b = b.filter(pa.array(hit == inside, pa.bool_()))
+        if len(b):
+            yield b
+
+
+def _wanted(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(doc_id, tkey, text) of the documents that a bitmap holds."""
 
     def run(batches):
-        for b in batches:
-            ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            hit = common.maybe_in(bits, ids) & b.column(0).is_valid().to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array(hit if inside else ~hit, pa.bool_()))
-            if len(b):
-                data, offsets = common.utf8(b.column(1))
-                keys = [text_key(data[x:y]) for x, y in itertools.pairwise(offsets)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), b.column(1)], ["doc_id", "tkey", "text"])
+        for b in _inside(batches, bits, True):
+            data, offsets = common.utf8(b.column(1))
+            keys = [text_key(data[x:y]) for x, y in itertools.pairwise(offsets)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), b.column(1)], ["doc_id", "tkey", "text"])
 
     return docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc_id long, tkey long, text string")
 
@@ -599,8 +605,8 @@ def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     some = _wanted(docs, bits).join(cut, ["doc_id", "tkey"], "left").select("doc_id", "text", "spans")
-    rest = _wanted(docs, bits, inside=False).select("doc_id", "text")
-    return some.mapInArrow(common.lean(run), schema).unionByName(rest.mapInArrow(common.lean(run), schema))
+    rest = docs.select("doc_id", "text").mapInArrow(common.lean(lambda batches: run(_inside(batches, bits, False))), schema)  # one worker a task
+    return some.mapInArrow(common.lean(run), schema).unionByName(rest)
 
 
 def rewrite(spark: SparkSession, docs: DataFrame) -> DataFrame:
