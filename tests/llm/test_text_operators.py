@@ -568,3 +568,51 @@ def test_null_ids_are_not_held_out(spark, tmp_path):
     spark.createDataFrame([(4, 0, 0), (5, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     for f in (langid.op2_language_id, toxicity.op4_toxicity):
         assert {r.doc_id: r.held_out for r in f(spark, f"file://{tmp_path}").collect()}[None] is False
+
+
+def test_language_scores_by_hand(spark, docs, rows):
+    """n-grams, weights and cosines one by one, for whole texts, and the first of the best languages."""
+    model = langid.fit(docs.select("doc_id", "text", "lang").filter(langid.remainder("doc_id", 3) != 1))
+
+    def by_hand(text):
+        low = "".join(chr(ord(c) + 0x20) if "À" <= c <= "Þ" else c for c in text).encode()
+        low = [b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or b >= 128 else 32 for b in low]
+        n = defaultdict(int)
+        for i in range(len(low) - 1):
+            n[((low[i] << 8 | low[i + 1]) * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+        for i in range(len(low) - 2):
+            n[(((low[i] << 16 | low[i + 1] << 8 | low[i + 2]) ^ 0x5BD1E995) * 2246822519 & 0xFFFFFFFF) >> 20] += 1
+        v = {k: np.log1p(c) * float(model["idf"][k]) for k, c in n.items()}
+        size = sum(x * x for x in v.values()) ** 0.5
+        cos = [sum(x * float(c[k]) for k, x in v.items()) / max(size, 1e-12) for c in model["centres"]]
+        best = [max(c for c, o in zip(cos, model["owner"], strict=True) if o == i) for i in range(len(model["langs"]))]
+        return model["langs"][best.index(max(best))], min(1.0, max(0.0, max(best)))
+
+    some = [t for _, t, _ in rows if t and any(c.isalpha() for c in t)][::5] + ["É", "ÀÉÎ ça va", "x" * 40_000 + " the end"]
+    lang, score, _ = langid.judge(model, pa.array(some))
+    for t, a, s in zip(some, lang, score, strict=True):
+        expected, cosine = by_hand(t)
+        assert (a, s) == (expected, pytest.approx(cosine, abs=1e-4)), t[:60]
+
+
+def test_toxicity_scores_by_hand(spark, docs, rows):
+    """Each word and beginning of a word once, by itself; the weights of all, and the bias."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic"))
+    terms = {w for family in toxicity.IDENTITY for w in family}
+
+    def by_hand(text):
+        held = set()
+        text = "".join(chr(ord(c) + 0x20) if "À" <= c <= "Þ" else " " if "!" <= c <= "~" and not c.isalnum() else c for c in text)
+        for word in re.split("[ \t\n\x0b\x0c\r]+", text):
+            if word:
+                raw = np.frombuffer(word.encode(), np.uint8)
+                held.add(int(common.word_hashes(raw, np.array([0, len(raw)]))[0][0]) >> (64 - toxicity.BITS))
+                if word.lower() not in terms:
+                    held |= {int(next(common.word_heads(raw, np.array([0]), (n,)))[0]) >> (64 - toxicity.BITS) for n in toxicity.PREFIXES if len(raw) > n}
+        return 1 / (1 + np.exp(-(sum(float(model["weights"][f]) for f in held) + model["bias"])))
+
+    some = [t for _, t, _ in rows if t][::5] + ["", "Women, MEN!", "disgusting scum", "ÉTÉ été"]
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    for i, t in enumerate(some):
+        assert got[i].score == pytest.approx(by_hand(t), abs=1e-6) and got[i].predicted == int(got[i].score >= 0.5)
