@@ -2,8 +2,6 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import functions as F
-
 from veilframe.operators import objects, page_text
 from veilframe.plans import lifecycle
 

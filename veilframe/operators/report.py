@@ -63,7 +63,7 @@ def refusal_lines(refused: DataFrame, named: int = 20) -> DataFrame:
     return refused.groupBy("reason").agg(F.count("*").alias("n")).join(names, "reason")
 
 
-# What kinds of data, terms and stripped parts are called, one and many.
+# What kinds of data, terms and stripped parts are called, one and many; the note on crooked scans.
 NOUNS = {
     "email": ("email address", "email addresses"), "phone": ("phone number", "phone numbers"), "date": ("date", "dates"), "card": ("card number", "card numbers"), "iban": ("IBAN", "IBANs"),
     "us-ssn": ("Social Security number", "Social Security numbers"), "uk-nino": ("National Insurance number", "National Insurance numbers"), "term": ("match", "matches"),
@@ -110,6 +110,12 @@ def detection_counts(found: DataFrame, *by: str) -> DataFrame:
     return one.groupBy(*by, "m.measure", "m.name").agg(F.count("*").alias("n"))
 
 
+def removed_counts(found: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(doc_id, kind, term, n): what was removed, by kind and, of terms, by term, in documents whose rewrite stands. found: (doc_id, kind, term, ticked, blocked); outcomes: (doc_id, outcome), null where it stands."""
+    stands = outcomes.filter("outcome is null").select("doc_id").distinct()
+    return found.filter("ticked and blocked is null").join(stands, "doc_id", "left_semi").groupBy("doc_id", "kind", "term").agg(F.count("*").alias("n"))
+
+
 def outcome_counts(found: DataFrame, *by: str) -> DataFrame:
     """(by, removed, unticked, blocked): rows of each kind as maps. found: (by, kind, ticked, blocked)."""
     state = F.when(F.col("blocked").isNotNull(), "blocked").when(F.col("ticked"), "removed").otherwise("unticked")

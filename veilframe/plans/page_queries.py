@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import events, page_text
+from ..operators import events, page_text, pages
 from ..sources import gates
+from ..sources.shared import cut
 from . import lifecycle
 
 T = gates.read
@@ -47,11 +48,22 @@ def _spans(texts: DataFrame) -> DataFrame:
 
 def page_places(spark, d):
     """Spans of the page texts with the characters and outlines they stand on."""
-    mapped = page_text.points(set_pages(spark, d))
+    mapped = cut(page_text.points(set_pages(spark, d)))
     found = page_text.places(_spans(page_text.texts(mapped)), mapped)
     return found.select("doc_id", "page", "span_id", "text", "raw", F.size("quads").alias("n_quads"), F.array_join(F.flatten("quads").cast("array<int>").cast("array<string>"), ",").alias("quads"))
 
 
+def page_blocks(spark, d):
+    """Why places of the page texts can't be redacted: the reading without replacement text spells some otherwise, and images of fine or coarse pixels lie under some pages."""
+    ordinary = set_pages(spark, d)
+    mapped = cut(page_text.points(ordinary))
+    found = cut(page_text.places(_spans(page_text.texts(mapped)), mapped)).withColumn("match_id", F.concat_ws("-", "doc_id", "page", "span_id"))
+    outlines = found.select("match_id", "doc_id", "page", F.explode("quads").alias("quad"))
+    ignoring = ordinary.withColumn("code", F.when(F.col("idx") % 31 == 5, 63).otherwise(F.col("code")))
+    images = ordinary.select("doc_id", "page").distinct().filter("doc_id % 3 < 2").select("doc_id", "page", F.array(*[F.lit(v) for v in (600.0, 0.0, 0.0, 280.0, 0.0, 0.0)]).alias("transform"), F.when(F.col("doc_id") % 3 == 0, 600).otherwise(50).alias("columns"), F.lit(280).alias("rows"))
+    return pages.blocked(outlines, found.select("match_id", F.col("raw").alias("text")), ordinary, ignoring, images)
+
+
 _SET = """lines AS (
   SELECT conv_id AS doc_id, turn AS page, unnest(range(len(ls)))::INT AS line, unnest(ls) AS t FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations)
 ), cols AS (
@@ -121,6 +133,18 @@ def conversation_page_terms(spark, d):
     return found.groupBy("term", "part", F.array_join("notes", ",").alias("notes")).agg(F.count("*").alias("n"))
 
 
+_PAGE_BLOCKS = f"""{_PAGE_PLACES[: _PAGE_PLACES.rindex("SELECT doc_id, page, i AS span_id")].rstrip()}, replaced AS (
+  SELECT doc_id, page, i, bool_or(idx % 31 = 5 AND own <> '' AND code <> 63) AS replaced FROM shown GROUP BY ALL
+), pixel AS (
+  SELECT doc_id, page, i, x0 - 1 AS px0, x1 + 1 AS px1, ul - 2.5 AS py0, ll + 2.5 AS py1, CASE doc_id % 3 WHEN 0 THEN 600 ELSE 50 END AS n FROM runs_ WHERE doc_id % 3 < 2
+), region AS (
+  SELECT *, greatest(0, floor(px0 / 600 * n + 0.001)) AS c0, least(n, ceil(px1 / 600 * n - 0.001)) AS c1, greatest(0, floor(py0 + 0.001)) AS r0, least(280, ceil(py1 - 0.001)) AS r1 FROM pixel
+), reach AS (
+  SELECT doc_id, page, i, bool_or(c0 < c1 AND r0 < r1 AND sqrt(greatest(0, px0 - c0 * 600 / n, c1 * 600 / n - px1) ** 2 + greatest(0, py0 - r0, r1 - py1) ** 2) > 1) AS over_ FROM region GROUP BY ALL
+)
+SELECT doc_id || '-' || page || '-' || i AS match_id, CASE WHEN replaced THEN 'replacement-text' WHEN over_ THEN 'image-overreach' END AS blocked FROM replaced LEFT JOIN reach USING (doc_id, page, i)"""
+
+
 #: Sentences that name a licence, and its identifier.
 NAMED = {"Apache License, Version 2.0": "Apache-2.0", "MIT License": "MIT", "GNU General Public License, version 3": "GPL-3.0", "CC BY-NC 4.0": "CC-BY-NC-4.0"}
 ALLOWED = ["Apache-2.0", "MIT", "GPL-2.0 WITH Classpath"]
@@ -159,5 +183,5 @@ _READS = """WITH e AS (SELECT user_id AS u, epoch_us(ts) // 1000 AS t, event_id,
   y AS (SELECT x.*, p.t AS paid FROM x ASOF LEFT JOIN p ON x.u = p.u AND x.t >= p.t), z AS (SELECT y.*, s.answer AS said FROM y ASOF LEFT JOIN s ON y.u = s.u AND y.t >= s.t)
   SELECT u AS user, t AS ts_ms, event_id, CASE WHEN answer = 'unknown' AND said = 'paid' AND t - paid <= 86400000 THEN 'paid' ELSE coalesce(answer, 'unknown') END AS shown, coalesce(t - at_ > 300000, true) AS asks FROM z"""
 
-QUERIES = {f.__name__: f for f in (page_texts, page_places, conversation_page_terms, licence_expressions, plan_reads)}
-ORACLE = {"page_texts": _PAGE_TEXTS, "page_places": _PAGE_PLACES, "licence_expressions": _EXPRESSIONS, "plan_reads": _READS}
+QUERIES = {f.__name__: f for f in (page_texts, page_places, page_blocks, conversation_page_terms, licence_expressions, plan_reads)}
+ORACLE = {"page_texts": _PAGE_TEXTS, "page_places": _PAGE_PLACES, "page_blocks": _PAGE_BLOCKS, "licence_expressions": _EXPRESSIONS, "plan_reads": _READS}

@@ -6,6 +6,8 @@ such queries are named synth_*.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +96,36 @@ def gate_refusals(spark, d):
     return docs.groupBy(F.coalesce(r, F.lit("opened")).alias("refusal")).agg(F.count("*").alias("n"))
 
 
+def open_gates(spark, d):
+    """The gates over web pages: what each whole page is refused as, or that it opens."""
+    html = F.col("html")
+    shown = F.regexp_replace(html, "(?is)<script.*?</script>|<style.*?</style>|<[^>]*>", "")
+    why = gates.first_refusal(
+        unreadable=F.length(F.regexp_replace(shown, gates.UNREADABLE, "")) < 150, layered=F.contains(html, F.lit("<!-- ad 3")), many_pages=F.size(F.split(html, "<p>")) > 13, damaged=~F.contains(html, F.lit("</html>")),
+        no_header=~F.lower(F.substring(html, 1, 1024)).contains("<!doctype html"), too_large=F.octet_length(html) > 9000, locked=F.col("url").contains("pills"), empty_clip=F.contains(html, F.lit("<article></article>")),
+    )
+    return T(spark, d, "pages").select("page_id", F.coalesce(why, F.lit("opened")).alias("refusal"))
+
+
+def removed_by_term(spark, d):
+    """What was removed from documents whose rewrite stands, by kind and term."""
+    rows = _rows(spark, d)
+    judged = rows.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.when(F.col("n") % 4 == 0, "redaction-incomplete").alias("outcome"))
+    return report.removed_counts(rows, judged)
+
+
+def stripped_sentences(spark, d):
+    """What each whole web page holds beside its text, as a sentence."""
+    return review.inventory(T(spark, d, "pages")).select("page_id", report.stripped_sentence(F.col("stripped")).alias("sentence"))
+
+
+def event_keys(spark, d):
+    """Keys of valid events (name and values), and how many have each."""
+    e = T(spark, d, "events").select("event_id", F.element_at(F.array(*[F.lit(j) for j, _ in SAMPLES]), (F.col("event_id") % len(SAMPLES) + 1).cast("int")).alias("json"))
+    valid = events.strict_events(e).filter("valid")
+    return valid.select(events.report_key(F.array_join(F.regexp_extract_all("canonical", F.lit(r'"([^"]*)"[,}\]]'), F.lit(1)), " ")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
 def synth_iban(spark, d):
     """British shapes from customer keys: check digits right for most, off by one for every seventh."""
     c = T(spark, d, "customer").select("c_custkey")
@@ -472,6 +504,15 @@ _SESSIONS = f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS job_id, row_numb
     UNION ALL SELECT e.job_id, e.k, a, state, CASE WHEN NOT {_FITS} THEN state WHEN a = 'file-chosen' THEN 'opening' WHEN a = 'redact-started' THEN 'redacting' WHEN a = 'redacted' THEN 'complete' WHEN a = 'failed' AND state = 'opening' THEN 'failed' ELSE 'reviewing' END,
       n_changes + {_FITS}::INT, CASE WHEN a = 'file-chosen' THEN '' WHEN a = 'opened' AND state = 'opening' THEN 'm1' ELSE ticked END FROM r JOIN e ON e.job_id = r.job_id AND e.k = r.k + 1)"""
 
+def _key(raw: str) -> str:
+    """A valid sample's key: its name and values in the order of the event's fields; maps by kind and sets in the order of their lists."""
+    value, out = json.loads(raw), []
+    for field, (_, allowed) in events.EVENTS[value["name"]].items():
+        v = value[field]
+        out += [v] if isinstance(v, str) else [v[k] for k in allowed if k in v] if isinstance(v, dict) else [k for k in allowed if k in v]
+    return " ".join([value["name"], *out])
+
+
 ORACLE: dict[str, str] = {
     "email_matches": f'SELECT doc_id, start, "end", match FROM {_EMAILS}',
     "email_context": f"""SELECT doc_id, start, "end", match, right(regexp_replace(substr(text, 1, start), '{_SP}+', ' ', 'g'), 40) AS before, left(regexp_replace(substr(text, "end" + 1), '{_SP}+', ' ', 'g'), 40) AS after FROM {_EMAILS}""",
@@ -578,7 +619,15 @@ QUERIES = {
         report_admission, report_budget, strict_events, opt_out, kept_plan, plan_states, entitlements, page_kinds, calendar_dates, dependency_closure, geometry_scalars, contrast_scalars,
         document_matches, page_matches, matches_by_source, document_terms, redacted_documents, redaction_proof, synth_full_detection, session_states, session_usage, synth_lines,
         synth_page_findings, synth_off_line, synth_reading_compare, synth_trim, synth_replacement_text, report_rules, policy_order, html_inventory, target_refusals, review_checklist, page_targets,
-        detection_counts, result_sentences, crooked_notes, chosen_redaction,
+        detection_counts, result_sentences, crooked_notes, chosen_redaction, open_gates, removed_by_term, stripped_sentences, event_keys,
     )
 } | page_queries.QUERIES | object_queries.QUERIES
+ORACLE |= {
+    "open_gates": """SELECT page_id, CASE WHEN octet_length(encode(html)) > 9000 THEN 'too-large' WHEN NOT contains(lower(left(html, 1024)), '<!doctype html') THEN 'not-pdf' WHEN NOT contains(html, '</html>') THEN 'corrupt' WHEN contains(url, 'pills') THEN 'password-required'
+      WHEN len(string_split(html, '<p>')) > 13 THEN 'too-many-pages' WHEN contains(html, '<!-- ad 3') THEN 'hidden-layers' WHEN length(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<[^>]*>', '', 'g'), '[\\s\\p{Cc}\\p{Co}]', '', 'g')) < 150 THEN 'no-readable-text'
+      WHEN contains(html, '<article></article>') THEN 'unsupported' ELSE 'opened' END AS refusal FROM pages""",
+    "removed_by_term": f"WITH r AS ({_ROWS}) SELECT doc_id, kind, term, count(*) AS n FROM r WHERE ticked AND blocked IS NULL AND doc_id NOT IN (SELECT doc_id FROM r GROUP BY doc_id HAVING count(*) % 4 = 0) GROUP BY ALL",
+    "stripped_sentences": "SELECT page_id, CASE WHEN len(s) = 0 THEN 'Nothing else needed stripping.' ELSE upper(t[1]) || t[2:] END AS sentence FROM (SELECT *, CASE WHEN len(s) <= 1 THEN array_to_string(s, '') ELSE array_to_string(s[:-2], ', ') || ' and ' || s[-1] END AS t FROM (SELECT page_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(html, '{p}') THEN '{report.STRIPPED_NOUNS[k]}' END" for k, p in review.INVENTORY.items()) + "], lambda x: x IS NOT NULL) AS s FROM pages))",
+    "event_keys": "SELECT k AS key, count(*) AS n FROM (SELECT [" + ", ".join("'" + _key(j) + "'" if ok else "NULL" for j, ok in SAMPLES) + f"][event_id % {len(SAMPLES)} + 1] AS k FROM events) WHERE k IS NOT NULL GROUP BY 1",
+}
 ORACLE |= page_queries.ORACLE | object_queries.ORACLE

@@ -71,6 +71,19 @@ def refusal(text: Column, pages: Column, limits: Limits) -> Column:
     )
 
 
+#: The gates in order, and what a document is refused as at each; a gate is a column that says that the document fails it.
+GATES = {
+    "too_large": "too-large", "no_header": "not-pdf", "damaged": "corrupt", "locked": "password-required", "many_pages": "too-many-pages", "layered": "hidden-layers", "unreadable": "no-readable-text", "empty_clip": "unsupported", "odd_structure": "unreadable-structure",
+}
+
+
+def first_refusal(**fails: Column) -> Column:
+    """Why a document is not opened: the first of GATES that it fails, whatever order they are given in; null where it fails none. What can't be told (null) is no failure."""
+    if unknown := set(fails) - set(GATES):
+        raise ValueError(f"no such gates: {sorted(unknown)}")
+    return F.coalesce(*(F.when(fails[g], name) for g, name in GATES.items() if g in fails))
+
+
 def output_name(name: Column, form: Column) -> Column:
     """name trimmed, without .pdf, 'document' when nothing is left, with the form's ending."""
     stem = F.regexp_replace(F.trim(name), "(?i)\\.pdf$", "")
