@@ -130,3 +130,22 @@ def test_page_text_rules(spark):
     assert got[2].text == "Smith-son" and got[3].text == "Smith-son" and len(got[2].quads) == 2
     assert (got[4].text, got[4].raw) == ("f", "ﬁ") and 5 not in got and got[6].text == " "
     assert page_text.texts(mapped.filter("false")).count() == 0
+
+
+def test_walk_moves_only_what_is_new(spark, monkeypatch):
+    """A round shuffles the states that its new ones refer to, not the references or what was seen before; each state is written once, and more roles than one whole number has bits are told apart."""
+    refs = spark.createDataFrame([(1, f"o{i}", "Next", f"o{i + 1}") for i in range(6)] + [(1, "o6", "Next", "o0"), (1, "o6", "Next", "o0")], "doc_id int, src string, key string, dst string")
+    roots = spark.createDataFrame([(1, "o0", "r0")], "doc_id int, obj string, role string")
+    chain = ["r0", "r7", "r69", "r35", "r8"]
+    rules = spark.createDataFrame([*((a, "Next", b) for a, b in zip(chain, chain[1:], strict=False)), *((f"r{i}", "Other", f"r{i}") for i in range(70))], "role string, key string, becomes string")
+    plans, write, kept = [], objects.bucketed, objects.kept(refs)
+    monkeypatch.setattr(objects, "bucketed", lambda df, keys, table=None: (plans.append((df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"), table)), write(df, keys, table))[1])
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        reached = objects.walk(kept, rules, roots)
+        assert sorted((r.obj, r.role) for r in reached.collect()) == sorted((f"o{i}", r) for i, r in enumerate(chain))
+        assert kept.count() == 7 and len(plans) == 6 and max(n for n, table in plans if table) == 1
+        assert spark.table(plans[1][1]).count() == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)

@@ -5,29 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import bucketed
 
 STATE = ["doc_id", "obj", "role"]
+#: Roles in one whole number.
+WORD = 62
+
+
+def kept(refs: DataFrame) -> DataFrame:
+    """Distinct refs (doc_id, src, key, dst) as a table bucketed by (doc_id, src): dealt out once, whatever walks over them."""
+    dealt = refs.select("doc_id", "src", "key", "dst").repartition("doc_id", "src").distinct()
+    return refs.sparkSession.table(bucketed(dealt, ["doc_id", "src"]))
 
 
 def walk(refs: DataFrame, rules: DataFrame, roots: DataFrame) -> DataFrame:
     """(doc_id, obj, role): every object that roots (doc_id, obj, role) reach over refs (doc_id, src, key, dst), in each role in which it is reached.
 
-    rules (role, key, becomes): a role's allowed keys, and the role that what stands there is reached in. Rounds of joins over
-    what the last round has newly reached, the lineage cut in each, until nothing is new: a state of a document is looked at once.
+    rules (role, key, becomes), few and collected: a role's allowed keys, and the role that what stands there is reached in. An
+    object's roles are bits of whole numbers. Rounds of joins over the bits that the last round has newly set, until there are
+    none. What is reached is added to a table bucketed by object, so with refs as of kept() a round shuffles only what its new
+    bits refer to: each state of an object is looked at, moved and written once.
     """
-    edges = refs.join(rules, "key").select("doc_id", F.col("src").alias("obj"), "role", "dst", "becomes")
-    seen = new = cut(roots.select(*STATE).distinct())
-    while not new.isEmpty():
-        new = cut(new.join(edges, STATE).select("doc_id", F.col("dst").alias("obj"), F.col("becomes").alias("role")).distinct().join(seen, STATE, "left_anti"))
-        seen = cut(seen.unionByName(new))
-    return seen
+    spark, allowed = refs.sparkSession, rules.select("role", "key", "becomes").distinct().collect()
+    roles = sorted({r.role for r in allowed} | {r.becomes for r in allowed} | {r.role for r in roots.select("role").distinct().collect()}, key=str)
+    bits = [f"_bits{w}" for w in range(-(-len(roles) // WORD) or 1)]
+    bit = {role: (f"_bits{i // WORD}", 1 << i % WORD) for i, role in enumerate(roles)}
+    has = lambda role: F.col(bit[role][0]).bitwiseAND(F.lit(bit[role][1])) != 0
+    gather = [F.bit_or(b).alias(b) for b in bits]
+
+    def given(b: str, pairs: list[tuple]) -> Column:
+        """The bits of word b whose conditions hold; pairs: (condition, role)."""
+        word = F.lit(0).cast("long")
+        for holds, role in pairs:
+            if bit[role][0] == b:
+                word = word.bitwiseOR(F.when(holds, F.lit(bit[role][1]).cast("long")).otherwise(F.lit(0).cast("long")))
+        return word.alias(b)
+
+    first = roots.select("doc_id", "obj", *(given(b, [(F.col("role").eqNullSafe(F.lit(r)), r) for r in roles]) for b in bits)).groupBy("doc_id", "obj").agg(*gather)
+    table, n = bucketed(first.withColumn("_round", F.lit(0)), ["doc_id", "obj"]), 0
+    leads = [(has(r.role) & (F.col("key") == r.key), r.becomes) for r in allowed]
+    edges = refs.select(F.col("doc_id"), F.col("src").alias("obj"), "key", "dst")
+    while not (new := spark.table(table).filter(F.col("_round") == n)).isEmpty():
+        n += 1
+        met = new.drop("_round").join(edges, ["doc_id", "obj"]).select("doc_id", F.col("dst").alias("obj"), *(given(b, leads) for b in bits))
+        met = met.filter(" or ".join(f"{b} <> 0" for b in bits)).groupBy("doc_id", "obj").agg(*gather)
+        seen = spark.table(table).groupBy("doc_id", "obj").agg(*(F.bit_or(b).alias(f"_seen{b}") for b in bits))
+        fresh = met.join(seen, ["doc_id", "obj"], "left").select("doc_id", "obj", *(F.col(b).bitwiseAND(F.bitwise_not(F.coalesce(f"_seen{b}", F.lit(0).cast("long")))).alias(b) for b in bits))
+        bucketed(fresh.filter(" or ".join(f"{b} <> 0" for b in bits)).withColumn("_round", F.lit(n)), ["doc_id", "obj"], table)
+    of = spark.table(table).groupBy("doc_id", "obj").agg(*gather)
+    return of.select("doc_id", "obj", F.explode(F.filter(F.array(*[F.when(has(r), F.struct(F.lit(r).cast("string").alias("role"))) for r in roles]), lambda r: r.isNotNull())).alias("_r")).select("doc_id", "obj", "_r.role") if roles else roots.select(*STATE)
 
 
 def strays(refs: DataFrame, rules: DataFrame, reached: DataFrame) -> DataFrame:
     """(doc_id, obj, role, key): keys that a reached object holds and none of its roles' rules allows in that role."""
     held = reached.join(refs.select("doc_id", F.col("src").alias("obj"), "key").distinct(), ["doc_id", "obj"])
-    return held.join(rules.select("role", "key"), ["role", "key"], "left_anti").select(*STATE, "key")
+    return held.join(F.broadcast(rules.select("role", "key")), ["role", "key"], "left_anti").select(*STATE, "key")
 
 
 def unreached(objects: DataFrame, reached: DataFrame) -> DataFrame:
