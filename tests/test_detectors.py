@@ -8,6 +8,7 @@ import pytest
 from veilframe.functions import chars, checks
 from veilframe.operators import codes, dates, phones, resolve
 from veilframe.operators.spans import Span
+from veilframe.plans import lifecycle
 
 
 def shown(found, text):
@@ -199,3 +200,31 @@ def test_rescued_rows_yield_to_dates():
     kept = row._replace(rescued=False)
     assert resolve.yield_rescued(text, [kept], [Span("date", 0, 3, False)]) == [kept]
     assert resolve.yield_rescued(text, [row], []) == [kept]
+
+
+def test_dates_ask_forms_only_where_a_month_can_stand(monkeypatch):
+    """Figures without a month's name within reach are not tried against the forms with names; the longest way to the name still is."""
+    asked = []
+    tried = lambda text: dates.date_scans(text)[0] + dates.date_scans(text)[1]
+
+    class Form:
+        def __init__(self, form):
+            self.form, self.groupindex = form, form.groupindex
+
+        def match(self, text, *at):
+            asked.append(text)
+            return self.form.match(text, *at)
+
+    common = tuple(map(Form, dates.COMMON))
+    monkeypatch.setattr(dates, "COMMON_FORMS", {k: s._replace(forms=common) for k, s in dates.COMMON_FORMS.items()})
+    assert tried("tel 555-0123, 4111 1111 1111 1111, 12 34 56 and 2020-01-02") and not asked
+    for text in ("4th.   day   of   September 2020", "22nd\u201023rd   of   Sept. 2020", "3-may-20", "1999/MAR/3", "janov 3 2020 Nov 3, 2020"):
+        assert tried(text), text
+
+
+def test_matches_of_some_columns(spark):
+    docs = spark.createDataFrame([(1, "born 3 May 1980, a@b.org"), (2, None)], "doc_id long, text string")
+    whole = lifecycle.matches(docs)
+    some = lifecycle.matches(docs, columns=("ticked", "kind", "start"))
+    assert some.columns == ["ticked", "kind", "start"] and sorted(some.collect()) == sorted(whole.select("ticked", "kind", "start").collect()) and some.count() == 2
+    assert lifecycle.matches(docs, columns=("match_id",)).filter("match_id is null").count() == 0

@@ -49,8 +49,8 @@ def context(page: str, start: int, end: int, most: int) -> tuple[str, str, bool,
     return left[len(left) - most :] if len(left) > most else left, right[:most], len(left) > most, len(right) > most
 
 
-def read_document(doc_id, raw: str | None, terms: list[tuple[str, str]], limits: Limits) -> list[tuple]:
-    """All matches of a document, page by page: detected kinds, then terms."""
+def read_document(doc_id, raw: str | None, terms: list[tuple[str, str]], limits: Limits, bare: bool = False) -> list[tuple]:
+    """All matches of a document, page by page: detected kinds, then terms. bare: without ids and context."""
     out = []
     tail, most = "", max((reach(t) for _, t in terms), default=0)
     for p, page in enumerate(pages_of(chars.normalise(raw or ""))):
@@ -70,8 +70,8 @@ def read_document(doc_id, raw: str | None, terms: list[tuple[str, str]], limits:
                 rows.append((None, "term", s.term, list(s.notes), a, z, chars.collapse(page[a:z]), not s.notes))
             tail = page[carried(page, most) :] if page.strip() else tail
         for b, kind, term, notes, a, z, shown, ticked in rows:
-            before, after, bcut, acut = context(page, a, z, limits.context)
-            key = hashlib.sha256(f"{doc_id}|{p}|{a}|{z}|{kind}|{term or ''}".encode()).hexdigest()[:32]
+            before, after, bcut, acut = (None, None, None, None) if bare else context(page, a, z, limits.context)
+            key = None if bare else hashlib.sha256(f"{doc_id}|{p}|{a}|{z}|{kind}|{term or ''}".encode()).hexdigest()[:32]
             out.append((doc_id, key, p + 1, b, kind, term, notes, a, z, shown, before, after, bcut, acut, ticked, "held-part" if "page-break" in notes else "ordinary", None))
     return out
 
@@ -102,20 +102,27 @@ def _searchable(terms: list[tuple[str, str]] | None, limits: Limits) -> list[tup
     return list(terms or [])
 
 
-def matches(docs: DataFrame, terms: list[tuple[str, str]] | None = None, limits: Limits = Limits()) -> DataFrame:
-    """The review table of (doc_id, text): offsets are code points of the normalised page. No shuffle; texts without @, digit or term never reach a detector."""
+#: Columns of the review table that cost more to write than the rest of a row.
+COSTLY = {"match_id", "before", "after", "before_cut", "after_cut"}
+
+
+def matches(docs: DataFrame, terms: list[tuple[str, str]] | None = None, limits: Limits = Limits(), columns: tuple[str, ...] = ()) -> DataFrame:
+    """The review table of (doc_id, text), or some of its columns: offsets are code points of the normalised page. No shuffle; texts without @, digit or term never reach a detector."""
+    names = list(columns) or _NAMES
+    at, bare = [_NAMES.index(c) for c in names], not COSTLY & set(names)
     listed = _searchable(terms, limits)
 
     def run(batches):
         for b in batches:
             for i in range(0, len(b), 64):
-                rows = [r for d, t in zip(b.column(0)[i : i + 64].to_pylist(), b.column(1)[i : i + 64].to_pylist(), strict=True) if t for r in read_document(d, t, listed, limits)]
+                rows = [r for d, t in zip(b.column(0)[i : i + 64].to_pylist(), b.column(1)[i : i + 64].to_pylist(), strict=True) if t for r in read_document(d, t, listed, limits, bare)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+                    found = list(zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(found[k], _TYPES[k]) for k in at], names)
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     some = docs.select(F.col("doc_id").cast("long"), "text")
-    return spread(some if listed else some.filter(F.col("text").rlike(marked()[0]) | F.col("text").rlike(marked()[1]))).mapInArrow(run, MATCHES)
+    return spread(some if listed else some.filter(F.col("text").rlike(marked()[0]) | F.col("text").rlike(marked()[1]))).mapInArrow(run, ", ".join(MATCHES.split(", ")[k] for k in at))
 
 
 TERM_ROWS = "doc_id long, page int, term string, notes array<string>, part string, start int, end int, text string"
