@@ -496,3 +496,30 @@ def test_stream_of_both_rules(spark, tmp_path):
     batch = events.admit_reports(spark.createDataFrame(rows, "instance string, seq long, key string, ts_ms long, draws boolean"), budget=2)
     expected = [True, True, False, True, False, True]
     assert [r.admitted for r in spark.table("both").orderBy("seq").collect()] == expected == [r.admitted for r in batch.orderBy("seq").collect()]
+
+
+def test_compare_holds_one_group_at_a_time(spark, monkeypatch):
+    """What Python holds while a batch is compared doesn't grow with the groups in it."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    tasks, frame = [], type(spark.range(1))
+    real = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, task, *a, **k: (tasks.append(task), real(self, task, *a, **k))[1])
+    one = spark.createDataFrame([(1, 1, 65, 1, 0.0, 0.0)], "doc_id int, page int, code int, idx long, ox double, oy double")
+    pages.compare(one, one)
+
+    def peak(groups: int, size: int = 500) -> int:
+        inner = pa.ListArray.from_arrays(pa.array(range(0, 2 * groups * size + 1, 2), pa.int32()), pa.array([float(i) for i in range(groups * size) for _ in "xy"]))
+        listed = pa.ListArray.from_arrays(pa.array(range(0, groups * size + 1, size), pa.int32()), inner)
+        batch = pa.RecordBatch.from_arrays([pa.array([1] * groups), pa.array([1] * groups), pa.array([65] * (groups - 1) + [None]), listed, listed], ["doc_id", "page", "code", "a", "b"])
+        tracemalloc.start()
+        (out,) = tasks[0](iter([batch]))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert out.column(2).to_pylist() == out.column(3).to_pylist() == [0] * (groups - 1) + [size]
+        return most
+
+    peak(2)
+    assert peak(60) < 3 * peak(6)
