@@ -3,7 +3,8 @@ from __future__ import annotations
 import random
 
 from veilframe.operators import objects, page_text
-from veilframe.plans import lifecycle
+from veilframe.plans import lifecycle, page_queries
+from veilframe.sources.shared import bucketed
 
 RULES = [("page", "Font", "font"), ("font", "Proc", "glyph"), ("glyph", "Form", "glyph"), ("page", "Form", "drawing"), ("drawing", "Form", "drawing")]
 
@@ -149,3 +150,18 @@ def test_walk_moves_only_what_is_new(spark, monkeypatch):
         assert spark.table(plans[1][1]).count() == 5
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+def _exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_page_text_shuffles_turns_not_characters(spark):
+    """Turns are dealt out before they are characters; what is read from them, and from the kept source map, lies by page already."""
+    sf = "/root/testdata/sf0.001"
+    plan = page_queries.page_texts(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") > plan.rindex("Generate posexplode")  # the deepest nodes come last
+    mapped = page_text.points(page_queries.set_pages(spark, sf), dealt=True)
+    kept = spark.table(bucketed(mapped, page_text.PAGE))
+    assert _exchanges(page_text.texts(kept)) == 0
+    assert sorted(page_text.texts(kept).collect()) == sorted(page_text.texts(page_text.points(page_queries.set_pages(spark, sf).repartition(3))).collect())
