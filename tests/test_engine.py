@@ -523,3 +523,20 @@ def test_compare_holds_one_group_at_a_time(spark, monkeypatch):
 
     peak(2)
     assert peak(60) < 3 * peak(6)
+
+
+def test_places_of_boxes_are_looked_up_by_cell(spark):
+    """Against each place by itself: slanted and tiny outlines, edges, places at no finite point; and findings read a table that matched characters with drawings once."""
+    import random
+
+    rng = random.Random(5)
+    boxes = [(1, n, x := rng.choice([0.0, 7.5, 100.0, 290.0, 299.0]), y := rng.choice([0.0, 20.0, 27.0, 60.0]), x + rng.choice([0.0, 6.0, 40.0]), y + rng.choice([0.0, 10.0, 90.0])) for n in range(80)] + [(1, 90, float("nan"), 0.0, 5.0, 5.0), (1, 91, 0.0, 0.0, 3e12, 5.0), (None, 92, 0.0, 0.0, 5.0, 5.0)]
+    quads = [(1, 0, [0.0, 0.0, 300.0, 0.0, 0.0, 30.0, 300.0, 30.0]), (1, 1, [10.0, 5.0, 120.0, 25.0, 5.0, 40.0, 115.0, 60.0]), (1, 2, [100.0, 20.0, 103.0, 20.0, 100.0, 23.0, 103.0, 23.0]), (None, 3, [0.0, 0.0, 9.0, 0.0, 0.0, 9.0, 9.0, 9.0])]
+    b = spark.createDataFrame(boxes, "page int, idx int, x0 double, y0 double, x1 double, y1 double")
+    q = spark.createDataFrame(quads, "page int, cover int, quad array<double>")
+    got = {(r.idx, r.cover): r.m for r in spatial.places_inside(b, q, ["page"], 5).groupBy("idx", "cover").agg(F.bit_or("_mask").alias("m")).collect() if r.m}
+    spots = b.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(24)))).selectExpr("page", "idx", "k", "x0 + (k % 5 + 0.5D) / 5 * (x1 - x0) as x", "y0 + (floor(k / 5) + 0.5D) / 5 * (y1 - y0) as y")
+    expected = {(r.idx, r.cover): r.m for r in spatial.inside(spots, q, ["page"]).groupBy("idx", "cover").agg(F.sum(F.expr("shiftleft(1L, k)")).alias("m")).collect()}
+    assert got == expected and len(got) > 50
+    plan = findings.findings(*page_tables(spark, PAGES))._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and "veilframe_" in plan
