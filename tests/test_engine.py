@@ -540,3 +540,16 @@ def test_places_of_boxes_are_looked_up_by_cell(spark):
     assert got == expected and len(got) > 50
     plan = findings.findings(*page_tables(spark, PAGES))._jdf.queryExecution().optimizedPlan().toString()
     assert "max_by" not in plan and "veilframe_" in plan
+
+
+def test_precedence_of_small_and_large_blocks(spark):
+    """Blocks as rows and as trees say the same, and neither meets a join or a shuffle of its own where few spans stand in a block."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(block, span, rng.randint(0, 6), "k", (start := rng.randint(0, 60)), start + rng.choice([0, 1, 5, 20])) for block in range(40) for span in range(rng.choice([1, 4, 7, 90]))]
+    df = spark.createDataFrame(rows, "block int, span int, rank int, kind string, start int, end int")
+    said = [sorted(native.resolve(df, few).collect()) for few in (0, 10, 64, 1000)]
+    assert said[0] == said[1] == said[2] == said[3] and len(said[0]) > 200
+    plan = native._resolve_rows(df.repartition("block"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1

@@ -76,14 +76,39 @@ def masked(text: Column) -> Column:
 LEVELS = 40
 
 
-def resolve(spans: DataFrame) -> DataFrame:
-    """(block, span, kind, start, end): precedence as interval difference over (block, span, rank, kind, start, end): each place goes to the least (rank, span) that claims it, and neighbouring places of a span are one row.
+#: Most spans of a block that is resolved as one row.
+FEW = 64
 
-    The bounds of all spans part a block into stretches, numbered in order, twice as many as spans at most. A span is put down
+
+def resolve(spans: DataFrame, few: int = FEW) -> DataFrame:
+    """(block, span, kind, start, end): precedence as interval difference over (block, span, rank, kind, start, end): each place goes to the least (rank, span) that claims it, and neighbouring places of a span are one row. Spans of a block have numbers of their own.
+
+    Blocks of up to `few` spans are resolved as a row each, larger ones by a tree. Spans that lie by block already are not shuffled, others once.
+    """
+    whole = spans.filter("start < end and block is not null").withColumn("_of", F.count("*").over(Window.partitionBy("block")))
+    return _resolve_rows(whole.filter(F.col("_of") <= few)).unionByName(_resolve_tree(whole.filter(F.col("_of") > few).drop("_of")))
+
+
+def _resolve_rows(whole: DataFrame) -> DataFrame:
+    """Blocks of a few spans, gathered: each stretch between bounds takes the first span, in order of precedence, that claims it."""
+    claim = F.struct("rank", "span", "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    own = whole.groupBy("block").agg(F.sort_array(F.collect_list(claim)).alias("_claims"))
+    own = own.withColumn("_at", F.sort_array(F.array_distinct(F.concat("_claims.start", "_claims.end"))))
+    first = lambda at: F.get(F.filter("_claims", lambda c: (c["start"] <= at) & (c["end"] > at)), F.lit(0))
+    cut = F.zip_with(F.slice("_at", F.lit(1), F.size("_at") - 1), F.slice("_at", F.lit(2), F.size("_at") - 1), lambda a, z: F.struct(a.alias("start"), z.alias("end"), first(a).alias("c")))
+    own = own.select("block", F.explode(F.array(F.filter(cut, lambda x: x["c"].isNotNull()))).alias("_o"))  # worked out once
+    beside = lambda i, j: (F.get("_o", i)["end"] == F.get("_o", j)["start"]) & (F.get("_o", i)["c"]["span"].eqNullSafe(F.get("_o", j)["c"]["span"]))
+    begins = F.filter("_o", lambda x, i: (i == 0) | ~F.coalesce(beside(i - 1, i), F.lit(False)))
+    ends = F.filter("_o", lambda x, i: (i == F.size("_o") - 1) | ~F.coalesce(beside(i, i + 1), F.lit(False)))
+    rows = F.zip_with(begins, ends, lambda a, z: F.struct(a["c"]["span"].alias("span"), a["c"]["kind"].alias("kind"), a["start"].alias("start"), z["end"].alias("end")))
+    return own.select("block", F.explode(rows).alias("r")).select("block", "r.span", "r.kind", "r.start", "r.end")
+
+
+def _resolve_tree(whole: DataFrame) -> DataFrame:
+    """Blocks of any size. The bounds of all spans part a block into stretches, numbered in order, twice as many as spans at most. A span is put down
     at the few nodes of a tree over the stretches that make it up, each node keeps its least claim, and a stretch takes the
     least of the nodes above it. Rows grow as n log n in the spans, whatever their lengths.
     """
-    whole = spans.filter("start < end")
     bound = Window.partitionBy("block").orderBy("at")
     ends = whole.select("block", F.explode(F.array(F.col("start").cast("long"), F.col("end").cast("long"))).alias("at")).distinct()
     ends = ends.select("block", "at", (F.row_number().over(bound) - 1).cast("long").alias("n"), F.lead("at").over(bound).alias("next"), F.count("*").over(Window.partitionBy("block")).alias("of"))
