@@ -553,3 +553,11 @@ def test_precedence_of_small_and_large_blocks(spark):
     assert said[0] == said[1] == said[2] == said[3] and len(said[0]) > 200
     plan = native._resolve_rows(df.repartition("block"))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_events_are_parsed_once(spark):
+    """A filter on the result, and a key from it, do not parse the event again."""
+    df = spark.createDataFrame([(n, raw) for n, (raw, _) in enumerate(queries.SAMPLES)], "n int, json string")
+    valid = events.strict_events(df).filter("valid").select(events.report_key(F.upper("canonical"), F.lower("canonical")).alias("key"))
+    assert valid._jdf.queryExecution().optimizedPlan().toString().lower().count("json(") == 1
+    assert valid.count() == sum(ok for _, ok in queries.SAMPLES)
