@@ -561,3 +561,12 @@ def test_events_are_parsed_once(spark):
     valid = events.strict_events(df).filter("valid").select(events.report_key(F.upper("canonical"), F.lower("canonical")).alias("key"))
     assert valid._jdf.queryExecution().optimizedPlan().toString().lower().count("json(") == 1
     assert valid.count() == sum(ok for _, ok in queries.SAMPLES)
+
+
+def test_sentences_gather_no_lists(spark):
+    """Counts by kind and state come from one pass with fixed counters: no list, map or minimum of strings, which sort whole tasks' rows."""
+    plan = queries.result_sentences(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "SortAggregate" not in plan and plan.count("Exchange") == 1
+    df = spark.createDataFrame([(1, "email", True, None), (1, "email", True, None), (1, "card", None, None), (1, "term", True, "slanted-text"), (1, "other", True, None)] + [(2, "date", True, None)] * 1234, "d int, kind string, ticked boolean, blocked string")
+    got = {r.d: (r.removed_line, r.left_line) for r in report.result_sentences(df, "d").collect()}
+    assert got == {1: ("2 email addresses", "1 card number you left unticked. 1 match The engine couldn't remove."), 2: ("1,234 dates", "Nothing The engine found.")}
