@@ -570,3 +570,9 @@ def test_sentences_gather_no_lists(spark):
     df = spark.createDataFrame([(1, "email", True, None), (1, "email", True, None), (1, "card", None, None), (1, "term", True, "slanted-text"), (1, "other", True, None)] + [(2, "date", True, None)] * 1234, "d int, kind string, ticked boolean, blocked string")
     got = {r.d: (r.removed_line, r.left_line) for r in report.result_sentences(df, "d").collect()}
     assert got == {1: ("2 email addresses", "1 card number you left unticked. 1 match The engine couldn't remove."), 2: ("1,234 dates", "Nothing The engine found.")}
+
+
+def test_chosen_redaction_searches_texts_once(spark):
+    """The plan holds the redaction and the proof; what the detectors found is read."""
+    plan = queries.chosen_redaction(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
