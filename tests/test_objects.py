@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from veilframe.operators import objects, page_text
 from veilframe.plans import lifecycle, page_queries
 from veilframe.sources.shared import bucketed
@@ -165,3 +167,18 @@ def test_page_text_shuffles_turns_not_characters(spark):
     kept = spark.table(bucketed(mapped, page_text.PAGE))
     assert _exchanges(page_text.texts(kept)) == 0
     assert sorted(page_text.texts(kept).collect()) == sorted(page_text.texts(page_text.points(page_queries.set_pages(spark, sf).repartition(3))).collect())
+
+
+def test_spans_meet_characters_where_they_lie(spark):
+    """Over the kept source map nothing is shuffled for spans, and its characters are read once for them; long, overlapping and empty spans and ones past either end meet what each character by itself says."""
+    sf = "/root/testdata/sf0.001"
+    kept = spark.table(bucketed(page_text.points(page_queries.set_pages(spark, sf), dealt=True), page_text.PAGE))
+    found = page_text.places(page_queries._spans(page_text.texts(kept)), kept)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert _exchanges(found) == 0 and plan.count("FileScan parquet") == 2
+    small = kept.filter("doc_id < 4")
+    spans = small.select("doc_id", "page").distinct().crossJoin(spark.createDataFrame([(0, -7, 3), (1, 0, 200), (2, 63, 65), (3, 64, 128), (4, 150, 9000), (5, 20, 20), (6, -9, 0), (7, 0, 64), (8, 700, 9000)], "span_id int, start int, end int")).withColumn("kind", F.lit("term"))
+    got = sorted((r.doc_id, r.page, r.span_id, r.idx) for r in page_text.covered(spans, small).collect())
+    chars = small.collect()
+    expected = sorted((c.doc_id, c.page, s.span_id, c.idx) for s in spans.collect() for c in chars if (c.doc_id, c.page) == (s.doc_id, s.page) and s.start < s.end and s.start < c.start + len(c.points) and s.end > c.start - (c.join is not None))
+    assert got == expected and len(got) > 1000
