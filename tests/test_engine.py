@@ -576,3 +576,22 @@ def test_chosen_redaction_searches_texts_once(spark):
     """The plan holds the redaction and the proof; what the detectors found is read."""
     plan = queries.chosen_redaction(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2
+
+
+def test_block_reasons_meet_readings_once(spark, monkeypatch):
+    """All readings go through one join with the outlines and plans stay small, which the driver holds; each reason by itself says what they say together."""
+    quad = lambda i, w=1: [10.0 * i, 0.0, 10.0 * (i + w), 0.0, 10.0 * i, 10.0, 10.0 * (i + w), 10.0]
+    page = lambda text: spark.createDataFrame([(d, 1, i, ord(c), quad(i)) for d in (1, 2) for i, c in enumerate(text)], "doc_id int, page int, idx int, code int, quad array<double>")
+    ordinary, ignoring = page("ﬁne a²"), page("ﬁne a³")
+    outlines = spark.createDataFrame([("a", 1, 1, quad(0, 3)), ("a", 1, 1, quad(0, 2)), ("b", 1, 1, quad(4, 2)), ("c", 2, 1, quad(0, 3)), ("d", 2, 1, quad(1, 2)), ("e", 2, 1, quad(90))], "match_id string, doc_id int, page int, quad array<double>")
+    texts = spark.createDataFrame([("a", "ﬁn e"), ("b", "a²"), ("c", "ﬁne"), ("d", "fine"), ("e", "x"), ("f", "x")], "match_id string, text string")
+    images = spark.createDataFrame([(2, 1, [600.0, 0.0, 0.0, 800.0, 0.0, 0.0], 10, 10), (2, 1, None, 10, 10)], "doc_id int, page int, transform array<double>, columns int, rows int")
+    met, inside = [], spatial.inside
+    monkeypatch.setattr(pages.spatial, "inside", lambda *a: met.append(a) or inside(*a))
+    got = pages.blocked(outlines, texts, ordinary, ignoring, images)
+    assert len(met) == 1 and len(got._jdf.queryExecution().toString()) < 100_000
+    assert dict(got.collect()) == {"a": None, "b": "replacement-text", "c": "image-overreach", "d": "unsound-outline", "e": "unsound-outline", "f": "unsound-outline"}
+    assert len(pages.shapes(outlines, images)._jdf.queryExecution().toString()) < 500_000
+    assert dict(pages.unsound(outlines, texts, ordinary).collect()) == {m: m in "def" for m in "abcdef"}
+    assert dict(pages.replacement_text(outlines, ordinary, ignoring).collect()) == {m: m == "b" for m in "abcde"}
+    assert dict(pages.overreach(outlines, images).collect()) == {m: True for m in "cde"}
