@@ -8,7 +8,8 @@ import pytest
 from veilframe.functions import chars, checks
 from veilframe.operators import codes, dates, phones, resolve
 from veilframe.operators.spans import Span
-from veilframe.plans import lifecycle
+from veilframe.plans import lifecycle, queries
+from veilframe.sources import gates
 
 
 def shown(found, text):
@@ -228,3 +229,33 @@ def test_matches_of_some_columns(spark):
     some = lifecycle.matches(docs, columns=("ticked", "kind", "start"))
     assert some.columns == ["ticked", "kind", "start"] and sorted(some.collect()) == sorted(whole.select("ticked", "kind", "start").collect()) and some.count() == 2
     assert lifecycle.matches(docs, columns=("match_id",)).filter("match_id is null").count() == 0
+
+
+def test_detectors_look_only_where_a_value_can_stand(monkeypatch):
+    """Figures too few or too far apart for a kind are not read for it; what stands beside them still is."""
+    asked = []
+    for module, name in ((dates, "_read"), (phones, "_unit"), (codes, "_card_units")):
+        monkeypatch.setattr(module, name, lambda *a, own=getattr(module, name), name=name, **k: (asked.append(name), own(*a, **k))[1])
+    dull = "Room 12, 345-678 of 2020; 1/2 and 3.4, may 12 34 and 1111 1111 1111, 12:30:45, x99"
+    assert dates.date_scans(dull.replace("may", "is"))[0] == [] == codes.card(dull) and phones.phone("Room 12, 345-678 of 2020; 1/2 and 3.4") == [] and not asked
+    text = "12, 345-678: +44 20 7946 0958; 4111-1111 1111 1111/2, 3 junov 2020, 3rd-4th of May, 2020 and 2020-01-02/03, 1 - 2 - 1999, 20200102"
+    assert resolve.detect(text) and {"_read", "_unit", "_card_units"} == set(asked)
+    cards, days = "1/4111 1111 1111 1111/2 5555-5555-5555-4444", "1 - 2 - 1999, junovember 3, 2020, 20200102"
+    assert [t for t, _ in shown(codes.card(cards), cards)] == ["4111 1111 1111 1111", "5555-5555-5555-4444"]
+    assert [t for t, _ in shown(dates.date(days), days)] == ["1 - 2 - 1999", "20200102"]
+
+
+def test_orders_are_dealt_before_they_are_texts(spark):
+    """One row group read as many splits lies in one of them; its rows still go to all tasks."""
+    name = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "2k")
+    try:
+        read = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+        assert read.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        plan = queries.synth_full_detection(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("MapInArrow") < plan.index("Signed") < plan.index("RoundRobinPartitioning") < plan.index("FileScan")  # the deepest nodes come last
+        rows = [len(p) for p in gates.dealt(read.select("o_orderkey")).rdd.glom().collect()]
+        assert max(rows) < 2 * min(rows)
+    finally:
+        spark.conf.set(name, was)

@@ -34,7 +34,7 @@ def blocks_of(page: str):
     for i, raw in enumerate(page.split("\n\n")):
         if raw:
             text = raw.replace("\n", " ")
-            yield i, at, text, [k for k, c in enumerate(raw) if c == "\n" and k and k + 1 < len(raw) and raw[k - 1] not in chars.SPACES and raw[k + 1] not in chars.SPACES]
+            yield i, at, text, [k for k, c in enumerate(raw if "\n" in raw else "") if c == "\n" and k and k + 1 < len(raw) and raw[k - 1] not in chars.SPACES and raw[k + 1] not in chars.SPACES]
         at += len(raw) + 2
 
 
@@ -106,8 +106,8 @@ def _searchable(terms: list[tuple[str, str]] | None, limits: Limits) -> list[tup
 COSTLY = {"match_id", "before", "after", "before_cut", "after_cut"}
 
 
-def matches(docs: DataFrame, terms: list[tuple[str, str]] | None = None, limits: Limits = Limits(), columns: tuple[str, ...] = ()) -> DataFrame:
-    """The review table of (doc_id, text), or some of its columns: offsets are code points of the normalised page. No shuffle; texts without @, digit or term never reach a detector."""
+def matches(docs: DataFrame, terms: list[tuple[str, str]] | None = None, limits: Limits = Limits(), columns: tuple[str, ...] = (), dealt: bool = False) -> DataFrame:
+    """The review table of (doc_id, text), or some of its columns: offsets are code points of the normalised page. dealt: rows have been dealt out already. No shuffle; texts without @, digit or term never reach a detector."""
     names = list(columns) or _NAMES
     at, bare = [_NAMES.index(c) for c in names], not COSTLY & set(names)
     listed = _searchable(terms, limits)
@@ -122,7 +122,8 @@ def matches(docs: DataFrame, terms: list[tuple[str, str]] | None = None, limits:
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     some = docs.select(F.col("doc_id").cast("long"), "text")
-    return spread(some if listed else some.filter(F.col("text").rlike(marked()[0]) | F.col("text").rlike(marked()[1]))).mapInArrow(run, ", ".join(MATCHES.split(", ")[k] for k in at))
+    some = some if listed else some.filter(F.col("text").rlike(marked()[0]) | F.col("text").rlike(marked()[1]))
+    return (some if dealt else spread(some)).mapInArrow(run, ", ".join(MATCHES.split(", ")[k] for k in at))
 
 
 TERM_ROWS = "doc_id long, page int, term string, notes array<string>, part string, start int, end int, text string"
